@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder for one written table or archive, in the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """A join on ``on`` (left column to right column) where one key may hold a third of ``left``.
+
+    A further key, a hash of the others, keeps Spark from taking over a
+    partitioning that one side already has: the join then exchanges both sides
+    itself, and such exchanges adaptive execution splits where they are skewed.
+    """
+    same = F.hash(*on) == F.hash(*on.values())
+    for a, b in on.items():
+        same &= F.col(a) == F.col(b)
+    return left.join(right, same, how)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once an application, for functions that run in Python workers."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="handbill-")) / "handbill_code.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)

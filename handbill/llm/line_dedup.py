@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from handbill.llm.common import LOWER, SPACES, UPPER, cut, let
+from handbill.llm.common import LOWER, SPACES, UPPER, cut, let, spread_join
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -66,10 +66,7 @@ def keep_bitmaps(
     """
     hashes = cut(line_hashes(docs, id_col, text_col, min_chars))
     shared = shared_lines(hashes, min_docs)
-    # The third key, redundant, makes the join exchange both sides, and what it exchanges
-    # itself adaptive execution can split: one line may be in most documents.
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("h1").bitwiseXOR(F.col("h2")) == F.col("k1").bitwiseXOR(F.col("k2")))
-    lost = hashes.join(shared, same).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = spread_join(hashes, shared, {"h1": "k1", "h2": "k2"}).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bit = F.expr(f"shiftleft(1L, pmod(pos, {BLOCK}))")
     blocks = (
         lost.select("doc_id", "row_key", F.expr(f"pos div {BLOCK}").cast("int").alias("block"), bit.alias("bit"))
