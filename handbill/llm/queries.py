@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import line_dedup, mixing, quality, simhash
+from handbill.llm import bpe, line_dedup, mixing, quality, simhash
+
+#: The folder of the vocabulary files.
+TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +27,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def digests_of_tokens(encoded: DataFrame, path: str) -> DataFrame:
+    """Per row of encode(): doc_id and the digests of its ids and of what they decode to."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    return digests_of_tokens(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -33,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
