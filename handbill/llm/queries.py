@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import bpe, line_dedup, mixing, quality, simhash
+from handbill.llm import bpe, line_dedup, media, mixing, quality, simhash
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = media.index(media.store(table(spark, sf_dir, "documents")))
+    frames = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"].cast("string"), k["size"].cast("string"))), ",")
+    feature = F.concat_ws(";", "codec", F.concat_ws("/", F.col("duration").cast("string"), F.col("timescale").cast("string")), F.col("n_samples").cast("string"), F.size("keyframes").cast("string"), F.md5(frames))
+    return indexed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -50,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op8_bpe": op8_bpe,
