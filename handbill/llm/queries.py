@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import bpe, line_dedup, media, mixing, quality, simhash
+from handbill.llm import bpe, line_dedup, media, mixing, quality, simhash, warc
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
@@ -42,6 +42,13 @@ def digests_of_tokens(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = warc.read(warc.write(pages))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     return digests_of_tokens(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -60,8 +67,23 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op5_warc": op5_warc,
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), f AS (
+            SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY sha256(html)) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
+}
