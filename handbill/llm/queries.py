@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import bpe, line_dedup, media, mixing, quality, simhash, warc
+from handbill.llm import bpe, line_dedup, media, mixing, quality, secrets, simhash, warc
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
@@ -42,6 +42,14 @@ def digests_of_tokens(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), number("guess"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -67,6 +75,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
