@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import bpe, line_dedup, media, mixing, quality, secrets, simhash, toxicity, warc
+from handbill.llm import bpe, html_text, line_dedup, media, mixing, quality, secrets, simhash, toxicity, warc
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +34,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
+    "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
