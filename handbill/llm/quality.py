@@ -97,20 +97,23 @@ def common_counts(words: Column, lang: Column) -> Column:
     return let(hits, of)
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Per row of ``docs``: the base counts, ``chars`` (by class) and ``commons`` (by common word).
 
     A null text is empty. Rows with equal or null ids stay separate rows. Other
     columns of ``docs``, whatever their names, are neither read nor returned.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    base = docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != F.lit(""))
     classes = F.mask(F.col("text"), F.lit("X"), F.lit("x"), F.lit("0"), F.lit(None))
     base = base.select(
-        "doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"), classes.alias("classes")
+        *carry, "doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"), classes.alias("classes")
     )
     base = base.select(
+        *carry,
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
@@ -129,7 +132,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rest = F.greatest(F.lit(0), F.col("n_all") - reduce(lambda a, b: a + b, parts))
     others = F.col("n_words") - F.aggregate("commons", F.lit(0).cast("long"), lambda a, x: a + x)
     return base.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carry, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*parts, rest).alias("chars"), F.concat("commons", F.array(others)).alias("commons"),
     )
 
@@ -170,8 +173,9 @@ def quality(
     lang_col: str = "lang",
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Counts, distances and the verdict ``kept`` of every row of ``docs``.
+    """Counts, distances and the verdict ``kept`` of every row of ``docs``, and its columns ``carry``.
 
     ``kept`` is false for fewer than MIN_WORDS words, for repeats above
     MAX_REPEAT_PERCENT, and for a judged distance above its maximum. A distance
@@ -179,7 +183,7 @@ def quality(
     listed or is null, and where the language's documents hold fewer than
     MIN_REFERENCE_WORDS words. An empty table gives an empty result.
     """
-    counted = cut(counts(docs, id_col, text_col, lang_col))
+    counted = cut(counts(docs, id_col, text_col, lang_col, carry))
     judged = counted.join(F.broadcast(references(counted)), F.col("lang") == F.col("ref_lang"), "left")
     enough = F.col("ref_words") >= MIN_REFERENCE_WORDS
     chars = F.when(enough & (F.col("word_chars") >= MIN_CHARS_JUDGED), js_distance(F.col("chars"), F.col("ref_chars"), len(CLASSES)))
@@ -187,9 +191,23 @@ def quality(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carry, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), F.round(chars, 6).alias("char_distance"), F.round(words, 6).alias("word_distance"),
     ).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *carry, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance",
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that quality() keeps, with their columns.
+
+    The verdicts are computed once a row and joined back by id and text; equal
+    rows have equal verdicts.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string"))
+    rows = docs.withColumn("_row_key", key)
+    verdicts = quality(rows, id_col, text_col, lang_col, carry=("_row_key",), **limits).where("kept")
+    verdicts = verdicts.select(F.col("doc_id").alias("_kept_id"), F.col("_row_key").alias("_kept_key")).distinct()
+    same = (F.col("_row_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
+    return rows.join(verdicts, same, "left_semi").drop("_row_key")
