@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,13 +27,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handbill.llm.common import ship
+from handbill.llm.common import ship, words_of
 
 #: Frequent words that the lexicon holds, at most.
 LEXICON_WORDS = 32768
 #: Words that a task remembers, and characters that it works on at once.
-MEMO_WORDS = 300_000
-CHUNK_CHARS = 1_000_000
+MEMO_WORDS = 150_000
+CHUNK_CHARS = 500_000
+#: Bytes up to which a word is merged without a heap; no pair has this rank.
+SHORT_WORD = 48
+NO_RANK = 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -52,13 +57,21 @@ class Vocabulary:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        # By the ids of a pair: its rank; by rank: the id of what it makes.
+        pairs = [(self.ids.get(a), self.ids.get(b), self.ids.get(a + b)) for a, b in model["merges"]]
+        self.ranks = {a << 32 | b: i for i, (a, b, _) in enumerate(pairs)}
+        self.made = [c for *_, c in pairs]
         self.suffix = model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.first = [self.ids[c] for c in letters]
+        self.last = [self.ids[c + self.suffix] for c in letters]
+        # The same pattern for texts of ASCII alone, in the faster library; white space without \x1c to \x1f.
+        plain = split["pattern"]["Regex"].replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]").replace("\\s\\p{L}\\p{N}", "\\t-\\r a-z0-9")
+        self.plain = re.compile(plain)
         self.tokens = {i: t for t, i in (self.ids | self.specials).items()}
 
     def words(self, text: str | None) -> list[str]:
@@ -74,7 +87,7 @@ class Vocabulary:
 
     def words_of_part(self, text: str) -> list[str]:
         if text.isascii():
-            return self.pattern.findall(text.lower())
+            return self.plain.findall(text.lower())
         # Each letter is lowered by itself, a final sigma too.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         # Code points that are newer than the library's tables are no letters to it.
@@ -87,26 +100,43 @@ class Vocabulary:
         """The ids of one word, by merging the pair of least rank, leftmost first, until none is left."""
         if word in self.specials:
             return [self.specials[word]]
-        parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.suffix
-        n = len(parts)
+        coded = word.encode("utf-8", "surrogatepass")
+        ids = [self.first[b] for b in coded]
+        ids[-1] = self.last[coded[-1]]
+        if len(ids) > SHORT_WORD:
+            return self.merge_long(ids)
+        get, made = self.ranks.get, self.made
+        ranks = [get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NO_RANK:
+            at = ranks.index(best)
+            ids[at : at + 2] = [made[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 32 | ids[at], NO_RANK)
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 32 | ids[at + 1], NO_RANK)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same for a long word, with a heap of pairs: near linear in its length."""
+        n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.ranks.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or j < 0 or parts[i] != left or parts[j] != right:
+            if not alive[i] or j < 0 or ids[i] != left or ids[j] != right:
                 continue
-            parts[i], alive[j] = left + right, False
+            ids[i], alive[j] = self.made[rank], False
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a in (before[i], i):
-                if a >= 0 and (b := after[a]) >= 0 and (r := self.ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [self.ids[p] for p, live in zip(parts, alive) if live and p in self.ids]
+                if a >= 0 and (b := after[a]) >= 0 and (r := self.ranks.get(ids[a] << 32 | ids[b])) is not None:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
+        return [x for x, live in zip(ids, alive) if live]
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> dict[str, np.ndarray]:
@@ -218,24 +248,19 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, held
 
 
-def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, ``most`` at most; ties go by the word itself."""
-    ship(docs.sparkSession)
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words, ``most`` at most, from counts over all documents.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen = Vocabulary(path), Counter()
-        for batch in batches:
-            for _, texts in chunks(batch.column(0)):
-                for text in texts:
-                    seen.update(vocabulary.words(text))
-                if len(seen) > MEMO_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()))], ["word", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    summed = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r.word for r in summed.orderBy(F.desc("n"), "word").limit(most).collect()]
+    What stands between white space is counted in the JVM; only the ``most``
+    commonest of those come to the driver, which splits them into words.
+    """
+    runs = F.explode(words_of(F.lower(F.col(text_col).cast("string")))).alias("run")
+    counted = docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    summed: Counter = Counter()
+    for run, n in counted.orderBy(F.desc("n"), "run").limit(most).collect():
+        for word in vocabulary.words(run):
+            summed[word] += n
+    return [w for w, _ in sorted(summed.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
 
 def encode(
@@ -254,7 +279,7 @@ def encode(
     spark = docs.sparkSession
     ship(spark)
     vocabulary = Vocabulary(path)
-    words = frequent_words(docs, path, text_col, lexicon_words)
+    words = frequent_words(docs, vocabulary, text_col, lexicon_words)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = Path(tempfile.mkdtemp(prefix="handbill-")) / name
     save_lexicon(compile_lexicon({w: vocabulary.merge(w) for w in words}), str(file))
@@ -265,30 +290,28 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lexicon = Vocabulary(path), Lexicon(SparkFiles.get(name))
         slots: dict[str, int] = {}
-        pool: list[np.ndarray] = []
+        starts, lengths, pool = array("q"), array("q"), array("q")
         for batch in batches:
             for start, texts in chunks(batch.column(len(kept))):
                 by_text = [own.words(t) for t in texts]
                 flat = [w for ws in by_text for w in ws]
                 if len(slots) > MEMO_WORDS:
-                    slots, pool = {}, []
+                    slots, starts, lengths, pool = {}, array("q"), array("q"), array("q")
                 fresh = [w for w in dict.fromkeys(flat) if w not in slots]
                 for w, place in zip(fresh, lexicon.places(fresh).tolist()):
-                    slots[w] = len(pool)
-                    pool.append(lexicon.ids[lexicon.starts[place] : lexicon.starts[place + 1]] if place >= 0 else np.array(own.merge(w), np.int64))
+                    ids = lexicon.ids[lexicon.starts[place] : lexicon.starts[place + 1]].tolist() if place >= 0 else own.merge(w)
+                    slots[w] = len(starts)
+                    starts.append(len(pool))
+                    lengths.append(len(ids))
+                    pool.extend(ids)
                 at = np.fromiter(map(slots.__getitem__, flat), np.int64, len(flat))
-                used, at = np.unique(at, return_inverse=True)
-                pieces = [pool[i] for i in used.tolist()]
-                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                firsts = np.cumsum(sizes) - sizes
-                ids = np.concatenate([np.zeros(0, np.int64), *pieces])
-                lengths = sizes[at]
-                ends = np.cumsum(lengths)
+                sizes = np.array(lengths, np.int64)[at]
+                ends = np.cumsum(sizes)
                 total = int(ends[-1]) if len(ends) else 0
-                gathered = ids[np.repeat(firsts[at] - (ends - lengths), lengths) + np.arange(total)]
+                gathered = np.array(pool, np.int32)[np.repeat(np.array(starts, np.int64)[at] - (ends - sizes), sizes) + np.arange(total)]
                 bounds = np.cumsum([0, *map(len, by_text)])
                 offsets = np.concatenate([[0], ends])[bounds]
-                listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(gathered.astype(np.int32)))
+                listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(gathered))
                 others = [batch.column(i).slice(start, len(texts)) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*others, listed], [*kept.names, "ids"])
 
@@ -311,18 +334,20 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "decod
         whole = None not in table
         for batch in batches:
             column = batch.column(place)
-            offsets, ids = column.offsets.to_pylist(), column.values.to_pylist()
-            out: list[str | None] = []
-            for row in range(len(column)):
-                if not column[row].is_valid:
-                    out.append(None)
-                    continue
-                own = ids[offsets[row] : offsets[row + 1]]
-                if whole:
-                    out.append(" ".join(map(table.__getitem__, own)))
+            start, held, size = 0, [], 0
+            for row in range(batch.num_rows):
+                own = column[row].as_py()
+                if own is None:
+                    held.append(None)
+                elif whole:
+                    held.append(" ".join(map(table.__getitem__, own)))
                 else:
-                    out.append(" ".join(t for i in own if 0 <= i < len(table) and (t := table[i]) is not None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, to])
+                    held.append(" ".join(t for i in own if 0 <= i < len(table) and (t := table[i]) is not None))
+                size += len(own or ())
+                if size >= CHUNK_CHARS or row + 1 == batch.num_rows:
+                    others = batch.slice(start, len(held)).columns
+                    yield pa.RecordBatch.from_arrays([*others, pa.array(held, pa.string())], [*names, to])
+                    start, held, size = row + 1, [], 0
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
     return encoded.select(*names).mapInArrow(run, f"{schema}, `{to}` string")
