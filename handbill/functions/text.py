@@ -65,8 +65,8 @@ def normalize_title(title: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces, without the first of each known prefix that it starts with."""
     plain = F.regexp_replace(F.lower(text_or_empty(title)), r"(?U)[^a-z0-9\s]", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), "^ | $", "")
-    cut = lambda c, p: F.when(c.startswith(p), F.substring(c, len(p) + 1, 1 << 30)).otherwise(c)
-    return reduce(cut, vocab.TITLE_PREFIXES, plain)
+    # Each step names its input once: the expression stays as long as the list.
+    return reduce(lambda c, p: F.regexp_replace(c, f"^{p}", ""), vocab.TITLE_PREFIXES, plain)
 
 
 def event_id(venue_id: Column, start: Column, title: Column) -> Column:
