@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handbill.llm.common import ship, words_of
+from handbill.llm.common import cut, ship, words_of
 
 #: Frequent words that the lexicon holds, at most.
 LEXICON_WORDS = 32768
@@ -251,13 +251,21 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words, ``most`` at most, from counts over all documents.
 
-    What stands between white space is counted in the JVM; only the ``most``
-    commonest of those come to the driver, which splits them into words.
+    What stands between white space is counted in the JVM. A histogram of the
+    counts' magnitudes tells from which count on there are ``most`` or fewer;
+    only those come to the driver, which splits them into words.
     """
     runs = F.explode(words_of(F.lower(F.col(text_col).cast("string")))).alias("run")
-    counted = docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = F.floor(F.log2("n") * 16).cast("int")
+    counted = cut(docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", size))
+    least, total = 0, 0
+    for row in sorted(counted.groupBy("size").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += row.words
+        if total > most:
+            least = row.size + 1
+            break
     summed: Counter = Counter()
-    for run, n in counted.orderBy(F.desc("n"), "run").limit(most).collect():
+    for run, n, _ in counted.where(F.col("size") >= least).collect():
         for word in vocabulary.words(run):
             summed[word] += n
     return [w for w, _ in sorted(summed.items(), key=lambda x: (-x[1], x[0]))[:most]]
@@ -334,16 +342,17 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "decod
         whole = None not in table
         for batch in batches:
             column = batch.column(place)
+            ids, bounds, known = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
             start, held, size = 0, [], 0
             for row in range(batch.num_rows):
-                own = column[row].as_py()
-                if own is None:
+                own = ids[bounds[row] : bounds[row + 1]].tolist()
+                if not known[row]:
                     held.append(None)
                 elif whole:
                     held.append(" ".join(map(table.__getitem__, own)))
                 else:
                     held.append(" ".join(t for i in own if 0 <= i < len(table) and (t := table[i]) is not None))
-                size += len(own or ())
+                size += len(own)
                 if size >= CHUNK_CHARS or row + 1 == batch.num_rows:
                     others = batch.slice(start, len(held)).columns
                     yield pa.RecordBatch.from_arrays([*others, pa.array(held, pa.string())], [*names, to])

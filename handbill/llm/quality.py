@@ -100,20 +100,22 @@ def common_counts(words: Column, lang: Column) -> Column:
 def counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row of ``docs``: the base counts, ``chars`` (by class) and ``commons`` (by common word).
+    """Per row of ``docs``: the base counts, ``chars`` (by class) and ``commons`` (by common word); ``carry`` as _carried.
 
     A null text is empty. Rows with equal or null ids stay separate rows. Other
     columns of ``docs``, whatever their names, are neither read nor returned.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(*carry, F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    held = [F.struct(*carry).alias("_carried")] if carry else []
+    base = docs.select(*held, F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != F.lit(""))
     classes = F.mask(F.col("text"), F.lit("X"), F.lit("x"), F.lit("0"), F.lit(None))
+    own = ["_carried"] if carry else []
     base = base.select(
-        *carry, "doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"), classes.alias("classes")
+        *own, "doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"), classes.alias("classes")
     )
     base = base.select(
-        *carry,
+        *own,
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
@@ -132,7 +134,7 @@ def counts(
     rest = F.greatest(F.lit(0), F.col("n_all") - reduce(lambda a, b: a + b, parts))
     others = F.col("n_words") - F.aggregate("commons", F.lit(0).cast("long"), lambda a, x: a + x)
     return base.select(
-        *carry, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *own, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(*parts, rest).alias("chars"), F.concat("commons", F.array(others)).alias("commons"),
     )
 
@@ -190,8 +192,9 @@ def quality(
     words = F.when(enough & (F.col("n_words") >= MIN_WORDS_JUDGED), js_distance(F.col("commons"), F.col("ref_commons"), N_COMMON + 1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
+    own = ["_carried.*"] if carry else []
     return judged.select(
-        *carry, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *own, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), F.round(chars, 6).alias("char_distance"), F.round(words, 6).alias("word_distance"),
     ).select(
         *carry, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

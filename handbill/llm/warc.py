@@ -28,6 +28,8 @@ FILE_BYTES = 256 << 20
 #: Ranges with a gap of up to GAP_BYTES are read as one, up to READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Stored bytes that one reading task gets.
+TASK_BYTES = 16 << 20
 INDEX = "page_id {id}, url string, file string, offset long, length long, digest string, record_type string, refers_to {id}"
 
 
@@ -87,8 +89,8 @@ def parse(data: bytes) -> dict:
     return fields | {"block": block}
 
 
-def write(pages: DataFrame, path: str | None = None, zipped: bool = False, **columns: str) -> DataFrame:
-    """Writes a record a page below ``path`` and returns the index, itself a written table.
+def write(pages: DataFrame, path: str | None = None, zipped: bool = True, **columns: str) -> DataFrame:
+    """Writes a record a page, each a gzip member of its own unless not ``zipped``, below ``path`` and returns the index, itself a written table.
 
     A task that runs again writes files of new names; the index has only those
     of the attempt that Spark took, and no record is lost or doubled. The
@@ -152,7 +154,9 @@ def read(index: DataFrame) -> DataFrame:
     were read; those of a revisit are of its fields, as it has no body.
     """
     ship(index.sparkSession)
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    placed = index.select("file", "offset", "length")
+    tasks = 1 + (placed.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    placed = placed.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
