@@ -34,17 +34,20 @@ def described(title: Column, description: Column) -> Column:
     return F.concat(text_or_empty(title), F.lit(" \n "), text_or_empty(description))
 
 
-@F.pandas_udf("string")
-def numeric_entities(texts: pd.Series) -> pd.Series:
-    """&#123; and &#x1f; as characters; what names no character stays."""
+def numeric_entities(text: Column) -> Column:
+    """&#123; and &#x1f; as characters; what names no character stays. A pandas function, as Spark has no such built-in."""
 
     def one(m: re.Match) -> str:
         try:
-            return chr(int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1]))
+            found = chr(int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1]))
         except (ValueError, OverflowError):
             return m[0]
+        return m[0] if "\ud800" <= found <= "\udfff" else found
 
-    return texts.map(lambda t: t if t is None else re.sub(r"&#([xX]?[0-9a-zA-Z]+);", one, t))
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else re.sub(r"&#([xX]?[0-9a-zA-Z]+);", one, t))
+
+    return F.pandas_udf(decoded, "string")(text)
 
 
 def strip_html(text: Column, numeric: bool = True) -> Column:
@@ -79,7 +82,7 @@ def event_id(venue_id: Column, start: Column, title: Column) -> Column:
 
 
 def ics_escape(text: Column) -> Column:
-    pairs = [("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")]
+    pairs = [("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")]
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), pairs, text_or_empty(text))
 
 

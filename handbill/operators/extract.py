@@ -97,7 +97,7 @@ def jsonld(documents: DataFrame, kinds: tuple[str, ...] = ("jsonld", "eventbrite
 
 def ical_property(block: Column, name: str) -> Column:
     value = F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
-    plain = F.replace(F.replace(F.replace(value, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";"))
+    plain = F.replace(F.replace(F.replace(value, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
     return F.nullif(F.replace(plain, F.lit("\\\\"), F.lit("\\")), F.lit(""))
 
 
