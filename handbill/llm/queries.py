@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handbill.llm import bpe, html_text, line_dedup, media, mixing, quality, secrets, simhash, toxicity, warc
+from handbill.llm.sql import SQL  # noqa: F401
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
@@ -92,18 +93,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {
-    "op5_warc": """
-        WITH p AS (
-            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
-        ), f AS (
-            SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
-                   min(page_id) OVER (PARTITION BY sha256(html)) AS first_id
-            FROM p
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-        FROM f
-    """,
-}
