@@ -18,6 +18,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +40,34 @@ SHORT_WORD = 48
 NO_RANK = 1 << 40
 
 
+#: Code points below this are told apart by ranges; the texts of most languages need no more.
+WRITTEN_OUT = 0x3000
+BEYOND = re.compile(f"[^\\x00-{chr(WRITTEN_OUT - 1)}]")
+#: White space among them.
+WIDE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f"
+
+
+def ranges_of(kind: str) -> str:
+    """The code points below WRITTEN_OUT of a general category, as the inside of a character class."""
+    found = [c for c in range(WRITTEN_OUT) if unicodedata.category(chr(c)).startswith(kind)]
+    starts = [c for p, c in zip([-2, *found], found) if c != p + 1]
+    stops = [c for c, n in zip(found, [*found[1:], -2]) if n != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, stops))
+
+
+class Slots(dict):
+    """Numbers words in the order in which they are first asked for; ``fresh`` lists those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable ones for themselves, the others from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -72,6 +101,16 @@ class Vocabulary:
         # The same pattern for texts of ASCII alone, in the faster library; white space without \x1c to \x1f.
         plain = split["pattern"]["Regex"].replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]").replace("\\s\\p{L}\\p{N}", "\\t-\\r a-z0-9")
         self.plain = re.compile(plain)
+        # And for texts below WRITTEN_OUT, with the classes of its code points as ranges.
+        letters, numbers = ranges_of("L"), ranges_of("N")
+        wide = split["pattern"]["Regex"].replace("[\\p{L}]", f"[{letters}]").replace("[\\p{N}]", f"[{numbers}]").replace("\\s\\p{L}\\p{N}", WIDE_SPACE + letters + numbers)
+        self.wide = re.compile(wide)
+        # Pairs, sorted, with what each makes and its rank, for many words at a time.
+        order = sorted(self.ranks)
+        self.pairs = np.array(order, np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in order], np.int64)
+        self.made_array = np.array(self.made, np.int64)
+        self.first_array, self.last_array = np.array(self.first, np.int64), np.array(self.last, np.int64)
         self.tokens = {i: t for t, i in (self.ids | self.specials).items()}
 
     def words(self, text: str | None) -> list[str]:
@@ -90,6 +129,8 @@ class Vocabulary:
             return self.plain.findall(text.lower())
         # Each letter is lowered by itself, a final sigma too.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if BEYOND.search(text) is None:
+            return self.wide.findall(text)
         # Code points that are newer than the library's tables are no letters to it.
         new = {ord(c): "\uffff" for c in set(text) if c > "\u024f" and unicodedata.category(c) == "Cn"}
         if new:
@@ -117,6 +158,57 @@ class Vocabulary:
                 ranks[at] = get(ids[at] << 32 | ids[at + 1], NO_RANK)
         return ids
 
+    def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids a word): as merge() gives them, for many words at a time.
+
+        Each round merges in every word the leftmost pair of its least rank; words
+        that are done leave the arrays.
+        """
+        alone = {i: self.merge(w) for i, w in enumerate(words) if len(w) > SHORT_WORD or w in self.specials}
+        coded = [b"" if i in alone else w.encode("utf-8", "surrogatepass") for i, w in enumerate(words)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        text = np.frombuffer(b"".join(coded), np.uint8)
+        ids, own = self.first_array[text], np.repeat(np.arange(len(coded)), sizes)
+        ends = np.cumsum(sizes)[sizes > 0] - 1
+        ids[ends] = self.last_array[text[ends]]
+        done = [(np.array([i], np.int64).repeat(len(x)), np.array(x, np.int64)) for i, x in alone.items()]
+        ranks = np.full(len(ids), NO_RANK, np.int64)
+
+        def rank(at: np.ndarray) -> None:
+            """Sets the ranks of the pairs that begin at some places."""
+            at = at[(at >= 0) & (at + 1 < len(ids))]
+            keys = ids[at] << 32 | ids[at + 1]
+            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            ranks[at] = np.where((self.pairs[place] == keys) & (own[at] == own[at + 1]), self.pair_ranks[place], NO_RANK)
+
+        if len(self.pairs):
+            rank(np.arange(len(ids)))
+        while len(ids):
+            begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            lengths = np.diff(np.append(begins, len(ids)))
+            least = np.minimum.reduceat(ranks, begins)
+            over = np.repeat(least == NO_RANK, lengths)
+            if over.any():
+                done.append((own[over], ids[over]))
+                ids, own, ranks = ids[~over], own[~over], ranks[~over]
+                lengths, least = lengths[least != NO_RANK], least[least != NO_RANK]
+            at = np.flatnonzero(ranks == np.repeat(least, lengths))
+            at = at[np.append(True, own[at[1:]] != own[at[:-1]])] if len(at) else at
+            ids[at] = self.made_array[ranks[at]]
+            # A pair that its last symbol began begins at the new one now; it can't begin a pair into the next word.
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, own, ranks = ids[stays], own[stays], ranks[stays]
+            at = at - np.arange(len(at))
+            rank(at - 1)
+            rank(at)
+            if len(at) and at[-1] == len(ids) - 1:
+                ranks[-1] = NO_RANK
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        own, ids = np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words))
+
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same for a long word, with a heap of pairs: near linear in its length."""
         n = len(ids)
@@ -234,6 +326,27 @@ class Lexicon:
         return np.where(known, place, -1)
 
 
+def coded(vocabulary: Vocabulary, lexicon: Lexicon, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in turn, number of ids a word): from the lexicon, or merged where it lacks a word."""
+    places = lexicon.places(words)
+    lacking = places < 0
+    merged, sizes_merged = vocabulary.merge_many([w for w, lacks in zip(words, lacking.tolist()) if lacks])
+    begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    sizes[lacking] = sizes_merged
+    begins[lacking] = np.cumsum(sizes_merged) - sizes_merged
+    listed = places[~lacking]
+    sizes[~lacking] = lexicon.starts[listed + 1] - lexicon.starts[listed]
+    begins[~lacking] = lexicon.starts[listed] + len(merged)
+    both = np.concatenate([merged, lexicon.ids])
+    ends = np.cumsum(sizes)
+    return both[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+def taken(values: array, at: np.ndarray) -> np.ndarray:
+    """Copies of some of the values; the array may grow again once this returns."""
+    return np.frombuffer(values, np.int64)[at] if len(values) else np.zeros(0, np.int64)
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about CHUNK_CHARS in all, with the place of the first."""
     start, held, size = 0, [], 0
@@ -297,26 +410,25 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lexicon = Vocabulary(path), Lexicon(SparkFiles.get(name))
-        slots: dict[str, int] = {}
+        slots = Slots()
         starts, lengths, pool = array("q"), array("q"), array("q")
         for batch in batches:
             for start, texts in chunks(batch.column(len(kept))):
                 by_text = [own.words(t) for t in texts]
-                flat = [w for ws in by_text for w in ws]
                 if len(slots) > MEMO_WORDS:
-                    slots, starts, lengths, pool = {}, array("q"), array("q"), array("q")
-                fresh = [w for w in dict.fromkeys(flat) if w not in slots]
-                for w, place in zip(fresh, lexicon.places(fresh).tolist()):
-                    ids = lexicon.ids[lexicon.starts[place] : lexicon.starts[place + 1]].tolist() if place >= 0 else own.merge(w)
-                    slots[w] = len(starts)
-                    starts.append(len(pool))
-                    lengths.append(len(ids))
-                    pool.extend(ids)
-                at = np.fromiter(map(slots.__getitem__, flat), np.int64, len(flat))
-                sizes = np.array(lengths, np.int64)[at]
+                    slots = Slots()
+                    starts, lengths, pool = array("q"), array("q"), array("q")
+                n_words = sum(map(len, by_text))
+                at = np.fromiter(map(slots.__getitem__, chain.from_iterable(by_text)), np.int64, n_words)
+                ids, sizes = coded(own, lexicon, slots.fresh)
+                slots.fresh = []
+                starts.frombytes((len(pool) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+                lengths.frombytes(sizes.astype(np.int64).tobytes())
+                pool.frombytes(ids.astype(np.int64).tobytes())
+                sizes = taken(lengths, at)
                 ends = np.cumsum(sizes)
                 total = int(ends[-1]) if len(ends) else 0
-                gathered = np.array(pool, np.int32)[np.repeat(np.array(starts, np.int64)[at] - (ends - sizes), sizes) + np.arange(total)]
+                gathered = taken(pool, np.repeat(taken(starts, at) - (ends - sizes), sizes) + np.arange(total)).astype(np.int32)
                 bounds = np.cumsum([0, *map(len, by_text)])
                 offsets = np.concatenate([[0], ends])[bounds]
                 listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(gathered))
@@ -338,20 +450,20 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Vocabulary(path).tokens
-        table = [tokens.get(i) for i in range(max(tokens) + 1)]
-        whole = None not in table
+        table = np.array([tokens.get(i) for i in range(max(tokens) + 1)], object)
+        whole = all(x is not None for x in table)
         for batch in batches:
             column = batch.column(place)
             ids, bounds, known = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
             start, held, size = 0, [], 0
             for row in range(batch.num_rows):
-                own = ids[bounds[row] : bounds[row + 1]].tolist()
+                own = ids[bounds[row] : bounds[row + 1]]
                 if not known[row]:
                     held.append(None)
-                elif whole:
-                    held.append(" ".join(map(table.__getitem__, own)))
+                elif whole and (not len(own) or (own.min() >= 0 and own.max() < len(table))):
+                    held.append(" ".join(table[own].tolist()))
                 else:
-                    held.append(" ".join(t for i in own if 0 <= i < len(table) and (t := table[i]) is not None))
+                    held.append(" ".join(t for i in own.tolist() if 0 <= i < len(table) and (t := table[i]) is not None))
                 size += len(own)
                 if size >= CHUNK_CHARS or row + 1 == batch.num_rows:
                     others = batch.slice(start, len(held)).columns
