@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from handbill.functions import vocab
-from handbill.functions.text import missing
+from handbill.functions.text import let, missing
 
 NTZ = "timestamp_ntz"
 
@@ -78,16 +78,24 @@ def to_local_iso(text: Column) -> Column:
     daylight saving an ambiguous local time without offset is standard time.
     """
     bare = F.regexp_replace(F.trim(text), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    return let(let(bare, as_iso), as_local)
+
+
+def as_iso(bare: Column) -> Column:
+    """A date or time in any of the forms that to_local_iso() reads, as ISO text with its own offset if it has one."""
     date = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")])
     mail = mail_date(bare)
     iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"), F.replace(bare, F.lit(" "), F.lit("T")))
-    whole = F.coalesce(iso, mail, F.date_format(date, "yyyy-MM-dd"))
+    return F.coalesce(iso, mail, F.date_format(date, "yyyy-MM-dd"))
+
+
+def as_local(whole: Column) -> Column:
     fields = F.regexp_extract(whole, r"T(\d{2}:\d{2}(?::\d{2})?)", 1)
     clock = F.when(F.length(fields) == 5, F.concat(fields, F.lit(":00"))).otherwise(fields)
     offset = F.regexp_extract(whole, r"(Z|[+-]\d{2}:?\d{2})$", 1)
     with_offset = F.concat(F.substring(whole, 1, 10), F.lit("T"), clock, offset)
     utc = F.when(offset != "", instant(with_offset, vocab.TIME_ZONE)).otherwise(local_to_utc(F.concat(F.substring(whole, 1, 10), F.lit(" "), clock)))
-    return F.when(is_date(whole) | (clock == "00:00:00"), F.substring(whole, 1, 10)).otherwise(local_text(utc))
+    return F.when(is_date(whole) | (clock == "00:00:00"), F.substring(whole, 1, 10)).otherwise(let(utc, local_text))
 
 
 def mail_date(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import quote
 
@@ -16,6 +17,11 @@ from handbill.functions import vocab
 ANY_CASE = "(?Ui)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written once, however often ``body`` names it: nested texts stay short."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

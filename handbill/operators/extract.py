@@ -16,8 +16,8 @@ TRIBE = "struct<events:array<struct<title:string,description:string,start_date:s
 LD_SCRIPT = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
-def listing(rows: DataFrame, **given: Column) -> DataFrame:
-    """Rows with the listing's raw columns; what isn't given is null or empty."""
+def listing(rows: DataFrame, local: bool = False, **given: Column) -> DataFrame:
+    """Rows with the listing's raw columns; what isn't given is null or empty. ``local`` puts start and end in local time, before the id is made."""
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
     title = F.trim(text.text_or_empty(given["title"]))
@@ -29,6 +29,8 @@ def listing(rows: DataFrame, **given: Column) -> DataFrame:
         "price_text": none, "offers": given.get("offers", none), "cost": given.get("cost", none),
     }
     out = rows.select("source_id", "kind", "seq", *[c.alias(k) for k, c in columns.items()]).where("title <> ''")
+    if local:
+        out = out.withColumns({c: dates.to_local_iso(F.col(c)) for c in ("start", "end")})
     return out.withColumn("id", text.event_id(F.col("venue_id"), F.col("start"), F.col("title")))
 
 
@@ -38,7 +40,7 @@ def tribe(documents: DataFrame) -> DataFrame:
     rows = rows.select("source_id", "kind", F.posexplode("_events").alias("seq", "e"))
     image = F.when(F.col("e.image").startswith("{"), F.get_json_object("e.image", "$.url")).otherwise(F.nullif(F.col("e.image"), F.lit("false")))
     return listing(
-        rows, title=F.col("e.title"), description=F.col("e.description"), start=dates.to_local_iso(F.col("e.start_date")), end=dates.to_local_iso(F.col("e.end_date")),
+        rows, title=F.col("e.title"), description=F.col("e.description"), local=True, start=F.col("e.start_date"), end=F.col("e.end_date"),
         url=F.col("e.url"), image=image, cost=F.col("e.cost"),
     )
 
@@ -114,10 +116,11 @@ def ical(documents: DataFrame) -> DataFrame:
     unfolded = F.regexp_replace("body", "\r?\n[ \t]", "")
     blocks = F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"), 1)
     rows = documents.where("kind = 'ical'").select("source_id", "kind", F.posexplode(blocks).alias("seq", "block"))
-    of = lambda name: ical_property(F.col("block"), name)
+    names = {"title": "SUMMARY", "description": "DESCRIPTION", "from": "DTSTART", "to": "DTEND", "url": "URL", "location": "LOCATION"}
+    rows = rows.select("source_id", "kind", "seq", *[ical_property(F.col("block"), v).alias(f"_{k}") for k, v in names.items()])
     return listing(
-        rows, title=of("SUMMARY"), description=of("DESCRIPTION"), start=dates.to_local_iso(ical_time(of("DTSTART"))), end=dates.to_local_iso(ical_time(of("DTEND"))),
-        url=of("URL"), location=of("LOCATION"),
+        rows, local=True, title=F.col("_title"), description=F.col("_description"), start=ical_time(F.col("_from")), end=ical_time(F.col("_to")),
+        url=F.col("_url"), location=F.col("_location"),
     )
 
 
@@ -131,8 +134,8 @@ def feed(documents: DataFrame) -> DataFrame:
         return F.coalesce(*found)
 
     link = F.coalesce(of("link"), F.nullif(F.regexp_extract("item", r"""<link[^>]*href=["']([^"']+)""", 1), F.lit("")))
-    when = dates.to_local_iso(of("pubDate", "published", "updated"))
-    return listing(rows, title=text.strip_html(of("title"), numeric=False), description=text.strip_html(of("summary", "description"), numeric=False), start=when, url=link)
+    when = of("pubDate", "published", "updated")
+    return listing(rows, local=True, title=text.strip_html(of("title"), numeric=False), description=text.strip_html(of("summary", "description"), numeric=False), start=when, url=link)
 
 
 def strategy_chain(documents: DataFrame, custom: DataFrame | None = None) -> DataFrame:

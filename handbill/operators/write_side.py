@@ -38,17 +38,18 @@ def normalize(raw: DataFrame) -> DataFrame:
 
 def reshape(listings: DataFrame) -> DataFrame:
     """Long one-off events become exhibitions, with a new id; permanent ones go. Specific types stay as they are."""
-    spent = dates.duration_seconds(F.col("start"), F.col("end"))
+    timed = listings.withColumn("_spent", dates.duration_seconds(F.col("start"), F.col("end")))
+    spent = F.col("_spent")
     exhibition = F.col("event_type") == "exhibition"
     endless = F.coalesce(spent > vocab.PERMANENT_DAYS * 86400, F.lit(False))
     permanent = F.coalesce(F.lower(F.trim("title")).isin("permanent", "semi-permanent"), F.lit(False))
     long = F.coalesce(spent > vocab.EXHIBITION_HOURS * 3600, F.lit(False)) & ~exhibition & ~F.col("event_type").isin(vocab.SPECIFIC_TYPES)
     gone = (exhibition & (endless | permanent)) | (long & endless)
     salted = text.event_id(F.col("venue_id"), F.col("start"), F.concat(F.col("title"), F.lit("::exh")))
-    kept = listings.withColumns({"_gone": gone, "_long": long}).where("NOT _gone")
+    kept = timed.withColumns({"_gone": gone, "_long": long}).where("NOT _gone")
     return kept.withColumns(
         {"event_type": F.when(F.col("_long"), "exhibition").otherwise(F.col("event_type")), "id": F.when(F.col("_long"), salted).otherwise(F.col("id"))}
-    ).drop("_gone", "_long")
+    ).drop("_gone", "_long", "_spent")
 
 
 def richness(listing: DataFrame) -> Column:
@@ -100,7 +101,8 @@ def split_archive(listings: DataFrame, now: datetime) -> DataFrame:
 
 def hygiene(listings: DataFrame, now: datetime) -> DataFrame:
     """``listings`` with ``reason``: null for a row to keep, else why it is dropped; ``now`` is a time in UTC."""
-    start, end = dates.gate_instant(F.col("start")), dates.gate_instant(F.col("end"))
+    read = listings.withColumns({f"_{c}": dates.gate_instant(F.col(c)) for c in ("start", "end")})
+    start, end = F.col("_start"), F.col("_end")
     one_off = F.col("event_type") != "exhibition"
     late = dates.ntz(now - timedelta(days=vocab.GRACE_DAYS))
     reason = (
@@ -109,7 +111,7 @@ def hygiene(listings: DataFrame, now: datetime) -> DataFrame:
         .when(~one_off & start.isNull() & end.isNull(), "undated exhibition")
         .when(F.coalesce(end, start) < late, "already over")
     )
-    return listings.withColumn("reason", reason)
+    return read.withColumn("reason", reason).drop("_start", "_end")
 
 
 def reject_reasons(dropped: DataFrame, most: int = 10) -> DataFrame:
