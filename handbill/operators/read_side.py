@@ -165,6 +165,23 @@ def archive_order(order: tuple[str, ...] = ("seq",)) -> list[Column]:
     return [dates.wall(F.col("start")).desc_nulls_first(), *[F.col(c).desc() for c in order]]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place in the whole order, from 1 on, without one task for all rows.
+
+    Rows are dealt by ranges of ``order``, which must tell all rows apart; a
+    place is the number of rows in earlier ranges plus the place within its own.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    # Ranges are sampled anew whenever they are computed, so they are kept.
+    kept = ranged.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.localCheckpoint()
+    counts = kept.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row a range.
+    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = kept.withColumn(name, within).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_r", "_before")
+
+
 def day_of(now: datetime) -> Column:
     """The day that a listing is shown under: today while it runs, null without a start."""
     today = F.lit(now.date())
@@ -192,7 +209,7 @@ def next_per_venue(listings: DataFrame, k: int = 3, order: tuple[str, ...] = ("s
 def stack_by_venue(listings: DataFrame) -> DataFrame:
     """(venue_id, first_start, n, place): venues by earliest start, then id."""
     grouped = listings.groupBy("venue_id").agg(F.min(dates.wall(F.col("start"))).alias("first_start"), F.count(F.lit(1)).alias("n"))
-    return grouped.withColumn("place", F.row_number().over(Window.orderBy(F.col("first_start").asc_nulls_last(), "venue_id")))
+    return numbered(grouped, [F.col("first_start").asc_nulls_last(), F.col("venue_id")])
 
 
 def marker_kinds(venues: DataFrame, listings: DataFrame) -> DataFrame:

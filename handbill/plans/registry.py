@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handbill.functions import classify, dates, price, text, vocab
@@ -426,7 +426,7 @@ def live_exhibitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ending_soonest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exhibitions on view, the soonest to close first."""
     rows = read_side.live_exhibitions(star.listings(spark, sf_dir), NOW)
-    return rows.select("seq", F.row_number().over(Window.orderBy(*read_side.by_end())).alias("place"))
+    return read_side.numbered(rows.select("seq", "start", "end"), read_side.by_end()).select("seq", "place")
 
 
 @query(after(ON_VIEW, """SELECT venue_id, n, row_number() OVER (ORDER BY first) AS place FROM (SELECT venue_id, count(*) AS n, min(r) AS first FROM
@@ -436,7 +436,7 @@ def exhibitions_by_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_side.live_exhibitions(star.listings(spark, sf_dir), NOW)
     first = F.min(F.struct(dates.wall(dates.last_text(F.col("start"), F.col("end"))), F.col("seq")))
     grouped = rows.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-    return grouped.select("venue_id", "n", F.row_number().over(Window.orderBy("first")).alias("place"))
+    return read_side.numbered(grouped, [F.col("first")]).select("venue_id", "n", "place")
 
 
 def shown_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +501,7 @@ def closing_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive, latest first, here of the first two months."""
     old = ~read_side.is_upcoming(F.col("start"), F.col("end"), datetime(1995, 3, 1))
-    return star.listings(spark, sf_dir).where(old).select("seq", F.row_number().over(Window.orderBy(*read_side.archive_order())).alias("place"))
+    return read_side.numbered(star.listings(spark, sf_dir).where(old).select("seq", "start"), read_side.archive_order()).select("seq", "place")
 
 
 @query("SELECT seq FROM listing WHERE event_type <> 'exhibition' AND is_free IS NOT DISTINCT FROM true")
