@@ -61,8 +61,8 @@ def calendar_rows(events: DataFrame, name: str, now: datetime) -> DataFrame:
 
 
 def write_calendar(events: DataFrame, name: str, now: datetime, path: str) -> None:
-    """One calendar file with CRLF line ends: a global sort, written as one part. A feed is small by its nature."""
-    rows = calendar_rows(events, name, now).orderBy("place").select("line").coalesce(1)
+    """A calendar with CRLF line ends, sorted over part files: those of ``path`` in the order of their names are the calendar."""
+    rows = calendar_rows(events, name, now).orderBy("place").select("line")
     rows.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 

@@ -516,17 +516,24 @@ def feed_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_side.feed(star.listings(spark, sf_dir), "family").select("seq")
 
 
+def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listings that aren't over, those of unknown venues too."""
+    rows = read_side.with_venues(star.listings(spark, sf_dir), star.venues(spark, sf_dir), "left")
+    return rows.where(read_side.is_upcoming(F.col("start"), F.col("end"), NOW))
+
+
 @query()
 def ics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folded lines of the week's one-off events."""
-    rows = write_side.one_off(shown_days(spark, sf_dir))
-    return rows.select("seq", F.posexplode(feeds.event_lines(NOW_UTC)).alias("pos", "line"))
+    """The folded lines of all upcoming one-off events, for each feed that has them."""
+    rows = upcoming(spark, sf_dir)
+    lines = lambda name: write_side.feed(rows, name).select(F.lit(name).alias("feed"), "seq", F.posexplode(feeds.event_lines(NOW_UTC)).alias("pos", "line"))
+    return lines("all").unionByName(lines("free")).unionByName(lines("family"))
 
 
 @query()
 def calendar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S10."""
-    return shown_days(spark, sf_dir).select("seq", feeds.calendar_link().alias("link"))
+    """Of all upcoming listings; null without a readable start."""
+    return upcoming(spark, sf_dir).select("seq", feeds.calendar_link().alias("link"))
 
 
 BOXES = "CASE " + " ".join(f"WHEN lng >= {w} AND lng < {e} AND lat >= {s} AND lat < {n} THEN '{name}'" for name, w, s, e, n in reversed(vocab.REGION_BOXES)) + " END"
