@@ -81,10 +81,10 @@ def keep_bitmaps(
 
 def kept_text(text: Column, keep: Column) -> Column:
     """The lines of ``text`` that a bitmap keeps, joined by a line feed; the whole text for a null bitmap."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.element_at(keep, -1)["block"]),
-        lambda b: F.coalesce(F.get(F.filter(keep, lambda x: x["block"] == b), F.lit(0))["bits"], F.lit(-1).cast("long")),
-    )
+    # Each listed block after the whole ones that it skips: one pass over the list.
+    whole = F.lit(-1).cast("long")
+    skipped = lambda x, i: x["block"] - F.coalesce(F.get(keep, i - 1)["block"], F.lit(-1)) - 1
+    blocks = F.flatten(F.transform(keep, lambda x, i: F.concat(F.array_repeat(whole, skipped(x, i)), F.array(x["bits"]))))
 
     def apply(bits: Column) -> Column:
         def stays(_: Column, i: Column) -> Column:
