@@ -74,13 +74,16 @@ def held_out(doc_id: Column) -> Column:
 def training_set(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """(order, label, buckets) of the labelled documents that are trained on, ``most`` at most.
 
-    A document with several labels takes the largest; null labels are none.
+    A document with several labels takes the largest; null labels are none. An
+    id with several texts is trained on the one with the least hash, so the rows
+    are as bounded as the ids, and no two share their place in the order.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.withColumn("order", F.md5(F.col("_id").cast("string"))).orderBy("order", "_id").limit(most)
     # ``most`` ids at most, so the broadcast is bounded.
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_id")
+    joined = joined.groupBy("order", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -126,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for order, label, buckets in zip(*batch.columns):
                 held.append((order.as_py(), label.as_py(), buckets.values.to_numpy(zero_copy_only=False)))
-        held.sort(key=lambda r: (r[0], r[1]))
+        held.sort(key=lambda r: r[0])  # a digest of the id, unlike for each row
         bias, buckets, weights = ftrl([(label, b) for _, label, b in held])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(buckets, -1)), pa.array(np.append(weights, bias))], ["bucket", "weight"])
 
@@ -166,7 +169,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) of every row of ``docs``, with a model trained on ``labels``.
 
     A null id is not held out, and is never trained on. Rows that share an id
-    keep a row each. An empty table gives an empty result.
+    keep a row each, scored by their own text. A null text scores as an empty one;
+    of a very long text all words count. An empty table gives an empty result.
     """
     scored = score(docs, train(docs, labels, id_col, text_col, label_col, most), id_col, text_col)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
