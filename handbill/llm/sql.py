@@ -42,7 +42,7 @@ OP9 = f"""
 
 OP2 = f"""
     WITH d AS (
-        SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents
+        SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS hash FROM documents
     ), s AS (
         SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
     ), w AS (
@@ -116,7 +116,7 @@ OP10 = rf"""
         SELECT *, list_append(five, greatest(0, n_all - list_sum(five))) AS chars FROM m
     ), r AS (
         SELECT lang AS ref_lang, sum(n_words) AS ref_words, [{_SUMS}] AS ref_chars, [{_COMMON_SUMS}] AS ref_commons
-        FROM q WHERE lang IN ({", ".join(f"'{x}'" for x in quality.COMMON)}) GROUP BY lang
+        FROM q WHERE lang IS NOT NULL GROUP BY lang
     ), j AS (
         SELECT *, round(CASE WHEN ref_words >= {quality.MIN_REFERENCE_WORDS} AND word_chars >= {quality.MIN_CHARS_JUDGED} THEN {_distance("chars", "ref_chars", len(quality.CLASSES))} END, 6) AS char_distance,
                round(CASE WHEN ref_words >= {quality.MIN_REFERENCE_WORDS} AND n_words >= {quality.MIN_WORDS_JUDGED} THEN {_distance("commons", "ref_commons", quality.N_COMMON + 1)} END, 6) AS word_distance,
