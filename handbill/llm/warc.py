@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,8 +29,9 @@ FILE_BYTES = 256 << 20
 #: Ranges with a gap of up to GAP_BYTES are read as one, up to READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
-#: Stored bytes that one reading task gets.
-TASK_BYTES = 16 << 20
+#: Stored bytes that one reading task gets at most, and at least where there are fewer tasks than the session's shuffle partitions.
+TASK_BYTES = 256 << 20
+LEAST_TASK_BYTES = 1 << 20
 INDEX = "page_id {id}, url string, file string, offset long, length long, digest string, record_type string, refers_to {id}"
 
 
@@ -40,6 +42,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
     smallest id are responses, the others revisit it. A null payload is empty. A
     null id comes after all others; payloads that have only null ids are all
     responses. Rows that share an id and a payload get the same record type.
+    Bodies travel once, to the task that writes them, spread evenly where one payload has very many copies.
     """
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
@@ -59,15 +62,21 @@ def line(value: object) -> str:
     return " ".join(str(value).split())
 
 
-def record(row: dict, zipped: bool) -> bytes:
-    """One WARC record: named fields, the block, two line ends."""
+def record(row: dict, zipped: bool, place: str = "") -> bytes:
+    """One WARC record: named fields, the block, two line ends. ``place``, its file and offset, makes its id unlike all others.
+
+    The page's own id, of any type and percent-encoded, is a field beside it; a null id has none. A revisit
+    names the page that it refers to in the same way, and the payload's digest.
+    """
     block = b"" if row["record_type"] == "revisit" else row["payload"]
-    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{row['page_id']}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if row["page_id"] is not None:
+        head.append(f"Page-ID: {quote(str(row['page_id']), safe='')}")
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {line(row['url'])}")
     head += [f"WARC-Payload-Digest: sha256:{row['digest']}", f"WARC-Payload-Length: {len(row['payload'])}"]
     if row["record_type"] == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-ID: {quote(str(row['refers_to']), safe='')}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     out = "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
     return gzip.compress(out, mtime=0) if zipped else out
@@ -116,7 +125,7 @@ def write(pages: DataFrame, path: str | None = None, zipped: bool = True, **colu
                         out.close()
                     file, offset = f"{uuid.uuid4().hex}.warc" + ".gz" * zipped, 0
                     out = store.open_output_stream(f"{root}/{file}", compression=None)
-                data = record(row, zipped)
+                data = record(row, zipped, f"{file}:{offset}")
                 out.write(data)
                 made.append((file, offset, len(data)))
                 offset += len(data)
@@ -151,11 +160,13 @@ def read(index: DataFrame) -> DataFrame:
     """The records of the selected ``index`` rows (any with file, offset, length): page_id as text and what the archive says.
 
     ``payload_bytes`` and ``payload_digest`` of a response are of the bytes that
-    were read; those of a revisit are of its fields, as it has no body.
+    were read; those of a revisit are of its fields, as it has no body. A range
+    of up to READ_BYTES is read at a time, a longer record whole. An empty index gives an empty result.
     """
     ship(index.sparkSession)
     placed = index.select("file", "offset", "length")
-    tasks = 1 + (placed.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    stored = placed.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + max(stored // TASK_BYTES, min(stored // LEAST_TASK_BYTES, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = placed.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
@@ -177,9 +188,8 @@ def read(index: DataFrame) -> DataFrame:
                     again = r["warc-type"] == "revisit"
                     size = int(r["warc-payload-length"]) if again else len(r["block"])
                     digest = r["warc-payload-digest"].removeprefix("sha256:") if again else hashlib.sha256(r["block"]).hexdigest()
-                    page = r["warc-record-id"][len("<urn:page:") : -1]
-                    first = r["warc-refers-to"][len("<urn:page:") : -1] if again else None
-                    out.append((None if page == "None" else page, r.get("warc-target-uri"), size, digest, r["warc-type"], first, None if again else r["block"]))
+                    page, first = (unquote(r[k]) if k in r else None for k in ("page-id", "refers-to-page-id"))
+                    out.append((page, r.get("warc-target-uri"), size, digest, r["warc-type"], first, None if again else r["block"]))
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [c.split(" ")[0] for c in schema.split(", ")])
         if handle is not None:
