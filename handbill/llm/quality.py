@@ -4,10 +4,11 @@ Two histograms of a document, over character classes and over the common words
 of its language, are compared by Jensen-Shannon distance with references: the
 sums of the same histograms over all documents of that language. A document
 shorter than a guard is not judged by that histogram, nor is one of a language
-with too little text or without a word list.
+with too little text. Characters are judged in every language, words in those that
+have a word list.
 
 Everything is DataFrame functions; the text is read once, the per-document
-counts are checkpointed, and only one row a listed language is broadcast.
+counts are checkpointed, and only one row a language is broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from handbill.llm.common import SPACES, cut, let, words_of
+from handbill.llm.common import SPACES, cut, let, spread_join, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Common words, a dozen a language. A language that isn't listed gets no word histogram.
@@ -38,6 +39,8 @@ MIN_WORDS_JUDGED = 150
 MIN_REFERENCE_WORDS = 5000
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.22
+#: Languages up to which the references are broadcast.
+MOST_BROADCAST = 10_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -140,10 +143,10 @@ def counts(
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """One row a listed language: the summed histograms of all its documents (at most len(COMMON) rows)."""
+    """One row a language: the summed histograms of all its documents; that of words is null without a list."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.get("commons", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
-    grouped = counted.where(F.col("lang").isin(*COMMON)).groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *sums)
+    grouped = counted.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *sums)
     return grouped.select(
         F.col("lang").alias("ref_lang"),
         "ref_words",
@@ -181,12 +184,16 @@ def quality(
 
     ``kept`` is false for fewer than MIN_WORDS words, for repeats above
     MAX_REPEAT_PERCENT, and for a judged distance above its maximum. A distance
-    is null (no verdict) below its length guard, in a language that isn't
-    listed or is null, and where the language's documents hold fewer than
-    MIN_REFERENCE_WORDS words. An empty table gives an empty result.
+    is null (no verdict) below its length guard, for a null language, and where
+    the language's documents hold fewer than MIN_REFERENCE_WORDS words; that of
+    words also in a language without a list. A very long text is counted whole.
+    An empty table gives an empty result.
     """
     counted = cut(counts(docs, id_col, text_col, lang_col, carry))
-    judged = counted.join(F.broadcast(references(counted)), F.col("lang") == F.col("ref_lang"), "left")
+    found = cut(references(counted))
+    # A row a language is small, unless something else stands in that column.
+    few = found.count() <= MOST_BROADCAST
+    judged = counted.join(F.broadcast(found), F.col("lang") == F.col("ref_lang"), "left") if few else spread_join(counted, found, {"lang": "ref_lang"}, "left")
     enough = F.col("ref_words") >= MIN_REFERENCE_WORDS
     chars = F.when(enough & (F.col("word_chars") >= MIN_CHARS_JUDGED), js_distance(F.col("chars"), F.col("ref_chars"), len(CLASSES)))
     words = F.when(enough & (F.col("n_words") >= MIN_WORDS_JUDGED), js_distance(F.col("commons"), F.col("ref_commons"), N_COMMON + 1))
@@ -206,11 +213,14 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """The rows of ``docs`` that quality() keeps, with their columns.
 
     The verdicts are computed once a row and joined back by id and text; equal
-    rows have equal verdicts.
+    rows have equal verdicts. A column of ``docs`` may have any name.
     """
+    own = "_row_key"
+    while own in docs.columns:
+        own += "_"
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string"))
-    rows = docs.withColumn("_row_key", key)
-    verdicts = quality(rows, id_col, text_col, lang_col, carry=("_row_key",), **limits).where("kept")
-    verdicts = verdicts.select(F.col("doc_id").alias("_kept_id"), F.col("_row_key").alias("_kept_key")).distinct()
-    same = (F.col("_row_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
-    return rows.join(verdicts, same, "left_semi").drop("_row_key")
+    rows = docs.withColumn(own, key)
+    verdicts = quality(rows, id_col, text_col, lang_col, carry=(own,), **limits).where("kept")
+    verdicts = verdicts.select(F.col("doc_id").alias("kept id"), F.col(own).alias("kept key")).distinct()
+    same = (F.col(own) == F.col("kept key")) & F.col(id_col).eqNullSafe(F.col("kept id"))
+    return rows.join(verdicts, same, "left_semi").drop(own)
