@@ -32,6 +32,8 @@ from handbill.llm.common import cut, ship, words_of
 
 #: Frequent words that the lexicon holds, at most.
 LEXICON_WORDS = 32768
+#: Characters of the longest run that the lexicon takes words from.
+LISTED_CHARS = 64
 #: Words that a task remembers, and characters that it works on at once.
 MEMO_WORDS = 150_000
 CHUNK_CHARS = 500_000
@@ -85,6 +87,9 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"{path}: only BPE files that normalize by NFC, white space and lower case are read")
         self.ids: dict[str, int] = model["vocab"]
         # By the ids of a pair: its rank; by rank: the id of what it makes.
         pairs = [(self.ids.get(a), self.ids.get(b), self.ids.get(a + b)) for a, b in model["merges"]]
@@ -370,7 +375,8 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
     """
     runs = F.explode(words_of(F.lower(F.col(text_col).cast("string")))).alias("run")
     size = F.floor(F.log2("n") * 16).cast("int")
-    counted = cut(docs.select(runs).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", size))
+    # What is longer than LISTED_CHARS is merged exactly where it stands: what comes to the driver is bounded in bytes too.
+    counted = cut(docs.select(runs).where(F.length("run") <= LISTED_CHARS).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", size))
     least, total = 0, 0
     for row in sorted(counted.groupBy("size").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
         total += row.words
@@ -395,7 +401,8 @@ def encode(
     """(doc_id, *carry, ids): the token ids of every row of ``docs``, as the vocabulary's own library gives them.
 
     A null or empty text has no ids. Rows with one id, or none, keep a row each.
-    ``path`` must name the vocabulary file on the driver and the executors alike.
+    A very long text is encoded whole, in memory as large as itself. ``path``
+    must name the vocabulary file on the driver and the executors alike.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handbill.llm import bpe, html_text, line_dedup, media, mixing, quality, secrets, simhash, toxicity, warc
 from handbill.llm.sql import SQL  # noqa: F401
 
-#: The folder of the vocabulary files.
-TOKENIZERS = os.environ.get("HANDBILL_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary file of op8 and of the pipeline.
+VOCABULARY = os.environ.get("HANDBILL_VOCABULARY") or str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +69,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    return digests_of_tokens(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return digests_of_tokens(bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

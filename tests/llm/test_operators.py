@@ -14,7 +14,7 @@ import xxhash
 from handbill.llm import bpe, html_text, line_dedup, media, mixing, quality, queries, secrets, simhash, toxicity, warc
 
 WS = " \t\n\x0b\x0c\r"
-VOCABULARY = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+VOCABULARY = queries.VOCABULARY
 LINE = "A line that three documents share."
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30000))
 TEXTS = [
