@@ -243,8 +243,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, parts: int | None = Non
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges`` (a, b) the smallest node that it reaches.
 
-    Alternating large and small stars until nothing changes; each round is
-    checkpointed, and only a count and a checksum come to the driver.
+    Alternating large and small stars until only stars are left; each round is
+    checkpointed, and only a truth value comes to the driver.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -256,25 +256,27 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             own = least.select(F.col("hub").alias("u"), F.col("m").alias("v"))
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
-        return out.where("u <> v").distinct()
+        return down(out)
+
+    def down(pairs: DataFrame) -> DataFrame:
+        return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     def both(pairs: DataFrame) -> DataFrame:
-        return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+        return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def only_stars(pairs: DataFrame) -> bool:
+        # Each u has one v and is no v itself: every group is a star around its least node.
+        nodes = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        nodes = nodes.unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        per_node = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return per_node.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while (now := mark(pairs)) != before:
-        before = now
-        if not now[0]:
-            break
+    pairs = cut(down(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    while not only_stars(pairs):
         # A large star reads all neighbours of u; a small star only those below u.
-        pairs = cut(star(both(pairs), True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        pairs = cut(star(pairs, False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).distinct()
+        pairs = cut(star(star(both(pairs), True), False))
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def near_duplicates(
