@@ -4,8 +4,9 @@ A payload becomes the frames of an uncompressed 8 x 8 grey video, one byte a
 sample, in a container of nested boxes. The reader walks the boxes, decodes the
 sample tables and returns codec, duration and the byte ranges of frames and
 keyframes; it never decodes, or even looks at, a frame. The walker takes other
-files too: 64-bit box sizes, boxes to the end of the file, 64-bit chunk offsets
-and constant or listed sample sizes.
+files too: 64-bit box sizes, boxes to the end of the file, 64-bit chunk offsets,
+constant or listed sample sizes, and movie fragments. Whatever a file claims, what is
+made from it is bounded by its length.
 """
 
 from __future__ import annotations
@@ -105,47 +106,139 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start = stop
 
 
+class Broken(ValueError):
+    """A file whose boxes or tables contradict each other."""
+
+
+def number(data: bytes, at: int, form: str = ">I") -> int:
+    if at < 0 or at + struct.calcsize(form) > len(data):
+        raise Broken("a box is cut short")
+    return struct.unpack_from(form, data, at)[0]
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Per track: codec, timescale, duration, and numpy arrays offset, size, time and key by sample."""
+    """Per track: codec, timescale, duration, and numpy arrays offset, size, time and key by sample.
+
+    Samples of a track are those of its own tables, then those of its movie
+    fragments. Raises Broken where tables contradict each other.
+    """
     found: list[dict] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[dict] = []
     for path, a, b in walk(data):
         if path == (b"moov", b"trak"):
             found.append({})
         elif found and path[:2] == (b"moov", b"trak"):
             found[-1][path[-1]] = (a, b)
-    return [track(data, t) for t in found if b"stsz" in t and (b"stco" in t or b"co64" in t) and b"stsc" in t]
+        elif path == (b"moov", b"mvex", b"trex"):
+            defaults[number(data, a + 4)] = (number(data, a + 12), number(data, a + 16), number(data, a + 20))
+        elif path == (b"moof",):
+            base = a - 8 if number(data, a - 8) != 1 or data[a - 4 : a] == b"moof" else a - 16
+            fragments.append({"base": base, "runs": []})
+        elif fragments and path == (b"moof", b"traf", b"tfhd"):
+            fragments[-1]["runs"].append((a, []))
+        elif fragments and fragments[-1]["runs"] and path == (b"moof", b"traf", b"trun"):
+            fragments[-1]["runs"][-1][1].append((a, b))
+    out = [track(data, t) for t in found if b"stsz" in t and (b"stco" in t or b"co64" in t) and b"stsc" in t]
+    for t, boxes in zip(out, [t for t in found if b"stsz" in t and (b"stco" in t or b"co64" in t) and b"stsc" in t]):
+        own = number(data, boxes[b"tkhd"][0] + (20 if data[boxes[b"tkhd"][0]] == 1 else 12)) if b"tkhd" in boxes else 0
+        more = [s for f in fragments for head, runs in f["runs"] if number(data, head + 4) == own for s in [fragment(data, f["base"], head, runs, defaults.get(own, (0, 0, 0)))]]
+        if more:
+            start = int(t["time"][-1] + t["last"]) if len(t["time"]) else 0
+            for s in more:
+                times = start + np.cumsum(s["span"]) - s["span"]
+                start += int(s["span"].sum())
+                for k, v in (("offset", s["offset"]), ("size", s["size"]), ("time", times), ("key", s["key"])):
+                    t[k] = np.concatenate([t[k], v])
+            t["duration"] = max(t["duration"], start)
+    for t in out:
+        if len(t["size"]) and (t["size"].min() < 0 or t["offset"].min() < 0 or int((t["offset"] + t["size"]).max()) > len(data)):
+            raise Broken("a sample lies outside the file")
+    return out
+
+
+def fragment(data: bytes, base: int, head: int, runs: list[tuple[int, int]], defaults: tuple[int, int, int]) -> dict:
+    """Offset, size, span and key of the samples of one track's part of a movie fragment."""
+    flags, at = number(data, head) & 0xFFFFFF, head + 8
+    given = list(defaults)  # duration, size, flags
+    if flags & 0x1:
+        base, at = number(data, at, ">Q"), at + 8
+    at += 4 * bool(flags & 0x2)
+    for i, bit in enumerate((0x8, 0x10, 0x20)):
+        if flags & bit:
+            given[i], at = number(data, at), at + 4
+    parts, place = [], base
+    for a, b in runs:
+        flags, count, at = number(data, a) & 0xFFFFFF, number(data, a + 4), a + 8
+        if flags & 0x1:
+            place, at = base + number(data, at, ">i"), at + 4
+        first = None
+        if flags & 0x4:
+            first, at = number(data, at), at + 4
+        listed = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        # A run that lists nothing still has a sample for each so many bytes of the file, or is broken.
+        if count > (b - at) // (4 * len(listed)) if listed else count * max(given[1], 1) > len(data):
+            raise Broken("a run has more samples than it lists")
+        rows = np.frombuffer(data, ">u4", count * len(listed), at).astype(np.int64).reshape(count, len(listed)) if listed else np.zeros((count, 0), np.int64)
+        column = lambda bit, other: rows[:, listed.index(bit)] if bit in listed else np.full(count, other, np.int64)
+        span, size, marks = column(0x100, given[0]), column(0x200, given[1]), column(0x400, given[2])
+        if first is not None and count and 0x400 not in listed:
+            marks = marks.copy()
+            marks[0] = first
+        parts.append((place + np.cumsum(size) - size, size, span, (marks & 0x10000) == 0))
+        place += int(size.sum())
+    joined = [np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [[]] * 4)]
+    return dict(zip(("offset", "size", "span", "key"), joined))
+
+
+def repeated(values: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
+    """``values`` as often as ``times`` says, ``most`` in all at most; negative times are broken."""
+    if len(times) and times.min() < 0:
+        raise Broken("a negative count")
+    ends = np.minimum(np.cumsum(np.minimum(times, most)), most)
+    return np.repeat(values, np.diff(ends, prepend=0))
 
 
 def track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
+    """A track from its sample tables; counts are held against the file's length before anything is made from them."""
+
     def table(kind: bytes, width: int, size: str = ">u4", skip: int = 0) -> np.ndarray:
         if kind not in boxes:
             return np.zeros((0, width), np.int64)
         at = boxes[kind][0] + 4 + skip
-        n = struct.unpack_from(">I", data, at)[0]
-        n = min(n, (boxes[kind][1] - at - 4) // (np.dtype(size).itemsize * width))
+        n = min(number(data, at), max(0, boxes[kind][1] - at - 4) // (np.dtype(size).itemsize * width))
         return np.frombuffer(data, size, n * width, at + 4).astype(np.int64).reshape(n, width)
 
-    fixed, count = struct.unpack_from(">II", data, boxes[b"stsz"][0] + 4)
+    fixed, count = number(data, boxes[b"stsz"][0] + 4), number(data, boxes[b"stsz"][0] + 8)
+    if fixed and count * fixed > len(data):
+        raise Broken("more samples than bytes")
     sizes = np.full(count, fixed, np.int64) if fixed else table(b"stsz", 1, skip=4)[:, 0]
     chunk_at = table(b"stco", 1)[:, 0] if b"stco" in boxes else table(b"co64", 1, ">u8")[:, 0]
     runs = table(b"stsc", 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
-    chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
+    if len(runs) and (runs[0, 0] != 1 or np.diff(np.append(runs[:, 0], max(len(chunk_at) + 1, runs[-1, 0]))).min() < 0):
+        raise Broken("chunks out of order")
+    per_chunk = repeated(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)), len(chunk_at))
+    chunk_of = repeated(np.arange(len(per_chunk)), per_chunk, len(sizes))
     sizes = sizes[: len(chunk_of)]
     ahead = np.cumsum(sizes) - sizes
     first = np.searchsorted(chunk_of, np.arange(len(per_chunk)))
     within = ahead - ahead[np.minimum(first, max(len(ahead) - 1, 0))][chunk_of] if len(ahead) else ahead
     deltas = table(b"stts", 2)
-    spans = np.repeat(deltas[:, 1], deltas[:, 0])[: len(sizes)]
+    spans = repeated(deltas[:, 1], deltas[:, 0], len(sizes))
+    spans = np.append(spans, np.zeros(len(sizes) - len(spans), np.int64))
     key = np.ones(len(sizes), bool)
     if b"stss" in boxes:
         key[:] = False
-        key[table(b"stss", 1)[:, 0] - 1] = True
+        at = table(b"stss", 1)[:, 0]
+        if len(at) and (at.min() < 1 or at.max() > len(sizes)):
+            raise Broken("a keyframe outside the samples")
+        key[at - 1] = True
     head = boxes.get(b"mdhd")
     wide = head is not None and data[head[0]] == 1
-    timescale, duration = struct.unpack_from(">IQ" if wide else ">II", data, head[0] + (20 if wide else 12)) if head else (1, 0)
+    place = head[0] + (20 if wide else 12) if head else 0
+    timescale, duration = (number(data, place), number(data, place + 4, ">Q" if wide else ">I")) if head else (1, 0)
     codec = data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1") if b"stsd" in boxes else ""
-    return {"codec": codec, "timescale": timescale, "duration": duration, "offset": chunk_at[chunk_of] + within, "size": sizes, "time": np.cumsum(spans) - spans, "key": key}
+    return {"codec": codec, "timescale": timescale, "duration": duration, "offset": chunk_at[chunk_of] + within, "size": sizes, "time": np.cumsum(spans) - spans, "key": key, "last": int(spans[-1]) if len(spans) else 0}
 
 
 def payload_of(data: bytes, samples: dict) -> bytes:
@@ -186,10 +279,14 @@ INDEX = (
 
 
 def describe(data: bytes) -> dict:
-    """What index() returns for one file; a file without a readable track has nulls and no keyframes."""
+    """What index() returns for one file; a file without a readable track, or with tables that contradict each other, has nulls and no keyframes."""
     out = dict.fromkeys([c.split(" ")[0] for c in INDEX.split(", ")])
     out |= {"keyframes": [], "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
-    for t in tracks(data)[:1]:
+    try:
+        found = tracks(data)[:1]
+    except Broken:
+        found = []
+    for t in found:
         stored = payload_of(data, t)
         at = np.flatnonzero(t["key"])
         keys = zip((at + 1).tolist(), t["time"][at].tolist(), t["offset"][at].tolist(), t["size"][at].tolist())
@@ -202,10 +299,12 @@ def describe(data: bytes) -> dict:
 def index(media: DataFrame, media_col: str = "media") -> DataFrame:
     """``media`` with its media column replaced by what its containers say: codec, duration, keyframe byte ranges, digests.
 
-    A null or broken file keeps its row with nulls and no keyframes.
+    A null or broken file keeps its row with nulls and no keyframes. Rows may be
+    alike and share ids; one of the columns that the index makes replaces another of its name. A very long file is read whole.
     """
     ship(media.sparkSession)
-    rest = [c for c in media.columns if c != media_col]
+    made_here = {c.split(" ")[0] for c in INDEX.split(", ")}
+    rest = [c for c in media.columns if c != media_col and c not in made_here]
     rows = media.select(*rest, media_col)
     kept = rows.select(*rest).schema
     fields = rows.sparkSession.createDataFrame([], INDEX).schema
