@@ -25,12 +25,14 @@ def infer_all(title: Column, description: Column) -> Column:
     return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(k)) for k, p in vocab.TYPE_PATTERNS]))
 
 
-def final_types(primary: Column, given: Column, title: Column, description: Column) -> Column:
-    """An exhibition is only that; else the given types or the primary, then those inferred, the primary at the front if it is lacking."""
+def final_types(primary: Column, given: Column, inferred: Column) -> Column:
+    """An exhibition is only that; else the given types or the primary, then those inferred, the primary at the front if it is lacking.
+
+    ``inferred`` is infer_all(), best as a column of its own: it is named more than once here.
+    """
     base = F.when(F.coalesce(F.size(given), F.lit(0)) > 0, given).otherwise(F.array(primary))
-    more = F.filter(infer_all(title, description), lambda x: x != "exhibition")
-    joined = F.array_distinct(F.concat(base, more))
-    whole = F.when(F.array_contains(joined, primary), joined).otherwise(F.concat(F.array(primary), joined))
+    more = F.concat(base, F.filter(inferred, lambda x: x != "exhibition"))
+    whole = F.array_distinct(F.when(F.array_contains(more, primary), more).otherwise(F.concat(F.array(primary), more)))
     return F.when(primary == "exhibition", F.array(F.lit("exhibition"))).otherwise(whole)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 from urllib.parse import quote
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handbill.functions import vocab
@@ -32,8 +30,10 @@ def missing(c: Column) -> Column:
 
 
 def matches(c: Column, pattern: str) -> Column:
-    """Whether a pattern is found in a text; false for null."""
-    return F.coalesce(F.regexp_like(c, F.lit(ANY_CASE + pattern)), F.lit(False))
+    """Whether a pattern is found in a text, in either case; false for null. A text of ASCII alone takes the faster form."""
+    plain = F.octet_length(c) == F.length(c)
+    found = F.when(plain, F.regexp_like(c, F.lit("(?i)" + pattern))).otherwise(F.regexp_like(c, F.lit(ANY_CASE + pattern)))
+    return F.coalesce(found, F.lit(False))
 
 
 def described(title: Column, description: Column) -> Column:
@@ -41,19 +41,17 @@ def described(title: Column, description: Column) -> Column:
 
 
 def numeric_entities(text: Column) -> Column:
-    """&#123; and &#x1f; as characters; what names no character stays. A pandas function, as Spark has no such built-in."""
+    """&#123; and &#x1f; as characters; what names no character stays."""
 
-    def one(m: re.Match) -> str:
-        try:
-            found = chr(int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1]))
-        except (ValueError, OverflowError):
-            return m[0]
-        return m[0] if "\ud800" <= found <= "\udfff" else found
+    def one(part: Column, place: Column) -> Column:
+        code = F.regexp_extract(part, "^([xX]?[0-9a-zA-Z]{1,8});", 1)
+        number = F.when(code.rlike("^[xX][0-9a-fA-F]+$"), F.conv(F.substring(code, 2, 7), 16, 10)).when(code.rlike("^[0-9]+$"), code).try_cast("long")
+        known = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (number != 0xFEFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        rest = F.substr(part, F.length(code) + 2)
+        return F.when(place == 0, part).when(F.coalesce(known, F.lit(False)), F.concat(character, rest)).otherwise(F.concat(F.lit("&#"), part))
 
-    def decoded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else re.sub(r"&#([xX]?[0-9a-zA-Z]+);", one, t))
-
-    return F.pandas_udf(decoded, "string")(text)
+    return F.array_join(F.transform(F.split(text, "&#", -1), one), "")
 
 
 def strip_html(text: Column, numeric: bool = True) -> Column:
@@ -72,19 +70,32 @@ def strip_html(text: Column, numeric: bool = True) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces, without the first of each known prefix that it starts with."""
-    plain = F.regexp_replace(F.lower(text_or_empty(title)), r"(?U)[^a-z0-9\s]", "")
+    low = F.lower(text_or_empty(title))
+    plain = F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, r"[^a-z0-9\s]+", "")).otherwise(F.regexp_replace(low, r"(?U)[^a-z0-9\s]+", ""))
     plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), "^ | $", "")
-    # Each step names its input once: the expression stays as long as the list.
-    return reduce(lambda c, p: F.regexp_replace(c, f"^{p}", ""), vocab.TITLE_PREFIXES, plain)
+    # Punctuation is gone, so a prefix with a colon can't be there. Each step names its input once.
+    known = [p for p in vocab.TITLE_PREFIXES if ":" not in p]
+    return F.regexp_replace(plain, "^" + "".join(f"(?:{p})?" for p in known), "")
+
 
+def event_id(venue_id: Column, start: Column, title: Column, norm: Column | None = None) -> Column:
+    """venue-date-slug-digest; the slug goes if it is empty. The date is that of the raw start text.
 
-def event_id(venue_id: Column, start: Column, title: Column) -> Column:
-    """venue-date-slug-digest; the slug goes if it is empty. The date is that of the raw start text."""
+    ``norm`` is normalize_title(title) where a column of its own holds it, so that it isn't computed twice.
+    """
     date = F.substring(text_or_empty(start), 1, 10)
-    norm = normalize_title(title)
+    norm = normalize_title(title) if norm is None else norm
     slug = F.regexp_replace(F.substring(F.regexp_replace(norm, "[^a-z0-9-]", "-"), 1, 40), "^-+|-+$", "")
     digest = F.substring(F.sha1(F.concat_ws("|", venue_id, date, norm)), 1, 10)
-    return F.concat_ws("-", venue_id, date, F.nullif(slug, F.lit("")), digest)
+    # Without a letter or digit the slug is empty.
+    return F.concat_ws("-", venue_id, date, F.when(F.rlike(norm, F.lit("[a-z0-9]")), slug), digest)
+
+
+def with_event_id(rows: DataFrame, title: str = "title", salt: str = "", name: str = "id") -> DataFrame:
+    """``rows`` with the id of venue_id, start and a title; the normalized title is computed once a row."""
+    salted = F.concat(F.col(title), F.lit(salt)) if salt else F.col(title)
+    kept = rows.withColumn("_norm", normalize_title(salted))
+    return kept.withColumn(name, event_id(F.col("venue_id"), F.col("start"), salted, F.col("_norm"))).drop("_norm")
 
 
 def ics_escape(text: Column) -> Column:
@@ -99,8 +110,10 @@ def ics_fold(line: Column, octets: int = 74) -> Column:
         F.struct(F.concat(a["out"], a["cur"], F.lit("\r\n")).alias("out"), F.concat(F.lit(" "), ch).alias("cur")),
     ).otherwise(F.struct(a["out"].alias("out"), F.concat(a["cur"], ch).alias("cur")))
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("cur"))
-    folded = F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, step, lambda a: F.concat(a["out"], a["cur"]))
-    return F.when(F.octet_length(line) <= octets, line).otherwise(folded)
+    walked = F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, step, lambda a: F.concat(a["out"], a["cur"]))
+    # A line of ASCII is cut at fixed widths.
+    cut = F.concat(F.substring(line, 1, octets), F.regexp_replace(F.substr(line, F.lit(octets + 1)), f"(?s)(.{{1,{octets - 1}}})", "\r\n $1"))
+    return F.when(F.octet_length(line) <= octets, line).when(F.octet_length(line) == F.length(line), cut).otherwise(walked)
 
 
 def host(url: Column) -> Column:
@@ -112,6 +125,12 @@ def origin(url: Column) -> Column:
     return F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
 
 
+def social_links(socials: Column, order: tuple[str, ...] = ("instagram", "facebook", "twitter", "youtube", "tiktok")) -> Column:
+    """(network, url) of the links in a map, in a fixed order; null and empty ones are left out."""
+    each = F.array(*[F.struct(F.lit(k).alias("network"), F.try_element_at(socials, F.lit(k)).alias("url")) for k in order])
+    return F.filter(each, lambda x: ~missing(x["url"]))
+
+
 def directions_url(address: Column, base: str = "https://www.google.com/maps/dir/?api=1&destination=") -> Column:
     return F.concat(F.lit(base), F.url_encode(address))
 

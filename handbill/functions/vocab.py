@@ -39,6 +39,7 @@ RECURRING_WORDS = (
     r"exhibition\s+highlights?\s+tour|guided\s+tour|collection\s+tour|architecture[,\s]+(?:and\s+|&\s*)?garden\s+tour|"
     r"architecture\s+tour|garden\s+tour|curator'?s\s+gallery\s+tour|docent|introductory\s+film|afternoon\s+salon)\b"
 )
+PERMANENT_TITLE = r"\b(permanent|semi[- ]permanent)\b"
 NON_EXHIBITION_TITLE = r"\b(permanent|tour|tours|supper|suppers|sips|party|happy hour|story hour|drop[- ]?in|skate|tasting|brunch|meet[- ]?up|class|workshop)\b"
 TITLE_PREFIXES = [
     "opening reception for ", "opening reception: ", "opening: ", "closing reception for ", "closing reception: ",

@@ -59,14 +59,23 @@ class FilterSpec:
         return len(self.venue_types) + len(self.regions) + len(self.chips) + self.free + self.family + (self.date != "all")
 
 
-def with_venues(listings: DataFrame, venues: DataFrame, how: str = "inner") -> DataFrame:
-    """Listings joined to their venue, whose columns get the prefix venue_. Venues are deduplicated first.
+def last_by_id(venues: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row an id: the last by ``order`` (a column, dropped here), or else the greatest by all its columns, so that reruns agree."""
+    place = f"venue_{order}" if order and f"venue_{order}" in venues.columns else order
+    rest = [c for c in venues.columns if c != key]
+    by = F.struct(F.col(place) if place and place in venues.columns else F.lit(0), F.to_json(F.struct(*rest)))
+    last = F.max_by(F.struct(*rest), by).alias("_last")
+    return venues.groupBy(key).agg(last).select(key, *[F.col("_last")[c].alias(c) for c in rest if c != place])
+
+
+def with_venues(listings: DataFrame, venues: DataFrame, how: str = "inner", order: str = "seq") -> DataFrame:
+    """Listings joined to their venue, whose columns get the prefix venue_. Of venues with one id the last by ``order`` counts.
 
     The join is left to Spark: the curated table is broadcast while its size is
     below the session's threshold, and is shuffled beyond it.
     """
     named = venues.select(*[F.col(c).alias("venue_id" if c == "id" else f"venue_{c}") for c in venues.columns])
-    return listings.join(named.dropDuplicates(["venue_id"]), "venue_id", how)
+    return listings.join(last_by_id(named, "venue_id", order), "venue_id", how)
 
 
 def is_upcoming(start: Column, end: Column, now: datetime, strict: bool = False) -> Column:
@@ -136,11 +145,13 @@ def search_events(listings: DataFrame, venues: DataFrame, query: str) -> DataFra
     """Listings with the query in their own texts, artists or venue; those of unknown venues take part."""
     rows = with_venues(listings, venues, "left")
     texts = [F.col(c) for c in ("title", "description", "location_override", "venue_id", "venue_name", "venue_neighborhood") if c in rows.columns]
-    return rows.where(holds([*texts, F.array_join("artists", "\n")], query))
+    lists = [F.array_join(c, "\n") for c in ("artists", "venue_aliases") if c in rows.columns]
+    return rows.where(holds([*texts, *lists], query))
 
 
 def search_venues(venues: DataFrame, query: str) -> DataFrame:
-    return venues.where(holds([F.col(c) for c in ("name", "description", "neighborhood", "address", "id") if c in venues.columns], query))
+    lists = [F.array_join(c, "\n") for c in ("aliases",) if c in venues.columns]
+    return venues.where(holds([*[F.col(c) for c in ("name", "description", "neighborhood", "address", "id") if c in venues.columns], *lists], query))
 
 
 def live_exhibitions(listings: DataFrame, now: datetime) -> DataFrame:
@@ -213,12 +224,13 @@ def stack_by_venue(listings: DataFrame) -> DataFrame:
 
 
 def marker_kinds(venues: DataFrame, listings: DataFrame) -> DataFrame:
-    """(id, kind): what a venue's marker on the map shows: free, family, events or none."""
+    """(id, kind): what a venue's marker on the map shows: free, family, events or none. A venue without a place has no marker."""
     some = listings.groupBy("venue_id").agg(
         F.bool_or(F.col("is_free").eqNullSafe(F.lit(True))).alias("free"), F.bool_or(F.array_contains("audience", "family")).alias("family")
     )
     kind = F.when(F.col("free"), "free").when(F.col("family"), "family").when(F.col("venue_id").isNotNull(), "events").otherwise("none")
-    return venues.join(some, F.col("id") == F.col("venue_id"), "left").select("id", kind.alias("kind"))
+    placed = venues.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    return placed.join(some, F.col("id") == F.col("venue_id"), "left").select("id", kind.alias("kind"))
 
 
 def region_boxes(spark) -> DataFrame:

@@ -22,9 +22,9 @@ def normalize(raw: DataFrame) -> DataFrame:
     given = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     title, description = F.col("title"), F.col("description")
     paid = price.resolve_price(title, description, F.col("is_free"), F.col("price_text"), given("offers"), given("cost"))
-    out = raw.withColumns(
+    out = raw.withColumn("_inferred", classify.infer_all(title, description)).withColumns(
         {
-            "event_types": classify.final_types(F.col("event_type"), F.col("event_types"), title, description),
+            "event_types": classify.final_types(F.col("event_type"), F.col("event_types"), F.col("_inferred")),
             "audience": F.when(F.size("audience") > 0, F.col("audience")).otherwise(classify.infer_audience(title, description)),
             "_price": paid,
         }
@@ -33,23 +33,29 @@ def normalize(raw: DataFrame) -> DataFrame:
     clean = {c: text.strip_html(F.col(c)) for c in ("title", "description")}
     out = out.withColumns({**local, **clean, "is_free": F.col("_price")["is_free"], "price_text": F.col("_price")["price_text"]})
     timed = F.coalesce(F.col("start").contains("T"), F.lit(True))
-    return out.withColumn("all_day", F.col("all_day") | ~timed).drop("_price", "offers", "cost")
+    return out.withColumn("all_day", F.col("all_day") | ~timed).drop("_inferred", "_price", "offers", "cost")
 
 
 def reshape(listings: DataFrame) -> DataFrame:
-    """Long one-off events become exhibitions, with a new id; permanent ones go. Specific types stay as they are."""
+    """Long one-off events become exhibitions, with a new id; permanent ones go. Specific types stay as they are.
+
+    Rows of a source that bypasses this (a column ``reshape`` that is false) stay as they are.
+    """
     timed = listings.withColumn("_spent", dates.duration_seconds(F.col("start"), F.col("end")))
     spent = F.col("_spent")
     exhibition = F.col("event_type") == "exhibition"
     endless = F.coalesce(spent > vocab.PERMANENT_DAYS * 86400, F.lit(False))
-    permanent = F.coalesce(F.lower(F.trim("title")).isin("permanent", "semi-permanent"), F.lit(False))
+    permanent = text.matches(F.col("title"), vocab.PERMANENT_TITLE)
     long = F.coalesce(spent > vocab.EXHIBITION_HOURS * 3600, F.lit(False)) & ~exhibition & ~F.col("event_type").isin(vocab.SPECIFIC_TYPES)
     gone = (exhibition & (endless | permanent)) | (long & endless)
-    salted = text.event_id(F.col("venue_id"), F.col("start"), F.concat(F.col("title"), F.lit("::exh")))
-    kept = timed.withColumns({"_gone": gone, "_long": long}).where("NOT _gone")
+    open_to = F.coalesce(F.col("reshape"), F.lit(True)) if "reshape" in listings.columns else F.lit(True)
+    kept = timed.withColumns({"_gone": gone & open_to, "_long": long & open_to}).where("NOT _gone")
+    # Only rows that change their type need another id.
+    kept = kept.withColumn("_norm", F.when(F.col("_long"), text.normalize_title(F.concat(F.col("title"), F.lit("::exh")))))
+    salted = text.event_id(F.col("venue_id"), F.col("start"), F.col("title"), F.col("_norm"))
     return kept.withColumns(
         {"event_type": F.when(F.col("_long"), "exhibition").otherwise(F.col("event_type")), "id": F.when(F.col("_long"), salted).otherwise(F.col("id"))}
-    ).drop("_gone", "_long", "_spent")
+    ).drop("_gone", "_long", "_spent", "_norm")
 
 
 def richness(listing: DataFrame) -> Column:
@@ -63,11 +69,12 @@ def richness(listing: DataFrame) -> Column:
 def dedupe_richest(listings: DataFrame, key: str = "id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """One row a key: the richest, the first among equals. Rows without a key go.
 
-    A max_by over a struct, so copies are combined before the shuffle and no key's rows are sorted.
+    Spark keeps the first row of each key in every task before the shuffle, so a
+    key that very many rows share sends one row a task.
     """
-    rows = listings.where(~text.missing(F.col(key)))
-    first = F.min_by(F.struct("*"), F.struct(-richness(listings), *order))
-    return rows.groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*")
+    rows = listings.where(~text.missing(F.col(key))).withColumn("_poor", -richness(listings))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_poor", *order))
+    return rows.withColumn("_first", first).where("_first = 1").drop("_first", "_poor")
 
 
 def dedupe_venues(venues: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -120,6 +127,31 @@ def reject_reasons(dropped: DataFrame, most: int = 10) -> DataFrame:
     return counted.orderBy(F.desc("n"), "venue_id", "title", "reason").limit(most)
 
 
+def reject_labels(dropped: DataFrame, most: int = 10) -> DataFrame:
+    """(label, n, others): the commonest "[venue] title" of dropped rows, and how many labels more there are."""
+    label = F.concat(F.lit("["), F.col("venue_id"), F.lit("] "), text.text_or_empty(F.col("title")))
+    counted = dropped.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    others = counted.agg(F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("others"))
+    # One row by at most ``most`` rows.
+    return counted.orderBy(F.desc("n"), "label").limit(most).crossJoin(others)
+
+
+def soonest(listings: DataFrame, most: int, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The ``most`` listings that start first: which detail pages are worth reading. Those without a start come last."""
+    return listings.orderBy(dates.wall(F.col("start")).asc_nulls_last(), *order).limit(most)
+
+
+def first_match(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
+    """(key, value): of the rows of a key, the value that comes first by ``place``; null values don't count."""
+    return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, place).alias(value))
+
+
+def warnings_of(gated: DataFrame, at: str) -> DataFrame:
+    """The warning table's rows (venue_id, title, reason, at) of what hygiene() drops, in their published wording."""
+    told = F.concat(F.lit("dropped ("), F.col("reason"), F.lit(")"))
+    return gated.where("reason IS NOT NULL").select("venue_id", "title", told.alias("reason"), F.lit(at).alias("at"))
+
+
 def carry_over(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New rows, and the existing ones of venues that gave none this time; those come first."""
     produced = new.select("venue_id").distinct()

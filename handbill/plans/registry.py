@@ -126,13 +126,19 @@ def eventful_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT {SHOWN} FROM placed LEFT JOIN venue v ON venue_id = v.id
         WHERE contains(lower(title), 'red') OR contains(lower(coalesce(description, '')), 'red') OR contains(venue_id, 'red') OR contains(lower(coalesce(v.name, '')), 'red')
-           OR contains(lower(coalesce(v.neighborhood, '')), 'red') OR (has_artist AND contains(lower(brand), 'red'))""")
+           OR contains(lower(coalesce(v.neighborhood, '')), 'red') OR len(list_filter(v.aliases, lambda x: contains(lower(x), 'red'))) > 0 OR (has_artist AND contains(lower(brand), 'red'))""")
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11, J03."""
     return shown(read_side.search_events(star.listings(spark, sf_dir), star.venues(spark, sf_dir), " Red "))
 
 
-@query("SELECT id, name FROM venue WHERE contains(lower(name), 'nation_1') OR contains(lower(neighborhood), 'nation_1') OR contains(lower(address), 'nation_1') OR contains(id, 'nation_1')")
+@query("SELECT id, name FROM venue WHERE len(list_filter(aliases, lambda x: contains(lower(x), 'hall of'))) > 0")
+def search_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What only a venue's other names hold."""
+    return read_side.search_venues(star.venues(spark, sf_dir), "hall OF").select("id", "name")
+
+
+@query("SELECT id, name FROM venue WHERE contains(lower(name), 'nation_1') OR contains(lower(neighborhood), 'nation_1') OR contains(lower(address), 'nation_1') OR contains(id, 'nation_1') OR len(list_filter(aliases, lambda x: contains(lower(x), 'nation_1'))) > 0")
 def search_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12."""
     return read_side.search_venues(star.venues(spark, sf_dir), "NATION_1").select("id", "name")
@@ -144,8 +150,8 @@ def search_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT seq, {id_sql('venue_id', 'start', 'title')} AS id, {id_sql('venue_id', 'start', chr(40) + 'title || ' + quoted('::exh') + chr(41))} AS salted_id FROM listing")
 def event_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C01, C03."""
-    salted = text.event_id(F.col("venue_id"), F.col("start"), F.concat("title", F.lit("::exh")))
-    return star.listings(spark, sf_dir).select("seq", "id", salted.alias("salted_id"))
+    rows = text.with_event_id(star.listings(spark, sf_dir), salt="::exh", name="salted_id")
+    return rows.select("seq", "id", "salted_id")
 
 
 TITLES = ["Opening Reception for X!", "Opening: X", "  Closing reception for  The   Blue—Door ", "", "Lecture: A & B", "exhibition: Über 12"]
@@ -170,8 +176,9 @@ def infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20, F20b."""
     rows = star.listings(spark, sf_dir)
-    final = classify.final_types(F.col("event_type"), F.col("event_types"), F.col("title"), F.col("description"))
-    return rows.select("seq", F.array_join(classify.infer_all(F.col("title"), F.col("description")), ",").alias("kinds"), F.array_join(final, ",").alias("final"))
+    rows = rows.select("seq", "event_type", "event_types", classify.infer_all(F.col("title"), F.col("description")).alias("kinds"))
+    final = classify.final_types(F.col("event_type"), F.col("event_types"), F.col("kinds"))
+    return rows.select("seq", F.array_join("kinds", ",").alias("kinds"), F.array_join(final, ",").alias("final"))
 
 
 NOTES = ["the artist's family", "Family Workshop", "kids' families day", "Teen night for youth", "all-ages", "high school", "artists' family", ""]
@@ -227,17 +234,21 @@ def parse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cost", found["is_free"].alias("is_free"), found["price_text"].alias("price_text"))
 
 
-@query("""SELECT seq, CASE WHEN l <= 2 AND p = 0 THEN true WHEN l = 1 AND p = 1 THEN false WHEN l = 3 THEN true END AS is_free,
-        CASE WHEN l <= 2 AND p = 0 THEN 'Free' WHEN l = 1 AND p = 1 THEN '$0–$20' WHEN l = 3 THEN '$5' WHEN p > 0 THEN '$' || (p * 10) || CASE WHEN p * 10 = 10 * p THEN '' END END AS price_text
-        FROM (SELECT seq, CAST(substr(seq, 14, 2) AS INT) AS l, CAST(substr(seq, 17, 9) AS INT) % 3 AS p FROM listing) WHERE l <= 3""")
+@query("""SELECT seq, CASE WHEN l IN (1, 2) AND p = 0 THEN true WHEN l = 1 AND p = 1 THEN false WHEN l = 3 THEN true WHEN l = 5 AND q <= 10 THEN false END AS is_free,
+        CASE WHEN l IN (1, 2) AND p = 0 THEN 'Free' WHEN l = 1 AND p = 1 THEN '$0–$20' WHEN l = 3 THEN '$5' WHEN l IN (1, 2) THEN '$' || (p * 10)
+             WHEN l = 5 AND q <= 10 THEN '$0–$' || (1000 + q) WHEN l = 5 THEN '$' || q || '.50–$' || (1000 + q) END AS price_text
+        FROM (SELECT seq, CAST(substr(seq, 14, 2) AS INT) AS l, CAST(substr(seq, 17, 9) AS INT) % 3 AS p, CAST(substr(seq, 35, 3) AS INT) AS q FROM listing)""")
 def parse_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """offers as an object, as a list with a free tier, and with a flag."""
-    line, p = F.substring("seq", 14, 2).cast("int"), F.substring("seq", 17, 9).cast("int") % 3
+    """of all listings, offers as an object, as a list with a free tier, with a flag, as a range, unreadable, empty and null."""
+    line, p, quantity = F.substring("seq", 14, 2).cast("int"), F.substring("seq", 17, 9).cast("int") % 3, F.substring("seq", 35, 3).cast("int")
     amount = (p * 10).cast("string")
     tiers = F.when(p == 1, F.lit('[{"price":0},{"price":"$20"}]')).otherwise(F.concat(F.lit('[{"lowPrice":"'), amount, F.lit('"}]')))
-    offers = F.when(line == 1, tiers).when(line == 2, F.concat(F.lit('{"price":"'), amount, F.lit('"}'))).otherwise(F.lit('{"price":"5","isAccessibleForFree":true}'))
+    offers = F.when(line == 1, tiers).when(line == 2, F.concat(F.lit('{"price":"'), amount, F.lit('"}'))).when(line == 3, F.lit('{"price":"5","isAccessibleForFree":true}'))
+    low = F.when(quantity <= 10, F.lit("0")).otherwise(F.concat(quantity.cast("string"), F.lit(".5")))
+    ranged = F.concat(F.lit('{"lowPrice":'), low, F.lit(',"highPrice":"$1,'), F.lpad(quantity.cast("string"), 3, "0"), F.lit('"}'))
+    offers = offers.when(line == 5, ranged).when(line == 4, F.lit('{"price":')).when(line == 6, F.lit("[]"))
     found = price.parse_offers(offers)
-    return star.listings(spark, sf_dir).where(line <= 3).select("seq", found["is_free"].alias("is_free"), found["price_text"].alias("price_text"))
+    return star.listings(spark, sf_dir).select("seq", found["is_free"].alias("is_free"), found["price_text"].alias("price_text"))
 
 
 def entities_sql(c: str) -> str:
@@ -249,8 +260,8 @@ def entities_sql(c: str) -> str:
 
 @query(f"SELECT page_id, md5({entities_sql('html')}) AS digest, length({entities_sql('html')}) AS n_chars FROM pages")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags, named references and white space of whole pages."""
-    bare = text.strip_html(F.col("html"), numeric=False)
+    """tags, references and white space of whole pages (none of them holds a numeric reference; `numeric_references` does)."""
+    bare = text.strip_html(F.col("html"))
     return star.table(spark, sf_dir, "pages").select("page_id", F.md5(bare).alias("digest"), F.length(bare).cast("long").alias("n_chars"))
 
 
@@ -278,12 +289,14 @@ def ics_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT seq, CASE WHEN long THEN 'exhibition' ELSE event_type END AS event_type, CASE WHEN long THEN salted ELSE id END AS id FROM (
-        SELECT seq, event_type, {id} AS id, {salted} AS salted, coalesce(span > 36 * 3600, false) AND event_type NOT IN ('exhibition', {specific}) AS long, coalesce(span > 550 * 86400, false) AS endless
-        FROM (SELECT *, CASE WHEN (length(start) = 10) <> (length("end") = 10) THEN epoch(e_wall) - epoch(s_wall) ELSE epoch(e_utc) - epoch(s_utc) END AS span FROM placed))
-        WHERE NOT (endless AND (long OR event_type = 'exhibition'))""".format(id=id_sql("venue_id", "start", "title"), salted=id_sql("venue_id", "start", "(title || '::exh')"), specific=", ".join(map(quoted, vocab.SPECIFIC_TYPES))))
+        SELECT seq, event_type, {id} AS id, {salted} AS salted, coalesce(span > 36 * 3600, false) AND event_type NOT IN ('exhibition', {specific}) AS long, coalesce(span > 550 * 86400, false) AS endless, named
+        FROM (SELECT *, substr(seq, 14, 2) = '06' AS named, CASE WHEN substr(seq, 14, 2) = '06' THEN 'Semi-Permanent Works: ' ELSE '' END || title AS told, CASE WHEN (length(start) = 10) <> (length("end") = 10) THEN epoch(e_wall) - epoch(s_wall) ELSE epoch(e_utc) - epoch(s_utc) END AS span FROM placed))
+        WHERE NOT (endless AND (long OR event_type = 'exhibition')) AND NOT (named AND event_type = 'exhibition')""".format(id=id_sql("venue_id", "start", "title"), salted=id_sql("venue_id", "start", "(told || '::exh')"), specific=", ".join(map(quoted, vocab.SPECIFIC_TYPES))))
 def reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P02, F05, C03."""
-    return write_side.reshape(star.listings(spark, sf_dir)).select("seq", "event_type", "id")
+    """P02, F05, C03; the sixth line of an order has a title that says it is permanent."""
+    rows = star.listings(spark, sf_dir)
+    told = F.when(F.substring("seq", 14, 2) == "06", F.concat(F.lit("Semi-Permanent Works: "), F.col("title"))).otherwise(F.col("title"))
+    return write_side.reshape(rows.withColumn("title", told)).select("seq", "event_type", "id")
 
 
 SCORE = """(CAST(title <> '' AS INT) + CAST(description IS NOT NULL AS INT) + CAST(start IS NOT NULL AS INT) + CAST("end" IS NOT NULL AS INT) + CAST(url IS NOT NULL AS INT)
@@ -301,7 +314,8 @@ def richness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         (SELECT {id_sql('venue_id', 'NULL', 'title')} AS id, seq, {SCORE} AS score FROM listing)) WHERE r = 1""")
 def dedupe_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a venue and title."""
-    rows = star.listings(spark, sf_dir).withColumn("id", text.event_id(F.col("venue_id"), F.lit(None).cast("string"), F.col("title")))
+    rows = text.with_event_id(star.listings(spark, sf_dir).withColumn("start_text", F.col("start")).withColumn("start", F.lit(None).cast("string")))
+    rows = rows.withColumn("start", F.col("start_text")).drop("start_text")
     kept = write_side.dedupe_richest(rows)
     return kept.select("id", "seq", write_side.richness(kept).alias("score"))
 
@@ -315,6 +329,14 @@ def venue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_side.dedupe_venues(rows).select("id", "seq")
 
 
+@query("""SELECT id, seq FROM (SELECT n_name AS id, s_suppkey AS seq, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey DESC) AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE r = 1""")
+def venue_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the venues with one id, the last."""
+    rows = star.table(spark, sf_dir, "supplier").join(star.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("n_name").alias("id"), F.col("s_suppkey").alias("place"), F.col("s_suppkey").alias("seq"), "s_name")
+    return read_side.last_by_id(rows, "id", "place").select("id", "seq")
+
+
 RECURRING = f"""worded AS (SELECT *, regexp_matches(title, {pattern(vocab.RECURRING_WORDS)}, 'i') OR regexp_matches(coalesce(description, ''), {pattern(vocab.RECURRING_WORDS)}, 'i') AS words FROM listing),
         marked AS (SELECT *, CASE WHEN words THEN 'keyword' WHEN count(*) FILTER (NOT words) OVER (PARTITION BY venue_id, lower(trim(title))) >= 5 THEN 'frequency' END AS reason FROM worded)"""
 
@@ -360,6 +382,32 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_side.reject_reasons(write_side.hygiene(star.listings(spark, sf_dir), NOW_UTC).where("reason IS NOT NULL"))
 
 
+@query(after(GATE, """SELECT label, n, (SELECT greatest(0, count(DISTINCT '[' || venue_id || '] ' || title) - 10) FROM gated WHERE reason IS NOT NULL) AS others
+        FROM (SELECT '[' || venue_id || '] ' || title AS label, count(*) AS n FROM gated WHERE reason IS NOT NULL GROUP BY 1) ORDER BY n DESC, label LIMIT 10"""))
+def reject_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten commonest labels of dropped rows and how many more there are."""
+    return write_side.reject_labels(write_side.hygiene(star.listings(spark, sf_dir), NOW_UTC).where("reason IS NOT NULL"))
+
+
+@query(after(GATE, "SELECT venue_id, title, 'dropped (' || reason || ')' AS reason, '1998-06-17T19:00:00+00:00' AS at FROM gated WHERE reason IS NOT NULL"))
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warning table."""
+    return write_side.warnings_of(write_side.hygiene(star.listings(spark, sf_dir), NOW_UTC), "1998-06-17T19:00:00+00:00")
+
+
+@query("SELECT seq, start FROM placed WHERE event_type = 'lecture' AND s_wall IS NOT NULL ORDER BY s_wall, seq LIMIT 40")
+def soonest_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty lectures that start first."""
+    rows = star.listings(spark, sf_dir).where("event_type = 'lecture'").where(dates.wall(F.col("start")).isNotNull())
+    return write_side.soonest(rows, 40).select("seq", "start")
+
+
+@query("SELECT venue_id, description FROM (SELECT venue_id, description, row_number() OVER (PARTITION BY venue_id ORDER BY seq) AS r FROM listing WHERE description IS NOT NULL) WHERE r = 1")
+def first_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first description that a venue's listings have."""
+    return write_side.first_match(star.listings(spark, sf_dir), "venue_id", "description", "seq")
+
+
 @query("""SELECT seq, venue_id, part FROM (SELECT seq, venue_id, CASE WHEN CAST(substr(seq, 1, 12) AS BIGINT) % 97 = 0 THEN 1 ELSE 0 END AS part FROM listing)
         WHERE part = 1 OR venue_id NOT IN (SELECT venue_id FROM listing WHERE CAST(substr(seq, 1, 12) AS BIGINT) % 97 = 0)""")
 def carryover_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,10 +444,11 @@ def health_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The read side
 
 
-@query(f"""SELECT id FROM venue WHERE id NOT IN (SELECT venue_id FROM placed WHERE {LIVE} AND CAST(substr(seq, 1, 12) AS BIGINT) % 50 = 0)""")
+@query(f"""SELECT id FROM venue WHERE id NOT IN (SELECT venue_id FROM placed WHERE {LIVE} AND event_type = 'other' AND is_free IS NOT DISTINCT FROM true)""")
 def untracked_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Venues without a source, here one that gave a fiftieth of the orders."""
-    some = star.listings(spark, sf_dir).where(read_side.is_upcoming(F.col("start"), F.col("end"), NOW) & (F.substring("seq", 1, 12).cast("long") % 50 == 0))
+    """Venues without a source of free events of no special kind that are still to come."""
+    live = read_side.is_upcoming(F.col("start"), F.col("end"), NOW)
+    some = star.listings(spark, sf_dir).where(live & (F.col("event_type") == "other") & F.col("is_free").eqNullSafe(F.lit(True)))
     return star.venues(spark, sf_dir).join(some.select("venue_id"), F.col("id") == F.col("venue_id"), "left_anti").select("id")
 
 
@@ -497,10 +546,10 @@ def closing_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", dates.days_until_close(F.col("start"), F.col("end"), NOW).alias("days")).where(F.col("days").between(0, vocab.CLOSING_BADGE_DAYS))
 
 
-@query("""SELECT seq, row_number() OVER (ORDER BY s_wall DESC NULLS FIRST, seq DESC) AS place FROM placed WHERE u_last < TIMESTAMP '1995-03-01'""")
+@query("""SELECT seq, row_number() OVER (ORDER BY s_wall DESC NULLS FIRST, seq DESC) AS place FROM placed WHERE u_last < TIMESTAMP '1998-06-17 12:00:00'""")
 def archive_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive, latest first, here of the first two months."""
-    old = ~read_side.is_upcoming(F.col("start"), F.col("end"), datetime(1995, 3, 1))
+    """The whole archive, latest first."""
+    old = ~read_side.is_upcoming(F.col("start"), F.col("end"), NOW)
     return read_side.numbered(star.listings(spark, sf_dir).where(old).select("seq", "start"), read_side.archive_order()).select("seq", "place")
 
 

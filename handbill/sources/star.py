@@ -29,6 +29,7 @@ def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),
         F.get(kinds, (F.col("s_suppkey") % 4).cast("int")).alias("type"), F.col("r_name").alias("region"), F.col("n_name").alias("neighborhood"),
         F.concat(F.col("s_suppkey").cast("string"), F.lit(" Main St")).alias("address"),
+        F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("Red Hall"), F.concat(F.lit("Hall of "), F.col("n_name")))).alias("aliases"),
         (F.lit(-118.95) + F.pmod(F.col("s_suppkey") * 13, F.lit(140)) / 100).alias("lng"),
         (F.lit(33.6) + F.pmod(F.col("s_suppkey") * 7, F.lit(130)) / 100).alias("lat"),
     )
@@ -58,9 +59,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0.04, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("artists"),
         F.when(F.col("p_type") == "MEDIUM", F.array(F.lit("family"))).otherwise(F.array().cast("array<string>")).alias("audience"),
     )
-    return out.withColumns(
+    return text.with_event_id(out).withColumns(
         {
-            "id": text.event_id(F.col("venue_id"), F.col("start"), F.col("title")), "event_types": F.array("event_type"),
+            "event_types": F.array("event_type"),
             "all_day": F.coalesce(~F.col("start").contains("T"), F.lit(False)), "location_override": F.lit(None).cast("string"),
         }
     )
@@ -80,6 +81,7 @@ SQL_TABLES = f"""
 venue AS (
     SELECT 'v' || s_suppkey AS id, s_name AS name, ['museum', 'community', 'alternative', 'academic'][(s_suppkey % 4) + 1] AS type, r_name AS region,
            n_name AS neighborhood, s_suppkey || ' Main St' AS address,
+           CASE WHEN s_suppkey % 10 = 0 THEN ['Red Hall', 'Hall of ' || n_name] END AS aliases,
            CAST(-118.95 AS DOUBLE) + CAST((s_suppkey * 13) % 140 AS DOUBLE) / 100 AS lng, CAST(33.6 AS DOUBLE) + CAST((s_suppkey * 7) % 130 AS DOUBLE) / 100 AS lat
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), raw AS (
