@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from handbill.functions.dates import to_local_iso
+
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CLOCK = r"(?i)(?<![\d$])(\d{1,2})(?::(\d{2}))?\s*([ap])?\.?\s?(?:m\b\.?)?"
 RANGE = rf"{CLOCK}\s*(?:-|–|—|to)\s*{CLOCK.replace('(?i)', '')}"
@@ -33,6 +35,43 @@ def parse_clock(text: Column) -> Column:
     return F.when(part(6) != "", pair(start, end)).when(F.regexp_extract(text, one, 3) != "", pair(alone, F.lit(None))).otherwise(pair(F.lit(None), F.lit(None)))
 
 
+def parse_clock_strict(text: Column, marker: str | None = None, first_only: bool = False) -> Column:
+    """As parse_clock(), for sources whose prose holds other numbers: both sides of a range need their a.m. or p.m.
+
+    With ``marker`` ("PT") a time counts only where that follows. ``first_only`` gives no end.
+    """
+    after = rf"\s*{marker}\b" if marker else ""
+    side = r"(\d{1,2})(?::(\d{2}))?\s*([ap])\.?\s?m\b\.?"
+    ranged, one = rf"(?i)(?<![\d$]){side}\s*(?:-|–|—|to)\s*{side}{after}", rf"(?i)(?<![\d$]){side}{after}"
+    part = lambda i: F.regexp_extract(text, ranged, i)
+    alone = lambda i: F.regexp_extract(text, one, i)
+    start = F.when(part(6) != "", minutes(part(1), part(2), part(3))).when(alone(3) != "", minutes(alone(1), alone(2), alone(3)))
+    end = F.when((part(6) != "") & F.lit(not first_only), minutes(part(4), part(5), part(6)))
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def parse_clock_24(text: Column) -> Column:
+    """(start, end) in minutes of "19:00" or "19:00 – 21:30", a clock of 24 hours without a.m. or p.m."""
+    found = F.regexp_extract_all(text, F.lit(r"\b((?:[01]?\d|2[0-3]):[0-5]\d)\b(?!\s*[AaPp]\.?[Mm])"), F.lit(1))
+    of = lambda c: (F.split_part(c, F.lit(":"), F.lit(1)).cast("int") * 60 + F.split_part(c, F.lit(":"), F.lit(2)).cast("int")).cast("int")
+    return F.struct(of(F.get(found, F.lit(0))).alias("start"), of(F.get(found, F.lit(1))).alias("end"))
+
+
+def local_time(day: Column, minute: Column, offset: str | None = None) -> Column:
+    """ISO text, in local time, of a date and a minute of the day; a date alone if the minute is null.
+
+    The minute is a local wall clock. With ``offset`` ("-07:00") it is read at that
+    constant offset, as some sources do: in winter the result is then an hour early.
+    """
+    wall = F.format_string("%sT%02d:%02d:00", day.cast("string"), F.floor(minute / 60).cast("int"), (minute % 60).cast("int"))
+    return F.when(minute.isNull(), day.cast("string")).otherwise(to_local_iso(F.concat(wall, F.lit(offset or ""))))
+
+
+def time_required(rows: DataFrame, minute: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, warnings): rows with a clock time, and (venue_id, title, reason) of those without."""
+    return rows.where(F.col(minute).isNotNull()), rows.where(F.col(minute).isNull()).select("venue_id", "title", F.lit("dropped (no time)").alias("reason"))
+
+
 def month_number(name: Column) -> Column:
     at = F.instr(F.lit(MONTHS), F.lower(F.substring(name, 1, 3)))
     return F.when(at > 0, (at + 2) / 3).cast("int")
@@ -55,7 +94,8 @@ def parse_range(text: Column, as_of: date, policy: str = "same", past_days: int
 
     Years that the text lacks: ``same`` takes that of ``as_of``; ``from_end``
     copies the end's year, or the one before if the months wrap; ``next_if_past``
-    moves to the next year what lies more than ``past_days`` days back.
+    moves to the next year what lies more than ``past_days`` days back; ``month``
+    what lies in an earlier month than that of ``as_of``.
     """
     sides = F.split(F.regexp_replace(text, r"(?i)\s*(?:-|–|—|\bthrough\b|\bto\b)\s*", "|"), "\\|")
     left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
@@ -71,6 +111,9 @@ def parse_range(text: Column, as_of: date, policy: str = "same", past_days: int
     if policy == "next_if_past":
         later = lambda d, side: F.when(year_in(side).isNull() & (F.datediff(F.lit(as_of), d) > past_days), F.add_months(d, 12)).otherwise(d)
         start, end = later(start, left), later(end, right)
+    if policy == "month":
+        ahead = lambda d, side: F.when(year_in(side).isNull() & (F.month(d) < as_of.month), F.add_months(d, 12)).otherwise(d)
+        start, end = ahead(start, left), ahead(end, right)
     return F.struct(start.alias("start"), F.coalesce(end, start).alias("end"))
 
 

@@ -12,35 +12,62 @@ from pyspark.sql import functions as F
 from handbill.functions import classify, dates, text, vocab
 
 BLURB = 800
+#: Zones that calendars of this region name; times in another are read as local.
+ICAL_ZONES = ("UTC", "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "Europe/London", "Europe/Paris", "Europe/Berlin", "Asia/Tokyo")
 TRIBE = "struct<events:array<struct<title:string,description:string,start_date:string,end_date:string,url:string,image:string,cost:string>>>"
 LD_SCRIPT = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
-def listing(rows: DataFrame, local: bool = False, **given: Column) -> DataFrame:
-    """Rows with the listing's raw columns; what isn't given is null or empty. ``local`` puts start and end in local time, before the id is made."""
+def with_settings(documents: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``documents`` with their source's default type, id salt and label; those of unknown or no sources have the defaults.
+
+    ``sources`` is the source table, one row a source; Spark broadcasts it while it is small.
+    """
+    named = {"default_event_type": F.lit("other"), "id_salt": F.lit(""), "label": F.col("source_id"), "reshape": F.lit(True)}
+    if sources is None:
+        return documents.withColumns(named)
+    own = sources.select(F.col("venue_id").alias("_source"), *[F.col(c).alias(f"_{c}") for c in named])
+    joined = documents.drop(*named).join(own, F.col("source_id") == F.col("_source"), "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", d) for c, d in named.items()}).drop("_source", *[f"_{c}" for c in named])
+
+
+def listing(rows: DataFrame, hint: Column | None = None, all_day: Column | None = None, **given: Column) -> DataFrame:
+    """Rows with the listing's raw columns; what isn't given is null or empty.
+
+    Start and end become local time, the description loses its markup and is then
+    cut, and the type comes from the words of both, else from ``hint``, else from
+    the source. The id is made from all that, so it is the one that history has.
+    """
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
-    title = F.trim(text.text_or_empty(given["title"]))
     columns = {
-        "venue_id": F.col("source_id"), "title": title, "description": F.substring(text.text_or_empty(given.get("description", none)), 1, BLURB),
-        "event_type": given.get("event_type", F.lit("other")), "event_types": empty, "start": given.get("start", none), "end": given.get("end", none),
-        "all_day": F.lit(False), "url": given.get("url", none), "image": given.get("image", none), "location_override": given.get("location", none),
-        "artists": given.get("artists", empty), "audience": empty, "source": F.concat_ws(":", "source_id", "kind"), "is_free": F.lit(None).cast("boolean"),
+        "venue_id": F.col("source_id"), "title": F.trim(text.text_or_empty(given["title"])), "_told": text.strip_html(given.get("description", none)),
+        "_hint": F.lit("other") if hint is None else hint, "event_types": empty, "start": dates.to_local_iso(given.get("start", none)), "end": dates.to_local_iso(given.get("end", none)),
+        "all_day": F.lit(False) if all_day is None else all_day, "url": given.get("url", none), "image": given.get("image", none), "location_override": given.get("location", none),
+        "artists": given.get("artists", empty), "audience": empty, "source": F.col("label"), "is_free": F.lit(None).cast("boolean"),
         "price_text": none, "offers": given.get("offers", none), "cost": given.get("cost", none),
     }
-    out = rows.select("source_id", "kind", "seq", *[c.alias(k) for k, c in columns.items()]).where("title <> ''")
-    if local:
-        out = out.withColumns({c: dates.to_local_iso(F.col(c)) for c in ("start", "end")})
-    return out.withColumn("id", text.event_id(F.col("venue_id"), F.col("start"), F.col("title")))
+    out = rows.select("source_id", "kind", "seq", "default_event_type", "id_salt", "reshape", *[c.alias(k) for k, c in columns.items()]).where("title <> ''")
+    default = F.when(F.col("_hint") != "other", F.col("_hint")).otherwise(F.col("default_event_type"))
+    out = out.withColumns({"event_type": classify.infer_type(F.col("title"), F.col("_told"), default), "description": F.substring("_told", 1, BLURB)})
+    # A salt is part of the title that the id is made of, for exhibitions alone.
+    out = out.withColumn("_named", F.when(F.col("event_type") == "exhibition", F.concat("title", "id_salt")).otherwise(F.col("title")))
+    return text.with_event_id(out, "_named").drop("_named", "_told", "_hint", "default_event_type", "id_salt")
+
+
+def opened(documents: DataFrame, kinds: list[str], inner: Column, name: str) -> DataFrame:
+    """One row for each item of the documents of some kinds, in their order."""
+    found = documents if "default_event_type" in documents.columns else with_settings(documents)
+    rows = found.where(F.col("kind").isin(kinds))
+    return rows.select("source_id", "kind", "default_event_type", "id_salt", "label", "reshape", F.posexplode(inner).alias("seq", name))
 
 
 def tribe(documents: DataFrame) -> DataFrame:
     """The events list of a calendar plugin's REST answer."""
-    rows = documents.where("kind = 'wp_tribe'").select("*", F.from_json("body", TRIBE)["events"].alias("_events"))
-    rows = rows.select("source_id", "kind", F.posexplode("_events").alias("seq", "e"))
-    image = F.when(F.col("e.image").startswith("{"), F.get_json_object("e.image", "$.url")).otherwise(F.nullif(F.col("e.image"), F.lit("false")))
+    rows = opened(documents, ["wp_tribe"], F.from_json("body", TRIBE)["events"], "e")
+    image = F.when(F.col("e.image").startswith("{"), F.get_json_object("e.image", "$.url"))
     return listing(
-        rows, title=F.col("e.title"), description=F.col("e.description"), local=True, start=F.col("e.start_date"), end=F.col("e.end_date"),
+        rows, title=F.col("e.title"), description=F.col("e.description"), start=F.col("e.start_date"), end=F.col("e.end_date"),
         url=F.col("e.url"), image=image, cost=F.col("e.cost"),
     )
 
@@ -85,69 +112,173 @@ def names(node: Column, path: str) -> Column:
 
 def jsonld(documents: DataFrame, kinds: tuple[str, ...] = ("jsonld", "eventbrite")) -> DataFrame:
     """Events in the JSON-LD scripts of a page."""
-    rows = documents.where(F.col("kind").isin(*kinds)).select("source_id", "kind", F.posexplode(flatten_jsonld(F.col("body"))).alias("seq", "node"))
+    rows = opened(documents, list(kinds), flatten_jsonld(F.col("body")), "node")
     node = F.col("node")
     rows = rows.where(F.expr("try_parse_json(node)").isNotNull() & is_event(node))
-    artists = F.coalesce(F.filter(F.concat(F.coalesce(names(node, "$.performer"), F.array().cast("array<string>")), F.coalesce(names(node, "$.performers"), F.array().cast("array<string>"))), lambda a: a != ""), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    performer = F.coalesce(names(node, "$.performer"), none)
+    artists = F.filter(F.when(F.size(performer) > 0, performer).otherwise(F.coalesce(names(node, "$.performers"), none)), lambda a: a != "")
+    place = F.get_json_object(node, "$.location")
+    location = F.when(place.startswith("{"), F.get_json_object(place, "$.name")).when(~place.startswith("["), place)
     return listing(
-        rows, title=text.strip_html(F.get_json_object(node, "$.name"), numeric=False), description=text.strip_html(F.get_json_object(node, "$.description"), numeric=False),
-        start=F.get_json_object(node, "$.startDate"), end=F.get_json_object(node, "$.endDate"), url=one_text(node, "$.url", "url"), image=one_text(node, "$.image", "url"),
-        location=one_text(node, "$.location", "name"), artists=artists, offers=F.get_json_object(node, "$.offers"),
-        event_type=classify.jsonld_type_hint(F.get(jsonld_types(node), F.lit(0))),
+        rows, hint=classify.jsonld_type_hint(F.get(jsonld_types(node), F.lit(0))), title=text.strip_html(F.get_json_object(node, "$.name")),
+        description=F.get_json_object(node, "$.description"), start=F.get_json_object(node, "$.startDate"), end=F.get_json_object(node, "$.endDate"),
+        url=one_text(node, "$.url", "url"), image=one_text(node, "$.image", "url"), location=location, artists=artists, offers=F.get_json_object(node, "$.offers"),
     )
 
 
 def ical_property(block: Column, name: str) -> Column:
+    """The text of a property, its escapes resolved in one pass: an escaped backslash before n is no line end."""
     value = F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
-    plain = F.replace(F.replace(F.replace(value, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
-    return F.nullif(F.replace(plain, F.lit("\\\\"), F.lit("\\")), F.lit(""))
+    # Escaped backslashes wait as a character that no calendar text holds.
+    held = F.replace(value, F.lit("\\\\"), F.lit("\x00"))
+    plain = F.regexp_replace(F.regexp_replace(held, r"\\[nN]", "\n"), r"\\([,;:\"])", "$1")
+    return F.nullif(F.replace(plain, F.lit("\x00"), F.lit("\\")), F.lit(""))
 
 
-def ical_time(value: Column) -> Column:
-    """20260822 or 20260822T190000[Z] as ISO text."""
+def ical_time(block: Column, name: str) -> Column:
+    """20260822, 20260822T190000Z or a time with TZID as ISO text; a zone that isn't known is local."""
+    value = F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
+    zone = F.regexp_extract(block, rf'(?m)^{name};(?:[^:\r\n]*;)?TZID="?([^":;\r\n]+)', 1)
     date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
-    clock = F.regexp_extract(value, r"T(\d{2})(\d{2})(\d{2})?", 0)
-    timed = F.concat(date, F.regexp_replace(value, r"^\d{8}T(\d{2})(\d{2})(\d{2})(Z?).*$", "T$1:$2:$3$4"))
-    return F.when(clock == "", date).otherwise(timed)
+    clock = F.regexp_extract(value, r"^\d{8}T(\d{6})", 1)
+    wall = F.concat(date, F.lit("T"), F.regexp_replace(clock, r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3"))
+    # Zones are an enumerated few, as an unknown name must not fail the query.
+    there = F.lit(None).cast("string")
+    for known in ICAL_ZONES:
+        moved = F.convert_timezone(F.lit(known), F.lit("UTC"), F.replace(wall, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
+        there = F.when(zone == known, F.concat(F.replace(F.substring(moved.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))).otherwise(there)
+    timed = F.when(value.endswith("Z"), F.concat(wall, F.lit("Z"))).otherwise(F.coalesce(there, wall))
+    return F.when(value == "", F.lit(None)).when(clock == "", date).otherwise(timed)
 
 
 def ical(documents: DataFrame) -> DataFrame:
     """The events of a calendar document; folded lines are joined first, repeat rules aren't expanded."""
     unfolded = F.regexp_replace("body", "\r?\n[ \t]", "")
-    blocks = F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"), 1)
-    rows = documents.where("kind = 'ical'").select("source_id", "kind", F.posexplode(blocks).alias("seq", "block"))
-    names = {"title": "SUMMARY", "description": "DESCRIPTION", "from": "DTSTART", "to": "DTEND", "url": "URL", "location": "LOCATION"}
-    rows = rows.select("source_id", "kind", "seq", *[ical_property(F.col("block"), v).alias(f"_{k}") for k, v in names.items()])
+    rows = opened(documents, ["ical"], F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"), 1), "block")
+    block = F.col("block")
+    of = lambda name: ical_property(block, name)
+    start = ical_time(block, "DTSTART")
     return listing(
-        rows, local=True, title=F.col("_title"), description=F.col("_description"), start=ical_time(F.col("_from")), end=ical_time(F.col("_to")),
-        url=F.col("_url"), location=F.col("_location"),
+        rows, all_day=F.coalesce(dates.is_date(start), F.lit(False)), title=of("SUMMARY"), description=of("DESCRIPTION"), start=start, end=ical_time(block, "DTEND"), url=of("URL"), location=of("LOCATION"),
     )
 
 
 def feed(documents: DataFrame) -> DataFrame:
     """The items of an RSS or Atom feed; the start is the time of publication."""
-    items = F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>"), 0)
-    rows = documents.where("kind = 'feed'").select("source_id", "kind", F.posexplode(items).alias("seq", "item"))
+    rows = opened(documents, ["feed"], F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>"), 0), "item")
 
     def of(*tags: str) -> Column:
         found = [F.nullif(F.regexp_extract("item", rf"(?s)<{t}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{t}>", 1), F.lit("")) for t in tags]
         return F.coalesce(*found)
 
     link = F.coalesce(of("link"), F.nullif(F.regexp_extract("item", r"""<link[^>]*href=["']([^"']+)""", 1), F.lit("")))
-    when = of("pubDate", "published", "updated")
-    return listing(rows, local=True, title=text.strip_html(of("title"), numeric=False), description=text.strip_html(of("summary", "description"), numeric=False), start=when, url=link)
-
-
-def strategy_chain(documents: DataFrame, custom: DataFrame | None = None) -> DataFrame:
-    """All listings of each source's first kind of document, in a fixed order of kinds, that gave any."""
-    found = tribe(documents).unionByName(ical(documents)).unionByName(jsonld(documents)).unionByName(feed(documents))
+    return listing(rows, title=text.strip_html(of("title")), description=text.strip_html(of("summary", "description")), start=of("pubDate", "published", "updated"), url=link)
+
+
+def next_data(body: Column, path: str = "$") -> Column:
+    """The JSON that a page of a common web framework carries in its __NEXT_DATA__ script, from ``path`` on; null without one."""
+    found = F.regexp_extract(body, r"""(?s)<script[^>]*\bid=["']__NEXT_DATA__["'][^>]*>(.*?)</script>""", 1)
+    return F.get_json_object(F.nullif(found, F.lit("")), path)
+
+
+def json_value_after(body: Column, key: str) -> Column:
+    """The JSON array or object after ``"key":`` in a text that is no JSON itself, by matching brackets; null if there is none, or no end.
+
+    Brackets in strings don't count: strings are taken out of the way first, each
+    replaced by as many other characters, so that places stay. The end is where the depth is 0 again.
+    """
+    start = F.regexp_instr(body, F.lit(rf'"{key}"\s*:\s*[\[{{]'))
+    head = F.length(F.regexp_extract(F.substr(body, start), rf'^"{key}"\s*:\s*', 0))
+    tail = F.substr(body, start + head)
+    strings = r'"(?:[^"\\]|\\.)*"'
+    pieces = F.regexp_extract_all(tail, F.lit(rf"(?s){strings}|[\[\]{{}}]|[^\[\]{{}}\"]+|.", ), F.lit(0))
+    depth = lambda a, p: F.when(a["done"], a).otherwise(
+        F.struct(
+            (a["depth"] + F.when(p.isin("[", "{"), 1).when(p.isin("]", "}"), -1).otherwise(0)).alias("depth"), (a["size"] + F.length(p)).alias("size"),
+            (p.isin("]", "}") & (a["depth"] == 1)).alias("done"),
+        )
+    )
+    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    end = F.aggregate(pieces, none, depth, lambda a: F.when(a["done"], a["size"]))
+    return F.when(start > 0, F.substr(tail, F.lit(1), end))
+
+
+def rich_text(node: Column) -> Column:
+    """The text of a JSON tree of paragraphs, marks and text leaves ({"nodeType": ..., "content": [...], "value": ...}), in order."""
+    leaves = F.regexp_extract_all(node, F.lit(r'"value"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    read = F.transform(leaves, lambda x: F.get_json_object(F.concat(F.lit('{"x":"'), x, F.lit('"}')), "$.x"))
+    return F.trim(F.regexp_replace(F.array_join(read, " "), r"\s+", " "))
+
+
+def all_strings(node: Column, skipped: tuple[str, ...] = ()) -> Column:
+    """All text values of a JSON text, in order, but those of ``skipped`` keys."""
+    one = r'"(?:[^"\\]|\\.)*+"'
+    # A key with its text, a key of something else, or a text alone, in that order of preference.
+    pairs = F.filter(F.regexp_extract_all(node, F.lit(rf"{one}\s*:\s*{one}|{one}\s*:|{one}"), F.lit(0)), lambda p: ~p.endswith(":"))
+    key = lambda p: F.regexp_extract(p, r'^"((?:[^"\\]|\\.)*)"\s*:', 1)
+    kept = F.filter(pairs, lambda p: ~key(p).isin(*skipped)) if skipped else pairs
+    return F.transform(kept, lambda p: F.get_json_object(F.concat(F.lit('{"x":'), F.regexp_replace(p, r'^"(?:[^"\\]|\\.)*"\s*:\s*', ""), F.lit("}")), "$.x"))
+
+
+def pages_in_order(rows: DataFrame, key: str = "id", source: str = "source_id", page: str = "page_no", most: int = 12) -> DataFrame:
+    """The rows of a source's numbered pages up to the first page that brings nothing new, each ``key`` once, where it came first.
+
+    ``most`` pages are read, as a crawler would. Pages are few a source; the rows of a key are combined before they are shuffled.
+    """
+    read = rows.where(F.col(page) < most)
+    first = read.groupBy(source, key).agg(F.min(page).alias("_first"))
+    fresh = first.groupBy(source).agg(F.array_sort(F.collect_set("_first")).alias("_fresh"))
+    # Page numbers from the first on without a gap: a page that brought nothing new ends them.
+    run = F.aggregate("_fresh", F.lit(-1), lambda last, p: F.when(p == last + 1, p).otherwise(last))
+    ends = fresh.select(F.col(source).alias("_source"), run.alias("_last"))
+    marked = read.join(first.withColumnsRenamed({source: "_s", key: "_k"}), (F.col(source) == F.col("_s")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col(page) == F.col("_first")))
+    kept = marked.join(ends, F.col(source) == F.col("_source")).where(F.col("_first") <= F.col("_last"))
+    return kept.drop("_s", "_k", "_first", "_source", "_last").dropDuplicates([source, key])
+
+
+def linked_pages(documents: DataFrame, most: int = 6, next_path: str = "$.links.next.href") -> DataFrame:
+    """Documents that a chain of next links reaches from each source's page 0, ``most`` at most a source, with their ``step``.
+
+    Links are joined page by page: as many joins as pages are allowed, each on (source, url).
+    """
+    pages = documents.select("source_id", "url", "body", "page_no", F.get_json_object("body", next_path).alias("_next"))
+    at = pages.where("page_no = 0").select("source_id", "url", "body", "_next", F.lit(0).alias("step"))
+    found = at
+    for step in range(1, most):
+        link = at.select(F.col("source_id").alias("_s"), F.col("_next").alias("_u")).where("_u IS NOT NULL").distinct()
+        at = pages.join(link, (F.col("source_id") == F.col("_s")) & (F.col("url") == F.col("_u"))).select("source_id", "url", "body", "_next", F.lit(step).alias("step"))
+        found = found.unionByName(at)
+    first = found.groupBy("source_id", "url").agg(F.min("step").alias("step"), F.min_by("body", "step").alias("body"))
+    return first.select("source_id", "url", "body", "step")
+
+
+def with_details(rows: DataFrame, documents: DataFrame, keep_unmatched: bool = True, url: str = "url") -> DataFrame:
+    """List rows joined to the detail document of their url, as ``detail``; rows without one stay unless told otherwise."""
+    details = documents.groupBy(F.col("url").alias("_url")).agg(F.max_by("body", "fetched_at").alias("detail"))
+    return rows.join(details, F.col(url) == F.col("_url"), "left" if keep_unmatched else "inner").drop("_url")
+
+
+def strategy_chain(documents: DataFrame, custom: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """All listings of each source's first kind of document, in a fixed order of kinds, that gave any.
+
+    ``custom`` holds listings of a source's own parser; ``sources`` the settings of each source.
+    """
+    known = with_settings(documents, sources)
+    found = tribe(known).unionByName(ical(known)).unionByName(jsonld(known)).unionByName(feed(known))
     if custom is not None:
-        found = found.unionByName(custom)
+        found = found.unionByName(custom, allowMissingColumns=True)
     priority = F.array_position(F.array(*map(F.lit, vocab.STRATEGIES)), F.col("kind"))
     best = found.groupBy("source_id").agg(F.min(priority).alias("_best"))
     return found.join(best, "source_id").where(priority == F.col("_best")).drop("_best")
 
 
+def outcomes(listings: DataFrame) -> DataFrame:
+    """(source_id, kind, one_off, exhibitions): what each source's strategy gave."""
+    exhibition = F.col("event_type") == "exhibition"
+    return listings.groupBy("source_id", "kind").agg(F.count_if(~exhibition).alias("one_off"), F.count_if(exhibition).alias("exhibitions"))
+
+
 def carry_forward(nodes: DataFrame, group: str, pos: str, column: str) -> DataFrame:
     """``column`` of each node, or the last one before it in its document: how section headings date the rows below."""
     order = Window.partitionBy(group).orderBy(pos)

@@ -47,6 +47,33 @@ def event_lines(now: datetime, domain: str = "listings") -> Column:
     return F.when(dates.wall(F.col("start")).isNotNull(), lines)
 
 
+def single_event(now: datetime, domain: str = "listings") -> Column:
+    """A calendar of one event, lines unfolded, from listing columns and venue_name and venue_address; null without a readable start.
+
+    Without an end a time lasts two hours and a date one day; an end that is given stays as it is.
+    """
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    timed = F.col("start").contains("T") & ~F.coalesce(F.col("all_day"), F.lit(False))
+    known = dates.wall(F.col("end")).isNotNull()
+    # A date stands for its midnight in UTC wherever a time is wanted.
+    stamp = lambda c: F.when(dates.is_date(c), F.concat(date_value(c), F.lit("T000000Z"))).otherwise(utc_stamp(c))
+    day = lambda c: F.when(dates.is_date(c), date_value(c)).otherwise(F.substring(utc_stamp(c), 1, 8))
+    later = (dates.instant(F.col("start"), vocab.TIME_ZONE) + F.expr("INTERVAL 2 HOURS")).cast("string")
+    end_time = F.when(known, stamp(F.col("end"))).otherwise(F.concat(F.regexp_replace(F.replace(F.substring(later, 1, 19), F.lit(" "), F.lit("T")), "[-:]", ""), F.lit("Z")))
+    end_date = F.when(known, day(F.col("end"))).otherwise(date_value(F.date_add(dates.wall(F.col("start")).cast("date"), 1).cast("string")))
+    location = F.coalesce(some("location_override"), some("venue_address"), some("venue_name"))
+    told = lambda name, value: F.concat(F.lit(f"{name}:"), text.ics_escape(value))
+    lines = F.array(
+        F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("PRODID:-//listings//EN"), F.lit("CALSCALE:GREGORIAN"), F.lit("BEGIN:VEVENT"),
+        F.concat(F.lit("UID:"), F.col("id"), F.lit(f"@{domain}")), F.lit(f"DTSTAMP:{now:%Y%m%dT%H%M%SZ}"),
+        F.when(timed, F.concat(F.lit("DTSTART:"), stamp(F.col("start")))).otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), day(F.col("start")))),
+        F.when(timed, F.concat(F.lit("DTEND:"), end_time)).otherwise(F.concat(F.lit("DTEND;VALUE=DATE:"), end_date)),
+        told("SUMMARY", F.col("title")), F.when(some("description").isNotNull(), told("DESCRIPTION", F.col("description"))),
+        told("LOCATION", location), F.when(some("url").isNotNull(), told("URL", F.col("url"))), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
+    )
+    return F.when(dates.wall(F.col("start")).isNotNull(), F.array_join(F.array_compact(lines), "\r\n"))
+
+
 def calendar_rows(events: DataFrame, name: str, now: datetime) -> DataFrame:
     """(place, line): the lines of a calendar in order; ``place`` sorts them, by start text and title."""
     head = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//listings//EN", "CALSCALE:GREGORIAN", f"X-WR-CALNAME:{name}", f"X-WR-TIMEZONE:{vocab.TIME_ZONE}"]

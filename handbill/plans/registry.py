@@ -585,6 +585,21 @@ def calendar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upcoming(spark, sf_dir).select("seq", feeds.calendar_link().alias("link"))
 
 
+def escaped_sql(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), ';', chr(92) || ';'), ',', chr(92) || ','), chr(10), chr(92) || 'n')"
+
+
+@query(f"""SELECT seq, CASE WHEN s_wall IS NOT NULL THEN array_to_string(list_filter(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//listings//EN', 'CALSCALE:GREGORIAN', 'BEGIN:VEVENT',
+        'UID:' || {id_sql('p.venue_id', 'start', 'title')} || '@listings', 'DTSTAMP:19980617T190000Z',
+        CASE WHEN contains(start, 'T') THEN 'DTSTART:' || strftime(s_utc, '%Y%m%dT%H%M%SZ') ELSE 'DTSTART;VALUE=DATE:' || strftime(s_wall, '%Y%m%d') END,
+        CASE WHEN contains(start, 'T') THEN 'DTEND:' || strftime(coalesce(e_utc, s_utc + INTERVAL 2 HOURS), '%Y%m%dT%H%M%SZ') ELSE 'DTEND;VALUE=DATE:' || strftime(coalesce(e_utc, s_wall + INTERVAL 1 DAY), '%Y%m%d') END,
+        'SUMMARY:' || {escaped_sql('title')}, 'DESCRIPTION:' || {escaped_sql('description')}, 'LOCATION:' || {escaped_sql("coalesce(v.address, v.name, '')")}, 'URL:' || {escaped_sql('url')},
+        'END:VEVENT', 'END:VCALENDAR'], lambda x: x IS NOT NULL), chr(13) || chr(10)) END AS calendar FROM placed p LEFT JOIN venue v ON p.venue_id = v.id WHERE {LIVE}""")
+def single_ics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar of each upcoming listing by itself."""
+    return upcoming(spark, sf_dir).select("seq", feeds.single_event(NOW_UTC).alias("calendar"))
+
+
 BOXES = "CASE " + " ".join(f"WHEN lng >= {w} AND lng < {e} AND lat >= {s} AND lat < {n} THEN '{name}'" for name, w, s, e, n in reversed(vocab.REGION_BOXES)) + " END"
 
 
@@ -620,3 +635,9 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("line")
     rows = lines.select("doc_id", "pos", F.when((size < 60) & (size > 0), F.col("line")).alias("section"))
     return extract.carry_forward(rows, "doc_id", "pos", "section")
+
+
+from handbill.plans import extraction  # noqa: E402
+
+QUERIES |= extraction.QUERIES
+SQL |= extraction.SQL

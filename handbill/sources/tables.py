@@ -39,21 +39,54 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def publish(tables: dict[str, DataFrame], folder: str, dry_run: bool = False) -> dict[str, int]:
-    """Writes each table as Parquet below ``folder``, or only counts them in a dry run."""
+    """Writes all tables as the next version below ``folder``, or only counts them in a dry run.
+
+    A version is a folder of its own, and it counts once its list of tables is
+    written, last of all. So a run may read the version before while it makes
+    the next one, and a run that dies leaves that one in place.
+    """
     counts = {}
     for name, df in tables.items():
         if dry_run:
             counts[name] = df.count()
-        else:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-            counts[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
+    if dry_run or not tables:
+        return counts
+    spark = next(iter(tables.values())).sparkSession
+    version = (latest_version(spark, folder) or 0) + 1
+    for name, df in tables.items():
+        at = f"{folder}/version={version}/{name}"
+        df.write.mode("overwrite").parquet(at)
+        counts[name] = spark.read.parquet(at).count()
+    done = spark.createDataFrame([(k, v) for k, v in counts.items()], "name string, n long")
+    done.coalesce(1).write.mode("overwrite").json(f"{folder}/version={version}/_tables_done")
     return counts
 
 
-def corrupt_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files that hold no readable JSON."""
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    """The newest whole version below ``folder``; None if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_tables_done/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    versions = [int(str(f.getPath().getParent().getParent().getName()).removeprefix("version=")) for f in found]
+    return max(versions, default=None)
+
+
+def published(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table of the newest version; empty before the first one."""
+    version = latest_version(spark, folder)
+    return spark.createDataFrame([], schema) if version is None else spark.read.parquet(f"{folder}/version={version}/{name}")
+
+
+def corrupt_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path): the files that hold no readable JSON."""
     rows = spark.read.text(paths, wholetext=True).withColumn("path", F.input_file_name())
-    return [r.path for r in rows.where(F.expr("try_parse_json(value)").isNull()).select("path").collect()]
+    return rows.where(F.expr("try_parse_json(value)").isNull()).select("path")
+
+
+def require_json(spark: SparkSession, paths: list[str]) -> None:
+    """Fails, naming a few of them, if any file holds no readable JSON."""
+    bad = corrupt_files(spark, paths)
+    if found := [r.path for r in bad.limit(5).collect()]:
+        raise ValueError(f"no readable JSON: {', '.join(found)}")
 
 
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
