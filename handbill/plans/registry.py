@@ -579,7 +579,14 @@ def ics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines("all").unionByName(lines("free")).unionByName(lines("family"))
 
 
-@query()
+def url_encoded_sql(c: str) -> str:
+    return f"replace(url_encode({c}), '%20', '+')"
+
+
+@query(f"""SELECT seq, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || {url_encoded_sql('title')} || '&dates=' ||
+        CASE WHEN contains(start, 'T') THEN strftime(s_wall, '%Y%m%dT%H%M%S') || '/' || strftime(coalesce(e_wall, s_wall + INTERVAL 2 HOURS), '%Y%m%dT%H%M%S')
+             ELSE strftime(s_wall, '%Y%m%d') || '/' || strftime(coalesce(e_wall, s_wall) + INTERVAL 1 DAY, '%Y%m%d') END ||
+        '&details=' || {url_encoded_sql("concat_ws(chr(10) || chr(10), nullif(description, ''), nullif(url, ''))")} || '&ctz=America%2FLos_Angeles' AS link FROM placed WHERE {LIVE}""")
 def calendar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all upcoming listings; null without a readable start."""
     return upcoming(spark, sf_dir).select("seq", feeds.calendar_link().alias("link"))
