@@ -189,6 +189,12 @@ def one_off(listings: DataFrame) -> DataFrame:
     return listings.where(F.col("event_type") != "exhibition")
 
 
+def feeds_of() -> Column:
+    """The names of the feeds that a one-off listing belongs to: all, and free and family where it is that."""
+    free, family = F.col("is_free").eqNullSafe(F.lit(True)), F.array_contains("audience", "family")
+    return F.array_compact(F.array(F.lit("all"), F.when(free, F.lit("free")), F.when(family, F.lit("family"))))
+
+
 def feed(listings: DataFrame, name: str) -> DataFrame:
     """The one-off listings of the feed all, free or family."""
     rows = one_off(listings)

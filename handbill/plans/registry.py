@@ -574,9 +574,9 @@ def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded lines of all upcoming one-off events, for each feed that has them."""
-    rows = upcoming(spark, sf_dir)
-    lines = lambda name: write_side.feed(rows, name).select(F.lit(name).alias("feed"), "seq", F.posexplode(feeds.event_lines(NOW_UTC)).alias("pos", "line"))
-    return lines("all").unionByName(lines("free")).unionByName(lines("family"))
+    # The lines of a listing are made once, whatever feeds it is in.
+    rows = write_side.one_off(upcoming(spark, sf_dir)).select("seq", write_side.feeds_of().alias("feeds"), feeds.event_lines(NOW_UTC).alias("lines"))
+    return rows.select("seq", "feeds", F.posexplode("lines").alias("pos", "line")).select(F.explode("feeds").alias("feed"), "seq", "pos", "line")
 
 
 def url_encoded_sql(c: str) -> str:

@@ -36,3 +36,17 @@ def test_calendar_is_its_part_files_in_order(spark, tmp_path):
     assert len(parts) > 1 and lines[0] == "BEGIN:VCALENDAR" and lines[-2:] == ["END:VCALENDAR", ""]
     want = [f"UID:{r[0]}@listings" for r in sorted(rows, key=lambda r: (r[2], r[1], r[0]))]
     assert [x for x in lines if x.startswith("UID:")] == want
+
+
+def test_feeds_of_a_listing(spark):
+    from pyspark.sql import functions as F
+
+    from handbill.operators import write_side
+
+    rows = spark.createDataFrame(
+        [(1, "tour", True, ["family"]), (2, "tour", None, []), (3, "exhibition", True, []), (4, "fair", False, ["teen", "family"]), (5, "fair", True, [])],
+        "seq int, event_type string, is_free boolean, audience array<string>",
+    )
+    once = write_side.one_off(rows).select("seq", F.explode(write_side.feeds_of()).alias("feed")).collect()
+    apart = [(r.seq, name) for name in ("all", "free", "family") for r in write_side.feed(rows, name).collect()]
+    assert sorted((r.seq, r.feed) for r in once) == sorted(apart)
