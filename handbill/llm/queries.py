@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.llm import bpe, html_text, line_dedup, media, mixing, quality, secrets, simhash, toxicity, warc
+from handbill.llm import bpe, byte_bpe, html_text, line_dedup, media, mixing, periodic, quality, secrets, simhash, toxicity, variants, warc
+from handbill.llm.common import let, words_of
 from handbill.llm.sql import SQL  # noqa: F401
 
 #: The vocabulary file of op8 and of the pipeline.
-VOCABULARY = os.environ.get("HANDBILL_VOCABULARY") or str(public_tokenizers.path("word_bpe_49k.json"))
+VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
+#: The rank file of op11.
+RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def digests_of_tokens(encoded: DataFrame, path: str) -> DataFrame:
+def digests_of_tokens(encoded: DataFrame, path: str, tokenizer=bpe) -> DataFrame:
     """Per row of encode(): doc_id and the digests of its ids and of what they decode to."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(encoded, path).select(
+    return tokenizer.decode(encoded, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -81,6 +82,50 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return digests_of_tokens(encoded, RANKS, byte_bpe)
+
+
+def with_typing_errors(runs: DataFrame) -> DataFrame:
+    """``runs`` (doc_id, run) with ``word``: the run, or what is left of it where a code point goes missing: one run in 31, told by a checksum."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    at = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    return runs.withColumn("word", F.when(h % 31 == 0, shorter).otherwise(F.col("run")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = with_typing_errors(variants.letter_runs(table(spark, sf_dir, "documents")))
+    return variants.group_variants(variants.word_counts(runs, "word"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` where one document in ten, told by a checksum of its id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    text = F.col("text").cast("string")
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words_of(text), repeated)).otherwise(text))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), F.negate(r["start"]).alias("start"), F.negate(r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    start, length, period = F.negate(longest["start"]), longest["length"], F.negate(longest["period"])
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_mixing": op2_mixing,
@@ -92,4 +137,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_variants": op12_variants,
+    "op13_periodic": op13_periodic,
 }

