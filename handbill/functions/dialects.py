@@ -89,31 +89,35 @@ def year_in(text: Column) -> Column:
     return F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
 
 
-def parse_range(text: Column, as_of: date, policy: str = "same", past_days: int = 14) -> Column:
-    """(start, end) dates of "A – B"; a single date is both.
+#: What is done about a year that a text lacks.
+YEAR_POLICIES = ("same", "from_end", "next_if_past", "month")
+
+
+def parse_range(text: Column, as_of: date, policy: str | Column = "same", past_days: int | Column = 14) -> Column:
+    """(start, end) dates of "A – B"; a single date is both. ``policy`` and ``past_days`` may be columns: settings of a row's source.
 
     Years that the text lacks: ``same`` takes that of ``as_of``; ``from_end``
     copies the end's year, or the one before if the months wrap; ``next_if_past``
     moves to the next year what lies more than ``past_days`` days back; ``month``
-    what lies in an earlier month than that of ``as_of``.
+    what lies in an earlier month than that of ``as_of``. An unknown policy is ``same``.
     """
+    chosen = F.lit(policy) if isinstance(policy, str) else policy
+    back = F.lit(past_days) if isinstance(past_days, int) else past_days
     sides = F.split(F.regexp_replace(text, r"(?i)\s*(?:-|–|—|\bthrough\b|\bto\b)\s*", "|"), "\\|")
     left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
     has_month = F.coalesce(right.rlike(r"^\s*[A-Za-z]{3}"), F.lit(False))
     # "March 13 - 20, 2026": the second side lacks its month.
     right = F.when(right.isNull() | has_month, right).otherwise(F.concat(F.regexp_extract(left, r"([A-Za-z]{3,9})", 1), F.lit(" "), F.trim(right)))
     now = F.lit(as_of.year)
+
+    def moved(day: Column, side: Column) -> Column:
+        late = ((chosen == "next_if_past") & (F.datediff(F.lit(as_of), day) > back)) | ((chosen == "month") & (F.month(day) < as_of.month))
+        return F.when(year_in(side).isNull() & late, F.add_months(day, 12)).otherwise(day)
+
     end = month_day(right, F.coalesce(year_in(right), now))
-    start = month_day(left, F.coalesce(year_in(left), now))
-    if policy == "from_end":
-        start = month_day(left, F.coalesce(year_in(left), F.year(end), now))
-        start = F.when(year_in(left).isNull() & (start > end), F.add_months(start, -12)).otherwise(start)
-    if policy == "next_if_past":
-        later = lambda d, side: F.when(year_in(side).isNull() & (F.datediff(F.lit(as_of), d) > past_days), F.add_months(d, 12)).otherwise(d)
-        start, end = later(start, left), later(end, right)
-    if policy == "month":
-        ahead = lambda d, side: F.when(year_in(side).isNull() & (F.month(d) < as_of.month), F.add_months(d, 12)).otherwise(d)
-        start, end = ahead(start, left), ahead(end, right)
+    start = month_day(left, F.coalesce(year_in(left), F.when(chosen == "from_end", F.year(end)), now))
+    start = F.when((chosen == "from_end") & year_in(left).isNull() & (start > end), F.add_months(start, -12)).otherwise(start)
+    start, end = moved(start, left), moved(end, right)
     return F.struct(start.alias("start"), F.coalesce(end, start).alias("end"))
 
 

@@ -6,24 +6,28 @@ listing's columns and ``kind``. A document that can't be read gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from handbill.functions import classify, dates, text, vocab
+from handbill.operators import nested
+from handbill.sources import storage
 
 BLURB = 800
-#: Zones that calendars of this region name; times in another are read as local.
-ICAL_ZONES = ("UTC", "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "Europe/London", "Europe/Paris", "Europe/Berlin", "Asia/Tokyo")
 TRIBE = "struct<events:array<struct<title:string,description:string,start_date:string,end_date:string,url:string,image:string,cost:string>>>"
-LD_SCRIPT = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+#: What listing() needs to know of a row's source.
+SETTINGS = ("default_event_type", "id_salt", "label", "reshape")
 
 
 def with_settings(documents: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """``documents`` with their source's default type, id salt and label; those of unknown or no sources have the defaults.
+    """``documents`` with all settings of their source; those of unknown or no sources have the defaults.
 
     ``sources`` is the source table, one row a source; Spark broadcasts it while it is small.
     """
-    named = {"default_event_type": F.lit("other"), "id_salt": F.lit(""), "label": F.col("source_id"), "reshape": F.lit(True)}
+    named = {"default_event_type": F.lit("other"), "id_salt": F.lit(""), "label": F.col("source_id"), "reshape": F.lit(True), "year_policy": F.lit("same"), "past_days": F.lit(14), "parser": F.lit("")}
     if sources is None:
         return documents.withColumns(named)
     own = sources.select(F.col("venue_id").alias("_source"), *[F.col(c).alias(f"_{c}") for c in named])
@@ -59,7 +63,7 @@ def opened(documents: DataFrame, kinds: list[str], inner: Column, name: str) ->
     """One row for each item of the documents of some kinds, in their order."""
     found = documents if "default_event_type" in documents.columns else with_settings(documents)
     rows = found.where(F.col("kind").isin(kinds))
-    return rows.select("source_id", "kind", "default_event_type", "id_salt", "label", "reshape", F.posexplode(inner).alias("seq", name))
+    return rows.select("source_id", "kind", *SETTINGS, F.posexplode(inner).alias("seq", name))
 
 
 def tribe(documents: DataFrame) -> DataFrame:
@@ -72,31 +76,6 @@ def tribe(documents: DataFrame) -> DataFrame:
     )
 
 
-def children(node: Column) -> Column:
-    """A JSON text as the texts of what it holds: the items of a list, those of @graph, or itself."""
-    graph = F.get_json_object(node, "$['@graph']")
-    items = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
-    return F.when(F.trim(node).startswith("["), items(node)).when(graph.startswith("["), items(graph)).otherwise(F.array(node))
-
-
-def flatten_jsonld(body: Column, depth: int = 3) -> Column:
-    """The objects of all JSON-LD scripts of a page: lists and @graph are opened, nothing else is."""
-    nodes = F.transform(F.regexp_extract_all(body, F.lit(LD_SCRIPT), 1), F.trim)
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, children))
-    return nodes
-
-
-def jsonld_types(node: Column) -> Column:
-    kinds = F.get_json_object(node, "$['@type']")
-    listed = F.when(kinds.startswith("["), F.from_json(kinds, "array<string>")).otherwise(F.array(kinds))
-    return F.transform(F.array_compact(listed), lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), "^.*/", ""), "^schema:", ""))
-
-
-def is_event(node: Column) -> Column:
-    return F.exists(jsonld_types(node), lambda t: t.isin(vocab.JSONLD_EVENT_TYPES))
-
-
 def one_text(node: Column, path: str, inner: str) -> Column:
     """A value that may be a text, an object with ``inner``, or a list of either: its first text."""
     value = F.get_json_object(node, path)
@@ -111,17 +90,19 @@ def names(node: Column, path: str) -> Column:
 
 
 def jsonld(documents: DataFrame, kinds: tuple[str, ...] = ("jsonld", "eventbrite")) -> DataFrame:
-    """Events in the JSON-LD scripts of a page."""
-    rows = opened(documents, list(kinds), flatten_jsonld(F.col("body")), "node")
+    """Events in the JSON-LD scripts of a page, in lists and graphs of any depth."""
+    found = documents if "default_event_type" in documents.columns else with_settings(documents)
+    rows = nested.events_of(found.where(F.col("kind").isin(*kinds)), "source_id", "kind", *SETTINGS)
     node = F.col("node")
-    rows = rows.where(F.expr("try_parse_json(node)").isNotNull() & is_event(node))
+    types = F.get_json_object(node, "$['@type']")
+    first = F.when(types.startswith("["), F.get(F.from_json(types, "array<string>"), F.lit(0))).otherwise(types)
     none = F.array().cast("array<string>")
     performer = F.coalesce(names(node, "$.performer"), none)
     artists = F.filter(F.when(F.size(performer) > 0, performer).otherwise(F.coalesce(names(node, "$.performers"), none)), lambda a: a != "")
     place = F.get_json_object(node, "$.location")
     location = F.when(place.startswith("{"), F.get_json_object(place, "$.name")).when(~place.startswith("["), place)
     return listing(
-        rows, hint=classify.jsonld_type_hint(F.get(jsonld_types(node), F.lit(0))), title=text.strip_html(F.get_json_object(node, "$.name")),
+        rows, hint=classify.jsonld_type_hint(first), title=text.strip_html(F.get_json_object(node, "$.name")),
         description=F.get_json_object(node, "$.description"), start=F.get_json_object(node, "$.startDate"), end=F.get_json_object(node, "$.endDate"),
         url=one_text(node, "$.url", "url"), image=one_text(node, "$.image", "url"), location=location, artists=artists, offers=F.get_json_object(node, "$.offers"),
     )
@@ -137,17 +118,15 @@ def ical_property(block: Column, name: str) -> Column:
 
 
 def ical_time(block: Column, name: str) -> Column:
-    """20260822, 20260822T190000Z or a time with TZID as ISO text; a zone that isn't known is local."""
+    """20260822, 20260822T190000Z or a time with TZID as ISO text; a zone that no database knows is local, like none."""
     value = F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
     zone = F.regexp_extract(block, rf'(?m)^{name};(?:[^:\r\n]*;)?TZID="?([^":;\r\n]+)', 1)
     date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
     clock = F.regexp_extract(value, r"^\d{8}T(\d{6})", 1)
     wall = F.concat(date, F.lit("T"), F.regexp_replace(clock, r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3"))
-    # Zones are an enumerated few, as an unknown name must not fail the query.
-    there = F.lit(None).cast("string")
-    for known in ICAL_ZONES:
-        moved = F.convert_timezone(F.lit(known), F.lit("UTC"), F.replace(wall, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
-        there = F.when(zone == known, F.concat(F.replace(F.substring(moved.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))).otherwise(there)
+    # Any zone that this JVM knows, by name; a text with an unknown one is no time and stays null.
+    moved = F.try_to_timestamp(F.concat_ws(" ", F.replace(wall, F.lit("T"), F.lit(" ")), F.nullif(zone, F.lit(""))), F.lit("yyyy-MM-dd HH:mm:ss VV"))
+    there = F.concat(F.replace(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moved.cast("timestamp_ntz")).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     timed = F.when(value.endswith("Z"), F.concat(wall, F.lit("Z"))).otherwise(F.coalesce(there, wall))
     return F.when(value == "", F.lit(None)).when(clock == "", date).otherwise(timed)
 
@@ -164,16 +143,74 @@ def ical(documents: DataFrame) -> DataFrame:
     )
 
 
+LINK = "array<struct<_href:string,_rel:string,_VALUE:string>>"
+ENTRY = f"array<struct<title:string,link:{LINK},summary:string,description:string,pubDate:string,published:string,updated:string>>"
+#: RSS has its items in a channel or, in its first form, beside it; Atom has entries.
+FEED = f"struct<channel:struct<item:{ENTRY}>,item:{ENTRY},entry:{ENTRY}>"
+
+
+def feed_entries(body: Column) -> Column:
+    """The items of an RSS or Atom document read as XML, whatever its prefixes; null if it isn't well formed."""
+    found = F.from_xml(body, FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true", "attributePrefix": "_", "valueTag": "_VALUE"})
+    return F.coalesce(found["channel"]["item"], found["item"], found["entry"])
+
+
+def loose_entries(body: Column) -> Column:
+    """The same of a document that is no XML, by patterns: undeclared references and open tags don't hide its items."""
+
+    def of(item: Column, tag: str) -> Column:
+        return F.nullif(F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1), F.lit(""))
+
+    def entry(item: Column) -> Column:
+        href = F.nullif(F.regexp_extract(item, r"""<link[^>]*href=["']([^"']+)""", 1), F.lit(""))
+        link = F.array(F.struct(href.alias("_href"), F.lit(None).cast("string").alias("_rel"), of(item, "link").alias("_VALUE")))
+        return F.struct(of(item, "title").alias("title"), link.alias("link"), *[of(item, t).alias(t) for t in ("summary", "description", "pubDate", "published", "updated")])
+
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>"), 0), entry)
+
+
 def feed(documents: DataFrame) -> DataFrame:
     """The items of an RSS or Atom feed; the start is the time of publication."""
-    rows = opened(documents, ["feed"], F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>"), 0), "item")
+    rows = opened(documents, ["feed"], F.coalesce(feed_entries(F.col("body")), loose_entries(F.col("body"))), "item")
+    of = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"item.{n}")), F.lit("")) for n in names])
+    # The link of an entry is its text, or else the address of the one that stands for the entry itself.
+    texts = F.array_compact(F.transform("item.link", lambda x: F.nullif(F.trim(x["_VALUE"]), F.lit(""))))
+    hrefs = F.transform(F.filter("item.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), lambda x: x["_href"])
+    link = F.coalesce(F.get(texts, F.lit(0)), F.get(F.array_compact(hrefs), F.lit(0)))
+    return listing(rows, title=text.strip_html(of("title")), description=text.strip_html(of("summary", "description")), start=of("pubDate", "published", "updated"), url=link)
 
-    def of(*tags: str) -> Column:
-        found = [F.nullif(F.regexp_extract("item", rf"(?s)<{t}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{t}>", 1), F.lit("")) for t in tags]
-        return F.coalesce(*found)
 
-    link = F.coalesce(of("link"), F.nullif(F.regexp_extract("item", r"""<link[^>]*href=["']([^"']+)""", 1), F.lit("")))
-    return listing(rows, title=text.strip_html(of("title")), description=text.strip_html(of("summary", "description")), start=of("pubDate", "published", "updated"), url=link)
+#: A parser of a source's own: the page's text and address to rows with any of CUSTOM's fields.
+CUSTOM = "title string, description string, start string, `end` string, url string, image string, location string, cost string"
+
+
+def custom(documents: DataFrame, parsers: dict[str, Callable[[str, str], Iterable[dict]]], kinds: tuple[str, ...] = ("custom",)) -> DataFrame:
+    """Listings of the pages of sources with a parser of their own, named by the source's ``parser`` setting.
+
+    A page is parsed in one task by the function registered under its source's
+    name for it; a parser that fails on a page gives none of that page's rows. Pages of sources whose parser isn't registered give none.
+    """
+    fields = [f.split()[0].strip("`") for f in CUSTOM.split(", ")]
+    found = documents.where(F.col("kind").isin(*kinds) & F.col("parser").isin(*parsers))
+    storage.ship(documents.sparkSession)
+    kept = ("source_id", "kind", *SETTINGS)
+    rows = found.select(*kept, "parser", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("url", F.lit("")).alias("url"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                try:
+                    given = list(parsers[row.parser](row.body, row.url))
+                except Exception:  # whatever a source's own code trips over, other pages go on
+                    given = []
+                out += [[*(getattr(row, k) for k in kept), i, *(x.get(f) for f in fields)] for i, x in enumerate(given)]
+            yield pd.DataFrame(out, columns=[*kept, "seq", *(f"_{f}" for f in fields)], dtype=object)
+
+    schema = "source_id string, kind string, default_event_type string, id_salt string, label string, reshape boolean, seq int, " + CUSTOM.replace("`end`", "end").replace(", ", ", _")
+    schema = schema.replace("seq int, title", "seq int, _title")
+    parsed = rows.mapInPandas(run, schema)
+    return listing(parsed, **{f: F.col(f"_{f}") for f in fields})
 
 
 def next_data(body: Column, path: str = "$") -> Column:
@@ -205,9 +242,16 @@ def json_value_after(body: Column, key: str) -> Column:
 
 
 def rich_text(node: Column) -> Column:
-    """The text of a JSON tree of paragraphs, marks and text leaves ({"nodeType": ..., "content": [...], "value": ...}), in order."""
-    leaves = F.regexp_extract_all(node, F.lit(r'"value"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    read = F.transform(leaves, lambda x: F.get_json_object(F.concat(F.lit('{"x":"'), x, F.lit('"}')), "$.x"))
+    """The text of a JSON tree of paragraphs, marks and text leaves ({"nodeType": ..., "content": [...], "value": ...}), in order.
+
+    Only a value beside a node type "text" counts: other fields named so are data, not text.
+    """
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    # Without their marks and data, leaves are the objects that hold no other.
+    bare = F.regexp_replace(node, r'"(?:marks|data)"\s*:\s*(?:\[[^\[\]]*\]|\{\s*\})', '"_":null')
+    leaves = F.regexp_extract_all(bare, F.lit(rf"(?s)\{{[^\"{{}}]*+(?:{quoted}[^\"{{}}]*+)*+\}}"), F.lit(0))
+    texts = F.filter(leaves, lambda x: F.get_json_object(x, "$.nodeType") == "text")
+    read = F.transform(texts, lambda x: F.get_json_object(x, "$.value"))
     return F.trim(F.regexp_replace(F.array_join(read, " "), r"\s+", " "))
 
 
@@ -292,11 +336,34 @@ def nights(rows: DataFrame, first: str, last: str, most: int = 8) -> DataFrame:
     return rows.withColumn("night", F.explode(each))
 
 
+SIGNALS = {
+    "wordpress": ("/wp-content/", "/wp-json/"), "tribe-events": ("tribe-events", "tribe_events"), "drupal": ("drupal",), "ical-link": ("?ical=1",),
+    "fullcalendar": ("fullcalendar",), "nextjs": ("next/data", "__next_data__"),
+}
+
+
 def profile(documents: DataFrame) -> DataFrame:
-    """(source_id, documents, types, signals): what each source's pages offer."""
-    kinds = F.regexp_extract_all("body", F.lit(r'"@type"\s*:\s*"([^"]+)"'), 1)
-    signs = {"tribe": "tribe-events", "squarespace": "squarespace", "wordpress": "wp-content", "next": "__NEXT_DATA__", "nuxt": "__NUXT__", "drupal": "drupal", "ical": "BEGIN:VCALENDAR", "eventbrite": "eventbrite.com"}
-    seen = F.array_compact(F.array(*[F.when(F.lower("body").contains(v.lower()), F.lit(k)) for k, v in signs.items()]))
-    rows = documents.select("source_id", kinds.alias("types"), seen.alias("signals"))
-    merged = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",")
-    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), merged("types").alias("types"), merged("signals").alias("signals"))
+    """(source_id, documents, types, signals, sample): what each source's pages offer.
+
+    ``types`` are all JSON-LD types, at any depth; ``sample`` is the first object that looks like an event.
+    """
+    low = F.lower("body")
+    seen = [F.when(low.contains(words[0]) | (low.contains(words[-1])), F.lit(k)) for k, words in SIGNALS.items()]
+    seen += [F.when(F.substring("body", 1, 500).contains("BEGIN:VCALENDAR"), F.lit("ical-direct")), F.when(low.rlike("<link[^>]+(rss|feed)"), F.lit("rss-link"))]
+    rows = documents.select("source_id", F.array_compact(F.array(*seen)).alias("signals"))
+    merged = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    signals = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), merged(F.flatten(F.collect_set("signals"))).alias("signals"))
+    types = nested.types_by_path(documents).groupBy("source_id").agg(merged(F.collect_set("type")).alias("types"))
+    joined = signals.join(types, "source_id", "left").join(nested.first_events(documents), "source_id", "left")
+    return joined.select("source_id", "documents", F.coalesce("types", F.lit("")).alias("types"), "signals", "sample")
+
+
+def write_report(profiled: DataFrame, path: str) -> None:
+    """profile()'s rows as Markdown, a section a source; the part files in the order of their names are the report."""
+    shown = lambda c: F.when(F.col(c) == "", "(none)").otherwise(F.col(c))
+    lines = [
+        F.concat(F.lit("## "), F.col("source_id")), F.concat(F.lit("- documents: "), F.col("documents").cast("string")), F.concat(F.lit("- jsonld @types: "), shown("types")),
+        F.concat(F.lit("- platform signals: "), shown("signals")), F.concat(F.lit("- first event-like JSON-LD object:\n```json\n"), F.col("sample"), F.lit("\n```")), F.lit(""),
+    ]
+    ordered = profiled.repartitionByRange("source_id").sortWithinPartitions("source_id")
+    ordered.select(F.array_join(F.array_compact(F.array(*lines)), "\n").alias("value")).write.mode("overwrite").text(path)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from handbill.functions import classify, dates, text, vocab
+from handbill.sources import storage
 
 
 @dataclass(frozen=True)
@@ -184,7 +185,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
     """
     ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     # Ranges are sampled anew whenever they are computed, so they are kept.
-    kept = ranged.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.localCheckpoint()
+    kept = storage.kept(ranged)
     counts = kept.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
     # One row a range.
     before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))

@@ -1,242 +1,301 @@
-"""Registered queries over landed documents: each has literal documents, and literal rows as its SQL.
+"""Registered queries over landed documents, which hold the star schema's listings: reading them must give the listings back.
 
-The rows that the SQL states were worked out by hand from the documents' contents.
+The SQL is over the listings alone and knows nothing of documents.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import date
+from html import unescape
 
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from handbill.functions import dialects, text
-from handbill.operators import extract
-from handbill.sources.tables import RAW_DOCUMENT, Source, source_table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def sql_value(x: object) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).lower()
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" if x.isprintable() else " || ".join("chr(10)" if c == "\n" else f"'{c}'" if c != "'" else "chr(39)" for c in x)
-
-
-def query(columns: str, rows: list[tuple]):
-    """Registers a query with the rows that it must give; an id is written as (venue, date, slug, normalized title)."""
-
-    def cell(x: object) -> str:
-        if isinstance(x, tuple):
-            venue, day, slug, norm = x
-            return f"'{venue}-{day}-{slug}-' || substr(sha1('{venue}|{day}|{norm}'), 1, 10)"
-        return sql_value(x)
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        body = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
-        SQL[f.__name__] = f"SELECT * FROM (VALUES {body}) AS t({columns})"
-        return f
-
-    return add
-
-
-TRIBE = json.dumps(
-    {
-        "events": [
-            {"title": "Opening Night", "description": "<p>Join us&nbsp;for <b>wine</b> &amp; more</p>", "start_date": "2026-08-22 19:00:00", "end_date": "2026-08-22 21:00:00", "url": "https://t.example/1", "image": {"url": "https://t.example/i.jpg"}, "cost": "$10"},
-            {"title": " ", "start_date": "2026-01-01 10:00:00"},
-            {"title": "Untitled", "description": "<i>" + "x" * 900 + "</i>", "start_date": "2026-12-05 00:00:00", "end_date": None, "url": None, "image": False, "cost": ""},
-        ]
-    }
-)
-ICAL = "\r\n".join(
-    [
-        "BEGIN:VCALENDAR", "BEGIN:VEVENT", "SUMMARY:Film\\, night", "DTSTART;TZID=America/New_York:20260822T190000", "DTEND;TZID=America/New_York:20260822T210000",
-        "DESCRIPTION:one\\ntwo \\\\new <b>b</b>", "LOCATION:Hall\\; 2", "URL:https://c.example/1", "END:VEVENT",
-        "BEGIN:VEVENT", "SUMMARY:A long na", " me", "DTSTART;VALUE=DATE:20260901", "DTEND;VALUE=DATE:20260902", "END:VEVENT",
-        "BEGIN:VEVENT", "SUMMARY:Artist tour", "DTSTART:20261205T190000Z", "END:VEVENT", "END:VCALENDAR",
-    ]
-)
-JSONLD = (
-    """<html><script type="application/ld+json">{"@type":"Event","name":"Artist&#8217;s Talk","description":"<p>With Q&amp;A</p>","startDate":"2026-08-23T02:00:00Z","url":["https://j.example/1","x"],
-"image":[{"url":"https://j.example/i.jpg"}],"location":{"name":"Hall"},"performer":[{"name":"Ann"},"Bob"],"offers":{"price":"0"}}</script>"""
-    """<script type='application/ld+json'>{"@graph":[{"@type":"Organization","name":"No event"},{"@type":["Thing","schema:ScreeningEvent"],"name":"Untitled","startDate":"2026-12-05"},"""
-    """{"@type":"http://schema.org/ExhibitionEvent","name":"Works","startDate":"2026-09-01","endDate":"2026-10-01","location":"Main St"}]}</script><script type="application/ld+json">{broken</script></html>"""
-)
-FEED = """<rss><channel><item><title><![CDATA[Gallery &#x26; Panel]]></title><link>https://f.example/1</link><pubDate>Sat, 22 Aug 2026 19:00:00 +0000</pubDate><description>&lt;p&gt;Talk&lt;/p&gt;</description></item>
-<item><title></title></item></channel></rss>"""
-DOCUMENTS = [
-    ("t", "wp_tribe", "https://t.example", 0, TRIBE, "2026-08-01"), ("c", "ical", "https://c.example", 0, ICAL, "2026-08-01"), ("j", "jsonld", "https://j.example", 0, JSONLD, "2026-08-01"),
-    ("f", "feed", "https://f.example", 0, FEED, "2026-08-01"), ("t", "ical", "https://t.example/ical", 0, ICAL, "2026-08-01"), ("e", "wp_tribe", "https://e.example", 0, "no json", "2026-08-01"),
-    ("e", "feed", "https://e.example/rss", 0, FEED, "2026-08-01"),
-]
-SOURCES = [Source("t", "t.example", default_event_type="screening"), Source("j", "j.example", default_event_type="lecture", id_salt="::exh"), Source("f", "f.example", reshape=False)]
-
-
-def documents(spark: SparkSession) -> DataFrame:
-    return extract.with_settings(spark.createDataFrame(DOCUMENTS, RAW_DOCUMENT), source_table(spark, SOURCES))
-
-
-SHOWN = "id, title, description, event_type, start, \"end\", all_day, url, image, location_override, artists, source, reshape"
-
-
-def shown(rows: DataFrame, source: str) -> DataFrame:
-    plain = ("id", "title", "description", "event_type", "start", "end", "all_day", "url", "image", "location_override")
-    return rows.where(F.col("source_id") == source).select(*plain, F.array_join("artists", "|").alias("artists"), "source", "reshape")
-
-
-@query(SHOWN, [
-    (("t", "2026-08-22", "opening-night", "opening night"), "Opening Night", "Join us for wine & more", "opening", "2026-08-22T19:00:00-07:00", "2026-08-22T21:00:00-07:00", False, "https://t.example/1", "https://t.example/i.jpg", None, "", "t.example", True),
-    (("t", "2026-12-05", "untitled", "untitled"), "Untitled", "x" * 800, "screening", "2026-12-05", None, False, None, None, None, "", "t.example", True),
-])
+from handbill.operators import extract, nested
+from handbill.plans.registry import id_sql, kind_sql, query
+from handbill.sources import landed, star
+
+TODAY = date(1998, 6, 17)
+PLAIN = ("id", "venue_id", "title", "description", "event_type", "start", "end", "all_day", "url", "image", "location_override", "source")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select(*PLAIN, F.array_join("artists", "|").alias("artists"))
+
+
+def winter_sql(day: str) -> str:
+    """Whether a date has standard time, by the rule of these years: from the last Sunday of October to the first of April."""
+    spring, autumn = f"make_date(year({day}), 4, 1)", f"make_date(year({day}), 10, 31)"
+    return f"({day} < {spring} + CAST((7 - dayofweek({spring})) % 7 AS INT) OR {day} >= {autumn} - CAST(dayofweek({autumn}) AS INT))"
+
+
+def iso_sql(at: str) -> str:
+    """Local ISO text of local wall fields."""
+    return f"strftime({at}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {winter_sql(f'CAST({at} AS DATE)')} THEN '-08:00' ELSE '-07:00' END"
+
+
+def wall_sql(c: str) -> str:
+    """A start or end whose wall fields are local."""
+    return f"CASE WHEN length({c}) = 10 THEN {c} ELSE {iso_sql(f'CAST(substr(replace({c}, chr(84), chr(32)), 1, 19) AS TIMESTAMP)')} END"
+
+
+def instant_sql(c: str) -> str:
+    """A start or end whose offset counts: seven hours behind, so an hour early in winter."""
+    at = f"CAST(substr(replace({c}, chr(84), chr(32)), 1, 19) AS TIMESTAMP)"
+    return f"CASE WHEN length({c}) = 10 THEN {c} ELSE {iso_sql(f'({at} - CASE WHEN {winter_sql(f"CAST({at} AS DATE)")} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END)')} END"
+
+
+def back_sql(start: str, end: str, all_day: str = "false", image: str = "NULL", location: str = "NULL", artists: str = "''", where: str = "true") -> str:
+    return f"""SELECT {id_sql('venue_id', 's', 'title')} AS id, venue_id, title, coalesce(description, '') AS description, {kind_sql()} AS event_type, s AS start, e AS "end",
+        {all_day} AS all_day, url, {image} AS image, {location} AS location_override, venue_id AS source, {artists} AS artists FROM (SELECT *, {start} AS s, {end} AS e FROM listing) WHERE {where}"""
+
+
+@query(back_sql(wall_sql("start"), wall_sql('"end"'), image="image"))
 def tribe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup goes before the cut, the type comes from words or else from the source."""
-    return shown(extract.tribe(documents(spark)), "t")
+    """Markup goes before the cut, wall times get their offset, midnight is a date."""
+    return shown(extract.tribe(landed.tribe(star.listings(spark, sf_dir))))
 
 
-@query(SHOWN, [
-    (("c", "2026-08-22", "film-night", "film night"), "Film, night", "one two \\new b", "screening", "2026-08-22T16:00:00-07:00", "2026-08-22T18:00:00-07:00", False, "https://c.example/1", None, "Hall; 2", "", "c", True),
-    (("c", "2026-09-01", "a-long-name", "a long name"), "A long name", "", "other", "2026-09-01", "2026-09-02", True, None, None, None, "", "c", True),
-    (("c", "2026-12-05", "artist-tour", "artist tour"), "Artist tour", "", "tour", "2026-12-05T11:00:00-08:00", None, False, None, None, None, "", "c", True),
-])
+@query(back_sql(wall_sql("start"), wall_sql('"end"'), all_day="coalesce(length(s) = 10, false)", location="'Hall; 2'"))
 def ical_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded lines, zones, escapes, all-day events."""
-    return shown(extract.ical(documents(spark)), "c")
+    """Folded lines, any zone, escapes, all-day events."""
+    return shown(extract.ical(landed.ical(star.listings(spark, sf_dir))))
+
 
+JSONLD = back_sql(instant_sql("start"), instant_sql('"end"'), image="image", location="'Hall'", artists="CASE WHEN has_artist THEN brand ELSE '' END")
 
-@query(SHOWN, [
-    (("j", "2026-08-22", "artists-talk", "artists talk"), "Artist’s Talk", "With Q&A", "lecture", "2026-08-22T19:00:00-07:00", None, False, "https://j.example/1", "https://j.example/i.jpg", "Hall", "Ann|Bob", "j.example", True),
-    (("j", "2026-12-05", "untitled", "untitled"), "Untitled", "", "lecture", "2026-12-05", None, False, None, None, None, "", "j.example", True),
-    (("j", "2026-09-01", "worksexh", "worksexh"), "Works", "", "exhibition", "2026-09-01", "2026-10-01", False, None, None, "Main St", "", "j.example", True),
-])
+
+@query(JSONLD)
 def jsonld_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of local dates and decoded titles, hints over the source's type, salted exhibitions."""
-    return shown(extract.jsonld(documents(spark)), "j")
+    """Listings in lists and graphs nested two to twelve deep."""
+    return shown(extract.jsonld(landed.jsonld(star.listings(spark, sf_dir))))
+
+
+DEPTH = "(CAST(substr(seq, 1, 9) AS INT) + CAST(substr(venue_id, 2) AS INT)) % 6 + 1"
 
 
-@query("place, name, event", [(0, "Artist&#8217;s Talk", True), (1, "No event", False), (2, "Untitled", True), (3, "Works", True), (4, None, False)])
+@query(f"""SELECT venue_id AS source_id, CAST(sum(n + deep) AS BIGINT) AS n_objects, CAST(sum(n) AS BIGINT) AS n_events
+        FROM (SELECT venue_id, substr(seq, 1, 9) AS stretch, {DEPTH} AS deep, count(*) AS n FROM listing GROUP BY ALL) GROUP BY venue_id""")
 def jsonld_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The objects of all scripts of a page, and which are events."""
-    rows = documents(spark).where("kind = 'jsonld'").select(F.posexplode(extract.flatten_jsonld(F.col("body"))).alias("place", "node"))
-    return rows.select("place", F.get_json_object("node", "$.name").alias("name"), F.coalesce(extract.is_event(F.col("node")), F.lit(False)).alias("event"))
+    """The objects that lists and graphs lead to, and which of them are events."""
+    rows = nested.scripts(landed.jsonld(star.listings(spark, sf_dir)), "source_id")
+    event = F.coalesce(nested.is_event(F.col("value")), F.lit(False))
+    return nested.walk(rows, nested.graph_only).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count_if(event).alias("n_events"))
 
 
-@query(SHOWN, [
-    (("f", "2026-08-22", "gallery-panel", "gallery panel"), "Gallery & Panel", "Talk", "lecture", "2026-08-22T12:00:00-07:00", None, False, "https://f.example/1", None, None, "", "f.example", False),
-])
-def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E10, P03."""
-    return shown(extract.feed(documents(spark)), "f")
+@query(f""", page AS (SELECT DISTINCT venue_id, substr(seq, 1, 9) AS stretch, {DEPTH} AS deep FROM listing),
+        wrap AS (SELECT venue_id, '$' || repeat('.@graph[][]', CAST(unnest(range(deep)) AS INT)) AS path FROM page),
+        inner_type AS (SELECT venue_id, '$' || repeat('.@graph[][]', CAST({DEPTH} AS INT)) AS path, unnest(CASE WHEN {landed.QUANTITY} % 2 = 0 THEN ['Thing', 'schema:Event'] ELSE ['http://schema.org/Event'] END) AS type FROM listing),
+        every AS (SELECT venue_id, path, 'WebPage' AS type FROM wrap UNION ALL SELECT venue_id, path || '.about', 'Event' FROM wrap UNION ALL FROM inner_type)
+        SELECT venue_id AS source_id, path, type, count(*) AS n FROM every GROUP BY ALL""")
+def jsonld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every @type of every object, by where it stands."""
+    return nested.types_by_path(landed.jsonld(star.listings(spark, sf_dir)))
 
 
-@query("source_id, kind, one_off, exhibitions", [("t", "wp_tribe", 2, 0), ("c", "ical", 3, 0), ("j", "jsonld", 2, 1), ("f", "feed", 1, 0), ("e", "feed", 1, 0)])
-def strategy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's first kind of document that gave anything, and what it gave."""
-    raw = spark.createDataFrame(DOCUMENTS, RAW_DOCUMENT)
-    return extract.outcomes(extract.strategy_chain(raw, sources=source_table(spark, SOURCES)))
+@query("""SELECT venue_id AS source_id, n_pages + n_feeds + n_calendars AS documents, CASE WHEN n_pages > 0 THEN 'Event,WebPage' ELSE '' END ||
+        CASE WHEN n_pages > 0 AND plain THEN ',http://schema.org/Event' ELSE '' END || CASE WHEN n_pages > 0 AND listed THEN ',schema:Event' ELSE '' END AS types_known,
+        CASE WHEN n_calendars > 0 THEN 'ical-direct' ELSE '' END AS signals
+        FROM (SELECT venue_id, count(DISTINCT substr(seq, 1, 9)) AS n_feeds, CASE WHEN CAST(substr(venue_id, 2) AS INT) % 4 <= 1 THEN count(DISTINCT substr(seq, 1, 9)) ELSE 0 END AS n_calendars,
+        CASE WHEN CAST(substr(venue_id, 2) AS INT) % 4 <= 2 THEN count(DISTINCT substr(seq, 1, 9)) ELSE 0 END AS n_pages, bool_or(q % 2 = 1) AS plain, bool_or(q % 2 = 0) AS listed
+        FROM (SELECT *, """ + landed.QUANTITY + """ AS q FROM listing) GROUP BY venue_id)""")
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the calendars, pages and feeds of each source offer (Thing is left out here, as it tells nothing)."""
+    found = extract.profile(landed.all_documents(spark, sf_dir).where("kind <> 'wp_tribe'"))
+    known = F.array_join(F.filter(F.split("types", ","), lambda t: t != "Thing"), ",")
+    return found.select("source_id", "documents", known.alias("types_known"), "signals")
 
 
-NEXT = """<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"title":"Noir","days":["2026-08-22"]}}}</script>"""
-ARRAY = """window.x = {"title": "a ] b", "items" : [{"n": 1, "t": "x]\\"]"}, [2], {}], "more": [3]}; window.y = 1"""
-TREE = """{"nodeType":"document","content":[{"nodeType":"paragraph","content":[{"nodeType":"text","value":"Two  films","marks":[{"type":"bold"}]},{"nodeType":"text","value":"and a \\"talk\\""}]}]}"""
+def published_sql(c: str) -> str:
+    at = f"(CAST(CASE WHEN length({c}) = 10 THEN {c} || ' 12:00:00' ELSE substr(replace({c}, 'T', ' '), 1, 19) END AS TIMESTAMP))"
+    return iso_sql(f"({at} - CASE WHEN {winter_sql(f'CAST({at} AS DATE)')} THEN INTERVAL 8 HOUR ELSE INTERVAL 7 HOUR END)")
 
 
-@query("what, found", [
-    ("next", "Noir"), ("no next", None), ("array", """[{"n": 1, "t": "x]\\"]"}, [2], {}]"""), ("no array", None), ("open array", None), ("rich text", 'Two films and a "talk"'),
-    ("strings", 'document|paragraph|Two  films|bold|and a "talk"'),
-])
-def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E15, E16, rich text and texts of a tree."""
-    rows = spark.createDataFrame([("next", NEXT), ("no next", "<p>"), ("array", ARRAY), ("no array", '{"item": []}'), ("open array", '"items": [1, [2]'), ("rich text", TREE), ("strings", TREE)], "what string, body string")
-    body = F.col("body")
-    strings = F.array_join(F.filter(extract.all_strings(body, ("nodeType",)), lambda x: x.isNotNull()), "|")
-    kinds = F.array_join(F.filter(extract.all_strings(body), lambda x: x != "text"), "|")
-    found = (
-        F.when(F.col("what").endswith("next"), extract.next_data(body, "$.props.pageProps.title")).when(F.col("what").endswith("array"), extract.json_value_after(body, "items"))
-        .when(F.col("what") == "rich text", extract.rich_text(body)).when(strings.isNotNull(), kinds)
-    )
-    return rows.select("what", found.alias("found"))
+@query(back_sql(published_sql("start"), "NULL"))
+def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS with CDATA and mail dates, Atom with a prefix and links of several kinds."""
+    return shown(extract.feed(landed.feeds(star.listings(spark, sf_dir))))
 
 
-@query("source_id, id, page_no", [("a", "1", 0), ("a", "2", 0), ("a", "3", 1), ("b", "1", 0)])
+@query(f"""SELECT venue_id AS source_id, CASE CAST(substr(venue_id, 2) AS INT) % 4 WHEN 0 THEN 'wp_tribe' WHEN 1 THEN 'ical' WHEN 2 THEN 'jsonld' ELSE 'feed' END AS kind,
+        count(*) FILTER (kind <> 'exhibition') AS one_off, count(*) FILTER (kind = 'exhibition') AS exhibitions FROM (SELECT venue_id, {kind_sql()} AS kind FROM listing) GROUP BY ALL""")
+def strategy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's first kind of document that gave anything, and what it gave."""
+    return extract.outcomes(extract.strategy_chain(landed.all_documents(spark, sf_dir)))
+
+
+@query(f"SELECT what, venue_id AS source_id, title, {landed.QUANTITY} AS n FROM listing, (SELECT unnest(['next', 'array']) AS what)")
+def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in a page's script and after a key of a text that is no JSON."""
+    item = F.to_json(F.struct(F.concat("title", F.lit(' ]} "x\\')).alias("t"), landed.quantity_of().alias("n")))
+    rows = landed.pages(star.listings(spark, sf_dir), item)
+    listed = F.array_join("items", ",")
+    page = F.concat(F.lit('<p><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"items":['), listed, F.lit("]}}}</script>"))
+    script = F.concat(F.lit('window.x = {"title": "a ] b", "items" : ['), listed, F.lit('], "more": [3]}; window.y = "['))
+    found = rows.select("source_id", F.explode(F.create_map(F.lit("next"), extract.next_data(page, "$.props.pageProps.items"), F.lit("array"), extract.json_value_after(script, "items"))).alias("what", "json"))
+    each = found.select("what", "source_id", F.inline(F.from_json("json", "array<struct<t:string,n:int>>")))
+    return each.select("what", "source_id", F.expr("substr(t, 1, length(t) - 7)").alias("title"), "n")
+
+
+@query("SELECT seq, coalesce(description, '') AS told, coalesce('text|' || nullif(replace(description, ' ', '|text|'), '') || '|bold', 'text||bold') AS strings FROM listing")
+def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10a, 2.10b: descriptions as trees of text leaves beside data that isn't text, read back; and all their strings."""
+    words = F.split(F.coalesce("description", F.lit("")), " ")
+    leaves = F.transform(words, lambda w: F.struct(F.lit("text").alias("nodeType"), w.alias("value"), F.array(F.create_map(F.lit("type"), F.lit("bold"))).alias("marks")))
+    tree = F.to_json(F.struct(F.lit("document").alias("nodeType"), F.create_map(F.lit("value"), F.lit("no text")).alias("data"), F.array(F.struct(F.lit("paragraph").alias("nodeType"), leaves.alias("content"))).alias("content")))
+    strings = F.to_json(F.struct(F.transform(words, lambda w: F.struct(F.lit("text").alias("kind"), w.alias("value"))).alias("all"), F.lit("skipped").alias("id"), F.lit("bold").alias("mark")))
+    return star.listings(spark, sf_dir).select("seq", extract.rich_text(tree).alias("told"), F.array_join(extract.all_strings(strings, ("id",)), "|").alias("strings"))
+
+
+@query("""SELECT source_id, id, page_no FROM (SELECT *, max(page_no) FILTER (page_no = place) OVER (PARTITION BY source_id) AS last FROM (
+        SELECT *, dense_rank() OVER (PARTITION BY source_id ORDER BY page_no) - 1 AS place FROM (
+        SELECT CAST(l_orderkey % 997 AS VARCHAR) AS source_id, CAST(l_partkey % 20 AS VARCHAR) AS id, min(l_linenumber) - 1 AS page_no FROM lineitem GROUP BY ALL))) WHERE page_no <= last""")
 def paged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages up to the first that brings nothing new; page 2 repeats, so page 3 isn't read."""
-    rows = [("a", 0, "1"), ("a", 0, "2"), ("a", 1, "2"), ("a", 1, "3"), ("a", 2, "3"), ("a", 3, "4"), ("b", 0, "1"), ("b", 0, "1"), ("b", 2, "9")]
-    return extract.pages_in_order(spark.createDataFrame(rows, "source_id string, page_no int, id string")).select("source_id", "id", "page_no")
+    """Pages up to the first that brings nothing new, each id where it came first."""
+    rows = star.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 997).cast("string").alias("source_id"), (F.col("l_partkey") % 20).cast("string").alias("id"), (F.col("l_linenumber") - 1).cast("int").alias("page_no")
+    )
+    return extract.pages_in_order(rows).select("source_id", "id", "page_no")
 
 
-@query("source_id, url, step", [("a", "u0", 0), ("a", "u1", 1), ("a", "u2", 2), ("b", "u0", 0)])
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS source_id, 'u' || k AS url, k AS step FROM (
+        SELECT *, bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS k FROM orders)) WHERE k < 6 AND NOT coalesce(ended, false)""")
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by their next links; a link back ends the chain, a page that none leads to stays out."""
-    to = lambda u: json.dumps({"links": {"next": {"href": u}}}) if u else "{}"
-    rows = [("a", "j", "u0", 0, to("u1"), ""), ("a", "j", "u1", 1, to("u2"), ""), ("a", "j", "u2", 2, to("u0"), ""), ("a", "j", "u9", 3, to(None), ""), ("b", "j", "u0", 0, to("u1"), "")]
-    return extract.linked_pages(spark.createDataFrame(rows, RAW_DOCUMENT)).select("source_id", "url", "step")
+    """Pages by their next links; an order that is filled ends its customer's chain."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = star.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("source_id"), k.alias("page_no"), "o_orderstatus")
+    link = F.concat(F.lit('{"links":{"next":{"href":"u'), (F.col("page_no") + 1).cast("string"), F.lit('"}}}'))
+    rows = rows.select("source_id", F.lit("j").alias("kind"), F.concat(F.lit("u"), F.col("page_no").cast("string")).alias("url"), "page_no", F.when(F.col("o_orderstatus") == "F", "{}").otherwise(link).alias("body"), F.lit("").alias("fetched_at"))
+    return extract.linked_pages(rows).select("source_id", "url", "step")
 
 
-@query("title, detail", [("one", "new"), ("two", None)])
+@query("SELECT seq, CASE WHEN CAST(substr(url, 25) AS BIGINT) % 2 = 0 THEN 'new ' || o_orderpriority END AS detail FROM listing LEFT JOIN orders ON CAST(substr(url, 25) AS BIGINT) = o_orderkey")
 def list_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List rows with the newest document of their url."""
-    rows = spark.createDataFrame([("one", "u1"), ("two", "u2")], "title string, url string")
-    details = spark.createDataFrame([("a", "d", "u1", 0, "old", "2026-01-01"), ("a", "d", "u1", 0, "new", "2026-01-02"), ("a", "d", "u3", 0, "x", "2026-01-02")], RAW_DOCUMENT)
-    return extract.with_details(rows, details).select("title", "detail")
+    """List rows with the newest document of their url, those without one too."""
+    told = star.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("https://www.example.org/"), F.col("o_orderkey").cast("string")).alias("url"), "o_orderpriority")
+    versions = told.select("url", F.explode(F.create_map(F.lit("1998-01-01"), F.lit("old "), F.lit("1998-01-02"), F.lit("new "))).alias("fetched_at", "age"), "o_orderpriority")
+    return extract.with_details(star.listings(spark, sf_dir), versions.select("url", "fetched_at", F.concat("age", "o_orderpriority").alias("body"))).select("seq", "detail")
 
 
-REFERENCES = [("&#8217;&#x1F600;", "’😀"), ("&#65;&#xzz;&#;&#1114112;", "A&#xzz;&#;&#1114112;"), ("a &amp;#38; b", "a &#38; b"), ("&#xD800;&#38;lt;", "&#xD800;&lt;"), ("plain", "plain"), (None, "")]
+@query("SELECT seq, title || ' &#xzz; &#38; &#xD800;' AS stripped FROM listing")
+def numeric_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what is decoded once isn't decoded again, and what names no character stays."""
+    coded = F.replace(F.replace(F.replace("title", F.lit("a"), F.lit("&#97;")), F.lit("e"), F.lit("&#x65;")), F.lit("o"), F.lit("&#X6F;"))
+    return star.listings(spark, sf_dir).select("seq", text.strip_html(F.concat(coded, F.lit("<br>&#xzz; &amp;#38; &#xD800;"))).alias("stripped"))
 
 
-@query("given, stripped", [(g, s) for g, s in REFERENCES])
-def numeric_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """what is decoded once isn't decoded again."""
-    return spark.createDataFrame(REFERENCES, "given string, s string").select("given", text.strip_html(F.col("given")).alias("stripped"))
+CLOCK_SQL = "CAST((o_orderkey * 7) % 1350 AS INT)"
 
 
-CLOCKS = [
-    # text, strict start, strict end, "PT" start, 24 h start, 24 h end
-    ("7 pm – 9:30 pm PT", 1140, 1290, 1140, None, None), ("4–6pm", 1080, None, None, None, None), ("doors 19:00 – 21:30", None, None, None, 1140, 1290), ("at 11 a.m.", 660, None, None, None, None), ("no time", None, None, None, None, None),
-]
+def clock_of(minute: Column, half: bool) -> Column:
+    hour, rest = F.floor(minute / 60).cast("int"), (minute % 60).cast("int")
+    if not half:
+        return F.format_string("%02d:%02d", hour, rest)
+    return F.format_string("%d:%02d %s", (hour + 11) % 12 + 1, rest, F.when(hour < 12, "a.m.").otherwise("pm"))
 
 
-@query("told, start, until, pt_start, day_start, day_end", CLOCKS)
+@query(f"SELECT o_orderkey, m AS start, m + 90 AS until, CASE WHEN o_orderkey % 2 = 0 THEN m END AS pt_start, m AS day_start, m + 90 AS day_end, m AS loose_start, m + 90 AS loose_end FROM (SELECT o_orderkey, {CLOCK_SQL} AS m FROM orders)")
 def strict_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1b."""
-    told = F.col("told")
-    strict, pt, day = dialects.parse_clock_strict(told), dialects.parse_clock_strict(told, "PT", first_only=True), dialects.parse_clock_24(told)
-    rows = spark.createDataFrame([(c[0],) for c in CLOCKS], "told string")
-    return rows.select("told", strict["start"].alias("start"), strict["end"].alias("until"), pt["start"].alias("pt_start"), day["start"].alias("day_start"), day["end"].alias("day_end"))
+    """Times of all orders as ranges with both halves of the day named, with a zone's marker, and by 24 hours."""
+    minute = ((F.col("o_orderkey") * 7) % 1350).cast("int")
+    rows = star.table(spark, sf_dir, "orders").select("o_orderkey", minute.alias("m"))
+    told = F.concat(F.lit("doors "), clock_of(F.col("m"), True), F.lit(" – "), clock_of(F.col("m") + 90, True), F.when(F.col("o_orderkey") % 2 == 0, " PT").otherwise(""))
+    rows = rows.select("o_orderkey", told.alias("told"), F.concat(F.lit("at "), clock_of(F.col("m"), False), F.lit(" – "), clock_of(F.col("m") + 90, False)).alias("day"))
+    strict, pt, day, loose = dialects.parse_clock_strict(F.col("told")), dialects.parse_clock_strict(F.col("told"), r"\s*–.*PT|\s*PT", True), dialects.parse_clock_24(F.col("day")), dialects.parse_clock(F.col("told"))
+    return rows.select(
+        "o_orderkey", strict["start"].alias("start"), strict["end"].alias("until"), pt["start"].alias("pt_start"), day["start"].alias("day_start"), day["end"].alias("day_end"),
+        loose["start"].alias("loose_start"), loose["end"].alias("loose_end"),
+    )
+
+
+# Source settings as data
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source table with a row a venue: its policy for years, how far back a date may lie, its parser and its defaults."""
+    number = F.substr("id", F.lit(2)).cast("int")
+    policies, days = (F.array(*map(F.lit, x)) for x in (dialects.YEAR_POLICIES, (14, 60, 300)))
+    return star.venues(spark, sf_dir).select(
+        F.col("id").alias("venue_id"), F.concat(F.lit("site "), "id").alias("label"), F.when(number % 5 == 0, "screening").otherwise("other").alias("default_event_type"), (number % 3 != 0).alias("reshape"),
+        F.when(number % 2 == 0, "::exh").otherwise("").alias("id_salt"), F.get(policies, number % 4).alias("year_policy"), F.get(days, number % 3).alias("past_days"), F.when(number % 2 == 0, "cards").otherwise("lines").alias("parser"),
+    )
+
+
+POLICY = "['same', 'from_end', 'next_if_past', 'month'][v % 4 + 1]"
+
+
+def year_sql(day: str, own: str = "true") -> str:
+    """A date, a year later if its source's policy moves it."""
+    late = f"(({POLICY} = 'next_if_past' AND DATE '1998-06-17' - {day} > [14, 60, 300][v % 3 + 1]) OR ({POLICY} = 'month' AND month({day}) < 6))"
+    return f"CAST(CASE WHEN {own} AND {late} THEN CAST({day} + INTERVAL 1 YEAR AS DATE) ELSE {day} END AS VARCHAR)"
+
+
+@query(f""", told AS (SELECT seq, CAST(substr(venue_id, 2) AS INT) AS v, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 40 AS b, {landed.LINE} % 3 = 0 AS dated
+            FROM listing JOIN orders ON o_orderkey = CAST(substr(seq, 1, 12) AS BIGINT)),
+        ends AS (SELECT *, CASE WHEN dated THEN b ELSE TRY_CAST('1998' || strftime(b, '-%m-%d') AS DATE) END AS e FROM told),
+        begins AS (SELECT *, TRY_CAST((CASE WHEN {POLICY} = 'from_end' THEN year(e) ELSE 1998 END) || strftime(a, '-%m-%d') AS DATE) AS s FROM ends),
+        wrapped AS (SELECT seq, v, e, dated, CASE WHEN {POLICY} = 'from_end' AND s > e THEN CAST(s - INTERVAL 1 YEAR AS DATE) ELSE s END AS s FROM begins WHERE s IS NOT NULL AND e IS NOT NULL)
+        SELECT seq, {year_sql("s")} AS first, {year_sql("e", "NOT dated")} AS last FROM wrapped""")
+def source_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges without years of all listings, each read by its own source's policy; 29 February has no date in 1998."""
+    rows = star.listings(spark, sf_dir).join(star.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a")), F.substring("seq", 1, 12).cast("long") == F.col("o_orderkey"))
+    until = F.date_add("a", 40)
+    told = F.concat(F.date_format("a", "MMMM d"), F.lit(" – "), F.date_format(until, "MMM d"), F.when(landed.line_of() % 3 == 0, F.date_format(until, ", yyyy")).otherwise(""))
+    documents = rows.select("seq", F.col("venue_id").alias("source_id"), told.alias("told"))
+    known = extract.with_settings(documents, settings(spark, sf_dir))
+    span = dialects.parse_range(F.col("told"), TODAY, F.col("year_policy"), F.col("past_days"))
+    dated = known.select("seq", "told", span["start"].cast("string").alias("first"), span["end"].cast("string").alias("last"))
+    return dated.where(F.col("first").isNotNull() & ~F.col("told").endswith("Feb 29")).select("seq", "first", "last")
+
+
+def read_cards(body: str, url: str) -> Iterator[dict]:
+    """<li data-at="..." data-until="..."><a href="...">title</a> words</li>"""
+    for at, until, href, title, told in regex.findall(r'<li data-at="([^"]*)" data-until="([^"]*)"><a href="([^"]*)">([^<]*)</a>([^<]*)</li>', body):
+        yield {"title": unescape(title), "start": at or None, "end": until or None, "url": href or None, "description": told}
+
+
+def read_lines(body: str, url: str) -> Iterator[dict]:
+    """One JSON object a line; what isn't one is left out."""
+    for line in body.splitlines():
+        if line.startswith("{"):
+            yield json.loads(line)
+
+
+SITE = """CASE WHEN type_known = 'other' AND CAST(substr(venue_id, 2) AS INT) % 5 = 0 THEN 'screening' ELSE type_known END"""
 
 
-YEARS = [
-    # text, as of 2026-11-10: same, more than 300 days back, more than 60 days back, month not past, end's year
-    ("January 5", "2026-01-05", "2027-01-05", "2027-01-05", "2027-01-05", "2026-01-05"), ("August 1", "2026-08-01", "2026-08-01", "2027-08-01", "2027-08-01", "2026-08-01"),
-    ("October 1", "2026-10-01", "2026-10-01", "2026-10-01", "2027-10-01", "2026-10-01"), ("November 1", "2026-11-01", "2026-11-01", "2026-11-01", "2026-11-01", "2026-11-01"),
-    ("December 12 – January 10, 2027", "2026-12-12", "2026-12-12", "2026-12-12", "2026-12-12", "2026-12-12"),
-]
+@query(f"""SELECT {id_sql('venue_id', 's', "title || CASE WHEN kind = 'exhibition' AND CAST(substr(venue_id, 2) AS INT) % 2 = 0 THEN '::exh' ELSE '' END")} AS id, venue_id, title, kind AS event_type, s AS start, e AS "end", url, 'site ' || venue_id AS source,
+        CAST(substr(venue_id, 2) AS INT) % 3 <> 0 AS reshape FROM (SELECT *, {SITE} AS kind FROM (SELECT *, {kind_sql()} AS type_known, {wall_sql("start")} AS s, {wall_sql('"end"')} AS e FROM listing))""")
+def custom_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two forms, each read by the parser that its source's row names, with that row's other settings."""
+    rows = star.listings(spark, sf_dir)
+    cards = F.substr("venue_id", F.lit(2)).cast("int") % 2 == 0
+    start, end, link, told = (F.coalesce(c, F.lit("")) for c in (landed.wall(F.col("start")), landed.wall(F.col("end")), F.col("url"), F.col("description")))
+    card = F.concat(F.lit('<li data-at="'), start, F.lit('" data-until="'), end, F.lit('"><a href="'), link, F.lit('">'), "title", F.lit("</a>"), told, F.lit("</li>"))
+    line = F.to_json(F.struct("title", landed.wall(F.col("start")).alias("start"), landed.wall(F.col("end")).alias("end"), "url", "description"))
+    pages = landed.document(landed.pages(rows, F.when(cards, card).otherwise(line)), "custom", F.concat(F.lit("<html>\n"), F.array_join("items", "\n"), F.lit("\n</html>")))
+    found = extract.custom(extract.with_settings(pages, settings(spark, sf_dir)), {"cards": read_cards, "lines": read_lines})
+    return found.select("id", "venue_id", "title", "event_type", "start", "end", "url", "source", "reshape")
 
 
-@query("told, same, past_300, past_60, month, from_end", YEARS)
-def year_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The start's year, as of 10 November 2026, by each policy."""
-    day = date(2026, 11, 10)
-    of = lambda *a: dialects.parse_range(F.col("told"), day, *a)["start"].cast("string")
-    rows = spark.createDataFrame([(y[0],) for y in YEARS], "told string")
-    return rows.select("told", of().alias("same"), of("next_if_past", 300).alias("past_300"), of("next_if_past", 60).alias("past_60"), of("month").alias("month"), of("from_end").alias("from_end"))
+LATE = "(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL (180 + (o_orderkey * 13) % 1260) MINUTE)"
 
 
-@query("day, wall, constant", [("2026-06-13", "2026-06-13T19:00:00-07:00", "2026-06-13T19:00:00-07:00"), ("2026-12-05", "2026-12-05T19:00:00-08:00", "2026-12-05T18:00:00-08:00"), ("2026-12-06", "2026-12-06", "2026-12-06")])
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(CAST(moment AS DATE) AS VARCHAR) ELSE {iso_sql('moment')} END AS wall,
+        CASE WHEN o_orderkey % 7 = 0 THEN CAST(CAST(moment AS DATE) AS VARCHAR) ELSE {iso_sql(f"(moment - CASE WHEN {winter_sql('CAST(moment AS DATE)')} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END)")} END AS constant FROM (SELECT o_orderkey, {LATE} AS moment FROM orders)""")
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wall clocks, and the constant offset that moves them in winter."""
-    rows = spark.createDataFrame([("2026-06-13", 1140), ("2026-12-05", 1140), ("2026-12-06", None)], "day string, minute int")
-    at, minute = F.col("day").cast("date"), F.col("minute")
-    return rows.select("day", dialects.local_time(at, minute).alias("wall"), dialects.local_time(at, minute, "-07:00").alias("constant"))
+    day, minute = F.col("o_orderdate").cast("date"), F.when(F.col("o_orderkey") % 7 != 0, (180 + (F.col("o_orderkey") * 13) % 1260).cast("int"))
+    return star.table(spark, sf_dir, "orders").select("o_orderkey", dialects.local_time(day, minute).alias("wall"), dialects.local_time(day, minute, "-07:00").alias("constant"))
 
 
-@query("venue_id, title, reason", [("v", "No clock", "dropped (no time)")])
+@query("SELECT venue_id, title, 'dropped (no time)' AS reason FROM listing WHERE start IS NULL OR length(start) = 10")
 def times_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a time become warnings."""
-    rows = spark.createDataFrame([("v", "Talk", 600), ("v", "No clock", None)], "venue_id string, title string, minute int")
-    return dialects.time_required(rows, "minute")[1]
+    """Rows without a time become warnings."""
+    minute = F.when(F.col("start").contains("T"), F.hour(F.substring("start", 12, 8).try_cast("timestamp")) * 60)
+    return dialects.time_required(star.listings(spark, sf_dir).withColumn("minute", minute), "minute")[1]

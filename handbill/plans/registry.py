@@ -644,7 +644,5 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.carry_forward(rows, "doc_id", "pos", "section")
 
 
-from handbill.plans import extraction  # noqa: E402
-
-QUERIES |= extraction.QUERIES
-SQL |= extraction.SQL
+# They register themselves.
+from handbill.plans import extraction  # noqa: E402, F401

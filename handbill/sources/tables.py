@@ -96,7 +96,11 @@ def raw_documents(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """How one source is read: the extension point of the engine."""
+    """How one source is read: the extension point of the engine.
+
+    ``year_policy`` and ``past_days`` tell dialects.parse_range() what to do about years that its pages lack;
+    ``parser`` names the function that extract.custom() reads its pages with.
+    """
 
     venue_id: str
     label: str
@@ -104,11 +108,12 @@ class Source:
     reshape: bool = True
     id_salt: str = ""
     year_policy: str = "same"
-    parser: str = "jsonld"
+    past_days: int = 14
+    parser: str = ""
 
 
 def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    schema = "venue_id string, label string, default_event_type string, reshape boolean, id_salt string, year_policy string, parser string"
+    schema = "venue_id string, label string, default_event_type string, reshape boolean, id_salt string, year_policy string, past_days int, parser string"
     return spark.createDataFrame([tuple(asdict(s).values()) for s in sources], schema)
 
 
