@@ -8,12 +8,12 @@ the current time as an argument.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from handbill.functions import vocab
+from handbill.functions import freeform, vocab
 from handbill.functions.text import let, missing
 
 NTZ = "timestamp_ntz"
@@ -71,22 +71,24 @@ def seconds(at: Column) -> Column:
     return let(at, lambda t: F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
 
 
-def to_local_iso(text: Column) -> Column:
+def to_local_iso(text: Column, as_of: date | None = None) -> Column:
     """ISO text in local time: dates stay, midnight in its own zone becomes a date, times get the local offset.
 
-    Also reads "Month d, yyyy", "Mon d, yyyy", "m/d/yyyy" and mail dates. Null if unreadable. At the end of
-    daylight saving an ambiguous local time without offset is standard time.
+    Also reads "Month d, yyyy", "Mon d, yyyy", "m/d/yyyy" and mail dates, and with ``as_of`` whatever
+    freeform.parse_date() does. Null if unreadable. At the end of daylight saving an ambiguous local time
+    without offset is standard time.
     """
     bare = F.regexp_replace(F.trim(text), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    return let(let(bare, as_iso), as_local)
+    read = let(bare, as_iso)
+    return let(read if as_of is None else F.coalesce(read, freeform.parse_date(text, as_of)), as_local)
 
 
 def as_iso(bare: Column) -> Column:
     """A date or time in any of the forms that to_local_iso() reads, as ISO text with its own offset if it has one."""
-    date = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")])
+    day = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy")])
     mail = mail_date(bare)
     iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"), F.replace(bare, F.lit(" "), F.lit("T")))
-    return F.coalesce(iso, mail, F.date_format(date, "yyyy-MM-dd"))
+    return F.coalesce(iso, mail, F.date_format(day, "yyyy-MM-dd"))
 
 
 def as_local(whole: Column) -> Column:

@@ -177,21 +177,28 @@ def archive_order(order: tuple[str, ...] = ("seq",)) -> list[Column]:
     return [dates.wall(F.col("start")).desc_nulls_first(), *[F.col(c).desc() for c in order]]
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """``rows`` with their place in the whole order, from 1 on, without one task for all rows.
+def numbered(rows: DataFrame, order: list[Column], name: str = "place", within: str | None = None) -> DataFrame:
+    """``rows`` with their place in the order, from 1 on, without one task for all rows.
 
-    Rows are dealt by ranges of ``order``, which must tell all rows apart; a
-    place is the number of rows in earlier ranges plus the place within its own.
+    With ``within`` (a column) places are counted in each of its values, also
+    without one task for a value that very many rows have. Rows are dealt by ranges
+    of ``within`` and ``order``, which must tell all rows apart. A place is that
+    among the rows of the same value in its own range, and how many of them earlier ranges have.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    keys = [within] if within else []
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     # Ranges are sampled anew whenever they are computed, so they are kept.
     kept = storage.kept(ranged)
-    counts = kept.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row a range.
-    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    placed = kept.withColumn(name, within).join(F.broadcast(before), F.col("_range") == F.col("_r"))
-    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_r", "_before")
+    counts = kept.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # A row a range and value; only the value that a range begins with can have rows in earlier ones: a row a range at most.
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_{k}") for k in keys], F.sum("_n").over(earlier).alias("_before")).where("_before > 0")
+    place = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    placed = kept.withColumn(name, place).join(F.broadcast(before), same, "left")
+    return placed.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_r", "_before", *[f"_{k}" for k in keys])
 
 
 def day_of(now: datetime) -> Column:
@@ -202,11 +209,15 @@ def day_of(now: datetime) -> Column:
 
 
 def day_groups(listings: DataFrame, now: datetime, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """``listings`` with day and ``place`` in it: blocks of venues by earliest start, then by start."""
+    """``listings`` with day and ``place`` in it: blocks of venues by earliest start, then by start.
+
+    Today holds all that is running, so a day may be many ranges of rows; ``order`` must tell a venue's rows apart.
+    """
     placed = listings.withColumns({"day": day_of(now), "_at": dates.wall(F.col("start"))})
-    first = F.min("_at").over(Window.partitionBy("day", "venue_id"))
-    within = Window.partitionBy("day").orderBy(F.col("_first").asc_nulls_last(), "venue_id", F.col("_at").asc_nulls_last(), *order)
-    return placed.withColumn("_first", first).withColumn("place", F.row_number().over(within)).drop("_at", "_first")
+    firsts = placed.groupBy(F.col("day").alias("_d"), F.col("venue_id").alias("_v")).agg(F.min("_at").alias("_first"))
+    known = placed.join(firsts, F.col("day").eqNullSafe(F.col("_d")) & F.col("venue_id").eqNullSafe(F.col("_v"))).drop("_d", "_v")
+    within = [F.col("_first").asc_nulls_last(), F.col("venue_id").asc(), F.col("_at").asc_nulls_last(), *map(F.col, order)]
+    return numbered(known, within, within="day").drop("_at", "_first")
 
 
 def next_per_venue(listings: DataFrame, k: int = 3, order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -245,3 +256,13 @@ def regions_of(points: DataFrame, lng: str = "lng", lat: str = "lat") -> DataFra
         inside = (F.col(lng) >= w) & (F.col(lng) < e) & (F.col(lat) >= s) & (F.col(lat) < n)
         region = F.when(inside, name).otherwise(region)
     return points.withColumn("region", region)
+
+
+def venue_listings(listings: DataFrame, venues: DataFrame, now: datetime, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Known venues' listings that aren't over, with ``kind`` (event or exhibition) and ``place`` among those of the venue and kind, by start.
+
+    A venue may have very many; places are counted by ranges of the whole order.
+    """
+    rows = with_venues(listings, venues).where(is_upcoming(F.col("start"), F.col("end"), now))
+    kinds = rows.withColumn("kind", F.when(F.col("event_type") == "exhibition", "exhibition").otherwise("event"))
+    return numbered(kinds.withColumn("_list", F.struct("venue_id", "kind")), by_start(order), within="_list").drop("_list")

@@ -72,9 +72,10 @@ def dedupe_richest(listings: DataFrame, key: str = "id", order: tuple[str, ...]
     Spark keeps the first row of each key in every task before the shuffle, so a
     key that very many rows share sends one row a task.
     """
-    rows = listings.where(~text.missing(F.col(key))).withColumn("_poor", -richness(listings))
     first = F.row_number().over(Window.partitionBy(key).orderBy("_poor", *order))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_first", "_poor")
+    ranked = listings.withColumn("_poor", -richness(listings)).withColumn("_first", first).where("_first <= 1")
+    # Of the first row alone: as a condition on all rows, the making of the key would be repeated in the joins below.
+    return ranked.where(F.when(F.col("_first") <= 1, ~text.missing(F.col(key)))).drop("_first", "_poor")
 
 
 def dedupe_venues(venues: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

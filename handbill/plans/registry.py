@@ -645,4 +645,4 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # They register themselves.
-from handbill.plans import extraction  # noqa: E402, F401
+from handbill.plans import extraction, state  # noqa: E402, F401

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from handbill.operators.write_side import dedupe_richest
+from handbill.sources.buckets import BucketedTable
 from handbill.sources.tables import RAW_DOCUMENT
 
 
@@ -31,15 +32,34 @@ def hourly_counts(stream: DataFrame, time: str = "ts", delay: str = "1 hour") ->
     )
 
 
-def merge_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps at ``path``/<version> the richest record of each id over all batches; a batch that comes again changes nothing."""
+def sliding_counts(rows: DataFrame, key: str, time: str = "ts", width: str = "1 hour", slide: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """(start, end, key, n): rows in each window of ``width`` that begins every ``slide``; a table, or a stream with late rows up to ``delay``."""
+    windows = rows.withWatermark(time, delay).groupBy(F.window(time, width, slide).alias("_w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return windows.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), key, "n")
+
+
+def sessions(rows: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", delay: str = "1 hour", **measures: Column) -> DataFrame:
+    """(key, start, last, n, *measures): runs of a key's rows that are never more than ``gap`` apart.
+
+    A table, or a stream: there a late row within ``delay`` may join two sessions
+    into one, and a session is given once no row can reach it any more. Rows
+    without a time belong to none.
+    """
+    grouped = rows.where(F.col(time).isNotNull()).withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("_w"), key)
+    found = grouped.agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("last"), *[c.alias(k) for k, c in measures.items()])
+    return found.select(key, F.col("_w.start").alias("start"), "last", "n", *measures)
+
+
+def merge_batches(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Keeps at ``path`` the richest record of each id over all batches, as a BucketedTable.
+
+    A batch rewrites the buckets that it touches; the newest ``keep`` versions stay. A batch that comes again changes nothing.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = spark.read.parquet(f"{path}/{batch_id - 1}").unionByName(batch)
-        dedupe_richest(rows).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        table = BucketedTable(batch.sparkSession, path, "id", buckets)
+        table.merge(batch, dedupe_richest, batch_id)
+        table.expire(keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
