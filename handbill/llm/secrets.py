@@ -28,11 +28,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 KEY = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|private[ _-]?key|credentials?|bearer|auth)["']?"""
 SIGN = r"""\x20*(?:=>|->|:=|[:=])\x20*"""
-#: A value in any of these contexts is judged by its guess cost. The first group that matched is the value; another key isn't one.
-CONTEXT = re.compile(
-    rf"""{KEY}(?:{SIGN}|\x20+is\x20+|\x20+)["']?(?!{KEY}{SIGN})([^\s"'<>,;]{{8,}})|://[^\s/:@]+:([^\s/@]{{8,}})@""",
-    re.ASCII | re.IGNORECASE,
-)
+#: Behind any of these stands a value that is judged by its guess cost, up to VALUE's end; another key isn't one.
+CONTEXT = re.compile(rf"""{KEY}(?:{SIGN}|\x20+is\x20+|\x20+)["']?(?!{KEY}{SIGN})(?=[^\s"'<>,;])""", re.ASCII | re.IGNORECASE)
+VALUE = re.compile(r"""[^\s"'<>,;]+""", re.ASCII)
+#: The password of an address is judged too.
+ADDRESS = re.compile(r"://[^\s/:@]+:([^\s/@]+)@", re.ASCII)
 HINTS = ("pass", "pwd", "secret", "token", "api", "private", "credential", "bearer", "auth", "://")
 BASE_HINTS = ("passw", "secret", "token", "api")
 #: log10 of the guesses from which on a value counts as a secret.
@@ -58,8 +58,8 @@ MIN_DOCUMENTS = 5
 WORD_CHARS = (3, 24)
 #: A word of any language, as far as letters tell: never five ASCII consonants in a row.
 WORDLIKE = re.compile(r"(?!.*[b-df-hj-np-tv-xz]{5})[^\W\d_](?:[a-z'-]|[^\W\d_\x00-\x7f])*")
-#: Characters up to which every repeat in a value is looked at, and of the longest unit beyond that.
-SHORT, UNIT = 256, 128
+#: Characters of the longest unit whose repeats are tried, and how often at most unless to the end of its run.
+UNIT, TIMES = 128, 8
 #: Letters that digits and signs stand for.
 LEET = str.maketrans("4301$5@7!8", "aeoissatib")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -97,93 +97,102 @@ def case_cost(word: str) -> float:
     return 0.0 if word == word.lower() else 0.3 if word in (word.capitalize(), word.upper()) else 0.7
 
 
-def segments(value: str, words: dict[str, int], longest: int) -> Iterator[tuple[int, int, float]]:
-    """(start, end, cost) of each span that an attacker tries as one: words, dates, repeats, keyboard walks, single characters.
+#: Characters of the longest keyboard walk that is cheaper than GUESSES; a longer one is no way to a cheap value.
+WALK = 66
+
+
+def suffix_costs(value: str, words: dict[str, int], longest: int) -> list[float]:
+    """log10 of the guesses that the cheapest segmentation of value[i:] needs, for each i, by dynamic programming from the end.
 
-    Walks may have any length.
+    A segment is what an attacker tries as one: a word, a date, a repeat, a
+    keyboard walk of up to WALK characters, a single character. What a segment costs
+    depends on its own characters alone, so one pass serves every end of the value.
     """
     n, low = len(value), value.lower()
     if len(low) != n:  # lowering may lengthen a text; then its letters are taken as they are
         low = value
     plain = low.translate(LEET)
-    spent = [0.0]
-    for c in value:
-        spent.append(spent[-1] + math.log10(alphabet(c)))
-    for i in range(n):
-        yield i, i + 1, spent[i + 1] - spent[i]
+    single = [math.log10(alphabet(c)) for c in value]
+    repeated: list[list[tuple[int, int]]] = [[] for _ in value]
+    for start, unit, times in repeats(value):
+        repeated[start].append((unit, times))
+    units: dict[str, float] = {}
+    best = [math.inf] * n + [0.0]
+    walk = n  # where a walk that starts at i ends
+    for i in range(n - 1, -1, -1):
+        least = single[i] + best[i + 1]
         for end in range(i + 2, min(i + longest, n) + 1):
             rank = words.get(plain[i:end]) or words.get(low[i:end])
             if rank is not None:
-                yield i, end, math.log10(rank + 1) + case_cost(value[i:end]) + 0.7 * (low[i:end] != plain[i:end])
-        for pattern, cost in DATES:
-            if m := pattern.match(value, i):
-                yield i, m.end(), cost
-        walk = i + 1
-        while walk < n and low[walk] in BESIDE.get(low[walk - 1], ()):
-            walk += 1
-            if walk - i >= 3:
-                # Where it starts, how long it is, and which of a few ways it turns at each step.
-                yield i, walk, math.log10(len(BESIDE) * (walk - i)) + 0.1 * (walk - i)
-    units: dict[str, float] = {}
-    for start, unit, times in repeats(value):
-        one = value[start : start + unit]
-        if one not in units:  # the unit itself at its least cost
-            units[one] = spent[start + unit] - spent[start] if unit < 3 else guess_cost(one, words, longest)
-        yield start, start + unit * times, units[one] + math.log10(times)
+                least = min(least, math.log10(rank + 1) + case_cost(value[i:end]) + 0.7 * (low[i:end] != plain[i:end]) + best[end])
+        if value[i] in "0123":
+            for pattern, cost in DATES:
+                if m := pattern.match(value, i):
+                    least = min(least, cost + best[m.end()])
+        if i + 1 < n and low[i + 1] not in BESIDE.get(low[i], ()):
+            walk = i + 1
+        for end in range(i + 3, min(walk, i + WALK) + 1):
+            # Where it starts, how long it is, and which of a few ways it turns at each step.
+            least = min(least, math.log10(len(BESIDE) * (end - i)) + 0.1 * (end - i) + best[end])
+        for unit, times in repeated[i]:
+            one = value[i : i + unit]
+            if one not in units:  # the unit itself at its least cost
+                units[one] = sum(single[i : i + unit]) if unit < 3 else suffix_costs(one, words, longest)[0]
+            least = min(least, units[one] + math.log10(times) + best[i + unit * times])
+        best[i] = least
+    return best
 
 
 def repeats(value: str) -> Iterator[tuple[int, int, int]]:
-    """(start, unit, times) of the repeats in a value: three times or more for one character, else twice or more.
+    """(start, unit, times) of the repeats in a value of any length: units of up to UNIT characters, TIMES times at most or to the end of their run.
 
-    A unit that repeats within itself is none; the shorter one stands for it.
-    Up to SHORT characters these are all there are. In a longer value units have
-    UNIT characters at most, or repeat over all of it, and only the longest run from each start is one.
+    One character repeats three times or more, else twice is enough. A unit that
+    repeats within itself is none; the shorter one stands for it.
     """
     n = len(value)
-    whole = lambda unit: (unit + unit).find(unit, 1) == len(unit)
-    if n <= SHORT:
-        for unit in range(1, n // 2 + 1):
-            same, least = 0, max(unit, 2)  # characters from a start on that equal those ``unit`` later
-            for start in range(n - unit - 1, -1, -1):
-                same = same + 1 if value[start] == value[start + unit] else 0
-                if same == least:
-                    single = whole(value[start : start + unit])
-                if same >= least and single:
-                    for times in range(3 if unit == 1 else 2, same // unit + 2):
-                        yield start, unit, times
-        return
     codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for unit in range(1, UNIT + 1):
-        unlike = np.concatenate([[-1], np.flatnonzero(codes[:-unit] != codes[unit:]), [n - unit]])
-        least = max(unit, 2)
-        for at in np.flatnonzero(np.diff(unlike) > least).tolist():
-            first, last = int(unlike[at]) + 1, int(unlike[at + 1])
-            if whole(value[first : first + unit]):
-                for start in range(first, last - least + 1):
-                    yield start, unit, (last - start) // unit + 1
-    # The whole value as repeats of a longer unit: its least period, by the lengths of borders.
-    border, borders = 0, [0]
-    for c in value[1:]:
-        while border and c != value[border]:
-            border = borders[border - 1]
-        border += c == value[border]
-        borders.append(border)
-    period = n - border
-    if period > UNIT and n % period == 0 and period < n:
-        yield 0, period, n // period
+    for unit in range(1, min(UNIT, n // 2) + 1):
+        if n < 64:  # for short values a loop is faster
+            unlike = [-1, *(i for i in range(n - unit) if value[i] != value[i + unit]), n - unit]
+            runs = [(a + 1, b) for a, b in zip(unlike, unlike[1:]) if b - a > max(unit, 2)]
+        else:
+            unlike = np.concatenate([[-1], np.flatnonzero(codes[:-unit] != codes[unit:]), [n - unit]])
+            at = np.flatnonzero(np.diff(unlike) > max(unit, 2))
+            runs = zip((unlike[at] + 1).tolist(), unlike[at + 1].tolist())
+        for first, last in runs:
+            one = value[first : first + unit]
+            if (one + one).find(one, 1) < unit:
+                continue
+            for start in range(first, last - max(unit, 2) + 1):
+                most = (last - start) // unit + 1
+                for times in range(3 if unit == 1 else 2, min(most, TIMES + 1)):
+                    yield start, unit, times
+                yield start, unit, most
 
 
 def guess_cost(value: str, words: dict[str, int] | None = None, longest: int | None = None) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` needs, by dynamic programming over the ends of segments."""
+    """log10 of the guesses that the cheapest segmentation of ``value`` needs."""
     words = WORDS if words is None else words
-    best = [0.0] + [math.inf] * len(value)
-    ahead: list[list[tuple[int, float]]] = [[] for _ in value]
-    for start, end, cost in segments(value, words, longest or max(map(len, words), default=0)):
-        ahead[start].append((end, cost))
-    for start, spans in enumerate(ahead):
-        for end, cost in spans:
-            best[end] = min(best[end], best[start] + cost)
-    return best[-1]
+    return suffix_costs(value, words, longest or max(map(len, words), default=0))[0]
+
+
+class Values:
+    """The values of a text. A value ends where its run of characters does, so all that start in one run are costed together, once."""
+
+    def __init__(self, text: str, words: dict[str, int] | None, longest: int | None) -> None:
+        self.text, self.words = text, WORDS if words is None else words
+        self.longest = longest or max(map(len, self.words), default=0)
+        self.start, self.run_end, self.end, self.costs, self.last = 0, 0, 0, [0.0], -1
+
+    def at(self, start: int) -> tuple[int, float]:
+        """(end, cost) of the value from ``start`` on, without marks at its end; ``last`` is the place of its last letter or digit."""
+        if not self.start <= start < self.run_end:
+            run = VALUE.match(self.text, start)
+            value = run.group().rstrip(".!?)")
+            self.start, self.run_end, self.end = start, run.end(), start + len(value)
+            self.last = start + max((i for i in range(len(value) - 1, -1, -1) if value[i].isalnum()), default=-1)
+            self.costs = suffix_costs(value, self.words, self.longest)
+        return max(start, self.end), self.costs[min(start, self.end) - self.start]
 
 
 def scan(text: str | None, words: dict[str, int] | None = None, longest: int | None = None) -> list[tuple[str, int, int]]:
@@ -201,17 +210,24 @@ def scan(text: str | None, words: dict[str, int] | None = None, longest: int | N
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS):
-        at = 0
-        while m := CONTEXT.search(text, at):
-            group = 1 if m.group(1) is not None else 2
-            value = m.group(group).rstrip(".!?)")
-            # After a mere space or "is" prose may follow: there a value that reads like a word isn't judged.
-            signed = group == 2 or any(c in "=:>" for c in text[m.start() : m.start(group)])
-            if any(map(str.isalnum, value)) and (signed or not WORDLIKE.fullmatch(value)) and guess_cost(value, words, longest) >= GUESSES:
-                out.append(("guess", m.start(group), m.start(group) + len(value)))
-                at = m.end()
+        values, at = Values(text, words, longest), 0
+        key, address = CONTEXT.search(text), ADDRESS.search(text)
+        while key or address:
+            if key and not (address and address.start() < key.start()):
+                start, (end, cost) = key.end(), values.at(key.end())
+                # After a mere space or "is" prose may follow: there a value that reads like a word isn't judged.
+                signed = any(c in "=:>" for c in key.group())
+                judged = signed or (start <= values.last and not WORDLIKE.fullmatch(text, start, end))
+                past = values.run_end
             else:
-                at = m.start(group)  # a rejected value may hold the next key
+                start, end, past, judged = *address.span(1), address.end(), True
+                cost = guess_cost(text[start:end], values.words, values.longest)
+            found = judged and cost >= GUESSES
+            if found:
+                out.append(("guess", start, end))
+            at = past if found else start  # a rejected value may hold the next key
+            key = CONTEXT.search(text, at) if key and key.start() < at else key
+            address = ADDRESS.search(text, at) if address and address.start() < at else address
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import pytest
 
@@ -75,6 +76,34 @@ def test_long_values_are_costed_whole():
     assert secrets.scan(f"secret={value}")[-1] == ("guess", 7, 100_007)
 
 
+@pytest.mark.parametrize("value", ["!@$%^&*", "k#9$x!", "Zq7#vT2!kf"])
+def test_short_values_are_costed(value):
+    assert bool(guesses(f"pwd={value}")) == (secrets.guess_cost(value) >= secrets.GUESSES)
+    assert guesses("pwd=!@$%^&*") == ["!@$%^&*"]
+
+
+def test_hostile_texts_take_linear_time():
+    """Each value is costed once, however many keys its run holds; keys are looked for once."""
+    for text in ("pass:x" * 20_000, "pass:k7Q#" * 10_000, "token: " + "ab1" * 30_000, "password=password=" * 5_000, "pass" + " " * 100_000 + "pass:", "secret=" + "qw" * 40_000, "://a:" * 20_000):
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 20, text[:20]
+
+
+def test_a_later_key_in_the_run_of_a_cheap_value_is_found():
+    assert guesses("pass:changeme;pwd:Xk93$vTq2zR") == ["Xk93$vTq2zR"]
+    assert guesses("token=aaaa/password=Xk93$vTq2zR")[-1].endswith("Xk93$vTq2zR")
+    costs = secrets.suffix_costs("monkey1999aaaaaZq7", secrets.WORDS, max(map(len, secrets.WORDS)))
+    assert all(c == pytest.approx(brute_cost("monkey1999aaaaaZq7"[i:])) for i, c in enumerate(costs[:-1]) if i > 4)
+
+
+def test_a_unit_is_known_whatever_the_length_of_the_value():
+    """Repeats of one unit cost the same shape at every size: a switch by length would show here."""
+    unit = "kqzvxwpjhgtymnbrd7Q#" * 3
+    costs = [secrets.guess_cost(unit * n) - math.log10(n * 3) for n in (1, 2, 4, 5, 9, 30)]
+    assert max(costs) - min(costs) < 1e-9
+
+
 def test_words_of_the_corpus_are_no_secrets(spark):
     rows = [(i, f"note {i}: zyxgarten und qvwkessel stehen hier") for i in range(8)] + [(100, "passphrase: zyxgartenqvwkessel"), (101, "passphrase: kqzvxwpjhgtymnbrd"), (None, None)]
     rows += [(200 + i, "copies of one text hold mnbkqzwxvjp") for i in range(9)] + [(300, "pwd=mnbkqzwxvjp")]
