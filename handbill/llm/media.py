@@ -89,8 +89,15 @@ def write_media(payload: bytes) -> bytes:
     return head(len(head(0))) + payload
 
 
+#: Boxes around the innermost one that walk() opens: sample entries, the deepest that are read, have six.
+DEEPEST = 16
+
+
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of the body of each box, parents before children. A box that overruns its parent ends the walk there."""
+    """(path, start, end) of the body of each box, parents before children. A box that overruns its parent ends the walk there.
+
+    No table that counts lies below DEEPEST boxes; what nests deeper is passed over as a whole.
+    """
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -101,7 +108,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if stop > end or stop < body:
             return
         yield (*path, kind), body, stop
-        if kind in CONTAINERS:
+        if kind in CONTAINERS and len(path) < DEEPEST:
             yield from walk(data, body, stop, (*path, kind))
         start = stop
 

@@ -84,3 +84,12 @@ def test_index_replaces_columns_of_its_names(spark):
     stored = media.store(rows).withColumn("codec", F.lit("old"))
     assert [r.codec for r in media.index(stored).collect()] == ["raw "] * 3
     assert media.index(stored.where("false")).count() == 0
+
+
+def test_any_number_of_nested_boxes():
+    """A file of boxes in boxes has no track, however deep it goes."""
+    depth = 100_000
+    data = b"".join(struct.pack(">I4s", 8 * (depth - i), b"moov") for i in range(depth))
+    found = media.describe(data)
+    assert found["codec"] is None and found["keyframes"] == [] and found["media_bytes"] == 8 * depth
+    assert len(list(media.walk(data))) == media.DEEPEST + 1
