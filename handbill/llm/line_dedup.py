@@ -102,16 +102,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row stays, one for one, even when all its lines go (its text is then
     empty). A column of ``docs`` named n_lines or n_dropped is replaced.
     """
-    maps = keep_bitmaps(docs, id_col, text_col, **params).select(
-        F.col("doc_id").alias("_map_id"), F.col("row_key").alias("_map_key"), F.col("n_dropped").alias("_map_n"), F.col("keep").alias("_map_keep")
-    )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_row_key", F.xxhash64(text))
-    joined = rows.join(maps, (F.col("_row_key") == F.col("_map_key")) & F.col(id_col).eqNullSafe(F.col("_map_id")), "left")
-    return joined.withColumns(
-        {
-            text_col: kept_text(text, F.col("_map_keep")),
-            "n_lines": F.size(F.split(text, "\n", -1)).cast("long"),
-            "n_dropped": F.coalesce("_map_n", F.lit(0).cast("long")),
-        }
-    ).drop("_row_key", "_map_id", "_map_key", "_map_n", "_map_keep")
+    maps = keep_bitmaps(docs, id_col, text_col, **params).select(F.col("doc_id").alias("map_id"), F.col("row_key").alias("map_key"), F.col("n_dropped").alias("map_n"), "keep")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("row_key"))
+    joined = rows.join(maps, (F.col("row_key") == F.col("map_key")) & F.col("id").eqNullSafe(F.col("map_id")), "left")
+    kept = kept_text(F.col("text"), F.col("keep")).alias(text_col)
+    return joined.select(
+        *[kept if c == text_col else F.col("row").getField(c).alias(c) for c in names],
+        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce("map_n", F.lit(0).cast("long")).alias("n_dropped"),
+    )

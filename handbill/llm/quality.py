@@ -215,12 +215,11 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     The verdicts are computed once a row and joined back by id and text; equal
     rows have equal verdicts. A column of ``docs`` may have any name.
     """
-    own = "_row_key"
-    while own in docs.columns:
-        own += "_"
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(lang_col).cast("string"))
-    rows = docs.withColumn(own, key)
-    verdicts = quality(rows, id_col, text_col, lang_col, carry=(own,), **limits).where("kept")
-    verdicts = verdicts.select(F.col("doc_id").alias("kept id"), F.col(own).alias("kept key")).distinct()
-    same = (F.col(own) == F.col("kept key")) & F.col(id_col).eqNullSafe(F.col("kept id"))
-    return rows.join(verdicts, same, "left_semi").drop(own)
+    named = {"id": id_col, "text": text_col, "lang": lang_col}
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`").alias(k) for k, c in named.items()])
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string")))
+    verdicts = quality(rows, "id", "text", "lang", carry=("key",), **limits).where("kept")
+    verdicts = verdicts.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    return rows.join(verdicts, same, "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

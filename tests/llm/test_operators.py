@@ -359,3 +359,16 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
 
 def test_registered_queries_have_the_columns_asked_for():
     assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1]))] == [f"op{n}" for n in range(1, 14)]
+
+
+def test_columns_of_any_name_go_through(spark):
+    names = ["row", "_row_key", "row_key", "_map_id", "map_id", "map_key", "keep", "kept id", "kept_id", "key", "id", "a.b", "n_words", "words"]
+    rows = [(i, LINE + "\n" + " ".join(f"word{k}" for k in range(60)) + f" own{i}", "en", *[f"{n} {i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    deduped = line_dedup.dedup_lines(docs)
+    assert deduped.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in deduped.collect()}
+    assert [got[i].n_dropped for i in range(4)] == [1 + (i == -1) for i in range(3)] + [0]
+    assert all(got[i][n] == f"{n} {i}" for i in range(4) for n in names)
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows)
