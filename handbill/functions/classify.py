@@ -19,9 +19,14 @@ def infer_type(title: Column, description: Column, default: Column | str = "othe
     return found
 
 
-def infer_all(title: Column, description: Column) -> Column:
-    """All types whose words occur, in the order of the patterns."""
-    text = F.lower(described(title, description))
+def words_text(title: Column, description: Column) -> Column:
+    """What types are inferred from; best as a column of its own, as each pattern names it."""
+    return F.lower(described(title, description))
+
+
+def infer_all(title: Column, description: Column, text: Column | None = None) -> Column:
+    """All types whose words occur, in the order of the patterns. ``text`` is words_text() where a column holds it."""
+    text = words_text(title, description) if text is None else text
     return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(k)) for k, p in vocab.TYPE_PATTERNS]))
 
 

@@ -68,7 +68,7 @@ def duration_seconds(start: Column, end: Column) -> Column:
 
 def seconds(at: Column) -> Column:
     """Seconds of wall fields since 1970, whatever the session's time zone."""
-    return let(at, lambda t: F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+    return (at - F.lit("1970-01-01").cast(NTZ)).cast("interval second").cast("bigint")
 
 
 def to_local_iso(text: Column, as_of: date | None = None) -> Column:

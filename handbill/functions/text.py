@@ -105,15 +105,12 @@ def ics_escape(text: Column) -> Column:
 
 def ics_fold(line: Column, octets: int = 74) -> Column:
     """Folds a line at ``octets`` UTF-8 octets; each continuation starts with a space and no character is split."""
-    step = lambda a, ch: F.when(
-        F.octet_length(a["cur"]) + F.octet_length(ch) > octets,
-        F.struct(F.concat(a["out"], a["cur"], F.lit("\r\n")).alias("out"), F.concat(F.lit(" "), ch).alias("cur")),
-    ).otherwise(F.struct(a["out"].alias("out"), F.concat(a["cur"], ch).alias("cur")))
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("cur"))
-    walked = F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), start, step, lambda a: F.concat(a["out"], a["cur"]))
-    # A line of ASCII is cut at fixed widths.
-    cut = F.concat(F.substring(line, 1, octets), F.regexp_replace(F.substr(line, F.lit(octets + 1)), f"(?s)(.{{1,{octets - 1}}})", "\r\n $1"))
-    return F.when(F.octet_length(line) <= octets, line).when(F.octet_length(line) == F.length(line), cut).otherwise(walked)
+    # A letter for each octet: then patterns count octets, and 80 to BF are those that no cut may stand before.
+    each = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    head = F.regexp_extract(each, f"(?s)^.{{1,{octets}}}(?![\\x80-\\xBF])", 0)
+    rest = F.regexp_replace(F.substr(each, F.length(head) + 1), f"(?s)(.{{1,{octets - 1}}})(?![\\x80-\\xBF])", "\r\n $1")
+    folded = F.decode(F.encode(F.concat(head, rest), "ISO-8859-1"), "UTF-8")
+    return F.when(F.octet_length(line) <= octets, line).otherwise(folded)
 
 
 def host(url: Column) -> Column:

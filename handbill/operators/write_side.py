@@ -22,7 +22,8 @@ def normalize(raw: DataFrame) -> DataFrame:
     given = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     title, description = F.col("title"), F.col("description")
     paid = price.resolve_price(title, description, F.col("is_free"), F.col("price_text"), given("offers"), given("cost"))
-    out = raw.withColumn("_inferred", classify.infer_all(title, description)).withColumns(
+    out = raw.withColumn("_words", classify.words_text(title, description))
+    out = out.withColumn("_inferred", classify.infer_all(title, description, F.col("_words"))).drop("_words").withColumns(
         {
             "event_types": classify.final_types(F.col("event_type"), F.col("event_types"), F.col("_inferred")),
             "audience": F.when(F.size("audience") > 0, F.col("audience")).otherwise(classify.infer_audience(title, description)),
@@ -41,7 +42,12 @@ def reshape(listings: DataFrame) -> DataFrame:
 
     Rows of a source that bypasses this (a column ``reshape`` that is false) stay as they are.
     """
-    timed = listings.withColumn("_spent", dates.duration_seconds(F.col("start"), F.col("end")))
+    # Instants and wall fields are columns first: each is named more than once.
+    read = {f"_{c}_{k}": f(F.col(c)) for c in ("start", "end") for k, f in (("at", dates.gate_instant), ("wall", dates.wall))}
+    mixed = dates.is_date(F.col("start")) != dates.is_date(F.col("end"))
+    between = lambda k: dates.seconds(F.col(f"_end_{k}")) - dates.seconds(F.col(f"_start_{k}"))
+    known = ~text.missing(F.col("start")) & ~text.missing(F.col("end"))
+    timed = listings.withColumns(read).withColumn("_spent", F.when(known, F.when(mixed, between("wall")).otherwise(between("at")))).drop(*read)
     spent = F.col("_spent")
     exhibition = F.col("event_type") == "exhibition"
     endless = F.coalesce(spent > vocab.PERMANENT_DAYS * 86400, F.lit(False))

@@ -176,7 +176,8 @@ def infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20, F20b."""
     rows = star.listings(spark, sf_dir)
-    rows = rows.select("seq", "event_type", "event_types", classify.infer_all(F.col("title"), F.col("description")).alias("kinds"))
+    rows = rows.select("seq", "event_type", "event_types", classify.words_text(F.col("title"), F.col("description")).alias("words"))
+    rows = rows.select("seq", "event_type", "event_types", classify.infer_all(F.lit(None), F.lit(None), F.col("words")).alias("kinds"))
     final = classify.final_types(F.col("event_type"), F.col("event_types"), F.col("kinds"))
     return rows.select("seq", F.array_join("kinds", ",").alias("kinds"), F.array_join(final, ",").alias("final"))
 
@@ -571,7 +572,28 @@ def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(read_side.is_upcoming(F.col("start"), F.col("end"), NOW))
 
 
-@query()
+def escaped_sql(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), ';', chr(92) || ';'), ',', chr(92) || ','), chr(10), chr(92) || 'n')"
+
+
+def folded_sql(c: str, octets: int = 74) -> str:
+    """A line folded at octets, character by character."""
+    step = f"CASE WHEN a.n + x.n > {octets} THEN {{'n': 1 + x.n, 'out': a.out || chr(13) || chr(10) || ' ' || x.out}} ELSE {{'n': a.n + x.n, 'out': a.out || x.out}} END"
+    return f"CASE WHEN octet_length(encode({c})) <= {octets} THEN {c} ELSE list_reduce(list_transform(string_split({c}, ''), lambda x: {{'n': CAST(octet_length(encode(x)) AS BIGINT), 'out': x}}), lambda a, x: {step}).out END"
+
+
+HEAD = "concat_ws(' · ', v.name, price_text, url)"
+
+
+@query(f""", told AS (SELECT seq, list_filter(['all', CASE WHEN is_free IS NOT DISTINCT FROM true THEN 'free' END, CASE WHEN family THEN 'family' END], lambda x: x IS NOT NULL) AS feeds,
+        list_filter(['BEGIN:VEVENT', 'UID:' || {id_sql('p.venue_id', 'start', 'title')} || '@listings', 'DTSTAMP:19980617T190000Z',
+            CASE WHEN contains(start, 'T') THEN 'DTSTART:' || strftime(s_utc, '%Y%m%dT%H%M%SZ') ELSE 'DTSTART;VALUE=DATE:' || strftime(s_wall, '%Y%m%d') END,
+            CASE WHEN contains(start, 'T') THEN CASE WHEN contains("end", 'T') THEN 'DTEND:' || strftime(e_utc, '%Y%m%dT%H%M%SZ') END ELSE 'DTEND;VALUE=DATE:' || strftime(e_wall, '%Y%m%d') END,
+            'SUMMARY:' || {escaped_sql('title')}, 'LOCATION:' || {escaped_sql('coalesce(v.address, v.name)')}, 'URL:' || url,
+            'DESCRIPTION:' || nullif({escaped_sql(f"concat_ws(chr(10) || chr(10), nullif({HEAD}, ''), nullif(substr(trim(coalesce(description, '')), 1, {feeds.BLURB}), ''))")}, ''), 'END:VEVENT'], lambda x: x IS NOT NULL) AS lines
+        FROM placed p LEFT JOIN venue v ON p.venue_id = v.id WHERE {LIVE} AND event_type <> 'exhibition' AND s_wall IS NOT NULL),
+    each AS (SELECT seq, feeds, unnest(lines) AS line, CAST(unnest(range(len(lines))) AS INT) AS pos FROM told), cut AS (SELECT seq, feeds, pos, {folded_sql('line')} AS line FROM each)
+    SELECT unnest(feeds) AS feed, seq, pos, line FROM cut""")
 def ics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded lines of all upcoming one-off events, for each feed that has them."""
     # The lines of a listing are made once, whatever feeds it is in.
@@ -592,10 +614,6 @@ def calendar_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upcoming(spark, sf_dir).select("seq", feeds.calendar_link().alias("link"))
 
 
-def escaped_sql(c: str) -> str:
-    return f"replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), ';', chr(92) || ';'), ',', chr(92) || ','), chr(10), chr(92) || 'n')"
-
-
 @query(f"""SELECT seq, CASE WHEN s_wall IS NOT NULL THEN array_to_string(list_filter(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//listings//EN', 'CALSCALE:GREGORIAN', 'BEGIN:VEVENT',
         'UID:' || {id_sql('p.venue_id', 'start', 'title')} || '@listings', 'DTSTAMP:19980617T190000Z',
         CASE WHEN contains(start, 'T') THEN 'DTSTART:' || strftime(s_utc, '%Y%m%dT%H%M%SZ') ELSE 'DTSTART;VALUE=DATE:' || strftime(s_wall, '%Y%m%d') END,

@@ -7,12 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from handbill.functions import dates
-from handbill.operators import places, write_side
+from handbill.functions import classify, dates, vocab
+from handbill.operators import places, read_side, search, write_side
 from handbill.plans.extraction import iso_sql, settings, winter_sql
-from handbill.plans.registry import NOW, query, shown, window_sql
-from handbill.operators import read_side
-from handbill.sources import star
+from handbill.plans.registry import AMOUNTS, DESCRIBED, NOW, kinds_sql, pattern, query, quoted, range_sql, shown, window_sql, word_price_sql
+from handbill.sources import landed, star
 from handbill.sources.buckets import BucketedTable
 from handbill.sources.storage import fresh_path
 from handbill.sources.tables import chosen
@@ -140,3 +139,43 @@ LIVE = "u_last >= TIMESTAMP '1998-06-17 12:00:00' OR u_last IS NULL"
 def venue_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each venue's page lists: its events and its exhibitions that aren't over, in their order."""
     return read_side.venue_listings(star.listings(spark, sf_dir), star.venues(spark, sf_dir), NOW).select("venue_id", "kind", "seq", "place")
+
+
+SEARCHES = ["red", "Gallery TALK", " hall of ", "nation_1", "v1", "talk re", "no such words"]
+
+
+@query(f"""SELECT query, seq FROM placed p LEFT JOIN venue v ON p.venue_id = v.id, (SELECT unnest([{", ".join(map(quoted, SEARCHES))}]) AS query, unnest([{", ".join(quoted(q.strip().lower()) for q in SEARCHES)}]) AS q)
+        WHERE contains(lower(title), q) OR contains(lower(coalesce(description, '')), q) OR contains(venue_id, q) OR contains(lower(coalesce(v.name, '')), q)
+           OR contains(lower(coalesce(v.neighborhood, '')), q) OR contains(lower(coalesce(array_to_string(v.aliases, chr(10)), '')), q) OR (has_artist AND contains(lower(brand), q))""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches over one index of all listings and their venues."""
+    path = fresh_path(spark, "search-index")
+    rows = read_side.with_venues(star.listings(spark, sf_dir), star.venues(spark, sf_dir), "left")
+    search.write_index(rows, "seq", search.event_texts(rows), path, buckets=16)
+    return search.find_all(spark, path, SEARCHES, buckets=16).select("query", F.col("key").alias("seq"))
+
+
+COST = """CASE WHEN lower(trim(own_price)) = 'free' OR (len(a) > 0 AND list_max(a) = 0) THEN {free} WHEN len(a) > 0 THEN {some} END"""
+
+
+@query(f""", told AS (SELECT *, {landed.LINE} % 2 = 1 AS costed, {DESCRIBED} AS t, {kinds_sql()} AS kinds FROM listing),
+        paid AS (SELECT key AS seq, CASE WHEN costed THEN {COST.format(free="true", some="NULL")} ELSE w.is_free END AS is_free, CASE WHEN costed THEN {COST.format(free="'Free'", some=range_sql("a"))} ELSE w.price_text END AS price_text
+            FROM (SELECT seq AS key, costed, price_text AS own_price, {AMOUNTS.format(t="trim(price_text)")} AS a FROM told) JOIN (SELECT key AS k, is_free, price_text FROM ({word_price_sql(f"SELECT seq AS key, {DESCRIBED} AS t FROM listing")})) w(k, is_free, price_text) ON key = k)
+        SELECT told.seq, CASE WHEN event_type = 'exhibition' THEN 'exhibition' ELSE array_to_string(list_concat([event_type], list_filter(string_split(kinds, ','), lambda x: x <> 'exhibition' AND x <> event_type AND x <> '')), ',') END AS event_types,
+        CASE WHEN told.family THEN 'family' ELSE concat_ws(',', CASE WHEN regexp_matches(t, {pattern(vocab.FAMILY_WORDS)}, 'i') THEN 'family' END, CASE WHEN regexp_matches(t, {pattern(vocab.TEEN_WORDS)}, 'i') THEN 'teen' END) END AS audience,
+        paid.is_free OR (paid.is_free IS NULL AND paid.price_text = 'Free') AS is_free, paid.price_text, coalesce(length(start) = 10, false) AS all_day FROM told JOIN paid ON told.seq = paid.seq""")
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published form of raw rows, whose price is a cost text or must be read from their words."""
+    rows = star.listings(spark, sf_dir)
+    cost = F.when(landed.line_of() % 2 == 1, F.col("price_text"))
+    none = {"is_free": F.lit(None).cast("boolean"), "price_text": F.lit(None).cast("string"), "all_day": F.lit(False), "event_types": F.array().cast("array<string>")}
+    found = write_side.normalize(rows.withColumn("cost", cost).withColumns(none))
+    return found.select("seq", F.array_join("event_types", ",").alias("event_types"), F.array_join("audience", ",").alias("audience"), "is_free", "price_text", "all_day")
+
+
+@query(f"""SELECT seq, array_to_string(list_filter(list_distinct_in_order, lambda x: x IS NOT NULL), ',') AS labels FROM (SELECT seq, CASE WHEN event_type = 'other' THEN ['Other'] WHEN {landed.LINE} % 2 = 0 THEN [upper(event_type[1]) || event_type[2:], 'Other'] ELSE [upper(event_type[1]) || event_type[2:]] END AS list_distinct_in_order FROM listing)""")
+def type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display labels, distinct and in order; fair and other are one, unknown types have none."""
+    more = F.when(landed.line_of() % 2 == 0, F.array(F.lit("fair"), F.lit("no such type"), F.lit("other"))).otherwise(F.array(F.lit("no such type")))
+    types = F.concat(F.array("event_type"), more)
+    return star.listings(spark, sf_dir).select("seq", F.array_join(classify.display_labels(types), ",").alias("labels"))

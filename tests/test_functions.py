@@ -205,3 +205,13 @@ def test_streamed_health_is_that_of_the_batch(spark, tmp_path, parts):
     query = stream.health_stream(runs).writeStream.outputMode("update").format("memory").queryName(f"health{parts}").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table(f"health{parts}").collect()} == {("a", 2, "2026-01-01"), ("b", 1, None)}
+
+
+def test_folding_keeps_characters_and_octets(spark):
+    """Any text comes back when its folds are undone, and no line is longer than 74 octets."""
+    lines = ["·" * 200, "a" * 74, "a" * 75, "é" * 37, "é" * 38, "漢" * 100, "🎉x" * 60, "a·b" * 50, "x" * 73 + "é", "x" * 74 + "🎉", "tab\tand \x85 and   " * 9, ""]
+    for line, out in zip(lines, each(spark, text.ics_fold, lines)):
+        parts = out.split("\r\n")
+        assert "\r\n ".join([parts[0], *(p[1:] for p in parts[1:])]).replace("\r\n ", "") == line
+        assert all(len(p.encode()) <= 74 and (i == 0 or p.startswith(" ")) for i, p in enumerate(parts))
+        assert all(len(p.encode()) > 70 for p in parts[:-1])
