@@ -37,8 +37,8 @@ RAW = frozenset("script style textarea title iframe noembed noframes noscript te
 #: Elements without text of the article, whatever they hold.
 HARD = frozenset("button canvas audio video object head input label legend select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-WEAK, STRONG = 1, 2
-#: Elements that are doubted, and how much: a strong doubt is never dropped for a tag.
+WEAK, MIXED, STRONG = 1, 2, 3
+#: Elements that are doubted, and how much: a strong doubt is never dropped for what it holds.
 TAGS = {"form": WEAK, "fieldset": WEAK, "header": WEAK, "aside": WEAK, "nav": STRONG, "menu": STRONG, "footer": STRONG, "dialog": STRONG, "search": STRONG}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
 #: Words of class and id that mark what isn't the article: those that say it plainly, and those of layouts too.
@@ -65,8 +65,11 @@ SCOPES = frozenset("table ul ol dl div article section main body html aside nav"
 LISTS = frozenset("ul ol dl menu".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAX_LINK_SHARE = 0.6
+#: A list of that many links is a menu, unless the article introduces it or its links read like titles: of that many characters on average.
 MENU_LINKS = 3
+TITLE_CHARS = 25
 SIBLING_SHARE = 0.2
 MIN_SIBLING = 5.0
 #: A doubt is dropped if the text beyond all doubts has at most this share of the container's points.
@@ -74,13 +77,19 @@ LEFT_SHARE = 0.1
 
 
 def doubt_of(names: str) -> int:
-    """How far class and id mark an element: each name by itself, and only if all its words say so."""
+    """How far class and id mark an element, each name by itself.
+
+    A name all of whose words say so is a strong doubt if one says it plainly, else
+    a weak one. A plain word among words of other kinds ("reader-comments") lies between: articles in it count for nothing.
+    """
     worst = 0
     for name in names.split():
         words = [w.lower() for w in PART.findall(name)]
-        told = [w for w in words if w in PLAIN or w in LAYOUT]
-        if told and all(w in PLAIN or w in LAYOUT or w in FILL or w.isdigit() for w in words):
-            worst = max(worst, STRONG if any(w in PLAIN for w in told) else WEAK)
+        plain = [w in PLAIN or (w.startswith("ad") and w[2:].rstrip("s") in FILL) for w in words]
+        told = [p or w in LAYOUT for p, w in zip(plain, words)]
+        if any(told):
+            every = all(t or w in FILL or w.rstrip("s") in FILL or w.isdigit() for t, w in zip(told, words))
+            worst = max(worst, STRONG if every and any(plain) else MIXED if any(plain) else WEAK if every else 0)
     return worst
 
 
@@ -254,8 +263,8 @@ def cut_elements(page: Page, gained: list[float]) -> list[bool]:
     """Which elements are cut: those in doubt, unless they hold the article.
 
     A weak doubt is dropped for a container with at least half of its points in an
-    undoubted article or main element, or with most points of the page where hardly any lie
-    beyond all doubts. If
+    undoubted article or main element, and any but a strong one for a container with
+    most points of the page where hardly any lie beyond all doubts. If
     all text would go, the named container with the most points stays.
     """
     n, parents, doubts = len(page.tags), page.parents, page.doubts
@@ -267,7 +276,9 @@ def cut_elements(page: Page, gained: list[float]) -> list[bool]:
     held = [0.0] * n
     for i in range(n - 1, 0, -1):
         held[parents[i]] += everything[i] if page.tags[i] in MAIN and not doubts[i] else held[i]
-    dropped = [doubts[i] == WEAK and everything[i] > 0 and (2 * held[i] >= everything[i] or (2 * everything[i] >= everything[0] and beyond <= LEFT_SHARE * everything[i])) for i in range(n)]
+    holds = lambda i: doubts[i] == WEAK and 2 * held[i] >= everything[i]
+    most = lambda i: 2 * everything[i] >= everything[0] and beyond <= LEFT_SHARE * everything[i]
+    dropped = [doubts[i] in (WEAK, MIXED) and everything[i] > 0 and (holds(i) or most(i)) for i in range(n)]
 
     def spread() -> list[bool]:
         out = [False] * n
@@ -309,13 +320,33 @@ def kept_elements(page: Page, cut: list[bool], gained: list[float]) -> list[bool
     whole = tags[around] in MAIN
     kept = [False] * n
     kept[around if whole else best] = True
+    inside = around
+    while whole and inside > 0 and tags[inside] != "main":
+        inside = parents[inside]
+    if whole and tags[around] == "article" and inside > 0:
+        # A page's main element may hold several articles: each that isn't doubted and reads like text is kept.
+        under = [False] * n
+        for i in range(inside + 1, n):
+            under[i] = parents[i] == inside or under[parents[i]]
+            kept[i] = kept[i] or (under[i] and tags[i] == "article" and not cut[i] and density[i] < 0.25)
     if not whole and best:
+        # Which elements hold a paragraph or heading of their own.
+        prose = [False] * n
+        for node, text, linked in page.blocks:
+            prose[node] = prose[node] or ((tags[node] == "p" or tags[node] in HEADINGS) and not cut[node] and linked < len(text) / 4)
+        for i in range(n - 1, 0, -1):
+            prose[parents[i]] = prose[parents[i]] or prose[i]
         for i in range(1, n):
             if i != best and parents[i] == parents[best] and chars[i] and not cut[i]:
-                text_like = density[i] <= MAX_LINK_SHARE if tags[i] in PROSE else density[i] < 0.25 and chars[i] > 80
+                text_like = density[i] <= MAX_LINK_SHARE if tags[i] in PROSE else density[i] < 0.25 and (chars[i] > 80 or prose[i])
                 kept[i] = text_like or value[i] >= max(MIN_SIBLING, SIBLING_SHARE * value[best])
+    before = [0] * n  # the element before each among those of one parent
+    last: dict[int, int] = {}
+    for i in range(1, n):
+        before[i], last[parents[i]] = last.get(parents[i], 0), i
     for i in range(1, n):
-        menu = tags[i] in LISTS and density[i] > MAX_LINK_SHARE and menus[i] >= MENU_LINKS
+        titled = whole and (tags[before[i]] in HEADINGS or chars[i] >= TITLE_CHARS * menus[i])
+        menu = tags[i] in LISTS and density[i] > MAX_LINK_SHARE and menus[i] >= MENU_LINKS and not titled
         kept[i] = (kept[i] or kept[parents[i]]) and not menu and not cut[i]
     return kept
 

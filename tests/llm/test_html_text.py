@@ -69,6 +69,43 @@ def test_nothing_of_an_article_is_dropped():
     assert main_text(f"{BEFORE}<main><div>{body}</div></main>{AFTER}").split("\n") == want
 
 
+LINKS = "<ul><li><a href=1>Alpha</a></li><li><a href=2>Beta</a></li><li><a href=3>Gamma</a></li></ul>"
+
+
+def test_lists_of_links_that_the_article_introduces_stay():
+    page = f"{BEFORE}<article>{ARTICLE}<h2>Further reading</h2>{LINKS}</article>{AFTER}"
+    assert main_text(page).split("\n") == [*LINES, "Further reading", "Alpha", "Beta", "Gamma"]
+    titles = "".join(f"<li><a href={i}>A title of a source, number {i}, in full</a></li>" for i in range(4))
+    assert main_text(f"{BEFORE}<article>{ARTICLE}<ul>{titles}</ul></article>{AFTER}").split("\n")[len(LINES) :] == [f"A title of a source, number {i}, in full" for i in range(4)]
+
+
+def test_all_articles_of_a_main_element_stay():
+    other = "<article><h2>Second</h2><p>Short, but an article of its own.</p></article>"
+    comments = '<section class="user-comments"><article><p>Me too, I say, and so on.</p></article></section>'
+    assert main_text(f"{BEFORE}<main><article>{ARTICLE}</article>{other}{comments}</main>{AFTER}").split("\n") == [*LINES, "Second", "Short, but an article of its own."]
+
+
+def test_short_parts_beside_the_best_container_stay():
+    page = f"{BEFORE}<div class=head><h1>Headline</h1></div><div class=d><div class=s1>{PROSE}</div><div class=s2><p>Short para.</p></div></div>{AFTER}"
+    assert main_text(page).split("\n")[-6:] == [*LINES[1:], "Short para."]
+    page = f"{BEFORE}<div class=head><h1>Headline</h1></div><div class=s1>{PROSE}</div><div class=s2><div><p>Short para.</p></div></div>{AFTER}"
+    assert main_text(page).split("\n") == ["Headline", *LINES[1:], "Short para."]
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "blogComments", "google-ad", "article-ad", "adbox", "ad_units", "related-posts", "top-nav-2024", "post-pagination"])
+def test_marked_parts_go_whatever_words_stand_beside(name):
+    other = f'<div class="{name}"><p>Me too, I say, and so on, at length.</p></div>'
+    for page in (f"<article>{ARTICLE}{other}</article>", f"<div>{ARTICLE}</div>{other}", f"<div>{ARTICLE}{other}</div>", f"<main>{other}{ARTICLE}</main>"):
+        assert main_text(BEFORE + page + AFTER).split("\n") == LINES
+    # The same name around all of the article is no mark.
+    assert main_text(f'<div class="{name}">{ARTICLE}</div>').split("\n") == LINES
+
+
+@pytest.mark.parametrize("name", ["address", "adoption-story", "advice", "navigator-review", "menurka", "commentary", "social-science", "has-sidebar"])
+def test_names_that_only_look_like_marks(name):
+    assert main_text(f'{BEFORE}<main>{ARTICLE}<div class="{name}"><p>A part of the article, of some length.</p></div></main>{AFTER}').split("\n") == [*LINES, "A part of the article, of some length."]
+
+
 def test_marks_within_a_line():
     assert main_text('<p>Some text <span class="advert">BUY <b>NOW</b></span>and <span hidden>no <span>no</span> no</span>more.</p><p>B</p>') == "Some text and more.\nB"
 
