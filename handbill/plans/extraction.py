@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from handbill.functions import dialects, text
 from handbill.operators import extract, nested
-from handbill.plans.registry import id_sql, kind_sql, query
+from handbill.plans.sql import id_sql, kind_sql, query
 from handbill.sources import landed, star
 
 TODAY = date(1998, 6, 17)

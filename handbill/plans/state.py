@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from handbill.functions import classify, dates, vocab
 from handbill.operators import places, read_side, search, write_side
 from handbill.plans.extraction import iso_sql, settings, winter_sql
-from handbill.plans.registry import AMOUNTS, DESCRIBED, NOW, kinds_sql, pattern, query, quoted, range_sql, shown, window_sql, word_price_sql
+from handbill.plans.sql import AMOUNTS, DESCRIBED, NOW, kinds_sql, pattern, query, quoted, range_sql, shown, window_sql, word_price_sql
 from handbill.sources import landed, star
 from handbill.sources.buckets import BucketedTable
 from handbill.sources.storage import fresh_path
