@@ -62,6 +62,8 @@ REGION_BOXES = [
     ("south", -118.37, 33.90, -118.13, 34.02), ("southbay", -118.95, 33.68, -118.27, 33.90),
     ("southbay", -118.27, 33.68, -117.65, 33.90),
 ]
+#: The map's first view: west, south, east, north.
+MAP_CORE = (-118.56, 33.73, -118.10, 34.20)
 EXHIBITION_HOURS = 36
 PERMANENT_DAYS = 550
 REPEATS = 5

@@ -28,17 +28,19 @@ class FilterSpec:
     family: bool = False
     query: str = ""
     venue: str | None = None
+    map: bool = False
     strict: bool = field(default=False, compare=False)
 
     _LISTS = {"types": "venue_types", "regions": "regions", "etypes": "chips"}
     _TEXTS = {"tab": "tab", "date": "date", "from": "start", "to": "end", "q": "query", "venue": "venue"}
+    _FLAGS = ("free", "family", "map")
 
     @classmethod
     def from_query(cls, query: str) -> FilterSpec:
         found = dict(parse_qsl(query.lstrip("?")))
         kept = {to: found[k] for k, to in cls._TEXTS.items() if k in found}
         kept |= {to: tuple(filter(None, found[k].split(","))) for k, to in cls._LISTS.items() if k in found}
-        return cls(**kept, **{k: True for k in ("free", "family") if found.get(k) == "1"})
+        return cls(**kept, **{k: True for k in cls._FLAGS if found.get(k) == "1"})
 
     def to_query(self) -> str:
         """Only what differs from the defaults, in a fixed order; "all" dates are written too."""
@@ -47,7 +49,7 @@ class FilterSpec:
             value = getattr(self, to)
             if value != getattr(plain, to):
                 out.append((k, ",".join(value) if isinstance(value, tuple) else value))
-        return urlencode(out + [(k, "1") for k in ("free", "family") if getattr(self, k)])
+        return urlencode(out + [(k, "1") for k in self._FLAGS if getattr(self, k)])
 
     def window(self, now: datetime) -> tuple[datetime | None, datetime | None]:
         if self.date == "custom":
@@ -266,3 +268,33 @@ def venue_listings(listings: DataFrame, venues: DataFrame, now: datetime, order:
     rows = with_venues(listings, venues).where(is_upcoming(F.col("start"), F.col("end"), now))
     kinds = rows.withColumn("kind", F.when(F.col("event_type") == "exhibition", "exhibition").otherwise("event"))
     return numbered(kinds.withColumn("_list", F.struct("venue_id", "kind")), by_start(order), within="_list").drop("_list")
+
+
+def archive_view(listings: DataFrame, venues: DataFrame, now: datetime, query: str = "", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """What is over, latest first, with ``place``; of all filters only the query counts here."""
+    old = search_events(listings.where(~is_upcoming(F.col("start"), F.col("end"), now)), venues, query)
+    return numbered(old, archive_order(order))
+
+
+def saved(listings: DataFrame, ids: DataFrame, now: datetime, key: str = "id") -> DataFrame:
+    """The saved listings (``ids``: key) among what is shown: what isn't over, and then the exhibitions on view that aren't among it."""
+    chosen = listings.join(ids.select(F.col(key).alias("_saved")).distinct(), F.col(key) == F.col("_saved"), "left_semi")
+    ahead = is_upcoming(F.col("start"), F.col("end"), now)
+    return chosen.where(ahead).unionByName(live_exhibitions(chosen.where(~ahead), now))
+
+
+def latest_scrape(listings: DataFrame, source: str = "venue_id") -> DataFrame:
+    """(source, scraped_at): when each source was read last; times are texts of one form, and compare as such."""
+    return listings.groupBy(source).agg(F.max("scraped_at").alias("scraped_at"))
+
+
+def by_start_text(order: tuple[str, ...] = ("seq",)) -> list[Column]:
+    """The order of published tables and calendars: the start as it is written, then the title."""
+    return [text.text_or_empty(F.col("start")).asc(), text.text_or_empty(F.col("title")).asc(), *map(F.col, order)]
+
+
+def default_view(venues: DataFrame) -> DataFrame:
+    """(id, in_view): the venues that have a place on the map, and whether its first view, the region's core, shows them."""
+    placed = venues.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    west, south, east, north = vocab.MAP_CORE
+    return placed.select("id", (F.col("lng").between(west, east) & F.col("lat").between(south, north)).alias("in_view"))

@@ -179,3 +179,43 @@ def type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(landed.line_of() % 2 == 0, F.array(F.lit("fair"), F.lit("no such type"), F.lit("other"))).otherwise(F.array(F.lit("no such type")))
     types = F.concat(F.array("event_type"), more)
     return star.listings(spark, sf_dir).select("seq", F.array_join(classify.display_labels(types), ",").alias("labels"))
+
+
+OLD = "u_last < TIMESTAMP '1998-06-17 12:00:00'"
+
+
+@query(f"""SELECT seq, row_number() OVER (ORDER BY s_wall DESC NULLS FIRST, seq DESC) AS place FROM placed p LEFT JOIN venue v ON p.venue_id = v.id WHERE {OLD} AND
+        (contains(lower(title), 'blue') OR contains(lower(coalesce(description, '')), 'blue') OR contains(venue_id, 'blue') OR contains(lower(coalesce(v.name, '')), 'blue') OR contains(lower(coalesce(v.neighborhood, '')), 'blue')
+         OR contains(lower(coalesce(array_to_string(v.aliases, chr(10)), '')), 'blue') OR (has_artist AND contains(lower(brand), 'blue')))""")
+def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive with a query text."""
+    return read_side.archive_view(star.listings(spark, sf_dir), star.venues(spark, sf_dir), NOW, "Blue").select("seq", "place")
+
+
+@query(f"""SELECT seq FROM placed WHERE CAST(substr(seq, 17, 9) AS INT) % 5 = 0 AND (NOT coalesce({OLD}, false) OR (event_type = 'exhibition' AND NOT regexp_matches(title, {pattern(vocab.NON_EXHIBITION_TITLE)}, 'i')
+        AND s_wall <= TIMESTAMP '1998-06-17' AND e_wall >= TIMESTAMP '1998-06-17' AND epoch(e_wall) - epoch(s_wall) <= {vocab.PERMANENT_DAYS} * 86400))""")
+def saved_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user saved, among upcoming listings and exhibitions on view."""
+    rows = star.listings(spark, sf_dir)
+    ids = rows.where(F.substring("seq", 17, 9).cast("int") % 5 == 0).select("seq")
+    return read_side.saved(rows, ids, NOW, "seq").select("seq")
+
+
+@query("SELECT 'v' || l_suppkey AS venue_id, max(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S+00:00')) AS scraped_at FROM lineitem GROUP BY ALL")
+def last_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's latest reading."""
+    rows = star.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("venue_id"), F.date_format(F.col("l_shipdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("scraped_at"))
+    return read_side.latest_scrape(rows)
+
+
+@query("SELECT seq, row_number() OVER (ORDER BY coalesce(start, ''), title, seq) AS place FROM listing WHERE event_type <> 'exhibition'")
+def published_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-off listings in the order in which they are published."""
+    rows = write_side.one_off(star.listings(spark, sf_dir)).select("seq", "start", "title")
+    return read_side.numbered(rows, read_side.by_start_text()).select("seq", "place")
+
+
+@query("SELECT id, lng BETWEEN -118.56::DOUBLE AND -118.10::DOUBLE AND lat BETWEEN 33.73::DOUBLE AND 34.20::DOUBLE AS in_view FROM venue")
+def default_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which venues the map's first view shows."""
+    return read_side.default_view(star.venues(spark, sf_dir))

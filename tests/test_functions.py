@@ -172,6 +172,8 @@ def test_filter_spec_survives_its_query_string():
     spec = read_side.FilterSpec(venue_types=("museum",), regions=("westside",), chips=("tour",), date="all", free=True)
     assert read_side.FilterSpec.from_query(spec.to_query()) == spec
     assert read_side.FilterSpec.from_query("") == read_side.FilterSpec()
+    shown = read_side.FilterSpec(map=True, family=True, query="a b&c")
+    assert shown.to_query() == "q=a+b%26c&family=1&map=1" and read_side.FilterSpec.from_query("?" + shown.to_query()) == shown
 
 
 def test_json_tables(spark, tmp_path):
