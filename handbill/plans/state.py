@@ -18,7 +18,7 @@ from handbill.sources.tables import chosen
 from handbill.streaming import stream
 
 TODAY = date(1998, 6, 17)
-#: Forms that a date is written in, by the order's number: (Spark's pattern of the date, what follows it).
+#: How many forms dates are written in, by the order's number.
 FORMS = 13
 
 
