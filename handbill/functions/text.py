@@ -68,6 +68,30 @@ def strip_html(text: Column, numeric: bool = True) -> Column:
     return F.regexp_replace(F.regexp_replace(whole, r"(?U)\s+", " "), "^ | $", "")
 
 
+def named_entities(text: Column, names: dict[str, str]) -> Column:
+    """&name; as the character that ``names`` gives it, in any case; once, so "&amp;lt;" becomes "&lt;". Unknown names stay."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def one(part: Column, place: Column) -> Column:
+        name = F.regexp_extract(part, "^([a-zA-Z]+);", 1)
+        character = F.try_element_at(known, F.lower(name))
+        decoded = F.concat(character, F.substr(part, F.length(name) + 2))
+        return F.when(place == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), one), "")
+
+
+def display_text(text: Column, names: dict[str, str] | None = vocab.DISPLAY_ENTITIES) -> Column:
+    """Tags to spaces, numeric and then named references to characters, runs of white space to one space; null becomes empty.
+
+    Unlike strip_html() it keeps curly quotes. Without ``names`` references stay as they are.
+    """
+    bare = F.regexp_replace(text_or_empty(text), "(?s)<[^>]+>", " ")
+    if names is not None:
+        bare = F.when(bare.contains("&"), named_entities(numeric_entities(bare), names)).otherwise(bare)
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", "")
+
+
 def normalize_title(title: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces, without the first of each known prefix that it starts with."""
     low = F.lower(text_or_empty(title))

@@ -49,6 +49,15 @@ ENTITIES = {
     "&amp;": "&", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "—",
     "&ndash;": "–", "&lsquo;": "'", "&rsquo;": "'", "&ldquo;": "“", "&rdquo;": "”",
 }
+#: What a site's page decodes, names in any case.
+DISPLAY_ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…",
+    "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“",
+}
+#: Titles that some sources don't publish: called off or over, for members alone, mere admission.
+CALLED_OFF = r"^\s*(PAST|CANCELED|CANCELLED|POSTPONED)[:\s]"
+MEMBER_PREVIEW = r"\bmember\s+preview\b"
+EVERGREEN_TITLES = ["general admission"]
 JSONLD_EVENT_TYPES = [
     "event", "exhibitionevent", "exhibition", "visualartsevent", "theaterevent", "screeningevent", "educationevent",
     "socialevent", "festival", "businessevent",

@@ -6,7 +6,7 @@ arrival, explicit because Spark's rows have none: first come, first kept.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +107,39 @@ def recurring(listings: DataFrame, repeats: int = vocab.REPEATS) -> tuple[DataFr
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 
+SKIPS = {"skip_titles": "array<string>", "skip_pattern": "string", "skip_types": "array<string>", "drop_past": "boolean", "require_time": "boolean"}
+
+
+def publishable(listings: DataFrame, sources: DataFrame, today: date) -> DataFrame:
+    """``listings`` with ``skip``: why their source doesn't publish them, or null.
+
+    ``sources`` is the source table, one row a source; Spark broadcasts it while it is
+    small. The first reason counts: title, pattern, type, no time, past. A row is
+    past if its start's day lies before ``today``. Null settings skip nothing, nor
+    does an unknown source; a pattern is searched in either case.
+    """
+    own = sources.select(F.col("venue_id").alias("_source"), F.struct(*[F.col(c).cast(t).alias(c) for c, t in SKIPS.items()]).alias("_skips"))
+    rows = listings.join(own, F.col("venue_id") == F.col("_source"), "left")
+    title, start = F.coalesce("title", F.lit("")), F.col("start")
+    setting = lambda c: F.col("_skips").getField(c)
+    titles = F.transform(setting("skip_titles"), lambda t: F.lower(F.trim(t)))
+    reasons = {
+        "title": F.array_contains(titles, F.lower(F.trim(title))),
+        "pattern": (setting("skip_pattern") != "") & F.regexp_like(title, F.concat(F.lit(text.ANY_CASE), setting("skip_pattern"))),
+        "type": F.array_contains(setting("skip_types"), F.col("event_type")),
+        "no time": setting("require_time") & ~F.coalesce(start.contains("T"), F.lit(False)),
+        "past": setting("drop_past") & (F.substring(start, 1, 10).try_cast("date") < F.lit(today)),
+    }
+    first = F.coalesce(*[F.when(c, F.lit(why)) for why, c in reasons.items()])
+    return rows.withColumn("skip", first).drop("_source", "_skips")
+
+
+def skip_warnings(judged: DataFrame) -> DataFrame:
+    """Of publishable()'s rows those that someone should look at: a date was there but no time, so the source's form may have changed."""
+    undated = judged.where((F.col("skip") == "no time") & F.col("start").isNotNull())
+    return undated.select("venue_id", "title", F.lit("dropped (no time)").alias("reason"))
+
+
 def split_archive(listings: DataFrame, now: datetime) -> DataFrame:
     """``listings`` with ``is_past``: over before ``now`` (a time in UTC); what has no readable end is upcoming."""
     over = dates.end_of_event(F.col("start"), F.col("end")) < dates.ntz(now)

@@ -14,8 +14,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from handbill.functions import dialects, text
-from handbill.operators import extract, nested
+from handbill.functions import dialects, text, vocab
+from handbill.operators import extract, nested, write_side
 from handbill.plans.sql import id_sql, kind_sql, query
 from handbill.sources import landed, star
 
@@ -299,3 +299,63 @@ def times_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a time become warnings."""
     minute = F.when(F.col("start").contains("T"), F.hour(F.substring("start", 12, 8).try_cast("timestamp")) * 60)
     return dialects.time_required(star.listings(spark, sf_dir).withColumn("minute", minute), "minute")[1]
+
+
+TOLD = f"CASE {landed.QUANTITY} % 7 WHEN 0 THEN 'Cancelled: ' || title WHEN 1 THEN 'The member  preview, ' || title WHEN 2 THEN ' General Admission' ELSE title END"
+
+
+def oddly_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of which some are called off, for members or mere admission, by their titles."""
+    q = landed.quantity_of() % 7
+    title = F.when(q == 0, F.concat(F.lit("Cancelled: "), "title")).when(q == 1, F.concat(F.lit("The member  preview, "), "title")).when(q == 2, " General Admission").otherwise(F.col("title"))
+    return star.listings(spark, sf_dir).withColumn("title", title)
+
+
+@query(f"""SELECT seq, CASE WHEN v % 2 = 0 AND q = 2 THEN 'title' WHEN (v % 3 = 0 AND q = 0) OR (v % 3 = 1 AND q = 1) THEN 'pattern' WHEN v % 5 = 0 AND event_type IN ('tour', 'screening') THEN 'type'
+            WHEN v % 4 = 0 AND (start IS NULL OR length(start) = 10) THEN 'no time' WHEN v % 4 <= 1 AND substr(start, 1, 10) < '1998-06-17' THEN 'past' END AS skip
+        FROM (SELECT *, CAST(substr(venue_id, 2) AS INT) AS v, {landed.QUANTITY} % 7 AS q FROM listing)""")
+def publish_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source doesn't publish, by its own rules, and why."""
+    v = F.substr("id", F.lit(2)).cast("int")
+    pattern = F.when(v % 3 == 0, vocab.CALLED_OFF).when(v % 3 == 1, vocab.MEMBER_PREVIEW)
+    rules = star.venues(spark, sf_dir).select(
+        F.col("id").alias("venue_id"), F.when(v % 2 == 0, F.array(*map(F.lit, vocab.EVERGREEN_TITLES))).alias("skip_titles"), pattern.alias("skip_pattern"),
+        F.when(v % 5 == 0, F.array(F.lit("tour"), F.lit("screening"))).alias("skip_types"), (v % 4 <= 1).alias("drop_past"), (v % 4 == 0).alias("require_time"),
+    )
+    return write_side.publishable(oddly_titled(spark, sf_dir), rules, TODAY).select("seq", "skip")
+
+
+@query(f"""SELECT {TOLD} AS title, venue_id, 'dropped (no time)' AS reason FROM listing WHERE CAST(substr(venue_id, 2) AS INT) % 3 = 0 AND length(start) = 10
+        AND NOT ({landed.QUANTITY} % 7 = 0)""")
+def skip_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings of sources that ask for a time; what is called off gives none."""
+    rules = star.venues(spark, sf_dir).select(F.col("id").alias("venue_id"), F.array().alias("skip_titles"), F.lit(vocab.CALLED_OFF).alias("skip_pattern"), F.lit(None).alias("skip_types"), F.lit(False).alias("drop_past"), (F.substr("id", F.lit(2)).cast("int") % 3 == 0).alias("require_time"))
+    return write_side.skip_warnings(write_side.publishable(oddly_titled(spark, sf_dir), rules, TODAY))
+
+
+@query("""SELECT seq, replace(title, 'e', '’') || ' … &nosuch; < &lt;' AS told, replace(title, 'e', '&rsquo;') || ' &Hellip; &nosuch; &#38;lt; &amp;lt;' AS bare FROM listing""")
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as a page shows them, by its own table of references, and with tags alone removed."""
+    coded = F.concat(F.lit("<b>"), F.replace("title", F.lit("e"), F.lit("&rsquo;")), F.lit("</b>\n&Hellip; &nosuch; &#38;lt; &amp;lt;"))
+    return star.listings(spark, sf_dir).select("seq", text.display_text(coded).alias("told"), text.display_text(coded, None).alias("bare"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN CAST(d AS VARCHAR) END AS first, CAST(d + CASE WHEN o_orderkey % 3 = 2 THEN 9 ELSE 0 END AS VARCHAR) AS last
+        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def through_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7, D8: "on view through" names an end; "from A through B" both."""
+    day = F.col("o_orderdate").cast("date")
+    told = lambda d, form: F.date_format(d, form)
+    k = F.col("o_orderkey") % 3
+    written = F.when(k == 0, F.concat(F.lit("On view through "), told(day, "MMMM d, yyyy"))).when(k == 1, F.concat(F.lit("Through "), told(day, "MMM. d, yyyy"))).otherwise(F.concat(told(day, "MMMM d, yyyy"), F.lit(" through "), told(F.date_add(day, 9), "MMM d, yyyy")))
+    span = dialects.parse_range(written, TODAY)
+    return star.table(spark, sf_dir, "orders").select("o_orderkey", span["start"].cast("string").alias("first"), span["end"].cast("string").alias("last"))
+
+
+@query("""SELECT o_orderkey, strftime(d, '%Y-%m-10') || ',' || strftime(d, '%Y-%m-') || (11 + o_orderkey % 9) || ',' || strftime(d, '%Y-%m-') || (20 + o_orderkey % 8) AS days
+        FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def listed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10c: several days of one month as a list, its year given or not."""
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    told = F.concat(F.date_format(day, "MMM"), F.lit(" 10, "), (11 + key % 9).cast("string"), F.lit(" & "), (20 + key % 8).cast("string"), F.when(key % 2 == 0, F.date_format(day, ", yyyy")).otherwise(""))
+    return star.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(dialects.date_list(told, F.year(day)).cast("array<string>"), ",").alias("days"))

@@ -99,7 +99,8 @@ class Source:
     """How one source is read: the extension point of the engine.
 
     ``year_policy`` and ``past_days`` tell dialects.parse_range() what to do about years that its pages lack;
-    ``parser`` names the function that extract.custom() reads its pages with.
+    ``parser`` names the function that extract.custom() reads its pages with. The rest tells write_side.publishable()
+    what isn't published: whole titles in any case, a pattern found in a title, types, rows that are past, rows without a time.
     """
 
     venue_id: str
@@ -110,10 +111,15 @@ class Source:
     year_policy: str = "same"
     past_days: int = 14
     parser: str = ""
+    skip_titles: tuple[str, ...] = ()
+    skip_pattern: str = ""
+    skip_types: tuple[str, ...] = ()
+    drop_past: bool = False
+    require_time: bool = False
 
 
 def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    schema = "venue_id string, label string, default_event_type string, reshape boolean, id_salt string, year_policy string, past_days int, parser string"
+    schema = "venue_id string, label string, default_event_type string, reshape boolean, id_salt string, year_policy string, past_days int, parser string, skip_titles array<string>, skip_pattern string, skip_types array<string>, drop_past boolean, require_time boolean"
     return spark.createDataFrame([tuple(asdict(s).values()) for s in sources], schema)
 
 
