@@ -37,6 +37,8 @@ HINTS = ("pass", "pwd", "secret", "token", "api", "private", "credential", "bear
 BASE_HINTS = ("passw", "secret", "token", "api")
 #: log10 of the guesses from which on a value counts as a secret.
 GUESSES = 10.0
+#: The same for a value that reads like a word where prose may follow: a rare word of a dozen letters costs less.
+PROSE_GUESSES = 16.0
 #: Words of passwords, by how soon they are tried; those of the corpus come after them.
 WORDS = {
     w: i + 1
@@ -215,14 +217,15 @@ def scan(text: str | None, words: dict[str, int] | None = None, longest: int | N
         while key or address:
             if key and not (address and address.start() < key.start()):
                 start, (end, cost) = key.end(), values.at(key.end())
-                # After a mere space or "is" prose may follow: there a value that reads like a word isn't judged.
+                # After a mere space or "is" prose may follow: there a value that reads like a word must cost more.
                 signed = any(c in "=:>" for c in key.group())
-                judged = signed or (start <= values.last and not WORDLIKE.fullmatch(text, start, end))
+                least = PROSE_GUESSES if not signed and WORDLIKE.fullmatch(text, start, end) else GUESSES
+                judged = signed or start <= values.last
                 past = values.run_end
             else:
-                start, end, past, judged = *address.span(1), address.end(), True
+                start, end, past, judged, least = *address.span(1), address.end(), True, GUESSES
                 cost = guess_cost(text[start:end], values.words, values.longest)
-            found = judged and cost >= GUESSES
+            found = judged and cost >= least
             if found:
                 out.append(("guess", start, end))
             at = past if found else start  # a rejected value may hold the next key

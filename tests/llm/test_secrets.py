@@ -23,6 +23,8 @@ def guesses(text):
         ("the token is password=Xk93$vTq2zR", "Xk93$vTq2zR"),
         ("bearer qzxvkwpjfhtmbl", "qzxvkwpjfhtmbl"),
         ("pass: changeme pwd: Xk93$vTq2zR", "Xk93$vTq2zR"),
+        ("password is gukozemiravopu", "gukozemiravopu"),
+        ("bearer kezuvoxapilomeduri", "kezuvoxapilomeduri"),
     ],
 )
 def test_value_is_found(text, value):
@@ -30,6 +32,7 @@ def test_value_is_found(text, value):
 
 
 def test_prose_is_left_alone():
+    assert not guesses("a secret bandwagon, the token kangaroos; pass legislation")
     assert not guesses("a secret ingredient, the token embeddings and the bearer certificates; the password is required here")
 
 
