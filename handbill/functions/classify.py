@@ -9,13 +9,13 @@ from handbill.functions import vocab
 from handbill.functions.text import ANY_CASE, described, matches
 
 
-def infer_type(title: Column, description: Column, default: Column | str = "other") -> Column:
-    """The first type whose words occur, else ``default`` if it is a known type, else other."""
-    text = F.lower(described(title, description))
+def infer_type(title: Column, description: Column, default: Column | str = "other", text: Column | None = None) -> Column:
+    """The first type whose words occur, else ``default`` if it is a known type, else other. ``text`` is words_text() where a column holds it."""
+    words = words_text(title, description) if text is None else text
     default = F.lit(default) if isinstance(default, str) else default
     found = F.when(default.isin(vocab.EVENT_TYPES), default).otherwise("other")
     for kind, pattern in reversed(vocab.TYPE_PATTERNS):
-        found = F.when(matches(text, pattern), kind).otherwise(found)
+        found = F.when(matches(words, pattern, text), kind).otherwise(found)
     return found
 
 
@@ -26,8 +26,8 @@ def words_text(title: Column, description: Column) -> Column:
 
 def infer_all(title: Column, description: Column, text: Column | None = None) -> Column:
     """All types whose words occur, in the order of the patterns. ``text`` is words_text() where a column holds it."""
-    text = words_text(title, description) if text is None else text
-    return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(k)) for k, p in vocab.TYPE_PATTERNS]))
+    words = words_text(title, description) if text is None else text
+    return F.array_compact(F.array(*[F.when(matches(words, p, text), F.lit(k)) for k, p in vocab.TYPE_PATTERNS]))
 
 
 def final_types(primary: Column, given: Column, inferred: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from urllib.parse import quote
@@ -29,10 +30,50 @@ def missing(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def matches(c: Column, pattern: str) -> Column:
-    """Whether a pattern is found in a text, in either case; false for null. A text of ASCII alone takes the faster form."""
+#: What a match may lack: groups, classes, escapes and single letters, each with how often it occurs.
+UNSURE = re.compile(r"(?:\((?:[^()]|\([^()]*\))*\)|\[[^]]*\]|\\.)(?:[?*+]|\{[^}]*\})?|[a-z0-9](?:[?*]|\{[^}]*\})")
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Runs of letters one of which is in any match of a pattern, by its alternatives; None if one of them has none."""
+    body = re.sub(r"^\\b|\\b$", "", pattern)
+    if re.fullmatch(r"\((?!\?[^:]).*\)", body) and closing(body) == len(body) - 1:
+        body = re.sub(r"^\((?:\?:)?", "", body[:-1])
+    parts, depth = [""], 0
+    for i, c in enumerate(body):
+        depth += (c in "([") - (c in ")]")
+        parts = [*parts, ""] if c == "|" and depth == 0 else [*parts[:-1], parts[-1] + c]
+    found: list[str] = []
+    for part in parts:
+        # An alternative that begins with a group needs what the group needs.
+        inner = needed(part[: closing(part) + 1]) if part.startswith("(?:") and not part[closing(part) + 1 :].startswith(("?", "*", "{")) else None
+        own = inner or [max(re.findall("[a-z0-9]+", UNSURE.sub("|", part)), key=len, default="")]
+        if "" in own:
+            return None
+        found += own
+    return sorted({w for w in found if not any(o != w and o in w for o in found)})
+
+
+def closing(pattern: str) -> int:
+    """Where the group that a pattern begins with ends."""
+    depth = 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return i
+    return -1
+
+
+def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern is found in a text, in either case; false for null. A text of ASCII alone takes the faster form.
+
+    ``low`` is the text in lower case where a column holds it: then the pattern is
+    tried only if letters that it needs are there, which is far cheaper to tell.
+    """
     plain = F.octet_length(c) == F.length(c)
-    found = F.when(plain, F.regexp_like(c, F.lit("(?i)" + pattern))).otherwise(F.regexp_like(c, F.lit(ANY_CASE + pattern)))
+    known = needed(pattern) if low is not None else None
+    there = reduce(lambda a, b: a | b, [low.contains(w) for w in known]) if known else F.lit(True)
+    found = F.when(plain, there & F.regexp_like(c, F.lit("(?i)" + pattern))).otherwise(F.regexp_like(c, F.lit(ANY_CASE + pattern)))
     return F.coalesce(found, F.lit(False))
 
 

@@ -53,10 +53,11 @@ def listing(rows: DataFrame, hint: Column | None = None, all_day: Column | None
     }
     out = rows.select("source_id", "kind", "seq", "default_event_type", "id_salt", "reshape", *[c.alias(k) for k, c in columns.items()]).where("title <> ''")
     default = F.when(F.col("_hint") != "other", F.col("_hint")).otherwise(F.col("default_event_type"))
-    out = out.withColumns({"event_type": classify.infer_type(F.col("title"), F.col("_told"), default), "description": F.substring("_told", 1, BLURB)})
+    out = out.withColumn("_words", classify.words_text(F.col("title"), F.col("_told")))
+    out = out.withColumns({"event_type": classify.infer_type(F.col("title"), F.col("_told"), default, F.col("_words")), "description": F.substring("_told", 1, BLURB)})
     # A salt is part of the title that the id is made of, for exhibitions alone.
     out = out.withColumn("_named", F.when(F.col("event_type") == "exhibition", F.concat("title", "id_salt")).otherwise(F.col("title")))
-    return text.with_event_id(out, "_named").drop("_named", "_told", "_hint", "default_event_type", "id_salt")
+    return text.with_event_id(out, "_named").drop("_named", "_told", "_words", "_hint", "default_event_type", "id_salt")
 
 
 def opened(documents: DataFrame, kinds: list[str], inner: Column, name: str) -> DataFrame:

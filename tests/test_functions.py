@@ -1,11 +1,14 @@
 """Scalar functions case by case, and properties of the write side."""
 
+import re
 from datetime import date, datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from handbill.functions import classify, dates, dialects, price, text
+from handbill.functions import classify, dates, dialects, price, text, vocab
 from handbill.operators import extract, feeds, read_side, write_side
 from handbill.sources import tables
 
@@ -217,3 +220,16 @@ def test_folding_keeps_characters_and_octets(spark):
         assert "\r\n ".join([parts[0], *(p[1:] for p in parts[1:])]).replace("\r\n ", "") == line
         assert all(len(p.encode()) <= 74 and (i == 0 or p.startswith(" ")) for i, p in enumerate(parts))
         assert all(len(p.encode()) > 70 for p in parts[:-1])
+
+
+@pytest.mark.parametrize("pattern", [p for _, p in vocab.TYPE_PATTERNS] + [vocab.FAMILY_WORDS, vocab.TEEN_WORDS, vocab.FREE_PHRASE, vocab.FREE_WORD, vocab.PAID_HINT, vocab.RECURRING_WORDS, vocab.PERMANENT_TITLE, vocab.NON_EXHIBITION_TITLE])
+@settings(max_examples=60, deadline=None)
+@given(data=st.data())
+def test_a_match_holds_letters_that_the_pattern_needs(pattern, data):
+    found = data.draw(st.from_regex(re.compile(pattern, re.ASCII), fullmatch=True)).lower()
+    assert any(w in found for w in text.needed(pattern))
+
+
+def test_needed_letters_of_small_patterns():
+    assert text.needed(r"\b(?:ab?|cd*e)\b") == ["a", "c"] and text.needed("x{0,3}") is None and text.needed("(ab)?") is None and text.needed("[ab]|c") is None
+    assert text.needed(r"\b(a)b(c)\b") == ["b"] and text.needed("(?:ab|cd) e") == ["ab", "cd"] and text.needed("(?:ab|cd)?e") == ["e"]
