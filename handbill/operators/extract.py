@@ -309,17 +309,31 @@ def strategy_chain(documents: DataFrame, custom: DataFrame | None = None, source
 
     ``custom`` holds listings of a source's own parser; ``sources`` the settings of each source.
     """
+    found = of_every_kind(documents, custom, sources)
+    best = found.groupBy("source_id").agg(F.min(priority()).alias("_best"))
+    return found.join(best, "source_id").where(priority() == F.col("_best")).drop("_best")
+
+
+def of_every_kind(documents: DataFrame, custom: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The listings of all documents, whatever their kind."""
     known = with_settings(documents, sources)
     found = tribe(known).unionByName(ical(known)).unionByName(jsonld(known)).unionByName(feed(known))
-    if custom is not None:
-        found = found.unionByName(custom, allowMissingColumns=True)
-    priority = F.array_position(F.array(*map(F.lit, vocab.STRATEGIES)), F.col("kind"))
-    best = found.groupBy("source_id").agg(F.min(priority).alias("_best"))
-    return found.join(best, "source_id").where(priority == F.col("_best")).drop("_best")
+    return found if custom is None else found.unionByName(custom, allowMissingColumns=True)
+
+
+def priority() -> Column:
+    return F.array_position(F.array(*map(F.lit, vocab.STRATEGIES)), F.col("kind"))
+
+
+def chain_outcomes(documents: DataFrame, custom: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """outcomes() of strategy_chain(), by the counts of every kind: documents are read once, and no listing is joined."""
+    counts = outcomes(of_every_kind(documents, custom, sources))
+    best = counts.groupBy("source_id").agg(F.min_by(F.struct("kind", "one_off", "exhibitions"), priority()).alias("_best"))
+    return best.select("source_id", "_best.*")
 
 
 def outcomes(listings: DataFrame) -> DataFrame:
-    """(source_id, kind, one_off, exhibitions): what each source's strategy gave."""
+    """(source_id, kind, one_off, exhibitions): what each source's strategy gave, or each kind of its documents."""
     exhibition = F.col("event_type") == "exhibition"
     return listings.groupBy("source_id", "kind").agg(F.count_if(~exhibition).alias("one_off"), F.count_if(exhibition).alias("exhibitions"))
 
@@ -351,12 +365,20 @@ def profile(documents: DataFrame) -> DataFrame:
     low = F.lower("body")
     seen = [F.when(low.contains(words[0]) | (low.contains(words[-1])), F.lit(k)) for k, words in SIGNALS.items()]
     seen += [F.when(F.substring("body", 1, 500).contains("BEGIN:VCALENDAR"), F.lit("ical-direct")), F.when(low.rlike("<link[^>]+(rss|feed)"), F.lit("rss-link"))]
-    rows = documents.select("source_id", F.array_compact(F.array(*seen)).alias("signals"))
-    merged = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    signals = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), merged(F.flatten(F.collect_set("signals"))).alias("signals"))
-    types = nested.types_by_path(documents).groupBy("source_id").agg(merged(F.collect_set("type")).alias("types"))
-    joined = signals.join(types, "source_id", "left").join(nested.first_events(documents), "source_id", "left")
-    return joined.select("source_id", "documents", F.coalesce("types", F.lit("")).alias("types"), "signals", "sample")
+    merged = lambda kind: F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("_fact.kind") == kind, F.col("_fact.word"))))), ",")
+    opened = nested.objects_of(documents, nested.types_and_sample)
+    tagged = lambda kind, words: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    types = F.array_distinct(F.flatten(F.transform("objects", lambda x: x["kept"]["types"])))
+    sample = nested.first_sample(F.col("objects"))
+    # A row for the document, which the sample is beside, and one for each of its types and signals: few a source once counted.
+    facts = F.concat(tagged("document", F.array(F.lit(""))), tagged("type", types), tagged("signal", F.array_compact(F.array(*seen))))
+    first = F.when(F.col("_sample").isNotNull(), F.struct("page_no", "_sample.place", "_sample.sample"))
+    told = opened.select("source_id", "page_no", sample.alias("_sample"), facts.alias("_facts")).select("source_id", first.alias("_first"), F.explode("_facts").alias("_fact"))
+    told = told.select("source_id", "_fact", F.when(F.col("_fact.kind") == "document", F.col("_first")).alias("_first"))
+    counted = told.groupBy("source_id", "_fact").agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("_first"))
+    return counted.groupBy("source_id").agg(
+        F.sum(F.when(F.col("_fact.kind") == "document", F.col("n"))).alias("documents"), merged("type").alias("types"), merged("signal").alias("signals"), F.min("_first")["sample"].alias("sample"),
+    )
 
 
 def write_report(profiled: DataFrame, path: str) -> None:

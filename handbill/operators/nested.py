@@ -1,21 +1,19 @@
-"""Nested JSON to any depth: one level of all documents a step, until no node is left to open.
+"""Nested JSON to any depth, opened level by level within a row.
 
-Values are VARIANTs, parsed once. A step explodes the nodes that the last one found
-and keeps the new level in the shared folder, so the plan doesn't grow with the depth
-and a document of any shape takes part. Text that is no JSON, or nests deeper than
-Spark's parser allows (1,000 levels), gives no nodes.
+Values are VARIANTs, parsed once. A step opens all nodes of a text that the last one
+found; what is asked of an object is taken when it is met, so that nothing of a text
+is written, shuffled or kept but that. A text counts as many steps as it can be
+deep. Text that is no JSON, or nests deeper than Spark's parser allows (1,000 levels), gives no nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handbill.functions import vocab
-from handbill.sources.storage import kept
 
 LD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
 #: What a sample of an object shows, and characters of it.
@@ -23,45 +21,61 @@ SAMPLE_KEYS = ("@type", "name", "startDate", "endDate", "url", "location", "desc
 SAMPLE_CHARS = 1500
 
 
-def shape_of(value: Column) -> Column:
-    """object, array or scalar."""
-    kind = F.schema_of_variant(value)
-    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise("scalar")
+#: Levels that Spark's JSON parser reads.
+DEEPEST = 1000
+LIST, OBJECT = "array<variant>", "map<string,variant>"
 
 
-def scripts(documents: DataFrame, *keys: str, body: str = "body") -> DataFrame:
-    """(*keys, place, path, shape, value): the JSON-LD scripts of pages that hold JSON, one row each, in their order."""
-    found = documents.select(*keys, F.posexplode(F.regexp_extract_all(body, F.lit(LD_SCRIPT), 1)).alias("_n", "_text"))
-    value = F.try_parse_json(F.trim("_text"))
-    rows = found.select(*keys, F.array("_n").alias("place"), F.lit("$").alias("path"), value.alias("value")).where("value IS NOT NULL")
-    return rows.withColumn("shape", shape_of(F.col("value")))
+def graph_only(fields: Column) -> Column:
+    """What objects hold under @graph."""
+    return F.filter(fields, lambda x: x["key"] == "@graph")
 
 
-def graph_only(level: DataFrame) -> DataFrame:
-    """The items of lists, and what objects hold under @graph."""
-    return level.where("_shape = 'array' OR key = '@graph'")
+def everything(fields: Column) -> Column:
+    return fields
 
 
-def everything(level: DataFrame) -> DataFrame:
-    return level
+def objects_in(texts: Column, keep: Callable[[Column], Column], kept_type: str, opened: Callable[[Column], Column] = everything) -> Column:
+    """(place, path, kept) of all objects of JSON texts that lists and ``opened`` fields lead to, the outermost first.
 
-
-def walk(roots: DataFrame, opened: Callable[[DataFrame], DataFrame] = everything) -> DataFrame:
-    """All objects below ``roots`` (keys, place, path, shape, value), themselves included, that ``opened`` leads to.
-
-    ``place`` is the node's position at each depth, so that its order is the order
-    of the text; ``path`` names the keys on the way, [] for any item of a list.
+    ``keep`` tells what of an object is kept, ``kept_type`` its type. ``place`` is the text's number
+    and the node's position at each depth, so that its order is the order of the
+    texts; ``path`` names the keys on the way, [] for any item of a list.
     """
-    spark = roots.sparkSession
-    level, found = kept(roots.where("shape <> 'scalar'")), []
-    keys = [c for c in roots.columns if c not in ("place", "path", "shape", "value")]
-    while not level.isEmpty():
-        found.append(level.where("shape = 'object'"))
-        inner = level.withColumnsRenamed({"value": "_value", "shape": "_shape"}).lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()))
-        path = F.concat("path", F.when(F.col("key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("key"))))
-        below = opened(inner).select(*keys, F.concat("place", F.array("pos")).alias("place"), path.alias("path"), shape_of(F.col("value")).alias("shape"), "value")
-        level = kept(below.where("shape <> 'scalar'"))
-    return reduce(DataFrame.unionByName, found) if found else level
+    node = "struct<place:array<int>,path:string,value:variant>"
+    state = f"struct<open:array<{node}>,found:array<struct<place:array<int>,path:string,kept:{kept_type}>>>"
+    items = lambda value: F.try_variant_get(value, "$", LIST)
+    fields = lambda value: F.try_variant_get(value, "$", OBJECT)
+    numbered = lambda values: F.transform(values, lambda v, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("key"), v.alias("value")))
+    named = lambda entries: F.transform(entries, lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
+
+    def containers(nodes: Column) -> Column:
+        return F.filter(nodes, lambda n: fields(n["value"]).isNotNull() | items(n["value"]).isNotNull())
+
+    def below(n: Column) -> Column:
+        inner = containers(F.coalesce(numbered(items(n["value"])), opened(named(F.map_entries(fields(n["value"]))))))
+        path = lambda e: F.concat(n["path"], F.when(e["key"].isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), e["key"])))
+        return F.transform(inner, lambda e: F.struct(F.concat(n["place"], F.array(e["pos"])).alias("place"), path(e).alias("path"), e["value"].alias("value")))
+
+    def step(at: Column) -> Column:
+        objects = F.filter(at["open"], lambda n: fields(n["value"]).isNotNull())
+        met = F.transform(objects, lambda n: F.struct(n["place"].alias("place"), n["path"].alias("path"), keep(n["value"]).alias("kept")))
+        return F.struct(F.flatten(F.transform(at["open"], below)).alias("open"), F.concat(at["found"], met).alias("found"))
+
+    parsed = F.transform(texts, lambda t, i: F.struct(F.array(i).alias("place"), F.lit("$").alias("path"), F.try_parse_json(F.trim(t)).alias("value")))
+    roots = containers(parsed)
+    # No text is deeper than it has brackets; without open nodes a step is over at once.
+    brackets = F.aggregate(texts, F.lit(0), lambda n, t: F.greatest(n, F.length(t) - F.length(F.translate(t, "[{", ""))))
+    steps = F.when(brackets > 0, F.sequence(F.lit(1), F.least(brackets, F.lit(DEEPEST)))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(roots.alias("open"), F.array().alias("found")).cast(state)
+    return F.aggregate(steps, start, lambda at, _: F.when(F.size(at["open"]) > 0, step(at)).otherwise(at), lambda at: at["found"])
+
+
+def objects_of(documents: DataFrame, keep: Callable[[Column], Column], opened: Callable[[Column], Column] = everything, body: str = "body", name: str = "objects") -> DataFrame:
+    """``documents`` with the objects_in() the JSON-LD scripts of each page, in a column; none for a page that is null."""
+    kept_type = documents.sparkSession.range(0).select(keep(F.try_parse_json(F.lit("{}"))).alias("kept")).schema["kept"].dataType.simpleString()
+    texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(LD_SCRIPT), F.lit(1))
+    return documents.withColumn(name, objects_in(texts, keep, kept_type, opened))
 
 
 def types_of(value: Column) -> Column:
@@ -84,24 +98,26 @@ def events_of(documents: DataFrame, *keys: str) -> DataFrame:
 
     Lists and @graph are opened however deep they nest, other fields aren't.
     """
-    rows = documents.select(*keys, "body", F.monotonically_increasing_id().alias("_page"))
-    found = walk(scripts(rows, *keys, "_page"), graph_only).where(is_event(F.col("value")))
-    nodes = found.groupBy("_page").agg(F.first(F.struct(*keys)).alias("_of"), F.array_sort(F.collect_list(F.struct("place", F.to_json("value").alias("node")))).alias("_nodes"))
-    return nodes.select("_of.*", F.posexplode("_nodes.node").alias("seq", "node"))
+    found = objects_of(documents, lambda value: F.when(is_event(value), F.to_json(value)), graph_only)
+    ordered = F.array_sort(F.filter("objects", lambda x: x["kept"].isNotNull()))
+    return found.select(*keys, F.posexplode(F.transform(ordered, lambda x: x["kept"])).alias("seq", "node"))
 
 
 def types_by_path(documents: DataFrame, source: str = "source_id") -> DataFrame:
     """(source, path, type, n): how often each @type stands where in the JSON-LD of each source, in objects of any depth."""
-    found = walk(scripts(documents, source))
-    each = found.select(source, "path", F.explode(types_of(F.col("value"))).alias("type"))
+    found = objects_of(documents, types_of).select(source, F.explode("objects").alias("_at"))
+    each = found.select(source, "_at.path", F.explode("_at.kept").alias("type"))
     return each.groupBy(source, "path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_events(documents: DataFrame, source: str = "source_id", page: str = "page_no") -> DataFrame:
-    """(source, sample): the first object of each source whose type holds "event", as JSON of its telling fields, cut."""
-    found = walk(scripts(documents, source, page))
-    eventful = found.where(F.exists(types_of(F.col("value")), lambda t: F.lower(t).contains("event")))
-    # Of equal places, as rows with one page number may have, the one whose text is first.
-    fields = F.map_filter(F.try_variant_get("value", "$", "map<string,variant>"), lambda k, v: k.isin(*SAMPLE_KEYS))
-    told = eventful.select(source, page, "place", F.substring(F.to_json(fields), 1, SAMPLE_CHARS).alias("sample"))
-    return told.groupBy(source).agg(F.min(F.struct(page, "place", "sample")).alias("_first")).select(source, "_first.sample")
+def types_and_sample(value: Column) -> Column:
+    """(types, sample): an object's types and, if one holds "event", its telling fields as JSON, cut."""
+    types = types_of(value)
+    fields = F.map_filter(F.try_variant_get(value, "$", OBJECT), lambda k, v: k.isin(*SAMPLE_KEYS))
+    sample = F.when(F.exists(types, lambda t: F.lower(t).contains("event")), F.substring(F.to_json(fields), 1, SAMPLE_CHARS))
+    return F.struct(types.alias("types"), sample.alias("sample"))
+
+
+def first_sample(objects: Column) -> Column:
+    """(place, sample) of the first object of a page that has a sample; null if none has."""
+    return F.array_min(F.transform(F.filter(objects, lambda x: x["kept"]["sample"].isNotNull()), lambda x: F.struct(x["place"].alias("place"), x["kept"]["sample"].alias("sample"))))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,17 @@ def test_local_times(spark):
 def test_times_required(spark):
     rows = spark.createDataFrame([("v", "Talk", 600), ("v", "No clock", None)], "venue_id string, title string, minute int")
     assert [tuple(r) for r in dialects.time_required(rows, "minute")[1].collect()] == [("v", "No clock", "dropped (no time)")]
+
+
+def test_nested_json_writes_nothing(spark):
+    """However deep a page nests, nothing of it is written on the way; each level was, before."""
+    value = {"@type": "Event", "name": "deep"}
+    for i in range(40):
+        value = {"@type": "WebPage", "@graph": [[value], i], "about": {"@type": "Thing"}}
+    rows = spark.createDataFrame([("a", "jsonld", "u", 0, page(value), "")], RAW_DOCUMENT)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = sorted(folder.rglob("*"))
+    assert sum(r.n for r in nested.types_by_path(rows).collect()) == 81
+    assert [json.loads(r.node)["name"] for r in nested.events_of(rows, "source_id").collect()] == ["deep"]
+    assert extract.profile(rows).first().sample.startswith('{"@type":"Event"')
+    assert sorted(folder.rglob("*")) == before
