@@ -81,16 +81,30 @@ def described(title: Column, description: Column) -> Column:
     return F.concat(text_or_empty(title), F.lit(" \n "), text_or_empty(description))
 
 
+def squeezed(text: Column) -> Column:
+    """Runs of white space to one space, none at the ends."""
+    # Of ASCII only what isn't a single space is worth replacing.
+    plain = lambda t: F.regexp_replace(t, r"\s{2,}|[\t-\r]", " ")
+    return let(text, lambda t: F.trim(F.when(F.octet_length(t) == F.length(t), plain(t)).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))))
+
+
+def without_tags(text: Column) -> Column:
+    return let(text_or_empty(text), lambda t: F.when(t.contains("<"), F.regexp_replace(t, "(?s)<[^>]+>", " ")).otherwise(t))
+
+
 def numeric_entities(text: Column) -> Column:
-    """&#123; and &#x1f; as characters; what names no character stays."""
+    """&#123; and &#x1f; as characters; what names no character stays. Each step names its input by a variable, so that nothing is computed twice."""
 
-    def one(part: Column, place: Column) -> Column:
-        code = F.regexp_extract(part, "^([xX]?[0-9a-zA-Z]{1,8});", 1)
+    def read(part: Column, code: Column) -> Column:
         number = F.when(code.rlike("^[xX][0-9a-fA-F]+$"), F.conv(F.substring(code, 2, 7), 16, 10)).when(code.rlike("^[0-9]+$"), code).try_cast("long")
-        known = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (number != 0xFEFF)
-        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        known = lambda n: n.between(0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF) & (n != 0xFEFF)
+        character = lambda n: F.when(n.between(1, 127), F.char(n)).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
         rest = F.substr(part, F.length(code) + 2)
-        return F.when(place == 0, part).when(F.coalesce(known, F.lit(False)), F.concat(character, rest)).otherwise(F.concat(F.lit("&#"), part))
+        return let(number, lambda n: F.when(F.coalesce(known(n), F.lit(False)), F.concat(character(n), rest)).otherwise(F.concat(F.lit("&#"), part)))
+
+    def one(part: Column, place: Column) -> Column:
+        code = F.regexp_extract(part, "^([xX]?[0-9a-zA-Z]{1,8});", 1)
+        return F.when(place == 0, part).otherwise(let(code, lambda c: read(part, c)))
 
     return F.array_join(F.transform(F.split(text, "&#", -1), one), "")
 
@@ -100,13 +114,15 @@ def strip_html(text: Column, numeric: bool = True) -> Column:
 
     Named references go by one table, so a result is not decoded again: "&amp;" is replaced last.
     """
-    bare = F.regexp_replace(text_or_empty(text), "(?s)<[^>]+>", " ")
     ordered = [x for x in vocab.ENTITIES.items() if x[0] != "&amp;"]
-    named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ordered, bare)
-    if numeric:
-        named = F.when(named.contains("&#"), numeric_entities(named)).otherwise(named)
-    whole = F.replace(named, F.lit("&amp;"), F.lit("&"))
-    return F.regexp_replace(F.regexp_replace(whole, r"(?U)\s+", " "), "^ | $", "")
+
+    def decoded(bare: Column) -> Column:
+        named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ordered, bare)
+        if numeric:
+            named = let(named, lambda n: F.when(n.contains("&#"), numeric_entities(n)).otherwise(n))
+        return F.replace(named, F.lit("&amp;"), F.lit("&"))
+
+    return squeezed(let(without_tags(text), lambda bare: F.when(bare.contains("&"), decoded(bare)).otherwise(bare)))
 
 
 def named_entities(text: Column, names: dict[str, str]) -> Column:
@@ -114,10 +130,8 @@ def named_entities(text: Column, names: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
     def one(part: Column, place: Column) -> Column:
-        name = F.regexp_extract(part, "^([a-zA-Z]+);", 1)
-        character = F.try_element_at(known, F.lower(name))
-        decoded = F.concat(character, F.substr(part, F.length(name) + 2))
-        return F.when(place == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
+        decoded = lambda name: F.concat(F.try_element_at(known, F.lower(name)), F.substr(part, F.length(name) + 2))
+        return F.when(place == 0, part).otherwise(F.coalesce(let(F.regexp_extract(part, "^([a-zA-Z]+);", 1), decoded), F.concat(F.lit("&"), part)))
 
     return F.array_join(F.transform(F.split(text, "&", -1), one), "")
 
@@ -127,17 +141,16 @@ def display_text(text: Column, names: dict[str, str] | None = vocab.DISPLAY_ENTI
 
     Unlike strip_html() it keeps curly quotes. Without ``names`` references stay as they are.
     """
-    bare = F.regexp_replace(text_or_empty(text), "(?s)<[^>]+>", " ")
+    bare = without_tags(text)
     if names is not None:
-        bare = F.when(bare.contains("&"), named_entities(numeric_entities(bare), names)).otherwise(bare)
-    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", "")
+        bare = let(bare, lambda b: F.when(b.contains("&"), named_entities(numeric_entities(b), names)).otherwise(b))
+    return squeezed(bare)
 
 
 def normalize_title(title: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces, without the first of each known prefix that it starts with."""
-    low = F.lower(text_or_empty(title))
-    plain = F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, r"[^a-z0-9\s]+", "")).otherwise(F.regexp_replace(low, r"(?U)[^a-z0-9\s]+", ""))
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)\s+", " "), "^ | $", "")
+    bare = lambda low: F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, r"[^a-z0-9\s]+", "")).otherwise(F.regexp_replace(low, r"(?U)[^a-z0-9\s]+", ""))
+    plain = squeezed(let(F.lower(text_or_empty(title)), bare))
     # Punctuation is gone, so a prefix with a colon can't be there. Each step names its input once.
     known = [p for p in vocab.TITLE_PREFIXES if ":" not in p]
     return F.regexp_replace(plain, "^" + "".join(f"(?:{p})?" for p in known), "")
@@ -150,10 +163,10 @@ def event_id(venue_id: Column, start: Column, title: Column, norm: Column | None
     """
     date = F.substring(text_or_empty(start), 1, 10)
     norm = normalize_title(title) if norm is None else norm
-    slug = F.regexp_replace(F.substring(F.regexp_replace(norm, "[^a-z0-9-]", "-"), 1, 40), "^-+|-+$", "")
+    # Between letters and digits a normalized title has single spaces alone.
+    slug = F.btrim(F.substring(F.translate(norm, " ", "-"), 1, 40), F.lit("-"))
     digest = F.substring(F.sha1(F.concat_ws("|", venue_id, date, norm)), 1, 10)
-    # Without a letter or digit the slug is empty.
-    return F.concat_ws("-", venue_id, date, F.when(F.rlike(norm, F.lit("[a-z0-9]")), slug), digest)
+    return F.concat_ws("-", venue_id, date, F.nullif(slug, F.lit("")), digest)
 
 
 def with_event_id(rows: DataFrame, title: str = "title", salt: str = "", name: str = "id") -> DataFrame:
