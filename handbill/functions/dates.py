@@ -92,37 +92,58 @@ def as_iso(bare: Column) -> Column:
 
 
 def as_local(whole: Column) -> Column:
-    fields = F.regexp_extract(whole, r"T(\d{2}:\d{2}(?::\d{2})?)", 1)
-    clock = F.when(F.length(fields) == 5, F.concat(fields, F.lit(":00"))).otherwise(fields)
+    """Each part of the text is read once: other steps name it by a variable."""
     offset = F.regexp_extract(whole, r"(Z|[+-]\d{2}:?\d{2})$", 1)
-    with_offset = F.concat(F.substring(whole, 1, 10), F.lit("T"), clock, offset)
-    utc = F.when(offset != "", instant(with_offset, vocab.TIME_ZONE)).otherwise(local_to_utc(F.concat(F.substring(whole, 1, 10), F.lit(" "), clock)))
-    return F.when(is_date(whole) | (clock == "00:00:00"), F.substring(whole, 1, 10)).otherwise(let(utc, local_text))
+    fields = F.regexp_extract(whole, r"T(\d{2}:\d{2}(?::\d{2})?)", 1)
+    day = F.substring(whole, 1, 10)
+    return F.when(is_date(whole), day).when(whole.isNotNull(), let(F.struct(day.alias("day"), fields.alias("fields"), offset.alias("offset")), read_parts))
+
+
+def read_parts(parts: Column) -> Column:
+    day, offset = parts["day"], parts["offset"]
+    clock = F.when(F.length(parts["fields"]) == 5, F.concat(parts["fields"], F.lit(":00"))).otherwise(parts["fields"])
+    text = F.concat(day, F.lit(" "), clock)
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int")
+    back = F.make_dt_interval(mins=F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes))
+    utc = F.when(offset == "", local_to_utc(text)).when(offset == "Z", text.try_cast(NTZ)).otherwise(text.try_cast(NTZ) - back)
+    return F.when(clock == "00:00:00", day).otherwise(let(utc, local_text))
+
+
+MAIL = r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4}) (\d{2}:\d{2})(:\d{2})? ?(GMT|UTC|Z|[+-]\d{4})$"
 
 
 def mail_date(text: Column) -> Column:
     """ISO text of "22 Aug 2026 19:00:00 +0000"; null for anything else."""
-    part = lambda i: F.regexp_extract(text, r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4}) (\d{2}:\d{2})(:\d{2})? ?(GMT|UTC|Z|[+-]\d{4})$", i)
-    month = (F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), part(2)) + 2) / 3
-    clock = F.concat(part(4), F.when(part(5) == "", ":00").otherwise(part(5)))
-    zone = F.when(part(6).isin("GMT", "UTC"), "Z").otherwise(part(6))
-    day = F.concat_ws("-", part(3), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(part(1), 2, "0"))
-    return F.when(part(3) != "", F.concat(day, F.lit("T"), clock, zone))
+
+    def written(part: Column) -> Column:
+        month = (F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), part[1]) + 2) / 3
+        clock = F.concat(part[3], F.when(part[4] == "", ":00").otherwise(part[4]))
+        zone = F.when(part[5].isin("GMT", "UTC"), "Z").otherwise(part[5])
+        day = F.concat_ws("-", part[2], F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(part[0], 2, "0"))
+        return F.concat(day, F.lit("T"), clock, zone)
+
+    return F.when(text.rlike(MAIL), let(F.split(F.regexp_replace(text, MAIL, "$1|$2|$3|$4|$5|$6"), "[|]"), written))
 
 
 def local_to_utc(text: Column) -> Column:
     """UTC fields of local wall fields; the later instant of an hour that comes twice."""
-    at = text.try_cast(NTZ)
-    early = F.convert_timezone(F.lit(vocab.TIME_ZONE), F.lit("UTC"), at)
-    late = early + F.expr("INTERVAL 1 HOUR")
-    return F.when(F.convert_timezone(F.lit("UTC"), F.lit(vocab.TIME_ZONE), late) == at, late).otherwise(early)
+
+    def latest(x: Column) -> Column:
+        late = x["early"] + F.expr("INTERVAL 1 HOUR")
+        return F.when(F.convert_timezone(F.lit("UTC"), F.lit(vocab.TIME_ZONE), late) == x["at"], late).otherwise(x["early"])
+
+    early = lambda at: F.struct(at.alias("at"), F.convert_timezone(F.lit(vocab.TIME_ZONE), F.lit("UTC"), at).alias("early"))
+    return let(let(text.try_cast(NTZ), early), latest)
 
 
 def local_text(utc: Column) -> Column:
     """ISO text with offset, in local time, of UTC fields."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(vocab.TIME_ZONE), utc)
-    hours = ((seconds(utc) - seconds(local)) / 3600).cast("int")
-    return F.concat(F.replace(F.substring(local.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.format_string("-%02d:00", hours))
+
+    def written(local: Column) -> Column:
+        hours = F.floor((seconds(utc) - seconds(local)) / 3600).cast("string")
+        return F.concat(F.replace(F.substring(local.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("-"), F.lpad(hours, 2, "0"), F.lit(":00"))
+
+    return let(F.convert_timezone(F.lit("UTC"), F.lit(vocab.TIME_ZONE), utc), written)
 
 
 def window_of(preset: str, now: datetime) -> tuple[datetime | None, datetime | None]:
