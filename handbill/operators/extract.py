@@ -122,14 +122,20 @@ def ical_time(block: Column, name: str) -> Column:
     """20260822, 20260822T190000Z or a time with TZID as ISO text; a zone that no database knows is local, like none."""
     value = F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
     zone = F.regexp_extract(block, rf'(?m)^{name};(?:[^:\r\n]*;)?TZID="?([^":;\r\n]+)', 1)
-    date = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
-    clock = F.regexp_extract(value, r"^\d{8}T(\d{6})", 1)
-    wall = F.concat(date, F.lit("T"), F.regexp_replace(clock, r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3"))
-    # Any zone that this JVM knows, by name; a text with an unknown one is no time and stays null.
-    moved = F.try_to_timestamp(F.concat_ws(" ", F.replace(wall, F.lit("T"), F.lit(" ")), F.nullif(zone, F.lit(""))), F.lit("yyyy-MM-dd HH:mm:ss VV"))
-    there = F.concat(F.replace(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moved.cast("timestamp_ntz")).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
-    timed = F.when(value.endswith("Z"), F.concat(wall, F.lit("Z"))).otherwise(F.coalesce(there, wall))
-    return F.when(value == "", F.lit(None)).when(clock == "", date).otherwise(timed)
+
+    def timed(x: Column) -> Column:
+        # Any zone that this JVM knows, by name; a text with an unknown one is no time and stays null.
+        moved = F.when(x["zone"] != "", F.try_to_timestamp(F.concat_ws(" ", F.replace(x["wall"], F.lit("T"), F.lit(" ")), x["zone"]), F.lit("yyyy-MM-dd HH:mm:ss VV")))
+        there = F.concat(F.replace(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moved.cast("timestamp_ntz")).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+        return F.when(x["value"].endswith("Z"), F.concat(x["wall"], F.lit("Z"))).otherwise(F.coalesce(there, x["wall"]))
+
+    def read(x: Column) -> Column:
+        date = F.regexp_replace(x["value"], r"^(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3")
+        at = lambda clock: F.concat(date, F.lit("T"), F.regexp_replace(clock, r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3"))
+        of = lambda clock: F.when(clock == "", date).otherwise(text.let(F.struct(x["value"].alias("value"), x["zone"].alias("zone"), at(clock).alias("wall")), timed))
+        return F.when(x["value"] != "", text.let(F.regexp_extract(x["value"], r"^\d{8}T(\d{6})", 1), of))
+
+    return text.let(F.struct(value.alias("value"), zone.alias("zone")), read)
 
 
 def ical(documents: DataFrame) -> DataFrame:

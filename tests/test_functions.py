@@ -233,3 +233,13 @@ def test_a_match_holds_letters_that_the_pattern_needs(pattern, data):
 def test_needed_letters_of_small_patterns():
     assert text.needed(r"\b(?:ab?|cd*e)\b") == ["a", "c"] and text.needed("x{0,3}") is None and text.needed("(ab)?") is None and text.needed("[ab]|c") is None
     assert text.needed(r"\b(a)b(c)\b") == ["b"] and text.needed("(?:ab|cd) e") == ["ab", "cd"] and text.needed("(?:ab|cd)?e") == ["e"]
+
+
+@pytest.mark.parametrize(
+    "made, most",
+    [(text.numeric_entities, 1), (dates.as_local, 2), (dates.mail_date, 0), (lambda c: extract.ical_time(c, "DTSTART"), 3)],
+)
+def test_each_pattern_is_read_once(spark, made, most):
+    """A step that names its input more than once must not repeat the patterns that the input takes: these took up to dozens."""
+    plan = spark.createDataFrame([("x",)], "t string").select(made(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= most
