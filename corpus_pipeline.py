@@ -48,7 +48,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     empty one; texts without words are near copies of each other. An empty table
     gives an empty result.
 
-    64 bits can't tell similarity 0.8 within limits, so this isn't op3's search but ``similar``.
+    op3's search, SimHash at 3 of 64 bits, gives the first candidates. 64 bits can't tell similarity 0.8
+    within limits, so ``similar`` adds those of MinHash bands, and shingle sets decide on both.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("lang", "source"), F.col("text").isNull())
     marked = docs.select(F.struct(*COLUMNS).alias("row"), similar.key_of().alias("own"), order.alias("order"))

@@ -294,7 +294,11 @@ def near_duplicates(
     smallest unless a whole component has no other, and is null then. An empty
     table gives an empty result.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    return grouped(cut(fingerprints(docs, id_col, text_col, shingle)), max_bits, parts)
+
+
+def grouped(marked: DataFrame, max_bits: int = MAX_BITS, parts: int | None = None) -> DataFrame:
+    """near_duplicates() of rows (doc_id, fp) whose fingerprints are known; ``marked`` is read more than once."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reached = components(links(distinct, max_bits, parts))
     rooted = distinct.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

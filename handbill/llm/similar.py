@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands give candidates, whole shingle sets decide.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and MinHash bands give candidates, whole shingle sets decide.
 
-Equal texts are one class from the start. Each distinct text has BANDS cells, a
-hash of ROWS minima each; two texts of similarity s share a cell with
+Equal texts are one class from the start. Texts that SimHash links, at 3 or fewer of
+64 bits and over any number of links, are a cell of their own. As few bits can't tell
+all pairs of that similarity, each distinct text has BANDS more cells, a hash of ROWS minima each; two texts of similarity s share a cell with
 probability 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8. A pair links if its own
 shingle sets are similar enough. Its texts are fetched for that only if enough
 of its minima agree, told by one byte each; of similar pairs fewer than one in
-100,000 falls short of that.
+100,000 falls short of that. What shares a SimHash cell passes the same check as what shares a band.
 
 The first round takes two hubs of each cell, the text that meets most others over
 all of its cells, which is the middle of a group, and the one with the least key,
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handbill.llm.common import cut, ship, spread_join
-from handbill.llm.simhash import SEED, components
+from handbill.llm.simhash import SEED, components, fingerprint, grouped
 
 SHINGLE = 5
 #: Similarity from which two texts are near copies, in hundredths.
@@ -89,7 +90,7 @@ def must_agree(percent: int) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(key, cells, sign): once for each text of ``docs`` (key, text); ``sign`` is the last byte of each of its minima."""
+    """(key, cells, sign, fp): once for each text of ``docs`` (key, text); ``sign`` is the last byte of each of its minima, ``fp`` its SimHash."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +98,16 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([cells(x) for x in least], np.uint64).reshape(-1, BANDS).view(np.int64)
             at = pa.array(np.arange(0, BANDS * (len(found) + 1), BANDS, dtype=np.int32))
             signs = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(found.ravel())), signs], ["key", "cells", "sign"])
+            fps = pa.array(np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(found.ravel())), signs, fps], ["key", "cells", "sign", "fp"])
 
-    return cut(docs.mapInArrow(sketch, "key long, cells array<long>, sign binary").dropDuplicates(["key"]))
+    return cut(docs.mapInArrow(sketch, "key long, cells array<long>, sign binary, fp long").dropDuplicates(["key"]))
+
+
+def with_simhash(sketched: DataFrame) -> DataFrame:
+    """``sketched`` (key, cells, sign, fp) with a cell more, the last: that of all texts that SimHash links with its own."""
+    found = grouped(sketched.select(F.col("key").alias("doc_id"), "fp")).select(F.col("doc_id").alias("k"), F.xxhash64(F.lit("simhash"), "component_id").alias("linked"))
+    return cut(sketched.join(found, F.col("key") == F.col("k")).select("key", F.concat("cells", F.array("linked")).alias("cells"), "sign"))
 
 
 def cell_rows(sketched: DataFrame) -> DataFrame:
@@ -213,7 +221,7 @@ def groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, perc
     """(key, root): for the key of each text with a near copy, the least key that it reaches; other texts have no row."""
     ship(docs.sparkSession)
     docs = docs.select(key_of(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketched = sketches(docs, shingle)
+    sketched = with_simhash(sketches(docs, shingle))
     rows = cell_rows(sketched)
     signs = cut(sketched.select("key", "sign").join(rows.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi"))
 
