@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handbill.functions.dates import to_local_iso
+from handbill.functions.text import let, number
 
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CLOCK = r"(?i)(?<![\d$])(\d{1,2})(?::(\d{2}))?\s*([ap])?\.?\s?(?:m\b\.?)?"
@@ -15,8 +16,8 @@ RANGE = rf"{CLOCK}\s*(?:-|–|—|to)\s*{CLOCK.replace('(?i)', '')}"
 
 
 def minutes(hour: Column, minute: Column, half: Column) -> Column:
-    h = hour.try_cast("int") % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)
-    return h * 60 + F.coalesce(minute.try_cast("int"), F.lit(0))
+    h = number(hour) % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)
+    return h * 60 + F.coalesce(number(minute), F.lit(0))
 
 
 def parse_clock(text: Column) -> Column:
@@ -79,14 +80,20 @@ def month_number(name: Column) -> Column:
 
 def month_day(text: Column, year: Column) -> Column:
     """The date of "March 13", "Mar. 13, 2026" and the like; ``year`` where the text has none."""
-    found = r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?"
-    own = F.coalesce(F.regexp_extract(text, found, 3).try_cast("int"), year)
-    parts = F.format_string("%04d-%02d-%02d", own, month_number(F.regexp_extract(text, found, 1)), F.regexp_extract(text, found, 2).try_cast("int"))
-    return parts.try_cast("date")
+    found = r"[A-Za-z]{3,9}\.?\s+\d{1,2}(?:st|nd|rd|th)?(?:,?\s+\d{4})?"
+    padded = lambda c, n: F.lpad(c.cast("string"), n, "0")
+
+    def read(x: Column) -> Column:
+        # Of what was found, the first digits are the day, and only a year is four digits at its end.
+        own = F.when(x.rlike(r"\d{4}$"), F.substring(x, -4, 4).try_cast("int")).otherwise(year)
+        parts = F.concat(padded(own, 4), F.lit("-"), padded(month_number(x), 2), F.lit("-"), padded(F.regexp_extract(x, r"\d{1,2}", 0), 2))
+        return F.when(x != "", parts.try_cast("date"))
+
+    return let(F.regexp_extract(text, found, 0), read)
 
 
 def year_in(text: Column) -> Column:
-    return F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    return number(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1))
 
 
 #: What is done about a year that a text lacks.
@@ -103,22 +110,31 @@ def parse_range(text: Column, as_of: date, policy: str | Column = "same", past_d
     """
     chosen = F.lit(policy) if isinstance(policy, str) else policy
     back = F.lit(past_days) if isinstance(past_days, int) else past_days
-    sides = F.split(F.regexp_replace(text, r"(?i)\s*(?:-|–|—|\bthrough\b|\bto\b)\s*", "|"), "\\|")
-    left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
-    has_month = F.coalesce(right.rlike(r"^\s*[A-Za-z]{3}"), F.lit(False))
-    # "March 13 - 20, 2026": the second side lacks its month.
-    right = F.when(right.isNull() | has_month, right).otherwise(F.concat(F.regexp_extract(left, r"([A-Za-z]{3,9})", 1), F.lit(" "), F.trim(right)))
     now = F.lit(as_of.year)
+    sides = F.split(F.regexp_replace(text, r"(?i)\s*(?:-|–|—|\bthrough\b|\bto\b)\s*", "|"), "\\|")
 
-    def moved(day: Column, side: Column) -> Column:
+    # Each part is read once: later steps name it by a variable.
+    def parted(sides: Column) -> Column:
+        left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+        has_month = F.coalesce(right.rlike(r"^\s*[A-Za-z]{3}"), F.lit(False))
+        # "March 13 - 20, 2026": the second side lacks its month.
+        whole = F.when(right.isNull() | has_month, right).otherwise(F.concat(F.regexp_extract(left, r"([A-Za-z]{3,9})", 1), F.lit(" "), F.trim(right)))
+        years = lambda r: F.struct(left.alias("left"), r.alias("right"), year_in(left).alias("left_year"), year_in(r).alias("right_year"))
+        return let(let(whole, years), lambda x: let(month_day(x["right"], F.coalesce(x["right_year"], now)), lambda end: begun(x, end)))
+
+    def begun(x: Column, end: Column) -> Column:
+        start = month_day(x["left"], F.coalesce(x["left_year"], F.when(chosen == "from_end", F.year(end)), now))
+        wrapped = lambda s: F.when((chosen == "from_end") & x["left_year"].isNull() & (s > end), F.add_months(s, -12)).otherwise(s)
+        return let(let(start, wrapped), lambda s: ended(moved(s, x["left_year"]), moved(end, x["right_year"])))
+
+    def moved(day: Column, year: Column) -> Column:
         late = ((chosen == "next_if_past") & (F.datediff(F.lit(as_of), day) > back)) | ((chosen == "month") & (F.month(day) < as_of.month))
-        return F.when(year_in(side).isNull() & late, F.add_months(day, 12)).otherwise(day)
+        return F.when(year.isNull() & late, F.add_months(day, 12)).otherwise(day)
+
+    def ended(start: Column, end: Column) -> Column:
+        return let(start, lambda s: F.struct(s.alias("start"), F.coalesce(end, s).alias("end")))
 
-    end = month_day(right, F.coalesce(year_in(right), now))
-    start = month_day(left, F.coalesce(year_in(left), F.when(chosen == "from_end", F.year(end)), now))
-    start = F.when((chosen == "from_end") & year_in(left).isNull() & (start > end), F.add_months(start, -12)).otherwise(start)
-    start, end = moved(start, left), moved(end, right)
-    return F.struct(start.alias("start"), F.coalesce(end, start).alias("end"))
+    return let(sides, parted)
 
 
 def date_list(text: Column, year: Column) -> Column:

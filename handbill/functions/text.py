@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def number(text: Column) -> Column:
+    """A text as an int, null if it is none. An empty one, what a pattern gives that isn't found, isn't cast: each failed cast makes an error first, which costs far more than the row."""
+    return let(text, lambda t: F.when(t != "", t.try_cast("int")))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -147,13 +152,19 @@ def display_text(text: Column, names: dict[str, str] | None = vocab.DISPLAY_ENTI
     return squeezed(bare)
 
 
+#: Lower-case letters, digits and spaces alone; each named, as a class of single characters is tried in one step.
+PLAIN = r"^[abcdefghijklmnopqrstuvwxyz0123456789 ]*+\z"
+
+
 def normalize_title(title: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces, without the first of each known prefix that it starts with."""
     bare = lambda low: F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, r"[^a-z0-9\s]+", "")).otherwise(F.regexp_replace(low, r"(?U)[^a-z0-9\s]+", ""))
-    plain = squeezed(let(F.lower(text_or_empty(title)), bare))
+    # Most titles are plain already, which one look at each character tells.
+    plain = lambda low: F.when(low.rlike(PLAIN) & ~low.contains("  "), F.trim(low)).otherwise(squeezed(let(low, bare)))
     # Punctuation is gone, so a prefix with a colon can't be there. Each step names its input once.
     known = [p for p in vocab.TITLE_PREFIXES if ":" not in p]
-    return F.regexp_replace(plain, "^" + "".join(f"(?:{p})?" for p in known), "")
+    cut = lambda t: F.when(reduce(lambda a, b: a | b, [t.startswith(p) for p in known]), F.regexp_replace(t, "^" + "".join(f"(?:{p})?" for p in known), "")).otherwise(t)
+    return let(let(F.lower(text_or_empty(title)), plain), cut)
 
 
 def event_id(venue_id: Column, start: Column, title: Column, norm: Column | None = None) -> Column:
@@ -164,7 +175,7 @@ def event_id(venue_id: Column, start: Column, title: Column, norm: Column | None
     date = F.substring(text_or_empty(start), 1, 10)
     norm = normalize_title(title) if norm is None else norm
     # Between letters and digits a normalized title has single spaces alone.
-    slug = F.btrim(F.substring(F.translate(norm, " ", "-"), 1, 40), F.lit("-"))
+    slug = F.btrim(F.substring(F.replace(norm, F.lit(" "), F.lit("-")), 1, 40), F.lit("-"))
     digest = F.substring(F.sha1(F.concat_ws("|", venue_id, date, norm)), 1, 10)
     return F.concat_ws("-", venue_id, date, F.nullif(slug, F.lit("")), digest)
 
