@@ -37,15 +37,21 @@ def last_text(start: Column, end: Column) -> Column:
     return F.when(missing(end), start).otherwise(end)
 
 
+def offset_of(text: Column) -> Column:
+    """Z or an offset at the end of a text, else empty; looked for in its last characters alone."""
+    return F.regexp_extract(F.substring(text, -7, 7), r"(Z|[+-]\d{2}:?\d{2})$", 1)
+
+
 def instant(text: Column, zone: str, clock: str = "00:00:00") -> Column:
     """The instant as UTC wall fields; a date, or a time without offset, is read in ``zone``, a date at ``clock``."""
     plain = F.when(is_date(text), F.concat(text, F.lit(f" {clock}"))).otherwise(F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" ")))
-    offset = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    offset = offset_of(text)
     sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
     minutes = sign * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int"))
     at = plain.try_cast(NTZ)
     own = F.when(offset == "Z", at).otherwise(at - F.make_dt_interval(mins=minutes))
-    local = F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
+    # Names of zones are looked up anew in each row, so nothing is converted from UTC to itself.
+    local = at if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
     return F.when(is_date(text) | (offset == ""), local).otherwise(own)
 
 
@@ -93,7 +99,7 @@ def as_iso(bare: Column) -> Column:
 
 def as_local(whole: Column) -> Column:
     """Each part of the text is read once: other steps name it by a variable."""
-    offset = F.regexp_extract(whole, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    offset = offset_of(whole)
     fields = F.regexp_extract(whole, r"T(\d{2}:\d{2}(?::\d{2})?)", 1)
     day = F.substring(whole, 1, 10)
     return F.when(is_date(whole), day).when(whole.isNotNull(), let(F.struct(day.alias("day"), fields.alias("fields"), offset.alias("offset")), read_parts))

@@ -51,17 +51,18 @@ def reshape(listings: DataFrame) -> DataFrame:
     spent = F.col("_spent")
     exhibition = F.col("event_type") == "exhibition"
     endless = F.coalesce(spent > vocab.PERMANENT_DAYS * 86400, F.lit(False))
-    permanent = text.matches(F.col("title"), vocab.PERMANENT_TITLE)
+    permanent = text.matches(F.col("title"), vocab.PERMANENT_TITLE, F.lower("title"))
     long = F.coalesce(spent > vocab.EXHIBITION_HOURS * 3600, F.lit(False)) & ~exhibition & ~F.col("event_type").isin(vocab.SPECIFIC_TYPES)
     gone = (exhibition & (endless | permanent)) | (long & endless)
     open_to = F.coalesce(F.col("reshape"), F.lit(True)) if "reshape" in listings.columns else F.lit(True)
-    kept = timed.withColumns({"_gone": gone & open_to, "_long": long & open_to}).where("NOT _gone")
+    # A row that goes has no list to open: as a condition, all that this is made of would be computed once more below.
+    kept = timed.select("*", F.explode(F.when(~(gone & open_to), F.array(long & open_to))).alias("_long"))
     # Only rows that change their type need another id.
     kept = kept.withColumn("_norm", F.when(F.col("_long"), text.normalize_title(F.concat(F.col("title"), F.lit("::exh")))))
     salted = text.event_id(F.col("venue_id"), F.col("start"), F.col("title"), F.col("_norm"))
     return kept.withColumns(
         {"event_type": F.when(F.col("_long"), "exhibition").otherwise(F.col("event_type")), "id": F.when(F.col("_long"), salted).otherwise(F.col("id"))}
-    ).drop("_gone", "_long", "_spent", "_norm")
+    ).drop("_long", "_spent", "_norm")
 
 
 def richness(listing: DataFrame) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from handbill.functions import dialects, text
+from handbill.functions import dates, dialects, text
 from handbill.plans import registry
 
 needs_data = pytest.mark.skipif(not DATA.is_dir(), reason="the test tables are not here")
@@ -32,3 +32,22 @@ def test_dates_without_year_day_or_month(spark):
     got = [(str(r.a), str(r.b)) for r in spark.createDataFrame([(t,) for t in told], "t string").select(span["start"].alias("a"), span["end"].alias("b")).collect()]
     none = ("None", "None")
     assert got == [("2025-03-05",) * 2, ("2024-03-05",) * 2, ("2021-09-30",) * 2, none, none, none, none, ("2025-03-31", "2025-04-02"), ("2025-06-13", "2026-06-20"), none]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["reshape", "warnings"])
+def test_no_time_is_converted_from_utc_to_itself(spark, name):
+    assert "convert_timezone(UTC, UTC" not in optimized(registry.QUERIES[name](spark, str(DATA)))
+
+
+def test_an_offset_is_at_the_end(spark):
+    told = ["1998-06-17T19:00:00-07:00", "1998-06-17T19:00:00+0530", "1998-06-17T19:00:00Z", "1998-06-17T19:00:00-07:00\n", "1998-06-17T19:00:00", "1998-06-17", "Z", "", None]
+    rows = spark.createDataFrame([(t,) for t in told], "t string")
+    assert [r.o for r in rows.select(dates.offset_of(F.col("t")).alias("o")).collect()] == ["-07:00", "+0530", "Z", "-07:00", "", "", "Z", "", None]
+
+
+@needs_data
+def test_reshape_looks_for_permanent_titles_once(spark):
+    plan = optimized(registry.QUERIES["reshape"](spark, str(DATA)))
+    # One pattern for ASCII, one for other letters.
+    assert plan.count("semi[- ]permanent") == 2
