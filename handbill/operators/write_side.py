@@ -190,7 +190,8 @@ def first_match(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
 def warnings_of(gated: DataFrame, at: str) -> DataFrame:
     """The warning table's rows (venue_id, title, reason, at) of what hygiene() drops, in their published wording."""
     told = F.concat(F.lit("dropped ("), F.col("reason"), F.lit(")"))
-    return gated.where("reason IS NOT NULL").select("venue_id", "title", told.alias("reason"), F.lit(at).alias("at"))
+    # As a list that is opened, a reason is made once; as a condition it would be made again below.
+    return gated.select("venue_id", "title", F.explode(F.array_compact(F.array(told))).alias("reason"), F.lit(at).alias("at"))
 
 
 def carry_over(existing: DataFrame, new: DataFrame) -> DataFrame:

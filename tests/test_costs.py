@@ -51,3 +51,8 @@ def test_reshape_looks_for_permanent_titles_once(spark):
     plan = optimized(registry.QUERIES["reshape"](spark, str(DATA)))
     # One pattern for ASCII, one for other letters.
     assert plan.count("semi[- ]permanent") == 2
+
+
+@needs_data
+def test_warnings_make_a_reason_once(spark):
+    assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
