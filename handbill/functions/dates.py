@@ -30,11 +30,12 @@ def wall(text: Column) -> Column:
 
 def end_of_day_wall(text: Column) -> Column:
     """As wall(), but a date is the last millisecond of its day."""
-    return F.when(is_date(text), wall(text) + F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")).otherwise(wall(text))
+    return let(text, lambda t: F.when(is_date(t), wall(t) + F.expr("INTERVAL '23:59:59.999' HOUR TO SECOND")).otherwise(wall(t)))
 
 
 def last_text(start: Column, end: Column) -> Column:
-    return F.when(missing(end), start).otherwise(end)
+    # A condition is pushed down to where texts are made: named by a variable, they are made once there, and its code stays short enough to be compiled.
+    return let(end, lambda e: F.when(missing(e), start).otherwise(e))
 
 
 def offset_of(text: Column) -> Column:
@@ -44,15 +45,21 @@ def offset_of(text: Column) -> Column:
 
 def instant(text: Column, zone: str, clock: str = "00:00:00") -> Column:
     """The instant as UTC wall fields; a date, or a time without offset, is read in ``zone``, a date at ``clock``."""
-    plain = F.when(is_date(text), F.concat(text, F.lit(f" {clock}"))).otherwise(F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" ")))
-    offset = offset_of(text)
-    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
-    minutes = sign * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int"))
-    at = plain.try_cast(NTZ)
-    own = F.when(offset == "Z", at).otherwise(at - F.make_dt_interval(mins=minutes))
-    # Names of zones are looked up anew in each row, so nothing is converted from UTC to itself.
-    local = at if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
-    return F.when(is_date(text) | (offset == ""), local).otherwise(own)
+
+    def read(x: Column) -> Column:
+        at, offset = x["at"], x["offset"]
+        sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
+        minutes = sign * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int"))
+        own = F.when(offset == "Z", at).otherwise(at - F.make_dt_interval(mins=minutes))
+        # Names of zones are looked up anew in each row, so nothing is converted from UTC to itself.
+        local = at if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
+        return F.when(offset == "", local).otherwise(own)
+
+    def parts(t: Column) -> Column:
+        plain = F.when(is_date(t), F.concat(t, F.lit(f" {clock}"))).otherwise(F.replace(F.substring(t, 1, 19), F.lit("T"), F.lit(" ")))
+        return F.struct(plain.try_cast(NTZ).alias("at"), F.when(is_date(t), "").otherwise(offset_of(t)).alias("offset"))
+
+    return let(let(text, parts), read)
 
 
 def end_of_event(start: Column, end: Column) -> Column:
