@@ -6,17 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from handbill.functions import vocab
-from handbill.functions.text import ANY_CASE, described, matches
+from handbill.functions.text import described, matches, with_low
 
 
 def infer_type(title: Column, description: Column, default: Column | str = "other", text: Column | None = None) -> Column:
     """The first type whose words occur, else ``default`` if it is a known type, else other. ``text`` is words_text() where a column holds it."""
-    words = words_text(title, description) if text is None else text
+    return type_or(worded_type(words_text(title, description) if text is None else text), default)
+
+
+def worded_type(words: Column) -> Column:
+    """The first type whose words occur in words_text(), or null. Its many patterns are named in a variable's scope, which is compiled in pieces."""
+
+    def first(text: Column, low: Column, plain: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for kind, pattern in reversed(vocab.TYPE_PATTERNS):
+            found = F.when(matches(text, pattern, low, plain), kind).otherwise(found)
+        return found
+
+    return with_low(words, first)
+
+
+def type_or(found: Column, default: Column | str) -> Column:
+    """A type that was found, else ``default`` if it is a known type, else other."""
     default = F.lit(default) if isinstance(default, str) else default
-    found = F.when(default.isin(vocab.EVENT_TYPES), default).otherwise("other")
-    for kind, pattern in reversed(vocab.TYPE_PATTERNS):
-        found = F.when(matches(words, pattern, text), kind).otherwise(found)
-    return found
+    return F.coalesce(found, F.when(default.isin(vocab.EVENT_TYPES), default), F.lit("other"))
 
 
 def words_text(title: Column, description: Column) -> Column:
@@ -26,8 +39,8 @@ def words_text(title: Column, description: Column) -> Column:
 
 def infer_all(title: Column, description: Column, text: Column | None = None) -> Column:
     """All types whose words occur, in the order of the patterns. ``text`` is words_text() where a column holds it."""
-    words = words_text(title, description) if text is None else text
-    return F.array_compact(F.array(*[F.when(matches(words, p, text), F.lit(k)) for k, p in vocab.TYPE_PATTERNS]))
+    every = lambda text, low, plain: F.array(*[F.when(matches(text, p, low, plain), F.lit(k)) for k, p in vocab.TYPE_PATTERNS])
+    return F.array_compact(with_low(words_text(title, description) if text is None else text, every))
 
 
 def final_types(primary: Column, given: Column, inferred: Column) -> Column:
@@ -43,9 +56,12 @@ def final_types(primary: Column, given: Column, inferred: Column) -> Column:
 
 def infer_audience(title: Column, description: Column) -> Column:
     """family and teen, where their words occur; a possessive before "family" doesn't count."""
-    text = described(title, description)
-    family = F.regexp_like(text, F.lit(ANY_CASE + r"(?<!'s )(?<!s' )" + vocab.FAMILY_WORDS))
-    return F.array_compact(F.array(F.when(family, F.lit("family")), F.when(matches(text, vocab.TEEN_WORDS), F.lit("teen"))))
+
+    def found(text: Column, low: Column, plain: Column) -> Column:
+        family = matches(text, vocab.FAMILY_WORDS, low, plain, r"(?<!'s )(?<!s' )")
+        return F.array(F.when(family, F.lit("family")), F.when(matches(text, vocab.TEEN_WORDS, low, plain), F.lit("teen")))
+
+    return F.array_compact(with_low(described(title, description), found))
 
 
 def jsonld_type_hint(kind: Column) -> Column:

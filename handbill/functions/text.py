@@ -69,19 +69,26 @@ def closing(pattern: str) -> int:
     return -1
 
 
-def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
+def matches(c: Column, pattern: str, low: Column | None = None, plain: Column | None = None, unless: str = "") -> Column:
     """Whether a pattern is found in a text, in either case; false for null. A text of ASCII alone takes the faster form.
 
     ``low`` is the text in lower case where a column holds it: then the pattern is
     tried only if letters that it needs are there, which is far cheaper to tell.
+    ``plain`` tells whether the text is ASCII, where that is known; ``unless`` is what must not come before the pattern.
     """
-    plain = F.octet_length(c) == F.length(c)
+    plain = F.octet_length(c) == F.length(c) if plain is None else plain
     known = needed(pattern) if low is not None else None
     there = reduce(lambda a, b: a | b, [low.contains(w) for w in known]) if known else F.lit(True)
-    found = F.when(plain, there & F.regexp_like(c, F.lit("(?i)" + pattern))).otherwise(F.regexp_like(c, F.lit(ANY_CASE + pattern)))
+    found = F.when(plain, there & F.regexp_like(c, F.lit("(?i)" + unless + pattern))).otherwise(F.regexp_like(c, F.lit(ANY_CASE + unless + pattern)))
     return F.coalesce(found, F.lit(False))
 
 
+def with_low(c: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` of a text, the text in lower case and whether it is ASCII, each made once: what matches() takes."""
+    parts = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), (F.octet_length(t) == F.length(t)).alias("plain"))
+    return let(let(c, parts), lambda x: body(x["text"], x["low"], x["plain"]))
+
+
 def described(title: Column, description: Column) -> Column:
     return F.concat(text_or_empty(title), F.lit(" \n "), text_or_empty(description))
 
