@@ -97,7 +97,7 @@ def squeezed(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     # Of ASCII only what isn't a single space is worth replacing.
     plain = lambda t: F.regexp_replace(t, r"\s{2,}|[\t-\r]", " ")
-    return let(text, lambda t: F.trim(F.when(F.octet_length(t) == F.length(t), plain(t)).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))))
+    return let(text, lambda t: F.trim(F.when(F.octet_length(t) == F.length(t), plain(t)).otherwise(F.regexp_replace(t, r"(?U)\s{2,}|[^\S ]", " "))))
 
 
 def without_tags(text: Column) -> Column:
@@ -142,8 +142,10 @@ def named_entities(text: Column, names: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
     def one(part: Column, place: Column) -> Column:
+        # Known names are letters alone, so what ends at the first semicolon is one or none.
         decoded = lambda name: F.concat(F.try_element_at(known, F.lower(name)), F.substr(part, F.length(name) + 2))
-        return F.when(place == 0, part).otherwise(F.coalesce(let(F.regexp_extract(part, "^([a-zA-Z]+);", 1), decoded), F.concat(F.lit("&"), part)))
+        found = F.when(part.contains(";"), let(F.substring_index(part, ";", 1), decoded))
+        return F.when(place == 0, part).otherwise(F.coalesce(found, F.concat(F.lit("&"), part)))
 
     return F.array_join(F.transform(F.split(text, "&", -1), one), "")
 
@@ -155,7 +157,8 @@ def display_text(text: Column, names: dict[str, str] | None = vocab.DISPLAY_ENTI
     """
     bare = without_tags(text)
     if names is not None:
-        bare = let(bare, lambda b: F.when(b.contains("&"), named_entities(numeric_entities(b), names)).otherwise(b))
+        numeric = lambda b: F.when(b.contains("&#"), numeric_entities(b)).otherwise(b)
+        bare = let(bare, lambda b: F.when(b.contains("&"), named_entities(numeric(b), names)).otherwise(b))
     return squeezed(bare)
 
 

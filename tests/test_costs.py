@@ -56,3 +56,8 @@ def test_reshape_looks_for_permanent_titles_once(spark):
 @needs_data
 def test_warnings_make_a_reason_once(spark):
     assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
+
+
+@pytest.mark.parametrize("told, shown", [("a &lt; b&hellip;", "a < b…"), ("&LT;&nosuch;&lt", "<&nosuch;&lt"), ("x  é  y\tz", "x é y z"), ("&amp;lt; ; &", "&lt; ; &")])
+def test_display_text(spark, told, shown):
+    assert spark.range(1).select(text.display_text(F.lit(told)).alias("v")).first().v == shown
