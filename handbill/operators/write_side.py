@@ -73,16 +73,18 @@ def richness(listing: DataFrame) -> Column:
     return fields + full + has("image") + (F.coalesce(F.size("artists"), F.lit(0)) > 0).cast("int")
 
 
-def dedupe_richest(listings: DataFrame, key: str = "id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def dedupe_richest(listings: DataFrame, key: str = "id", order: tuple[str, ...] = ("seq",), points: str | None = None) -> DataFrame:
     """One row a key: the richest, the first among equals. Rows without a key go.
 
     Spark keeps the first row of each key in every task before the shuffle, so a
-    key that very many rows share sends one row a task.
+    key that very many rows share sends one row a task. With ``points``, a new
+    column, the richness is kept: who asks for that and few columns more has only those sorted and shuffled.
     """
     first = F.row_number().over(Window.partitionBy(key).orderBy("_poor", *order))
     ranked = listings.withColumn("_poor", -richness(listings)).withColumn("_first", first).where("_first <= 1")
     # Of the first row alone: as a condition on all rows, the making of the key would be repeated in the joins below.
-    return ranked.where(F.when(F.col("_first") <= 1, ~text.missing(F.col(key)))).drop("_first", "_poor")
+    kept = ranked.where(F.when(F.col("_first") <= 1, ~text.missing(F.col(key))))
+    return (kept.withColumn(points, -F.col("_poor")) if points else kept).drop("_first", "_poor")
 
 
 def dedupe_venues(venues: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

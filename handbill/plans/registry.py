@@ -232,8 +232,7 @@ def dedupe_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a venue and title."""
     rows = text.with_event_id(star.listings(spark, sf_dir).withColumn("start_text", F.col("start")).withColumn("start", F.lit(None).cast("string")))
     rows = rows.withColumn("start", F.col("start_text")).drop("start_text")
-    kept = write_side.dedupe_richest(rows)
-    return kept.select("id", "seq", write_side.richness(kept).alias("score"))
+    return write_side.dedupe_richest(rows, points="score").select("id", "seq", "score")
 
 
 @query("""SELECT id, seq FROM (SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY n DESC, seq) AS r FROM
