@@ -276,6 +276,23 @@ def archive_view(listings: DataFrame, venues: DataFrame, now: datetime, query: s
     return numbered(old, archive_order(order))
 
 
+def of_saved(listings: DataFrame, ids: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """The listings one of whose ``columns`` is among ``ids``, which may be of several kinds; each once.
+
+    The ids are written first: their size is known then, and while it is below the
+    session's threshold no listing is shuffled for them. Listings are read once, whatever the number of columns.
+    """
+    spark, path = listings.sparkSession, storage.fresh_path(listings.sparkSession, "saved-ids")
+    chosen = ids.select(F.col(key).alias("_id")).where("_id IS NOT NULL").distinct()
+    chosen.write.parquet(path)
+    known = spark.read.schema(chosen.schema).parquet(path)
+    marked, some = listings, F.lit(False)
+    for i, c in enumerate(columns):
+        marked = marked.join(known.withColumnRenamed("_id", f"_id{i}"), F.col(c) == F.col(f"_id{i}"), "left")
+        some |= F.col(f"_id{i}").isNotNull()
+    return marked.where(some).drop(*[f"_id{i}" for i in range(len(columns))])
+
+
 def saved(listings: DataFrame, ids: DataFrame, now: datetime, key: str = "id") -> DataFrame:
     """The saved listings (``ids``: key) among what is shown: what isn't over, and then the exhibitions on view that aren't among it."""
     chosen = listings.join(ids.select(F.col(key).alias("_saved")).distinct(), F.col(key) == F.col("_saved"), "left_semi")

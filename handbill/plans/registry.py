@@ -368,8 +368,7 @@ def saved_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved ids are of venues and of events alike."""
     rows = star.listings(spark, sf_dir)
     saved = spark.createDataFrame([("v1",), ("v3",)], "saved string").unionByName(rows.where("url = 'https://www.example.org/7'").select(F.col("seq").alias("saved")))
-    of = lambda c: rows.join(saved, F.col(c) == F.col("saved"), "left_semi")
-    return shown(of("venue_id").unionByName(of("seq").where(~F.col("venue_id").isin("v1", "v3"))))
+    return shown(read_side.of_saved(rows, saved, "saved", ("venue_id", "seq")))
 
 
 ON_VIEW = f"""e AS (SELECT * FROM placed WHERE event_type = 'exhibition' AND NOT regexp_matches(title, {pattern(vocab.NON_EXHIBITION_TITLE)}, 'i')

@@ -58,6 +58,21 @@ def test_warnings_make_a_reason_once(spark):
     assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
 
 
+@needs_data
+def test_saved_ids_shuffle_no_listing(spark):
+    plan = optimized(registry.QUERIES["saved_semi"](spark, str(DATA)))
+    # Ids of both kinds are joined to one reading of the listings.
+    assert len([x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x]) == 1
+
+
+def test_ids_of_several_kinds(spark):
+    from handbill.operators import read_side
+
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), (None, "4"), ("2", "a")], "venue_id string, seq string")
+    ids = spark.createDataFrame([("a",), ("2",), ("a",), (None,)], "saved string")
+    assert sorted(r.seq for r in read_side.of_saved(rows, ids, "saved", ("venue_id", "seq")).collect()) == ["1", "2", "a"]
+
+
 @pytest.mark.parametrize("told, shown", [("a &lt; b&hellip;", "a < b…"), ("&LT;&nosuch;&lt", "<&nosuch;&lt"), ("x  é  y\tz", "x é y z"), ("&amp;lt; ; &", "&lt; ; &")])
 def test_display_text(spark, told, shown):
     assert spark.range(1).select(text.display_text(F.lit(told)).alias("v")).first().v == shown
