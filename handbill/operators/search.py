@@ -1,13 +1,14 @@
 """Search without a scan: posting lists of three-letter runs over distinct texts, by hashed bucket.
 
-An index has three tables: the distinct texts in lower case, the texts of each key,
-and a row for each run of a text. A query reads the buckets of its own runs,
-keeps the texts that have all of them, and verifies those alone. Texts that many
+An index has three tables: the distinct texts in lower case, the texts of each key
+(a row a key), and a row for each run of a text. A query reads the buckets of its
+own runs, keeps the texts that have all of them, and verifies those alone. Texts that many
 rows share are indexed once, so a common word costs as many rows as it has texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,13 @@ def write_index(rows: DataFrame, key: str, texts: list[Column], path: str, bucke
     ``buckets`` is how many parts the runs and the texts have; a query reads those of its own.
     """
     every = F.array_distinct(F.array_compact(F.array(*[F.nullif(F.lower(c), F.lit("")) for c in texts])))
-    held = rows.select(F.col(key).alias("key"), F.explode(every).alias("text"))
     # Two hashes name a text: with one, two of very many texts might share it.
-    named = held.select("key", "text", F.concat_ws("-", F.hex(F.xxhash64("text")), F.hex(F.hash(F.lit(7), "text"))).alias("text_id"))
-    named.select("key", "text_id").write.mode("overwrite").parquet(f"{path}/keys")
-    once = named.groupBy("text_id").agg(F.first("text").alias("text"))
+    named = lambda t: F.concat_ws("-", F.hex(F.xxhash64(t)), F.hex(F.hash(F.lit(7), t)))
+    # What is asked for is made once: the file holds a key's texts beside their names, and a search reads these alone.
+    held = rows.select(F.col(key).alias("key"), every.alias("texts")).withColumn("text_ids", F.transform("texts", named)).where(F.size("texts") > 0)
+    held.write.mode("overwrite").parquet(f"{path}/keys")
+    each = rows.sparkSession.read.schema(held.schema).parquet(f"{path}/keys").select(F.explode("texts").alias("text"))
+    once = each.distinct().withColumn("text_id", named(F.col("text"))).select("text_id", "text")
     parted = lambda df, by: df.withColumn("bucket", bucket_of(F.col(by), buckets)).repartition("bucket", by)
     parted(once, "text_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
     known = rows.sparkSession.read.schema(TEXTS).parquet(f"{path}/texts")
@@ -63,6 +66,23 @@ def find(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataF
 
     A query of one or two characters has no runs: there the distinct texts are read.
     """
+    return keys_of(spark, path, hits(spark, path, query, buckets).withColumn("query", F.lit(query))).select("key")
+
+
+def keys_of(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """(query, key) of the rows that have one of the texts (text_id) found for a query, each once; all keys are read once, whatever the number of queries.
+
+    The texts are written first: while they are few, their size tells Spark to send them to the keys, and no key is shuffled before it is found.
+    """
+    few = f"{path}/found-{uuid.uuid4().hex}"
+    found.groupBy("text_id").agg(F.collect_set("query").alias("queries")).write.parquet(few)
+    named = spark.read.schema("text_id string, queries array<string>").parquet(few)
+    keys = spark.read.parquet(f"{path}/keys").select("key", F.explode("text_ids").alias("text_id"))
+    return keys.join(named, "text_id").select(F.explode("queries").alias("query"), "key").distinct()
+
+
+def hits(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """(text_id) of the distinct texts that hold a query."""
     wanted = query.strip().lower()
     texts = spark.read.schema(TEXTS).parquet(f"{path}/texts")
     some = candidates(spark, path, wanted, buckets)
@@ -70,8 +90,7 @@ def find(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataF
         # Few texts are left: their buckets are known to the join before it reads.
         named = some.withColumn("b", bucket_of(F.col("text_id"), buckets)).withColumnRenamed("text_id", "id")
         texts = texts.join(named, (F.col("bucket") == F.col("b")) & (F.col("text_id") == F.col("id")), "left_semi")
-    hits = texts.where(F.contains("text", F.lit(wanted))).select("text_id")
-    return spark.read.parquet(f"{path}/keys").join(hits, "text_id", "left_semi").select("key").distinct()
+    return texts.where(F.contains("text", F.lit(wanted))).select("text_id")
 
 
 def event_texts(rows: DataFrame) -> list[Column]:
@@ -82,4 +101,5 @@ def event_texts(rows: DataFrame) -> list[Column]:
 
 def find_all(spark: SparkSession, path: str, queries: list[str], buckets: int = 64) -> DataFrame:
     """(query, key) for several queries."""
-    return reduce(DataFrame.unionByName, [find(spark, path, q, buckets).withColumn("query", F.lit(q)) for q in queries])
+    found = reduce(DataFrame.unionByName, [hits(spark, path, q, buckets).withColumn("query", F.lit(q)) for q in queries])
+    return keys_of(spark, path, found).select("query", "key")

@@ -73,6 +73,18 @@ def test_ids_of_several_kinds(spark):
     assert sorted(r.seq for r in read_side.of_saved(rows, ids, "saved", ("venue_id", "seq")).collect()) == ["1", "2", "a"]
 
 
+def test_searches_read_the_keys_once(spark, tmp_path):
+    from handbill.operators import search
+
+    rows = spark.createDataFrame([(1, "Red hall", "blue"), (2, "red", None), (3, None, "")], "n long, one string, two string")
+    path = str(tmp_path / "index")
+    search.write_index(rows, "n", [F.col("one"), F.col("two")], path, 2)
+    found = search.find_all(spark, path, ["red", "Blue", "hall"], 2)
+    assert sorted((r.query, r.key) for r in found.collect()) == [("Blue", 1), ("hall", 1), ("red", 1), ("red", 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert spark.read.parquet(f"{path}/keys").count() == 2
+
+
 @pytest.mark.parametrize("told, shown", [("a &lt; b&hellip;", "a < b…"), ("&LT;&nosuch;&lt", "<&nosuch;&lt"), ("x  é  y\tz", "x é y z"), ("&amp;lt; ; &", "&lt; ; &")])
 def test_display_text(spark, told, shown):
     assert spark.range(1).select(text.display_text(F.lit(told)).alias("v")).first().v == shown
