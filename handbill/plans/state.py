@@ -138,7 +138,9 @@ LIVE = "u_last >= TIMESTAMP '1998-06-17 12:00:00' OR u_last IS NULL"
         SELECT *, CASE WHEN event_type = 'exhibition' THEN 'exhibition' ELSE 'event' END AS kind FROM placed p JOIN venue v ON p.venue_id = v.id WHERE {LIVE})""")
 def venue_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each venue's page lists: its events and its exhibitions that aren't over, in their order."""
-    return read_side.venue_listings(star.listings(spark, sf_dir), star.venues(spark, sf_dir), NOW).select("venue_id", "kind", "seq", "place")
+    # Rows are kept while they are numbered: only what is asked for.
+    rows = star.listings(spark, sf_dir).select("seq", "venue_id", "event_type", "start", "end")
+    return read_side.venue_listings(rows, star.venues(spark, sf_dir).select("id", "name"), NOW).select("venue_id", "kind", "seq", "place")
 
 
 SEARCHES = ["red", "Gallery TALK", " hall of ", "nation_1", "v1", "talk re", "no such words"]

@@ -58,6 +58,13 @@ def test_warnings_make_a_reason_once(spark):
     assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
 
 
+@needs_data
+def test_only_what_is_asked_for_is_sorted_and_kept(spark):
+    assert "description" not in optimized(registry.QUERIES["dedupe_richest"](spark, str(DATA))).split("WindowGroupLimit")[0]
+    kept = optimized(registry.QUERIES["venue_listings"](spark, str(DATA)))
+    assert "title" not in kept and "artists" not in kept
+
+
 @needs_data
 def test_saved_ids_shuffle_no_listing(spark):
     plan = optimized(registry.QUERIES["saved_semi"](spark, str(DATA)))
