@@ -232,20 +232,25 @@ def json_value_after(body: Column, key: str) -> Column:
     Brackets in strings don't count: strings are taken out of the way first, each
     replaced by as many other characters, so that places stay. The end is where the depth is 0 again.
     """
-    start = F.regexp_instr(body, F.lit(rf'"{key}"\s*:\s*[\[{{]'))
-    head = F.length(F.regexp_extract(F.substr(body, start), rf'^"{key}"\s*:\s*', 0))
-    tail = F.substr(body, start + head)
-    strings = r'"(?:[^"\\]|\\.)*"'
-    pieces = F.regexp_extract_all(tail, F.lit(rf"(?s){strings}|[\[\]{{}}]|[^\[\]{{}}\"]+|.", ), F.lit(0))
-    depth = lambda a, p: F.when(a["done"], a).otherwise(
-        F.struct(
-            (a["depth"] + F.when(p.isin("[", "{"), 1).when(p.isin("]", "}"), -1).otherwise(0)).alias("depth"), (a["size"] + F.length(p)).alias("size"),
-            (p.isin("]", "}") & (a["depth"] == 1)).alias("done"),
-        )
-    )
-    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
-    end = F.aggregate(pieces, none, depth, lambda a: F.when(a["done"], a["size"]))
-    return F.when(start > 0, F.substr(tail, F.lit(1), end))
+    strings = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    # A piece ends with a bracket, the last one with the text: a step each of those, whatever lies between.
+    piece = rf"(?s)(?:[^\[\]{{}}\"]++|{strings}|\")*+(?:[\[\]{{}}]|\z)"
+
+    def depth(a: Column, p: Column) -> Column:
+        opens, closes = p.endswith("[") | p.endswith("{"), p.endswith("]") | p.endswith("}")
+        step = F.struct((a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), (a["size"] + F.length(p)).alias("size"), (closes & (a["depth"] == 1)).alias("done"))
+        return F.when(a["done"], a).otherwise(step)
+
+    def cut(tail: Column) -> Column:
+        none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+        end = F.aggregate(F.regexp_extract_all(tail, F.lit(piece), F.lit(0)), none, depth, lambda a: F.when(a["done"], a["size"]))
+        return F.substr(tail, F.lit(1), end)
+
+    def value(rest: Column) -> Column:
+        return text.let(F.substr(rest, F.length(F.regexp_extract(rest, rf'^"{key}"\s*:\s*', 0)) + 1), cut)
+
+    place = lambda b: F.regexp_instr(b, F.lit(rf'"{key}"\s*:\s*[\[{{]'))
+    return text.let(body, lambda b: text.let(place(b), lambda start: F.when(start > 0, text.let(F.substr(b, start), value))))
 
 
 def rich_text(node: Column) -> Column:
@@ -257,19 +262,34 @@ def rich_text(node: Column) -> Column:
     # Without their marks and data, leaves are the objects that hold no other.
     bare = F.regexp_replace(node, r'"(?:marks|data)"\s*:\s*(?:\[[^\[\]]*\]|\{\s*\})', '"_":null')
     leaves = F.regexp_extract_all(bare, F.lit(rf"(?s)\{{[^\"{{}}]*+(?:{quoted}[^\"{{}}]*+)*+\}}"), F.lit(0))
-    texts = F.filter(leaves, lambda x: F.get_json_object(x, "$.nodeType") == "text")
-    read = F.transform(texts, lambda x: F.get_json_object(x, "$.value"))
-    return F.trim(F.regexp_replace(F.array_join(read, " "), r"\s+", " "))
+    options = {"allowUnquotedControlChars": "true"}
+    one = lambda x: F.struct(F.get_json_object(x, "$.nodeType").alias("nodeType"), F.get_json_object(x, "$.value").alias("value"))
+
+    def read(found: Column) -> Column:
+        # All leaves are read at once; one without a type or with what may be a list is read by itself, and so are all if one is no JSON.
+        together = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<struct<nodeType:string,value:string>>", options)
+        sure = lambda x: x["nodeType"].isNotNull() & ~F.coalesce(x["value"].startswith("["), F.lit(False))
+        each = lambda t: F.zip_with(found, t, lambda leaf, x: F.when(sure(x), x).otherwise(one(leaf)))
+        return text.let(together, lambda t: F.when(F.size(t) == F.size(found), each(t)).otherwise(F.transform(found, one)))
+
+    texts = F.transform(F.filter(text.let(leaves, read), lambda x: x["nodeType"] == "text"), lambda x: x["value"])
+    return F.trim(F.regexp_replace(F.array_join(texts, " "), r"\s+", " "))
 
 
 def all_strings(node: Column, skipped: tuple[str, ...] = ()) -> Column:
     """All text values of a JSON text, in order, but those of ``skipped`` keys."""
-    one = r'"(?:[^"\\]|\\.)*+"'
+    inner = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+    one = f'"{inner}"'
     # A key with its text, a key of something else, or a text alone, in that order of preference.
-    pairs = F.filter(F.regexp_extract_all(node, F.lit(rf"{one}\s*:\s*{one}|{one}\s*:|{one}"), F.lit(0)), lambda p: ~p.endswith(":"))
-    key = lambda p: F.regexp_extract(p, r'^"((?:[^"\\]|\\.)*)"\s*:', 1)
+    pairs = F.filter(F.regexp_extract_all(node, F.lit(rf"{one}(?:\s*:(?:\s*{one})?)?"), F.lit(0)), lambda p: ~p.endswith(":"))
+    # Without escapes, quotes part a key from its text.
+    escaped = lambda p: p.contains("\\")
+    head = lambda p: F.substring_index(p, '"', 2)
+    plain_key = lambda p: F.when(F.length(p) > F.length(head(p)) + 1, F.substring_index(head(p), '"', -1)).otherwise("")
+    key = lambda p: F.when(escaped(p), F.regexp_extract(p, rf'^"({inner})"\s*:', 1)).otherwise(plain_key(p))
     kept = F.filter(pairs, lambda p: ~key(p).isin(*skipped)) if skipped else pairs
-    return F.transform(kept, lambda p: F.get_json_object(F.concat(F.lit('{"x":'), F.regexp_replace(p, r'^"(?:[^"\\]|\\.)*"\s*:\s*', ""), F.lit("}")), "$.x"))
+    read = lambda p: F.get_json_object(F.concat(F.lit('{"x":'), F.regexp_replace(p, rf'^{one}\s*:\s*', ""), F.lit("}")), "$.x")
+    return F.transform(kept, lambda p: F.when(escaped(p), read(p)).otherwise(F.substring_index(F.substring_index(p, '"', -2), '"', 1)))
 
 
 def pages_in_order(rows: DataFrame, key: str = "id", source: str = "source_id", page: str = "page_no", most: int = 12) -> DataFrame:

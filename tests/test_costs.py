@@ -92,6 +92,25 @@ def test_searches_read_the_keys_once(spark, tmp_path):
     assert spark.read.parquet(f"{path}/keys").count() == 2
 
 
+def test_json_after_a_key_ends_with_its_bracket(spark):
+    from handbill.operators import extract
+
+    told = ['"k": [1, "]", {"a": "\\"]"}] tail "a ] b"', '"k": [1, "] a"', '"k": [1 "open ] x', '{"k" : {"é": [{}]}} "', "none", None]
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select(extract.json_value_after(F.col("t"), "k").alias("v"))
+    assert [r.v for r in rows.collect()] == ['[1, "]", {"a": "\\"]"}]', None, '[1 "open ]', '{"é": [{}]}', None, None]
+
+
+def test_leaves_are_read_together_or_each(spark):
+    from handbill.operators import extract
+
+    leaf = lambda v: '{"nodeType":"text","value":"' + v + '"}'
+    told = ["[" + leaf("a") + "," + leaf("b \\u0041") + ',{"data":{"value":"x"}}]', "[" + leaf("a") + ',{"nodeType" "text"},' + leaf("[b]") + "]", "[]", None]
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select(extract.rich_text(F.col("t")).alias("v"))
+    assert [r.v for r in rows.collect()] == ["a b A", "a [b]", "", None]
+    strings = F.array_join(extract.all_strings(F.lit('{"id":"x","a":"","b" : ["c","d\\n",{"id":"y"}],"e":""}'), ("id",)), "|")
+    assert spark.range(1).select(strings.alias("v")).first().v == "|c|d\n|"
+
+
 @pytest.mark.parametrize("told, shown", [("a &lt; b&hellip;", "a < b…"), ("&LT;&nosuch;&lt", "<&nosuch;&lt"), ("x  é  y\tz", "x é y z"), ("&amp;lt; ; &", "&lt; ; &")])
 def test_display_text(spark, told, shown):
     assert spark.range(1).select(text.display_text(F.lit(told)).alias("v")).first().v == shown
