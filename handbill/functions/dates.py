@@ -91,8 +91,9 @@ def to_local_iso(text: Column, as_of: date | None = None) -> Column:
     freeform.parse_date() does. Null if unreadable. At the end of daylight saving an ambiguous local time
     without offset is standard time.
     """
-    bare = F.regexp_replace(F.trim(text), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    read = let(bare, as_iso)
+    # What begins below the letters begins with no weekday.
+    bare = lambda t: F.when(t < "A", t).otherwise(F.regexp_replace(t, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""))
+    read = let(let(F.trim(text), bare), as_iso)
     return let(read if as_of is None else F.coalesce(read, freeform.parse_date(text, as_of)), as_local)
 
 
@@ -115,11 +116,10 @@ def as_local(whole: Column) -> Column:
 def read_parts(parts: Column) -> Column:
     day, offset = parts["day"], parts["offset"]
     clock = F.when(F.length(parts["fields"]) == 5, F.concat(parts["fields"], F.lit(":00"))).otherwise(parts["fields"])
-    text = F.concat(day, F.lit(" "), clock)
     minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int")
     back = F.make_dt_interval(mins=F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes))
-    utc = F.when(offset == "", local_to_utc(text)).when(offset == "Z", text.try_cast(NTZ)).otherwise(text.try_cast(NTZ) - back)
-    return F.when(clock == "00:00:00", day).otherwise(let(utc, local_text))
+    utc = lambda t: F.when(offset == "", local_to_utc(t)).when(offset == "Z", t.try_cast(NTZ)).otherwise(t.try_cast(NTZ) - back)
+    return let(clock, lambda c: F.when(c == "00:00:00", day).otherwise(let(let(F.concat(day, F.lit(" "), c), utc), local_text)))
 
 
 MAIL = r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4}) (\d{2}:\d{2})(:\d{2})? ?(GMT|UTC|Z|[+-]\d{4})$"
@@ -153,8 +153,9 @@ def local_text(utc: Column) -> Column:
     """ISO text with offset, in local time, of UTC fields."""
 
     def written(local: Column) -> Column:
-        hours = F.floor((seconds(utc) - seconds(local)) / 3600).cast("string")
-        return F.concat(F.replace(F.substring(local.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("-"), F.lpad(hours, 2, "0"), F.lit(":00"))
+        hours = F.lpad(F.floor((seconds(utc) - seconds(local)) / 3600).cast("string"), 2, "0")
+        behind = F.when(utc - local == F.expr("INTERVAL 7 HOURS"), "07").when(utc - local == F.expr("INTERVAL 8 HOURS"), "08").otherwise(hours)
+        return F.concat(F.replace(F.substring(local.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("-"), behind, F.lit(":00"))
 
     return let(F.convert_timezone(F.lit("UTC"), F.lit(vocab.TIME_ZONE), utc), written)
 

@@ -45,13 +45,15 @@ def listing(rows: DataFrame, hint: Column | None = None, all_day: Column | None
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
     columns = {
-        "venue_id": F.col("source_id"), "title": F.trim(text.text_or_empty(given["title"])), "_told": text.strip_html(given.get("description", none)),
+        "venue_id": F.col("source_id"), "title": F.col("_headed"), "_told": text.strip_html(given.get("description", none)),
         "_hint": F.lit("other") if hint is None else hint, "event_types": empty, "start": dates.to_local_iso(given.get("start", none)), "end": dates.to_local_iso(given.get("end", none)),
         "all_day": F.lit(False) if all_day is None else all_day, "url": given.get("url", none), "image": given.get("image", none), "location_override": given.get("location", none),
         "artists": given.get("artists", empty), "audience": empty, "source": F.col("label"), "is_free": F.lit(None).cast("boolean"),
         "price_text": none, "offers": given.get("offers", none), "cost": given.get("cost", none),
     }
-    out = rows.select("source_id", "kind", "seq", "default_event_type", "id_salt", "reshape", *[c.alias(k) for k, c in columns.items()]).where("title <> ''")
+    # A row without a title has no list to open: as a condition, all that the title is made of would be computed once more.
+    titled = F.filter(F.array(F.trim(text.text_or_empty(given["title"]))), lambda t: t != "")
+    out = rows.select("*", F.explode(titled).alias("_headed")).select("source_id", "kind", "seq", "default_event_type", "id_salt", "reshape", *[c.alias(k) for k, c in columns.items()])
     default = F.when(F.col("_hint") != "other", F.col("_hint")).otherwise(F.col("default_event_type"))
     out = out.withColumn("_words", classify.words_text(F.col("title"), F.col("_told")))
     out = out.withColumns({"event_type": classify.infer_type(F.col("title"), F.col("_told"), default, F.col("_words")), "description": F.substring("_told", 1, BLURB)})
@@ -159,7 +161,7 @@ FEED = f"struct<channel:struct<item:{ENTRY}>,item:{ENTRY},entry:{ENTRY}>"
 def feed_entries(body: Column) -> Column:
     """The items of an RSS or Atom document read as XML, whatever its prefixes; null if it isn't well formed."""
     found = F.from_xml(body, FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true", "attributePrefix": "_", "valueTag": "_VALUE"})
-    return F.coalesce(found["channel"]["item"], found["item"], found["entry"])
+    return text.let(found, lambda x: F.coalesce(x["channel"]["item"], x["item"], x["entry"]))
 
 
 def loose_entries(body: Column) -> Column:

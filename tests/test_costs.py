@@ -58,6 +58,12 @@ def test_warnings_make_a_reason_once(spark):
     assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
 
 
+@needs_data
+@pytest.mark.parametrize("name, what, most", [("infer_type", "vernissage", 3), ("embedded_json", "regexp_instr", 1), ("feed_parse", "from_xml", 1), ("normalized", "charge", 3), ("single_ics", "date_add(", 5), ("display_texts", "regexp_extract(", 1)])
+def test_what_is_dear_is_named_once(spark, name, what, most):
+    assert optimized(registry.QUERIES[name](spark, str(DATA))).count(what) <= most
+
+
 @needs_data
 def test_only_what_is_asked_for_is_sorted_and_kept(spark):
     assert "description" not in optimized(registry.QUERIES["dedupe_richest"](spark, str(DATA))).split("WindowGroupLimit")[0]
@@ -114,3 +120,11 @@ def test_leaves_are_read_together_or_each(spark):
 @pytest.mark.parametrize("told, shown", [("a &lt; b&hellip;", "a < b…"), ("&LT;&nosuch;&lt", "<&nosuch;&lt"), ("x  é  y\tz", "x é y z"), ("&amp;lt; ; &", "&lt; ; &")])
 def test_display_text(spark, told, shown):
     assert spark.range(1).select(text.display_text(F.lit(told)).alias("v")).first().v == shown
+
+
+def test_local_iso_of_all_kinds(spark):
+    told = ["1998-06-17 19:00:00", "1998-01-17T19:00", "1998-06-17T02:00:00Z", "Wed, 17 Jun 1998 19:00:00 +0000", "1998-04-05 02:30:00", "1998-10-25 01:30:00", "1998-06-17T00:00:00", "Wednesday June 17, 1998", "x", "", None]
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select(dates.to_local_iso(F.col("t")).alias("v"))
+    assert [r.v for r in rows.collect()] == [
+        "1998-06-17T19:00:00-07:00", "1998-01-17T19:00:00-08:00", "1998-06-16T19:00:00-07:00", "1998-06-17T12:00:00-07:00", "1998-04-05T03:30:00-07:00", "1998-10-25T01:30:00-08:00", "1998-06-17", "1998-06-17", None, None, None,
+    ]
