@@ -58,6 +58,17 @@ def test_warnings_make_a_reason_once(spark):
     assert optimized(registry.QUERIES["warnings"](spark, str(DATA))).count("undated exhibition") == 1
 
 
+@needs_data
+def test_a_condition_on_ends_makes_each_text_once(spark):
+    from handbill.operators import read_side
+    from handbill.plans.sql import NOW
+    from handbill.sources import star
+
+    old = star.listings(spark, str(DATA)).where(~read_side.is_upcoming(F.col("start"), F.col("end"), NOW)).select("seq")
+    # A date or a time of each end: as it was, they stood there twelve times.
+    assert optimized(old).count("date_add(") == 2
+
+
 @needs_data
 @pytest.mark.parametrize("name, what, most", [("infer_type", "vernissage", 3), ("embedded_json", "regexp_instr", 1), ("feed_parse", "from_xml", 1), ("normalized", "charge", 3), ("single_ics", "date_add(", 5), ("display_texts", "regexp_extract(", 1)])
 def test_what_is_dear_is_named_once(spark, name, what, most):
