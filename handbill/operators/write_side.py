@@ -198,11 +198,21 @@ def warnings_of(gated: DataFrame, at: str) -> DataFrame:
 
 def carry_over(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New rows, and the existing ones of venues that gave none this time; those come first."""
-    produced = new.select("venue_id").distinct()
-    kept = existing.join(produced, "venue_id", "left_anti").select(*new.columns)
-    return kept.withColumn("seq", F.struct(F.lit(0).alias("from"), F.col("seq").alias("at"))).unionByName(
-        new.withColumn("seq", F.struct(F.lit(1).alias("from"), F.col("seq").alias("at")))
-    )
+    marked = lambda rows, this: rows.select(*new.columns, F.lit(this).alias("_new"))
+    return carried(marked(existing, False).unionByName(marked(new, True)), "_new")
+
+
+def carried(listings: DataFrame, new: str) -> DataFrame:
+    """carry_over() of one table, whose column ``new`` is true for this time's rows; the column goes.
+
+    The venues that gave rows are joined to the table, so it is made once, new and existing rows in the same
+    tasks. As a union of two parts, each would join its tables for itself, the few new rows in one task.
+    """
+    this = F.coalesce(F.col(new), F.lit(False))
+    produced = listings.where(F.col(new)).select(F.col("venue_id").alias("_produced")).distinct()
+    marked = listings.join(produced, F.col("venue_id") == F.col("_produced"), "left")
+    kept = marked.where(this | F.col("_produced").isNull())
+    return kept.withColumn("seq", F.struct(this.cast("int").alias("from"), F.col("seq").alias("at"))).drop(new, "_produced")
 
 
 def update_health(previous: DataFrame, runs: DataFrame, today: str, known_zero_runs: int = vocab.ZERO_RUNS) -> DataFrame:

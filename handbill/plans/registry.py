@@ -324,8 +324,7 @@ def first_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carryover_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows replace those of their venues."""
     fresh = F.substring("seq", 1, 12).cast("long") % 97 == 0
-    rows = star.listings(spark, sf_dir)
-    merged = write_side.carry_over(rows.where(~fresh), rows.where(fresh))
+    merged = write_side.carried(star.listings(spark, sf_dir).withColumn("new", fresh), "new")
     return merged.select(F.col("seq.at").alias("seq"), "venue_id", F.col("seq.from").alias("part"))
 
 

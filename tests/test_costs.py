@@ -139,3 +139,25 @@ def test_local_iso_of_all_kinds(spark):
     assert [r.v for r in rows.collect()] == [
         "1998-06-17T19:00:00-07:00", "1998-01-17T19:00:00-08:00", "1998-06-16T19:00:00-07:00", "1998-06-17T12:00:00-07:00", "1998-04-05T03:30:00-07:00", "1998-10-25T01:30:00-08:00", "1998-06-17", "1998-06-17", None, None, None,
     ]
+
+
+@needs_data
+def test_carryover_makes_the_listings_in_one_pass(spark):
+    plan = optimized(registry.QUERIES["carryover_merge"](spark, str(DATA)))
+    # Once all of them, once for the venues of the new ones; a union's small part gets one task for its joins.
+    assert "Union" not in plan
+    assert len([x for x in plan.splitlines() if "Relation" in x and "l_orderkey" in x]) == 2
+
+
+def test_carry_over_within_one_table(spark):
+    from handbill.operators import write_side
+
+    told = [("1", "a", False), ("2", "a", True), ("3", "b", False), ("4", None, False), ("5", None, True), ("6", "a", None), ("7", "c", None), ("8", "a", True)]
+    rows = spark.createDataFrame(told, "seq string, venue_id string, new boolean")
+    expected = [(0, "3"), (0, "4"), (0, "7"), (1, "2"), (1, "5"), (1, "8")]
+    got = write_side.carried(rows, "new")
+    assert got.columns == ["seq", "venue_id"] and sorted(tuple(r.seq) for r in got.collect()) == expected
+    known = F.coalesce("new", F.lit(False))
+    apart = write_side.carry_over(rows.where(~known).drop("new"), rows.where(known).drop("new"))
+    assert apart.columns == ["seq", "venue_id"] and sorted(tuple(r.seq) for r in apart.collect()) == expected
+    assert not write_side.carried(rows.limit(0), "new").collect()
