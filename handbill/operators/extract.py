@@ -7,6 +7,7 @@ listing's columns and ``kind``. A document that can't be read gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,35 +80,38 @@ def tribe(documents: DataFrame) -> DataFrame:
     )
 
 
-def one_text(node: Column, path: str, inner: str) -> Column:
+def one_text(value: Column, inner: str) -> Column:
     """A value that may be a text, an object with ``inner``, or a list of either: its first text."""
-    value = F.get_json_object(node, path)
-    first = F.when(value.startswith("["), F.element_at(F.from_json(value, "array<string>"), 1)).otherwise(value)
-    return F.when(first.startswith("{"), F.get_json_object(first, f"$.{inner}")).otherwise(first)
+    first = F.when(value.startswith("["), F.get(F.from_json(value, "array<string>"), F.lit(0))).otherwise(value)
+    return text.let(first, lambda v: F.when(v.startswith("{"), F.get_json_object(v, f"$.{inner}")).otherwise(v))
 
 
-def names(node: Column, path: str) -> Column:
-    value = F.get_json_object(node, path)
+def names(value: Column) -> Column:
     listed = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
     return F.array_compact(F.transform(F.array_compact(listed), lambda v: F.when(v.startswith("{"), F.get_json_object(v, "$.name")).otherwise(v)))
 
 
+#: What is read of an event, each a text, or JSON if it is none.
+EVENT = "struct<`@type`:string,name:string,description:string,startDate:string,endDate:string,url:string,image:string,location:string,performer:string,performers:string,offers:string>"
+
+
 def jsonld(documents: DataFrame, kinds: tuple[str, ...] = ("jsonld", "eventbrite")) -> DataFrame:
     """Events in the JSON-LD scripts of a page, in lists and graphs of any depth."""
     found = documents if "default_event_type" in documents.columns else with_settings(documents)
     rows = nested.events_of(found.where(F.col("kind").isin(*kinds)), "source_id", "kind", *SETTINGS)
-    node = F.col("node")
-    types = F.get_json_object(node, "$['@type']")
+    # Its own column: all fields are read at once.
+    rows = rows.withColumn("e", F.from_json("node", EVENT)).drop("node")
+    types = F.col("e.@type")
     first = F.when(types.startswith("["), F.get(F.from_json(types, "array<string>"), F.lit(0))).otherwise(types)
     none = F.array().cast("array<string>")
-    performer = F.coalesce(names(node, "$.performer"), none)
-    artists = F.filter(F.when(F.size(performer) > 0, performer).otherwise(F.coalesce(names(node, "$.performers"), none)), lambda a: a != "")
-    place = F.get_json_object(node, "$.location")
+    performers = F.coalesce(names(F.col("e.performers")), none)
+    artists = text.let(F.coalesce(names(F.col("e.performer")), none), lambda some: F.filter(F.when(F.size(some) > 0, some).otherwise(performers), lambda a: a != ""))
+    place = F.col("e.location")
     location = F.when(place.startswith("{"), F.get_json_object(place, "$.name")).when(~place.startswith("["), place)
     return listing(
-        rows, hint=classify.jsonld_type_hint(first), title=text.strip_html(F.get_json_object(node, "$.name")),
-        description=F.get_json_object(node, "$.description"), start=F.get_json_object(node, "$.startDate"), end=F.get_json_object(node, "$.endDate"),
-        url=one_text(node, "$.url", "url"), image=one_text(node, "$.image", "url"), location=location, artists=artists, offers=F.get_json_object(node, "$.offers"),
+        rows, hint=classify.jsonld_type_hint(first), title=text.strip_html(F.col("e.name")),
+        description=F.col("e.description"), start=F.col("e.startDate"), end=F.col("e.endDate"),
+        url=one_text(F.col("e.url"), "url"), image=one_text(F.col("e.image"), "url"), location=location, artists=artists, offers=F.col("e.offers"),
     )
 
 
@@ -390,18 +394,19 @@ def profile(documents: DataFrame) -> DataFrame:
 
     ``types`` are all JSON-LD types, at any depth; ``sample`` is the first object that looks like an event.
     """
-    low = F.lower("body")
-    seen = [F.when(low.contains(words[0]) | (low.contains(words[-1])), F.lit(k)) for k, words in SIGNALS.items()]
+    storage.ship(documents.sparkSession)
+    low = F.col("_low")
+    seen = [F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), F.lit(k)) for k, words in SIGNALS.items()]
     seen += [F.when(F.substring("body", 1, 500).contains("BEGIN:VCALENDAR"), F.lit("ical-direct")), F.when(low.rlike("<link[^>]+(rss|feed)"), F.lit("rss-link"))]
     merged = lambda kind: F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("_fact.kind") == kind, F.col("_fact.word"))))), ",")
-    opened = nested.objects_of(documents, nested.types_and_sample)
+    # Columns of their own: a body is put in lower case once, and one without the scripts' type has no need to leave the JVM.
+    lowered = documents.withColumn("_low", F.lower("body")).withColumn("_seen", F.array_compact(F.array(*seen)))
+    opened = lowered.withColumn("_read", nested.types_and_sample(F.when(low.contains("application/ld+json"), F.col("body"))))
     tagged = lambda kind, words: F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
-    types = F.array_distinct(F.flatten(F.transform("objects", lambda x: x["kept"]["types"])))
-    sample = nested.first_sample(F.col("objects"))
     # A row for the document, which the sample is beside, and one for each of its types and signals: few a source once counted.
-    facts = F.concat(tagged("document", F.array(F.lit(""))), tagged("type", types), tagged("signal", F.array_compact(F.array(*seen))))
-    first = F.when(F.col("_sample").isNotNull(), F.struct("page_no", "_sample.place", "_sample.sample"))
-    told = opened.select("source_id", "page_no", sample.alias("_sample"), facts.alias("_facts")).select("source_id", first.alias("_first"), F.explode("_facts").alias("_fact"))
+    facts = F.concat(tagged("document", F.array(F.lit(""))), tagged("type", F.col("_read.types")), tagged("signal", F.col("_seen")))
+    first = F.when(F.col("_read.sample").isNotNull(), F.struct("page_no", "_read.place", "_read.sample"))
+    told = opened.select("source_id", first.alias("_first"), F.explode(facts).alias("_fact"))
     told = told.select("source_id", "_fact", F.when(F.col("_fact.kind") == "document", F.col("_first")).alias("_first"))
     counted = told.groupBy("source_id", "_fact").agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("_first"))
     return counted.groupBy("source_id").agg(

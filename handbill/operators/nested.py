@@ -1,96 +1,136 @@
-"""Nested JSON to any depth, opened level by level within a row.
+"""Nested JSON to any depth: the JSON-LD scripts of a page, opened within its row.
 
-Values are VARIANTs, parsed once. A step opens all nodes of a text that the last one
-found; what is asked of an object is taken when it is met, so that nothing of a text
-is written, shuffled or kept but that. A text counts as many steps as it can be
-deep. Text that is no JSON, or nests deeper than Spark's parser allows (1,000 levels), gives no nodes.
+SQL functions copy all that lies below a node at each level they open. So a page is read
+once, by Python's parser in the page's task, and only what is asked of its objects leaves it;
+nothing is written or shuffled on the way. Text that is no JSON, names a field of an object
+twice or nests deeper than DEEPEST gives no objects.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from handbill.functions import vocab
+from handbill.sources import storage
 
-LD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+LD_SCRIPT = re.compile(r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>([^<]*+(?:<(?!/script>)[^<]*+)*+)</script>""", re.ASCII)
 #: What a sample of an object shows, and characters of it.
 SAMPLE_KEYS = ("@type", "name", "startDate", "endDate", "url", "location", "description", "image", "performer")
 SAMPLE_CHARS = 1500
-
-
-#: Levels that Spark's JSON parser reads.
+#: Levels of a text that counts as JSON.
 DEEPEST = 1000
-LIST, OBJECT = "array<variant>", "map<string,variant>"
+#: The field that lists of objects stand under; where only it is opened, other fields aren't.
+GRAPH = ("@graph",)
+Found = Iterator[tuple[tuple[int, ...], str, dict]]
 
 
-def graph_only(fields: Column) -> Column:
-    """What objects hold under @graph."""
-    return F.filter(fields, lambda x: x["key"] == "@graph")
+def number(told: str) -> float | int | str:
+    """A number with a point or an exponent, without zeros at its end; its text if a double would change it."""
+    if "e" in told or "E" in told:
+        return value if math.isfinite(value := float(told)) else "Infinity" if value > 0 else "-Infinity"
+    plain = told.rstrip("0").removesuffix(".")
+    return plain if "." in plain and repr(float(plain)) != plain else float(plain) if "." in plain else int(plain)
 
 
-def everything(fields: Column) -> Column:
+def fields_of(pairs: list[tuple[str, object]]) -> dict:
+    fields = dict(pairs)
+    if len(fields) < len(pairs):
+        raise ValueError("a field twice")
     return fields
 
 
-def objects_in(texts: Column, keep: Callable[[Column], Column], kept_type: str, opened: Callable[[Column], Column] = everything) -> Column:
-    """(place, path, kept) of all objects of JSON texts that lists and ``opened`` fields lead to, the outermost first.
+def no_json(told: str) -> None:
+    raise ValueError(told)
+
+
+decoder = json.JSONDecoder(object_pairs_hook=fields_of, parse_float=number, parse_constant=no_json)
+encoder = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def is_open(value: object) -> bool:
+    return type(value) is dict or type(value) is list
+
+
+def deeper(value: dict | list, levels: int) -> bool:
+    level = [value]
+    for _ in range(levels):
+        level = [v for x in level for v in (x.values() if type(x) is dict else x) if is_open(v)]
+    return bool(level)
+
+
+def read(told: str) -> dict | list | None:
+    """The object or list that a text begins with."""
+    try:
+        value = decoder.raw_decode(told.lstrip(" \t\r\n"))[0]
+    except (ValueError, RecursionError):
+        return None
+    # No text is deeper than it has brackets.
+    return value if is_open(value) and (told.count("[") + told.count("{") <= DEEPEST or not deeper(value, DEEPEST)) else None
+
+
+def objects_in(page: str, opened: tuple[str, ...] | None = None) -> Found:
+    """(place, path, object) of all objects of a page's scripts that lists and ``opened`` fields, or any, lead to, in their order.
 
-    ``keep`` tells what of an object is kept, ``kept_type`` its type. ``place`` is the text's number
-    and the node's position at each depth, so that its order is the order of the
-    texts; ``path`` names the keys on the way, [] for any item of a list.
+    ``place`` is the script's number and the node's position at each depth, fields by their names;
+    ``path`` names the keys on the way, [] for any item of a list.
     """
-    node = "struct<place:array<int>,path:string,value:variant>"
-    state = f"struct<open:array<{node}>,found:array<struct<place:array<int>,path:string,kept:{kept_type}>>>"
-    items = lambda value: F.try_variant_get(value, "$", LIST)
-    fields = lambda value: F.try_variant_get(value, "$", OBJECT)
-    numbered = lambda values: F.transform(values, lambda v, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("key"), v.alias("value")))
-    named = lambda entries: F.transform(entries, lambda e, i: F.struct(i.alias("pos"), e["key"].alias("key"), e["value"].alias("value")))
-
-    def containers(nodes: Column) -> Column:
-        return F.filter(nodes, lambda n: fields(n["value"]).isNotNull() | items(n["value"]).isNotNull())
-
-    def below(n: Column) -> Column:
-        inner = containers(F.coalesce(numbered(items(n["value"])), opened(named(F.map_entries(fields(n["value"]))))))
-        path = lambda e: F.concat(n["path"], F.when(e["key"].isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), e["key"])))
-        return F.transform(inner, lambda e: F.struct(F.concat(n["place"], F.array(e["pos"])).alias("place"), path(e).alias("path"), e["value"].alias("value")))
-
-    def step(at: Column) -> Column:
-        objects = F.filter(at["open"], lambda n: fields(n["value"]).isNotNull())
-        met = F.transform(objects, lambda n: F.struct(n["place"].alias("place"), n["path"].alias("path"), keep(n["value"]).alias("kept")))
-        return F.struct(F.flatten(F.transform(at["open"], below)).alias("open"), F.concat(at["found"], met).alias("found"))
-
-    parsed = F.transform(texts, lambda t, i: F.struct(F.array(i).alias("place"), F.lit("$").alias("path"), F.try_parse_json(F.trim(t)).alias("value")))
-    roots = containers(parsed)
-    # No text is deeper than it has brackets; without open nodes a step is over at once.
-    brackets = F.aggregate(texts, F.lit(0), lambda n, t: F.greatest(n, F.length(t) - F.length(F.translate(t, "[{", ""))))
-    steps = F.when(brackets > 0, F.sequence(F.lit(1), F.least(brackets, F.lit(DEEPEST)))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(roots.alias("open"), F.array().alias("found")).cast(state)
-    return F.aggregate(steps, start, lambda at, _: F.when(F.size(at["open"]) > 0, step(at)).otherwise(at), lambda at: at["found"])
-
-
-def objects_of(documents: DataFrame, keep: Callable[[Column], Column], opened: Callable[[Column], Column] = everything, body: str = "body", name: str = "objects") -> DataFrame:
-    """``documents`` with the objects_in() the JSON-LD scripts of each page, in a column; none for a page that is null."""
-    kept_type = documents.sparkSession.range(0).select(keep(F.try_parse_json(F.lit("{}"))).alias("kept")).schema["kept"].dataType.simpleString()
-    texts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(LD_SCRIPT), F.lit(1))
-    return documents.withColumn(name, objects_in(texts, keep, kept_type, opened))
-
-
-def types_of(value: Column) -> Column:
+    for n, told in enumerate(LD_SCRIPT.findall(page)):
+        root = read(told)
+        waiting = [] if root is None else [((n,), "$", root)]
+        while waiting:
+            place, path, value = waiting.pop()
+            if type(value) is dict:
+                yield place, path, value
+                names = sorted(value) if opened is None else [k for k in opened if k in value]
+                inner = [((*place, i), f"{path}.{k}", v) for i, k in enumerate(names) if type(v := value[k]) is dict or type(v) is list]
+            else:
+                inner = [((*place, i), path + "[]", v) for i, v in enumerate(value) if type(v) is dict or type(v) is list]
+            waiting += reversed(inner)
+
+
+def shown(value: object) -> str:
+    """A text as it is, other values as JSON; half of a pair of surrogates, which no text can hold, as "?"."""
+    told = value if type(value) is str else encoder.encode(value)
+    return told if told.isascii() else told.encode("utf-8", "replace").decode()
+
+
+def types_of(value: dict) -> list[str]:
     """The @type texts of an object, one or a list of them."""
-    listed = F.try_variant_get(value, "$['@type']", "array<string>")
-    return F.array_compact(F.coalesce(listed, F.array(F.try_variant_get(value, "$['@type']", "string"))))
+    found = value.get("@type")
+    return [shown(t) for t in (found if type(found) is list else [found]) if t is not None]
 
 
-def kinds_of(value: Column) -> Column:
-    """types_of() in lower case, without what comes before the name."""
-    return F.transform(types_of(value), lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), "^.*/", ""), "^schema:", ""))
+@lru_cache(4096)
+def names_event(kind: str) -> bool:
+    """Whether a type is one of events, whatever its case and what comes before its name."""
+    return re.sub("^schema:", "", re.sub("^.*/", "", kind.lower())) in vocab.JSONLD_EVENT_TYPES
 
 
-def is_event(value: Column) -> Column:
-    return F.exists(kinds_of(value), lambda t: t.isin(vocab.JSONLD_EVENT_TYPES))
+def is_event(value: dict) -> bool:
+    return any(map(names_event, types_of(value)))
+
+
+def of_page(body: Column, made: Callable[[Found], object], kind: str, shape: pa.DataType, opened: tuple[str, ...] | None = None) -> Column:
+    """What ``made`` makes of the objects of each page, of Spark's type ``kind``; of none for a page that is null."""
+
+    @F.arrow_udf(kind)
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([made(objects_in(page or "", opened)) for page in pages.to_pylist()], type=shape)
+
+    return run(body)
+
+
+def event_texts(found: Found) -> list[str]:
+    return [shown(x) for _, _, x in found if is_event(x)]
 
 
 def events_of(documents: DataFrame, *keys: str) -> DataFrame:
@@ -98,26 +138,48 @@ def events_of(documents: DataFrame, *keys: str) -> DataFrame:
 
     Lists and @graph are opened however deep they nest, other fields aren't.
     """
-    found = objects_of(documents, lambda value: F.when(is_event(value), F.to_json(value)), graph_only)
-    ordered = F.array_sort(F.filter("objects", lambda x: x["kept"].isNotNull()))
-    return found.select(*keys, F.posexplode(F.transform(ordered, lambda x: x["kept"])).alias("seq", "node"))
+    storage.ship(documents.sparkSession)
+    nodes = of_page(F.col("body"), event_texts, "array<string>", pa.list_(pa.string()), GRAPH)
+    return documents.select(*keys, F.posexplode(nodes).alias("seq", "node"))
 
 
-def types_by_path(documents: DataFrame, source: str = "source_id") -> DataFrame:
-    """(source, path, type, n): how often each @type stands where in the JSON-LD of each source, in objects of any depth."""
-    found = objects_of(documents, types_of).select(source, F.explode("objects").alias("_at"))
-    each = found.select(source, "_at.path", F.explode("_at.kept").alias("type"))
-    return each.groupBy(source, "path", "type").agg(F.count(F.lit(1)).alias("n"))
+def count_events(found: Found) -> tuple[int, int]:
+    events = [is_event(x) for _, _, x in found]
+    return len(events), sum(events)
+
 
+def counts_of(documents: DataFrame, source: str = "source_id") -> DataFrame:
+    """(source, n_objects, n_events): how many objects lists and @graph lead to in the JSON-LD of each source that has any, and how many are events."""
+    storage.ship(documents.sparkSession)
+    shape = pa.struct([("n_objects", pa.int64()), ("n_events", pa.int64())])
+    each = documents.select(source, of_page(F.col("body"), count_events, "struct<n_objects:bigint,n_events:bigint>", shape, GRAPH).alias("_n"))
+    return each.groupBy(source).agg(F.sum("_n.n_objects").alias("n_objects"), F.sum("_n.n_events").alias("n_events")).where("n_objects > 0")
 
-def types_and_sample(value: Column) -> Column:
-    """(types, sample): an object's types and, if one holds "event", its telling fields as JSON, cut."""
-    types = types_of(value)
-    fields = F.map_filter(F.try_variant_get(value, "$", OBJECT), lambda k, v: k.isin(*SAMPLE_KEYS))
-    sample = F.when(F.exists(types, lambda t: F.lower(t).contains("event")), F.substring(F.to_json(fields), 1, SAMPLE_CHARS))
-    return F.struct(types.alias("types"), sample.alias("sample"))
 
+def count_types(found: Found) -> list[tuple[str, str, int]]:
+    counts = Counter((path, t) for _, path, x in found for t in types_of(x))
+    return [(shown(path), t, n) for (path, t), n in counts.items()]
 
-def first_sample(objects: Column) -> Column:
-    """(place, sample) of the first object of a page that has a sample; null if none has."""
-    return F.array_min(F.transform(F.filter(objects, lambda x: x["kept"]["sample"].isNotNull()), lambda x: F.struct(x["place"].alias("place"), x["kept"]["sample"].alias("sample"))))
+
+def types_by_path(documents: DataFrame, source: str = "source_id") -> DataFrame:
+    """(source, path, type, n): how often each @type stands where in the JSON-LD of each source, in objects of any depth."""
+    storage.ship(documents.sparkSession)
+    shape = pa.list_(pa.struct([("path", pa.string()), ("type", pa.string()), ("n", pa.int64())]))
+    each = documents.select(source, F.explode(of_page(F.col("body"), count_types, "array<struct<path:string,type:string,n:bigint>>", shape)).alias("_at"))
+    return each.groupBy(source, F.col("_at.path").alias("path"), F.col("_at.type").alias("type")).agg(F.sum("_at.n").alias("n"))
+
+
+def types_and_first(found: Found) -> tuple[list[str], tuple[int, ...] | None, str | None]:
+    kinds, place, sample = {}, None, None
+    for at, _, x in found:
+        types = types_of(x)
+        kinds.update(dict.fromkeys(types))
+        if place is None and any("event" in t.lower() for t in types):
+            place, sample = at, shown({k: x[k] for k in SAMPLE_KEYS if k in x})[:SAMPLE_CHARS]
+    return list(kinds), place, sample
+
+
+def types_and_sample(body: Column) -> Column:
+    """(types, place, sample): the types of a page's objects, each once, and its first object that has "event" in one, its telling fields as JSON, cut."""
+    shape = pa.struct([("types", pa.list_(pa.string())), ("place", pa.list_(pa.int32())), ("sample", pa.string())])
+    return of_page(body, types_and_first, "struct<types:array<string>,place:array<int>,sample:string>", shape)

@@ -161,3 +161,23 @@ def test_carry_over_within_one_table(spark):
     apart = write_side.carry_over(rows.where(~known).drop("new"), rows.where(known).drop("new"))
     assert apart.columns == ["seq", "venue_id"] and sorted(tuple(r.seq) for r in apart.collect()) == expected
     assert not write_side.carried(rows.limit(0), "new").collect()
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["jsonld_flatten", "jsonld_types", "jsonld_events", "source_profile"])
+def test_a_page_is_opened_once(spark, name):
+    plan = optimized(registry.QUERIES[name](spark, str(DATA)))
+    # SQL functions copied what lies below a node at each level.
+    assert "variant" not in plan and sum("ArrowEvalPython" in x for x in plan.splitlines()) == (3 if name == "source_profile" else 1)
+
+
+@needs_data
+def test_fields_of_an_event_are_read_at_once(spark):
+    plan = optimized(registry.QUERIES["jsonld_events"](spark, str(DATA)))
+    assert "get_json_object(node" not in plan and plan.count("StructField(startDate,StringType,true), StructField(endDate") == 1
+
+
+@needs_data
+def test_a_profile_puts_a_body_in_lower_case_once(spark):
+    # Once for each kind of document.
+    assert optimized(registry.QUERIES["source_profile"](spark, str(DATA))).count("lower(body") <= 3

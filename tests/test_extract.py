@@ -247,3 +247,23 @@ def test_nested_json_writes_nothing(spark):
     assert [json.loads(r.node)["name"] for r in nested.events_of(rows, "source_id").collect()] == ["deep"]
     assert extract.profile(rows).first().sample.startswith('{"@type":"Event"')
     assert sorted(folder.rglob("*")) == before
+
+
+def test_an_event_of_any_depth_is_text(spark):
+    """A node of a thousand levels ended the session, before."""
+    inner = '{"a":' * 999 + "1" + "}" * 999
+    scripts = [f'{{"@type":"Event","b":{inner}}}', f'{{"@type":"Event","b":{{"c":{inner}}}}}', '{"@type":"Event","name":"last"}']
+    body = "".join(f'<script type="application/ld+json">{s}</script>' for s in scripts)
+    rows = spark.createDataFrame([("a", "jsonld", "u", 0, body, "")], RAW_DOCUMENT)
+    # One level more than DEEPEST is no JSON.
+    assert [(r.seq, r.node) for r in nested.events_of(rows, "source_id").collect()] == [(0, scripts[0]), (1, scripts[2])]
+
+
+@pytest.mark.parametrize("told, node", [
+    ('{"@type":"Event","b":10.50,"a":1.0,"c":[-0,-0.0,1e2,12345678901234567890.125]}', '{"@type":"Event","a":1,"b":10.5,"c":[0,0,100.0,"12345678901234567890.125"]}'),
+    ('\t{"@type":["x/y:z","http://schema.org/musicevent",3,null]} tail', '{"@type":["x/y:z","http://schema.org/musicevent",3,null]}'),
+    ('{"@type":"Event","n":"\\ud800é\\u00e9\\/<"}', '{"@type":"Event","n":"?éé/<"}'),
+    ('{"@type":"Event","a":1e400}', '{"@type":"Event","a":"Infinity"}'), ('{"@type":"Event","@type":"Event"}', None), ('{"@type":"Event","a":NaN}', None), ('{"@type":"Event",}', None), ("[" * 100000, None), ("", None),
+])
+def test_what_counts_as_json(told, node):
+    assert nested.event_texts(nested.objects_in(f"<SCRIPT x type=application/ld+JSON>{told}</Script>", nested.GRAPH)) == ([] if node is None else [node])
