@@ -261,7 +261,7 @@ def test_an_event_of_any_depth_is_text(spark):
 
 @pytest.mark.parametrize("told, node", [
     ('{"@type":"Event","b":10.50,"a":1.0,"c":[-0,-0.0,1e2,12345678901234567890.125]}', '{"@type":"Event","a":1,"b":10.5,"c":[0,0,100.0,"12345678901234567890.125"]}'),
-    ('\t{"@type":["x/y:z","http://schema.org/musicevent",3,null]} tail', '{"@type":["x/y:z","http://schema.org/musicevent",3,null]}'),
+    ('\t{"@type":["x/y:z","http://schema.org/SCREENINGEvent",3,null]} tail', '{"@type":["x/y:z","http://schema.org/SCREENINGEvent",3,null]}'),
     ('{"@type":"Event","n":"\\ud800é\\u00e9\\/<"}', '{"@type":"Event","n":"?éé/<"}'),
     ('{"@type":"Event","a":1e400}', '{"@type":"Event","a":"Infinity"}'), ('{"@type":"Event","@type":"Event"}', None), ('{"@type":"Event","a":NaN}', None), ('{"@type":"Event",}', None), ("[" * 100000, None), ("", None),
 ])
