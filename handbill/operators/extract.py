@@ -7,7 +7,7 @@ listing's columns and ``kind``. A document that can't be read gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -358,12 +358,31 @@ def priority() -> Column:
 
 
 def chain_outcomes(documents: DataFrame, custom: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """outcomes() of strategy_chain(), by the counts of every kind: documents are read once, and no listing is joined."""
-    counts = outcomes(of_every_kind(documents, custom, sources))
+    """outcomes() of strategy_chain(), a kind at a time: documents of a kind are read only of sources that no kind before it gave any listing.
+
+    What each source's kind gave is written on the way, so that Spark knows its size when it is joined.
+    """
+    spark, known = documents.sparkSession, with_settings(documents, sources)
+    readers = {"wp_tribe": tribe, "ical": ical, "feed": feed} | {k: partial(jsonld, kinds=(k,)) for k in ("jsonld", "eventbrite")}
+    path = storage.fresh_path(spark, "chain")
+    schema = "source_id string, kind string, one_off bigint, exhibitions bigint"
+    served = spark.createDataFrame([], schema)
+    for kind in sorted(readers, key=vocab.STRATEGIES.index):
+        outcomes(readers[kind](unserved(known.where(F.col("kind") == kind), served))).write.mode("append").parquet(path)
+        served = spark.read.schema(schema).parquet(path)
+    if custom is None:
+        return served
+    counts = served.unionByName(outcomes(custom)).groupBy("source_id", "kind").agg(F.sum("one_off").alias("one_off"), F.sum("exhibitions").alias("exhibitions"))
     best = counts.groupBy("source_id").agg(F.min_by(F.struct("kind", "one_off", "exhibitions"), priority()).alias("_best"))
     return best.select("source_id", "_best.*")
 
 
+def unserved(rows: DataFrame, served: DataFrame) -> DataFrame:
+    """``rows`` of sources that aren't in ``served``."""
+    known = served.select(F.col("source_id").alias("_served"))
+    return rows.join(known, F.col("source_id").eqNullSafe(F.col("_served")), "left_anti")
+
+
 def outcomes(listings: DataFrame) -> DataFrame:
     """(source_id, kind, one_off, exhibitions): what each source's strategy gave, or each kind of its documents."""
     exhibition = F.col("event_type") == "exhibition"

@@ -267,3 +267,21 @@ def test_an_event_of_any_depth_is_text(spark):
 ])
 def test_what_counts_as_json(told, node):
     assert nested.event_texts(nested.objects_in(f"<SCRIPT x type=application/ld+JSON>{told}</Script>", nested.GRAPH)) == ([] if node is None else [node])
+
+
+def test_a_chain_reads_no_kind_of_a_served_source(spark):
+    ld = page({"@type": "Event", "name": "a"}, {"@type": "ExhibitionEvent", "name": "Exhibition"})
+    nothing = [(s, k, "", 0, "", "") for s in ("t", "n") for k in ("wp_tribe", "custom", "other")]
+    more = [("n", "eventbrite", "", 0, ld, ""), ("n", "feed", "", 0, FEED, ""), (None, "feed", "", 0, FEED, ""), (None, "ical", "", 0, ICAL, ""), ("j", "eventbrite", "", 0, ld, ""), ("j", "feed", "", 0, FEED, "")]
+    raw = spark.createDataFrame([*DOCUMENTS, *nothing, *more], RAW_DOCUMENT)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("chain-*"))
+    expected = [("c", "ical", 3, 0), ("e", "feed", 1, 0), ("f", "feed", 1, 0), ("j", "jsonld", 2, 1), ("n", "eventbrite", 1, 1), ("null", "ical", 3, 0), ("t", "wp_tribe", 2, 0)]
+    told = lambda rows: sorted((str(r.source_id or "null"), *r[1:]) for r in rows.collect())
+    assert told(extract.chain_outcomes(raw, sources=source_table(spark, SOURCES))) == expected
+    written = [str(p) for p in set(folder.glob("chain-*")) - before]
+    # Every kind was counted for every source, before.
+    assert len(written) == 1 and told(spark.read.parquet(*written)) == expected
+    own = extract.ical(raw.where("kind = 'ical' AND source_id = 'c'"))
+    customs = own.withColumn("kind", F.lit("custom")).unionByName(own).unionByName(own.withColumn("venue_id", F.lit("x")).withColumn("source_id", F.lit("x")).withColumn("kind", F.lit("custom")))
+    assert told(extract.chain_outcomes(raw, customs, source_table(spark, SOURCES))) == sorted([x if x[0] != "c" else ("c", "ical", 6, 0) for x in expected] + [("x", "custom", 3, 0)])
